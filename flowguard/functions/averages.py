@@ -1,0 +1,6 @@
+"""The integer moving average, used by the batch fold and by the stream."""
+
+
+def cma_step(value: int, average: int, points: int) -> tuple[int, int]:
+    """Add one value to a cumulative average, truncating to an integer."""
+    return (value + points * average) // (points + 1), points + 1

@@ -1,0 +1,97 @@
+"""Anomaly detectors: packets in, reports about jumping keys out."""
+
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.counts import dimension_rows
+from ..operators.moving import cma
+from ..operators.windows import count_windows, sliding_counts
+from ..schema import (COUNT_WINDOW, DETECTION_FLOOR, DETECTION_RATIO, DST_IP_REPORT,
+                      PACKET_ORDER, SLOT_SECONDS, SRC_IP_REPORT, WINDOW_SLOTS)
+
+# Only addresses are tested by default; ports and flags are counted, not tested.
+TESTED = ("src_ip", "dst_ip")
+
+# Report type per tested dimension; port jumps are reported as port hits.
+_REPORT_TYPES = {"src_ip": SRC_IP_REPORT, "dst_ip": DST_IP_REPORT, "src_port": 1, "dst_port": 1, "flag": 7}
+
+_DETECTORS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_detector(name: str, run: Callable[..., DataFrame]) -> None:
+    """Add a named detector; ``run(df, **params)`` returns reports."""
+    _DETECTORS[name] = run
+
+
+def detector_names() -> list[str]:
+    return sorted(_DETECTORS)
+
+
+def detect(df: DataFrame, detector: str, **params) -> DataFrame:
+    """Run the named detector on packets."""
+    if detector not in _DETECTORS:
+        raise KeyError(f"unknown detector {detector!r}; known: {', '.join(detector_names())}")
+    return _DETECTORS[detector](df, **params)
+
+
+def _report_type() -> Column:
+    out = None
+    for dimension, code in _REPORT_TYPES.items():
+        match = F.col("dimension") == dimension
+        out = F.when(match, code) if out is None else out.when(match, code)
+    return out
+
+
+def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float = DETECTION_RATIO,
+                   floor: int = DETECTION_FLOOR, dimensions: Iterable[str] = TESTED) -> DataFrame:
+    """Jumps between count windows of each node.
+
+    Reports carry the window, the count, the average before it, and the time of
+    the packet that closed the window.
+    """
+    dimensions = list(dimensions)
+    needed = dict.fromkeys([*PACKET_ORDER, "node_id", "proto", *_columns(dimensions)])
+    windows = count_windows(df.select(*needed), size)
+    counts = dimension_rows(windows, ["node_id", "win", "ts"], dimensions) \
+        .groupBy("node_id", "win", "dimension", "key").agg(F.count("*").alias("n"), F.max("ts").alias("_last"))
+    # A window has `size` packets, so this partition has few rows by construction.
+    closed = F.max("_last").over(Window.partitionBy("node_id", "win"))
+    counts = counts.withColumn("_closed", F.struct("win", closed.alias("ts"))).drop("_last", "win")
+    alerts = cma(counts, ["node_id", "dimension", "key"], "_closed", ratio, floor).filter("alert")
+    return alerts.select("node_id", F.col("_closed.ts").alias("ts"), F.col("_closed.win").alias("win"),
+                         _report_type().alias("report_type"), "key", "n", "prior")
+
+
+def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: int = WINDOW_SLOTS,
+                   ratio: float = DETECTION_RATIO, floor: int = DETECTION_FLOOR,
+                   dimensions: Iterable[str] = TESTED, zero_tail: bool = True,
+                   t0_micros: int = 0) -> DataFrame:
+    """Jumps between sliding time windows of each node.
+
+    ``win`` is the last slot of the window, ``ts`` the time at which it ends.
+    """
+    rows = dimension_rows(df, ["node_id", "ts"], list(dimensions))
+    group = ["node_id", "dimension", "key"]
+    counts = sliding_counts(rows, group, slot_seconds, n_slots, zero_tail, t0_micros)
+    alerts = cma(counts, group, "end_slot", ratio, floor).filter("alert")
+    length = int(round(slot_seconds * 1_000_000))
+    ends = F.timestamp_micros((F.col("end_slot") + 1) * F.lit(length).cast("bigint") + t0_micros)
+    return alerts.select("node_id", ends.alias("ts"), F.col("end_slot").alias("win"),
+                         _report_type().alias("report_type"), "key", "n", "prior")
+
+
+def detect_off(df: DataFrame, **_params) -> DataFrame:
+    """No detection: an empty report table."""
+    return df.sparkSession.createDataFrame(
+        [], "node_id int, ts timestamp, win bigint, report_type int, key string, n bigint, prior bigint")
+
+
+def _columns(dimensions: list[str]) -> list[str]:
+    return ["flag_mask" if d == "flag" else d for d in dimensions]
+
+
+register_detector("off", detect_off)
+register_detector("classic", detect_classic)
+register_detector("sliding", detect_sliding)
