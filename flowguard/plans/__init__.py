@@ -1,2 +1,2 @@
-from .detect import detect, detector_names, detect_classic, detect_sliding, register_detector
-from .evaluate import evaluate, rates
+from .detectors import detect, detect_classic, detect_sliding, detector_names, register_detector
+from .evaluation import evaluate, rates

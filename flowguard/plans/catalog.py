@@ -19,7 +19,7 @@ from ..sources import sinks
 from ..streaming import (latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
                          stream_cma, stream_count_windows, stream_escalation, stream_rounds,
                          stream_sliding_counts, write_stream)
-from . import detect, evaluate
+from . import detectors, evaluation
 
 DAY = 86_400
 RATIO, FLOOR, SIZE = 1.5, 3, 100
@@ -198,7 +198,7 @@ def s07_eval_sink(spark, d):
     screened = screening.cascade(traffic(spark, d), rules=small_rules(spark))
     path = scratch_path(spark, "eval")
     for run in ("first", "second"):
-        sinks.write_eval(evaluate.evaluate(screened, bad_ips(spark), run), path)
+        sinks.write_eval(evaluation.evaluate(screened, bad_ips(spark), run), path)
     return sinks.read_eval(spark, path)
 
 
@@ -453,13 +453,13 @@ def a13_route_reports(spark, d):
 @query
 def a14_evaluate(spark, d):
     screened = screening.cascade(traffic(spark, d), rules=small_rules(spark))
-    return evaluate.evaluate(screened, bad_ips(spark), "run-1")
+    return evaluation.evaluate(screened, bad_ips(spark), "run-1")
 
 
 @query
 def a14_rates(spark, d):
     screened = screening.cascade(traffic(spark, d), rules=small_rules(spark))
-    return evaluate.rates(screened, bad_ips(spark), "run-1")
+    return evaluation.rates(screened, bad_ips(spark), "run-1")
 
 
 # Windows, averages, detectors
@@ -519,12 +519,12 @@ def w09_jumps_above_floor(spark, d):
 
 @query
 def w10_classic_detector(spark, d):
-    return zoneless(detect.detect(traffic(spark, d), "classic", size=SIZE, ratio=RATIO, floor=FLOOR))
+    return zoneless(detectors.detect(traffic(spark, d), "classic", size=SIZE, ratio=RATIO, floor=FLOOR))
 
 
 @query
 def w11_sliding_detector(spark, d):
-    return zoneless(detect.detect(traffic(spark, d), "sliding", slot_seconds=DAY, n_slots=2,
+    return zoneless(detectors.detect(traffic(spark, d), "sliding", slot_seconds=DAY, n_slots=2,
                                   ratio=RATIO, floor=FLOOR))
 
 
@@ -548,7 +548,7 @@ def w14_window_length(spark, d):
 
 @query
 def w16_ratio(spark, d):
-    return zoneless(detect.detect(traffic(spark, d), "sliding", slot_seconds=DAY, n_slots=2,
+    return zoneless(detectors.detect(traffic(spark, d), "sliding", slot_seconds=DAY, n_slots=2,
                                   ratio=2.5, floor=FLOOR, dimensions=["dst_port"]))
 
 
@@ -629,5 +629,5 @@ def u02_custom_detector(spark, d):
     def busiest_days(df, floor):
         per_day = windows.slot_counts(df, ["node_id", "dst_ip"], DAY).filter(F.col("n") > floor)
         return per_day.select("node_id", "slot", F.col("dst_ip").alias("key"), "n")
-    detect.register_detector("busiest_days", busiest_days)
-    return detect.detect(traffic(spark, d), "busiest_days", floor=4)
+    detectors.register_detector("busiest_days", busiest_days)
+    return detectors.detect(traffic(spark, d), "busiest_days", floor=4)
