@@ -31,43 +31,45 @@ def ipv4_long(address) -> Column:
     return F.when(in_range, number)
 
 
-def ipv4_text(address) -> Column:
+# Address forms as SQL text, so that a literal set of addresses can be compared
+# with one in a single parsed expression.
+
+def _ipv4_text(a: str) -> str:
     """IPv4 text without leading zeros in its parts."""
-    address = _col(address)
-    return F.when(address.startswith("0") | address.contains(".0"),
-                  F.regexp_replace(address, "(\\A|\\.)0+(?=[0-9])", "$1")).otherwise(address)
+    return (f"CASE WHEN startswith({a}, '0') OR contains({a}, '.0') "
+            f"THEN regexp_replace({a}, r'(\\A|\\.)0+(?=[0-9])', '$1') ELSE {a} END")
 
 
-def mapped_ipv4(address) -> Column:
+def _mapped_ipv4(a: str) -> str:
     """The IPv4 part of an IPv4-mapped IPv6 address, else NULL."""
-    part = F.regexp_extract(_col(address), "(?i)\\A::ffff:([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)\\z", 1)
-    return ipv4_text(F.nullif(part, F.lit("")))
+    part = f"nullif(regexp_extract({a}, r'(?i)\\A::ffff:([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)\\z', 1), '')"
+    return f"regexp_replace({part}, r'(\\A|\\.)0+(?=[0-9])', '$1')"
 
 
-def ipv6_hex(address) -> Column:
+def _ipv6_hex(a: str) -> str:
     """IPv6 text (any zero compression or case) as 32 hex digits, else NULL."""
-    text = F.lower(_col(address))
-    closed = F.concat(F.when(text.startswith("::"), "0").otherwise(""), text,
-                      F.when(text.endswith("::"), "0").otherwise(""))
-    colons = F.length(closed) - F.length(F.translate(closed, ":", ""))
-    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - colons))
-    groups = F.transform(F.split(F.replace(closed, F.lit("::"), zeros), ":"), lambda g: F.lpad(g, 4, "0"))
-    digits = F.array_join(groups, "")
-    return F.nullif(F.regexp_extract(digits, "\\A[0-9a-f]{32}\\z", 0), F.lit(""))
+    closed = (f"concat(CASE WHEN startswith({a}, '::') THEN '0' ELSE '' END, lower({a}), "
+              f"CASE WHEN endswith({a}, '::') THEN '0' ELSE '' END)")
+    zeros = f"concat(':', repeat('0:', 8 - (length({closed}) - length(translate({closed}, ':', '')))))"
+    groups = f"transform(split(replace({closed}, '::', {zeros}), ':'), g -> lpad(g, 4, '0'))"
+    return f"nullif(regexp_extract(array_join({groups}, ''), r'\\A[0-9a-f]{{32}}\\z', 0), '')"
 
 
-def ip_key(address, v6: bool = True) -> Column:
+def ip_key_sql(column: str, v6: bool = True) -> str:
+    long_form = _mapped_ipv4(column)
+    if v6:
+        long_form = f"coalesce({long_form}, {_ipv6_hex(column)}, lower({column}))"
+    return f"CASE WHEN contains({column}, ':') THEN {long_form} ELSE {_ipv4_text(column)} END"
+
+
+def ip_key(column: str, v6: bool = True) -> Column:
     """One text key per address, the same for every spelling of it.
 
     IPv4 (also when mapped into IPv6) becomes plain dotted text, IPv6 its 32
     hex digits; anything that is no address is compared as lower-case text.
     With ``v6=False`` an IPv6 address that maps no IPv4 one has no key.
     """
-    address = _col(address)
-    long_form = mapped_ipv4(address)
-    if v6:
-        long_form = F.coalesce(long_form, ipv6_hex(address), F.lower(address))
-    return F.when(address.contains(":"), long_form).otherwise(ipv4_text(address))
+    return F.expr(ip_key_sql(column, v6))
 
 
 def payload_text(payload) -> Column:

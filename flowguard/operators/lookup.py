@@ -1,8 +1,9 @@
-"""Left join of packets with a rule-side table, safe for large and hot keys."""
+"""Left joins of packets with rule-side tables, safe for large and hot keys."""
 
-from functools import reduce
+from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A rule-side table is broadcast only when a count shows it has no more rows.
@@ -25,59 +26,83 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if fits_broadcast(table, rows) else table
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: list[str], within=None,
-                broadcast_rows: int = BROADCAST_ROWS, rows: int | None = None,
-                probe: DataFrame | None = None) -> DataFrame:
-    """Left join ``df`` with ``table`` on the columns ``on``.
+@dataclass
+class Lookup:
+    """A table to be looked up by one text key.
+
+    ``table`` has a column ``key`` and value columns. It holds at most one row
+    per key (or, with the condition ``within``, at most one that satisfies it),
+    so no packet multiplies. ``rows`` is its size where it is already counted.
+    """
+    key: Column
+    table: DataFrame
+    within: Column | None = None
+    rows: int | None = None
+
+    def is_small(self, broadcast_rows: int) -> bool:
+        if self.rows is None:
+            return fits_broadcast(self.table, broadcast_rows)
+        return self.rows <= broadcast_rows
 
-    The table must hold at most one row per key (or, with the extra condition
-    ``within``, at most one that satisfies it), so no row of ``df`` multiplies.
-    Small tables are broadcast. Larger ones are shuffled, with the hot keys of
-    ``df`` spread over salts and the few matching table rows repeated for each.
 
-    ``rows`` is the size of the table where the caller has counted it already.
-    ``probe`` holds the key columns of ``df`` as a simpler plan, to find the hot
-    keys without running the joins that ``df`` already contains.
+def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add the value columns of every table, NULL where a key is not found.
+
+    Small tables are broadcast into the scan stage. Larger ones are shuffled:
+    rows with a hot key, or with none, are spread over salts, and the few table
+    rows of the hot keys are repeated for each salt. One pass over the packets
+    finds the hot keys of all large tables.
     """
-    small = fits_broadcast(table, broadcast_rows) if rows is None else rows <= broadcast_rows
-    if small:
-        return _left_join(df, F.broadcast(table), on, within)
-    columns = df.columns
-    if df.isStreaming:
-        # Keys of the future are unknown: every key is spread, over fewer salts.
-        hot, salts = None, STREAM_SALTS
-    else:
-        hot, salts = F.broadcast(hot_keys(probe or df, on).withColumn("_hot", F.lit(True))), SALTS
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    salt = F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("bigint")
-    if hot is None:
-        salted = df.withColumn("_salt", salt)
-        repeated = table.withColumn("_salt", F.explode(every))
-    else:
-        only_hot = lambda c, otherwise: F.when(F.col("_hot"), c).otherwise(otherwise)
-        zero = F.lit(0).cast("bigint")
-        salted = df.join(hot, on, "left").withColumn("_salt", only_hot(salt, zero)).drop("_hot")
-        repeated = table.join(hot, on, "left") \
-            .withColumn("_salt", F.explode(only_hot(every, F.array(zero)))).drop("_hot")
-    return _left_join(salted, repeated, on + ["_salt"], within).select(
-        *columns, *[c for c in table.columns if c not in on])
-
-
-def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
-    """Keys with more than 1/HOT_SHARE of all rows: at most HOT_SHARE of them.
-
-    They are looked up now, so that the plan holds them as a small local table.
+    lookups = list(lookups)
+    small = [look.is_small(broadcast_rows) for look in lookups]
+    large = [i for i, fits in enumerate(small) if not fits]
+    hot = {} if df.isStreaming or not large else hot_keys(df, {i: lookups[i].key for i in large})
+    for i, look in enumerate(lookups):
+        keyed = df.withColumn("_key", look.key)
+        if small[i]:
+            df = _left_join(keyed, F.broadcast(look.table), F.lit(True), look.within)
+        else:
+            salted, repeated = _salted(keyed, look.table, hot.get(i))
+            df = _left_join(salted, repeated, F.col("_salt") == F.col("_table_salt"), look.within)
+    return df
+
+
+def hot_keys(df: DataFrame, keys: dict[int, Column]) -> dict[int, DataFrame]:
+    """Per lookup, the keys with more than 1/HOT_SHARE of all rows.
+
+    They are found now and kept as small local tables: no lookup has more than
+    HOT_SHARE of them.
     """
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), key.alias("key")) for i, key in keys.items()])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.key").agg(F.count("*").alias("n"))
     total = df.select(F.count("*")).scalar()
-    found = counts.filter(F.col("_n") * HOT_SHARE > total).select(*on)
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    found = counts.filter(F.col("key").isNotNull() & (F.col("n") * HOT_SHARE > total)).collect()
+    spark = df.sparkSession
+    return {i: spark.createDataFrame([(r["key"],) for r in found if r["i"] == i], "hot_key string")
+            for i in keys}
 
 
-def _left_join(df: DataFrame, table: DataFrame, on: list[str], within) -> DataFrame:
-    """Equi left join that keeps the left key columns and drops the salt."""
-    right = reduce(lambda t, c: t.withColumnRenamed(c, f"_r_{c}"), on, table)
-    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_r_{c}") for c in on])
+def _salted(df: DataFrame, table: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    salts = STREAM_SALTS if hot is None else SALTS
+    # Taken from the whole row, so that a repeated task salts as before.
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is None:
+        # A stream's future keys are unknown: every key is spread, over fewer salts.
+        return df.withColumn("_salt", salt), table.withColumn("_table_salt", F.explode(every))
+    is_hot = F.col("hot_key").isNotNull()
+    hot = F.broadcast(hot)
+    spread = F.when(is_hot | F.col("_key").isNull(), salt).otherwise(0)
+    return (df.join(hot, F.col("_key") == F.col("hot_key"), "left")
+            .withColumn("_salt", spread).drop("hot_key"),
+            table.join(hot, F.col("key") == F.col("hot_key"), "left")
+            .withColumn("_table_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+            .drop("hot_key"))
+
+
+def _left_join(df: DataFrame, table: DataFrame, salted: Column, within: Column | None) -> DataFrame:
+    table = table.withColumnRenamed("key", "_table_key")
+    match = (F.col("_key") == F.col("_table_key")) & salted
     if within is not None:
         match = match & within
-    return df.join(right, match, "left").drop(*[f"_r_{c}" for c in on], "_salt")
+    return df.join(table, match, "left").drop("_key", "_table_key", "_salt", "_table_salt")

@@ -10,11 +10,9 @@ from .windows import round_number
 
 
 def report_kind(report_type="report_type", kinds: dict[int, str] = REPORT_KINDS) -> Column:
-    out = None
-    for code, kind in kinds.items():
-        match = F.col(report_type) == code
-        out = F.when(match, kind) if out is None else out.when(match, kind)
-    return out
+    """The counter that a report code feeds; NULL for an unknown code."""
+    pairs = [F.lit(x) for pair in kinds.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), F.col(report_type))
 
 
 def route_reports(reports: DataFrame, kinds: dict[int, str] = REPORT_KINDS) -> DataFrame:
@@ -38,6 +36,17 @@ def report_matrix(reports: DataFrame, nodes: Iterable[int]) -> DataFrame:
     return _routed(reports).groupBy("kind", "key").agg(*columns)
 
 
+_REPORTED = ["kind", "key", "node_id"]
+
+
+def _rounds(routed: DataFrame, round_seconds: float, t0_micros: int, *measures: Column) -> DataFrame:
+    """Measures per key and round, with ``escalated`` looking one round back."""
+    rounds = routed.groupBy(*_REPORTED, round_number("ts", round_seconds, t0_micros).alias("round")) \
+        .agg(*measures)
+    before = F.lag("round").over(Window.partitionBy(*_REPORTED).orderBy("round"))
+    return rounds.withColumn("escalated", F.coalesce(before == F.col("round") - 1, F.lit(False)))
+
+
 def escalate(reports: DataFrame, round_seconds: float = ROUND_SECONDS, t0_micros: int = 0) -> DataFrame:
     """Per (kind, key, node) and round: its hits, and whether it escalates.
 
@@ -45,12 +54,7 @@ def escalate(reports: DataFrame, round_seconds: float = ROUND_SECONDS, t0_micros
     before. Reports are combined per round before the look back, so a key needs
     one row per round however often it is reported.
     """
-    group = ["kind", "key", "node_id"]
-    rounds = _routed(reports).groupBy(*group, round_number("ts", round_seconds, t0_micros).alias("round")) \
-        .agg(F.count("*").alias("hits"), F.min(F.struct("ts", "packet_id")).alias("_first"))
-    before = F.lag("round").over(Window.partitionBy(*group).orderBy("round"))
-    return rounds.withColumn("escalated", F.coalesce(before == F.col("round") - 1, F.lit(False))) \
-        .select(*group, "round", "hits", F.col("_first.packet_id").alias("first_id"), "escalated")
+    return _rounds(_routed(reports), round_seconds, t0_micros, F.count("*").alias("hits"))
 
 
 def flag_reports(reports: DataFrame, round_seconds: float = ROUND_SECONDS, t0_micros: int = 0) -> DataFrame:
@@ -59,9 +63,9 @@ def flag_reports(reports: DataFrame, round_seconds: float = ROUND_SECONDS, t0_mi
     ``packet_id`` must identify a report within its (kind, key, node), which
     makes the join evenly spread.
     """
-    group = ["kind", "key", "node_id"]
     routed = _routed(reports)
-    first = escalate(routed, round_seconds, t0_micros).filter("escalated") \
-        .select(*group, F.col("first_id").alias("packet_id"), "escalated")
-    return routed.join(first, [*group, "packet_id"], "left") \
+    first = F.min(F.struct("ts", "packet_id")).alias("_first")
+    escalating = _rounds(routed, round_seconds, t0_micros, first).filter("escalated") \
+        .select(*_REPORTED, F.col("_first.packet_id").alias("packet_id"), "escalated")
+    return routed.join(escalating, [*_REPORTED, "packet_id"], "left") \
         .withColumn("escalated", F.coalesce("escalated", F.lit(False)))

@@ -5,9 +5,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.packet import ip_key, payload_text
+from ..functions.packet import div, ip_key, ip_key_sql, payload_text
 from ..session import materialise
-from .lookup import BROADCAST_ROWS, bounded, lookup_join
+from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up
 
 # Rule sets up to this size become literal sets in the plan.
 INLINE_RULES = 2000
@@ -23,8 +23,8 @@ KINDS = ("ip", "port", "flags", "pattern", "monitored_ip")
 
 def rule_key(kind="kind", value="value") -> Column:
     """Rule value in the form in which packets are compared with it."""
-    kind, value = F.col(kind), F.col(value)
-    return (F.when(kind.isin(*ADDRESS_KINDS), ip_key(value))
+    key, kind, value = ip_key(value), F.col(kind), F.col(value)
+    return (F.when(kind.isin(*ADDRESS_KINDS), key)
             .when(kind == "pattern", value)
             .otherwise(value.try_cast("bigint").cast("string")))
 
@@ -76,35 +76,37 @@ class RuleBook:
                              rule_key().alias("value")).filter(F.col("kind").isin(*KINDS))
         keyed = keyed.filter(F.col("value").isNotNull())
         head = keyed.limit(inline_rows + 1).collect()
-        tables = {}
-        if len(head) > inline_rows:
-            head = []
-            for group in keyed.groupBy("kind", "direction").count().collect():
-                kind, direction = group["kind"], group["direction"]
-                members = keyed.filter((F.col("kind") == kind)
-                                       & F.col("direction").eqNullSafe(direction))
-                if group["count"] <= inline_rows:
-                    head += members.collect()
-                elif kind == "pattern":
-                    distinct = members.distinct().limit(MAX_PATTERNS + 1).collect()
-                    if len(distinct) > MAX_PATTERNS:
-                        raise ValueError(f"more than {MAX_PATTERNS} payload signatures")
-                    head += distinct
-                else:
-                    tables[(kind, direction)] = members.groupBy("value").agg(
-                        F.collect_set("scope").alias("scopes"))
-        inline, patterns = {}, {}
-        for row in head:
-            if row["kind"] == "pattern":
-                patterns.setdefault(row["scope"], set()).add(row["value"])
-            else:
-                sets = inline.setdefault((row["kind"], row["direction"]), {})
-                sets.setdefault(row["scope"], set()).add(row["value"])
-        spark = rules.sparkSession
+        if len(head) <= inline_rows:
+            return cls.of_rows(map(tuple, head), rules.sparkSession, broadcast_rows=broadcast_rows)
+
+        # A snapshot with one row per value, written once and read by kind.
+        stored = materialise(keyed.groupBy("kind", "direction", "value")
+                             .agg(F.collect_set("scope").alias("scopes")), "rules")
+        sizes = {(r["kind"], r["direction"]): r["count"]
+                 for r in stored.groupBy("kind", "direction").count().collect()}
+        large = {k: n for k, n in sizes.items() if n > inline_rows and k[0] != "pattern"}
+        if sizes.get(("pattern", None), 0) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} payload signatures")
+        of = lambda kind, direction: (F.col("kind") == kind) & F.col("direction").eqNullSafe(direction)
+        small = [of(*k) for k in sizes if k not in large]
+        rows = stored.filter(any_of(small)).select(F.explode("scopes"), "kind", "direction", "value").collect()
+        tables = {k: (stored.filter(of(*k)).select("value", "scopes"), n) for k, n in large.items()}
+        return cls.of_rows(map(tuple, rows), rules.sparkSession, tables, broadcast_rows)
+
+    @classmethod
+    def of_rows(cls, rows, spark, tables=None, broadcast_rows=BROADCAST_ROWS) -> "RuleBook":
+        """A book of the given (scope, kind, direction, value) rows and large tables."""
+        inline, patterns, tables = {}, {}, dict(tables or {})
+        for scope, kind, direction, value in rows:
+            sets = patterns if kind == "pattern" else inline.setdefault((kind, direction), {})
+            sets.setdefault(scope, set()).add(value)
         for key in [k for k, sets in inline.items() if len(sets) > INLINE_SCOPES]:
-            pairs = [(value, scope) for scope, values in inline.pop(key).items() for value in values]
-            tables[key] = spark.createDataFrame(pairs, "value string, scope string") \
-                .groupBy("value").agg(F.collect_set("scope").alias("scopes"))
+            by_value = {}
+            for scope, values in inline.pop(key).items():
+                for value in values:
+                    by_value.setdefault(value, []).append(scope)
+            tables[key] = (spark.createDataFrame(list(by_value.items()), "value string, scopes array<string>"),
+                           len(by_value))
         return cls(inline, patterns, tables, broadcast_rows)
 
     @property
@@ -117,15 +119,11 @@ class RuleBook:
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Join the large rule sets; a no-op when every set is inline."""
-        probe = df
-        for (kind, direction), table in self.tables.items():
-            side = table.select(F.col("value").alias("_key"),
-                                F.col("scopes").alias(self._mark(kind, direction)))
-            key = packet_key(kind, direction)
-            df = lookup_join(df.withColumn("_key", key), side, ["_key"],
-                             broadcast_rows=self.broadcast_rows,
-                             probe=probe.select(key.alias("_key"))).drop("_key")
-        return df
+        return look_up(df, [
+            Lookup(packet_key(kind, direction),
+                   table.select(F.col("value").alias("key"), F.col("scopes").alias(self._mark(kind, direction))),
+                   rows=rows)
+            for (kind, direction), (table, rows) in self.tables.items()], self.broadcast_rows)
 
     def detach(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.marks)
@@ -178,12 +176,14 @@ def _in_scope(scope: str, level, member: Column) -> Column | None:
 
 
 def _member(kind: str, direction: str | None, values: list[str]) -> Column:
+    # One parsed text: building thousands of literals one by one is slow.
+    if kind in ADDRESS_KINDS:
+        dotted = all(v.replace(".", "").isdigit() for v in values)
+        quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+        return F.expr(f"{ip_key_sql(direction + '_ip', v6=not dotted)} IN ({', '.join(quoted)})")
     if kind == "port":
-        return F.col(f"{direction}_port").isin([int(v) for v in values])
-    if kind == "flags":
-        return (F.col("proto") == "TCP") & F.col("flag_mask").isin([int(v) for v in values])
-    dotted = all(v.replace(".", "").isdigit() for v in values)
-    return ip_key(f"{direction}_ip", v6=not dotted).isin(values)
+        return F.expr(f"{direction}_port IN ({', '.join(values)})")
+    return F.expr(f"proto = 'TCP' AND flag_mask IN ({', '.join(values)})")
 
 
 def current_rules(rule_log: DataFrame) -> DataFrame:
@@ -228,74 +228,107 @@ def rule_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
     a rule is still in force. Intervals of one (node, rule) never overlap.
     """
     log = expand_scope(rule_log, nodes)
-    per_node = Window.partitionBy("node_id").orderBy("seq")
     is_reset = F.col("op") == "reset"
-    log = log.withColumn("epoch", F.sum(is_reset.cast("bigint")).over(per_node))
-    epoch_end = log.filter(is_reset).select(
-        "node_id", (F.col("epoch") - 1).alias("epoch"), F.col("ts").alias("_wiped"))
+    # Read backwards, the reset that follows a change is the last one seen.
+    backwards = Window.partitionBy("node_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    next_reset = F.last(F.when(is_reset, F.struct("seq", "ts")), ignorenulls=True).over(backwards)
+    changes = log.withColumn("_wipe", next_reset).filter(~is_reset).withColumn("direction", _rule_direction())
 
     rule = ["node_id", "kind", "direction", "value"]
-    changes = log.filter(~is_reset).withColumn("direction", _rule_direction())
-    history = Window.partitionBy(*rule, "epoch").orderBy("seq")
-    changes = changes.withColumn("_was", F.lag("op", 1, "remove").over(history)) \
-        .filter(F.col("op") != F.col("_was")) \
-        .withColumn("_next", F.lead("ts").over(history)) \
-        .filter(F.col("op") == "add")
-    return (changes.join(epoch_end, ["node_id", "epoch"], "left")
-            .select(*rule, F.col("ts").alias("start"), F.coalesce("_next", "_wiped").alias("end"))
+    history = Window.partitionBy(*rule).orderBy("seq")
+    before = F.lag(F.struct("op", F.col("_wipe.seq").alias("wipe"))).over(history)
+    changes = changes.withColumn("_before", before)
+    was = F.when(F.col("_before").isNotNull() & F.col("_before.wipe").eqNullSafe(F.col("_wipe.seq")),
+                 F.col("_before.op")).otherwise("remove")
+    changes = changes.filter(F.col("op") != was).withColumn("_next", F.lead("ts").over(history))
+    return (changes.filter(F.col("op") == "add")
+            .select(*rule, F.col("ts").alias("start"), F.least("_next", "_wipe.ts").alias("end"))
             .filter(F.col("end").isNull() | (F.col("start") < F.col("end"))))
 
 
+# A rule with more intervals than this is looked up by time slice as well.
+MANY_INTERVALS = 64
+TIME_SLICES = 1024
+
+
 def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame,
                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``verdict``: whether the packet passes the rules in force at its time.
 
-    Each rule kind is one equi join on (node, value) with the time as a further
-    condition. Intervals of a rule do not overlap, so a packet meets one at most.
+    A packet looks its value up among the intervals of its node, with the time
+    as a further condition. Intervals of one rule do not overlap, so it meets
+    one at most. The intervals of a rule that changes very often are cut into
+    time slices and found by slice: since they are disjoint, cutting adds no
+    more than one row per slice.
     """
-    intervals = rule_intervals(rule_log, nodes).withColumn("value", rule_key())
-    intervals = materialise(intervals.filter(F.col("kind").isin(*KINDS)
-                                             & (F.col("kind") != "monitored_ip")), "intervals")
-    sizes = intervals.groupBy("kind", "direction").count().collect()
-    probe, columns, hits = df, df.columns, []
-    for kind, direction, rows in sorted(map(tuple, sizes), key=str):
-        chosen = intervals.filter((F.col("kind") == kind) & F.col("direction").eqNullSafe(direction))
-        if kind == "pattern":
-            df, hit = _pattern_hit(df, chosen, broadcast_rows, rows, probe)
-        else:
-            name = f"_hit_{kind}_{direction}"
-            side = chosen.select("node_id", F.col("value").alias("_key"), F.col("start").alias("_start"),
-                                 F.col("end").alias("_end"), F.lit(True).alias(name))
-            key = packet_key(kind, direction)
-            df = lookup_join(df.withColumn("_key", key), side, ["node_id", "_key"],
-                             _in_force("_start", "_end"), broadcast_rows, rows,
-                             probe.select("node_id", key.alias("_key"))).drop("_key", "_start", "_end")
-            hit = F.col(name)
-            if kind == "port":
-                hit = F.col("proto").isin("TCP", "UDP") & hit
-        hits.append(F.coalesce(hit, F.lit(False)))
-    return df.withColumn("verdict", ~any_of(hits)).select(*columns, "verdict")
-
-
-def _in_force(start: str, end: str) -> Column:
-    return (F.col("ts") >= F.col(start)) & (F.col(end).isNull() | (F.col("ts") < F.col(end)))
-
-
-def _pattern_hit(df: DataFrame, intervals: DataFrame, broadcast_rows: int, rows: int,
-                 probe: DataFrame):
-    """Signatures: match each text once, then look up when it was in force."""
-    found = intervals.select("value").distinct().limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
+    stored = materialise(_counted_intervals(rule_log, nodes), "intervals")
+    groups = stored.groupBy("kind", "direction", "many").agg(
+        F.count("*").alias("rows"), F.count_distinct("node_id", "value").alias("rules"),
+        F.min("start").alias("first"), F.max("start").alias("last")).collect()
+    patterns = stored.filter(F.col("kind") == "pattern").select("value").distinct() \
+        .limit(MAX_PATTERNS + 1).collect()
+    if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} payload signatures")
+
+    lookups, hits = [], []
+    for group in sorted(groups, key=str):
+        kind, direction, many = group["kind"], group["direction"], group["many"]
+        chosen = stored.filter((F.col("kind") == kind) & (F.col("many") == many)
+                               & F.col("direction").eqNullSafe(direction))
+        # With slices this is an upper bound: disjoint intervals meet in one slice at most.
+        rows = group["rows"] + (group["rules"] * (TIME_SLICES + 1) if many else 0)
+        for value, pattern in _probes(kind, direction, patterns):
+            i = len(lookups)
+            mine = chosen if pattern is None else chosen.filter(F.col("value") == pattern)
+            parts = [F.col("node_id").cast("string"), F.col("value")]
+            probe = [F.col("node_id").cast("string"), value]
+            if many:
+                mine, slice_of = _sliced(mine, group["first"], group["last"])
+                parts.append(F.col("slice").cast("string"))
+                probe.append(slice_of("ts").cast("string"))
+            table = mine.select(_joined(parts).alias("key"), F.col("start").alias(f"_start_{i}"),
+                                F.col("end").alias(f"_end_{i}"))
+            start, end = F.col(f"_start_{i}"), F.col(f"_end_{i}")
+            in_force = (F.col("ts") >= start) & (end.isNull() | (F.col("ts") < end))
+            lookups.append(Lookup(_joined(probe), table, in_force, rows))
+            hits.append(start.isNotNull())
+    columns = df.columns
+    return look_up(df, lookups, broadcast_rows).withColumn("verdict", ~any_of(hits)).select(*columns, "verdict")
+
+
+def _joined(parts: list[Column]) -> Column:
+    """The parts as one text key; NULL when any of them is."""
+    separated = [x for part in parts for x in (F.lit("|"), part)][1:]
+    return F.concat(*separated)
+
+
+def _probes(kind: str, direction: str | None, patterns):
+    """(value of the packet, signature) pairs; NULL values are not looked up."""
+    has_ports = F.col("proto").isin("TCP", "UDP")
+    if kind != "pattern":
+        value = packet_key(kind, direction)
+        return [(F.when(has_ports, value) if kind == "port" else value, None)]
     text = payload_text("payload")
-    hits = []
-    for i, pattern in enumerate(sorted(r["value"] for r in found)):
-        name = f"_hit_pattern_{i}"
-        times = intervals.filter(F.col("value") == pattern).select(
-            "node_id", F.col("start").alias("_start"), F.col("end").alias("_end"),
-            F.lit(True).alias(name))
-        matched = F.col("proto").isin("TCP", "UDP") & text.rlike(signature(pattern, "full"))
-        df = lookup_join(df, times, ["node_id"], _in_force("_start", "_end"), broadcast_rows, rows,
-                         probe.select("node_id")).drop("_start", "_end")
-        hits.append(F.coalesce(F.col(name), F.lit(False)) & matched)
-    return df, any_of(hits)
+    # Only packets that match a signature ask when it was in force.
+    return [(F.when(has_ports & text.rlike(signature(p, "full")), F.lit(p)), p)
+            for p in sorted(r["value"] for r in patterns)]
+
+
+def _counted_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
+    found = rule_intervals(rule_log, nodes).withColumn("value", rule_key()).filter(
+        F.col("kind").isin(*KINDS) & (F.col("kind") != "monitored_ip") & F.col("value").isNotNull())
+    per_rule = F.count("*").over(Window.partitionBy("node_id", "kind", "direction", "value"))
+    return found.withColumn("many", per_rule > MANY_INTERVALS)
+
+
+def _sliced(intervals: DataFrame, first, last):
+    """Intervals with one row per time slice they touch, and the slice of a time."""
+    origin = F.unix_micros(F.lit(first))
+    length = div(F.unix_micros(F.lit(last)) - origin, TIME_SLICES) + 1
+
+    def slice_of(ts) -> Column:
+        number = div(F.unix_micros(ts) - origin, length)
+        return F.least(F.greatest(number, F.lit(0)), F.lit(TIME_SLICES))
+
+    to = F.coalesce(slice_of("end"), F.lit(TIME_SLICES)).cast("bigint")
+    return intervals.withColumn("slice", F.explode(F.sequence(slice_of("start").cast("bigint"), to))), slice_of

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import profile_ok
 from ..functions.packet import ip_key
 from ..schema import DEFAULT_LEVELS, DROP_REPORT, PACKET, PACKET_TYPES
-from .lookup import BROADCAST_ROWS, lookup_join
+from .lookup import BROADCAST_ROWS, Lookup, look_up
 from .rules import RuleBook
 
 IP_COLUMNS = ["packet_id", "ts", "node_id", "src_mac", "dst_mac", "src_ip", "dst_ip"]
@@ -53,7 +53,8 @@ def profile_by_level(df: DataFrame, level_profiles: dict[int, str], rules,
     book = as_book(rules)
     columns = df.columns
     if nodes is not None:
-        df = lookup_join(df, nodes.select("node_id", "level"), ["node_id"])
+        df = look_up(df, [Lookup(F.col("node_id").cast("string"),
+                                 nodes.select(F.col("node_id").cast("string").alias("key"), "level"))])
     df = book.attach(df)
     verdict = None
     for level, profile in sorted(level_profiles.items()):
@@ -99,9 +100,8 @@ def mark_monitored(df: DataFrame, rules) -> DataFrame:
 def mark_known_bad(df: DataFrame, bad_ips: DataFrame, out: str,
                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add a boolean: the source address is in the given list (column ``ip``)."""
-    known = bad_ips.select(ip_key("ip").alias("_key")).distinct().withColumn(out, F.lit(True))
-    marked = lookup_join(df.withColumn("_key", ip_key("src_ip")), known, ["_key"],
-                         broadcast_rows=broadcast_rows).drop("_key")
+    known = bad_ips.select(ip_key("ip").alias("key")).distinct().withColumn(out, F.lit(True))
+    marked = look_up(df, [Lookup(ip_key("src_ip"), known)], broadcast_rows)
     return marked.withColumn(out, F.coalesce(out, F.lit(False)))
 
 

@@ -31,26 +31,29 @@ def slot_counts(df: DataFrame, keys: Iterable[str], slot_seconds: float = SLOT_S
 
 def sliding_counts(df: DataFrame, keys: Iterable[str], slot_seconds: float = SLOT_SECONDS,
                    n_slots: int = WINDOW_SLOTS, zero_tail: bool = False,
-                   t0_micros: int = 0) -> DataFrame:
+                   t0_micros: int = 0, last_slot: Column | None = None) -> DataFrame:
     """Hits per key in windows of ``n_slots`` slots that advance by one slot.
 
     ``end_slot`` is the last slot of a window. Packets are first combined per
     slot; only these counts are copied to the windows that contain them.
 
     With ``zero_tail`` the windows are those a running counter would report:
-    none after the last slot of the data, and one final 0 for a key whose hits
-    have all left the window.
+    none after the last slot of the data (``last_slot`` if the caller knows it),
+    and one final 0 for a key whose hits have all left the window.
     """
     keys = list(keys)
-    per_slot = slot_counts(df, keys, slot_seconds, t0_micros)
+    # Placed by key before the copying, which also serves the sums and any later
+    # step that works per key.
+    per_slot = slot_counts(df, keys, slot_seconds, t0_micros).repartition(*keys)
     steps = n_slots if zero_tail else n_slots - 1
     windows = per_slot.select(
         *keys, "slot", "n",
         F.explode(F.sequence("slot", F.col("slot") + steps)).alias("end_slot"))
     value = F.when(F.col("end_slot") < F.col("slot") + n_slots, F.col("n")).otherwise(F.lit(0))
     if zero_tail:
-        last = df.select(F.max(slot_of("ts", slot_seconds, t0_micros))).scalar()
-        windows = windows.filter(F.col("end_slot") <= last)
+        if last_slot is None:
+            last_slot = df.select(F.max(slot_of("ts", slot_seconds, t0_micros))).scalar()
+        windows = windows.filter(F.col("end_slot") <= last_slot)
     return windows.groupBy(*keys, "end_slot").agg(F.sum(value).cast("bigint").alias("n"))
 
 

@@ -134,9 +134,11 @@ def bad_ips(spark) -> DataFrame:
 
 
 def as_reports(df: DataFrame) -> DataFrame:
-    typed = df.select("packet_id", "ts", "node_id", F.expr(REPORT_TYPE).alias("report_type"),
-                      F.expr(REPORT_KEY).alias("key"))
-    return typed.filter(F.col("report_type").isNotNull())
+    # Packets without a report explode to nothing. A filter would be pushed below
+    # the view and run its expressions a second time.
+    report = F.struct(F.expr(REPORT_TYPE).alias("report_type"), F.expr(REPORT_KEY).alias("key"))
+    sent = F.filter(F.array(report), lambda r: r.report_type.isNotNull())
+    return df.select("packet_id", "ts", "node_id", F.inline(sent))
 
 
 def zoneless(df: DataFrame, name: str = "ts") -> DataFrame:

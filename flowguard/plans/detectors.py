@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packet import slot_of
 from ..operators.counts import dimension_rows
 from ..operators.moving import cma
 from ..operators.windows import count_windows, sliding_counts
@@ -74,7 +75,8 @@ def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: i
     """
     rows = dimension_rows(df, ["node_id", "ts"], list(dimensions))
     group = ["node_id", "dimension", "key"]
-    counts = sliding_counts(rows, group, slot_seconds, n_slots, zero_tail, t0_micros)
+    last_slot = df.select(F.max(slot_of("ts", slot_seconds, t0_micros))).scalar()
+    counts = sliding_counts(rows, group, slot_seconds, n_slots, zero_tail, t0_micros, last_slot)
     alerts = cma(counts, group, "end_slot", ratio, floor).filter("alert")
     length = int(round(slot_seconds * 1_000_000))
     ends = F.timestamp_micros((F.col("end_slot") + 1) * F.lit(length).cast("bigint") + t0_micros)

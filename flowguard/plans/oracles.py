@@ -344,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
                      "dst_ip", "slot", 1.2, 5)),
         "w10_classic_detector": CLASSIC,
         "w11_sliding_detector": sliding_alerts("'src_ip', 'dst_ip'", 1.5, 3),
-        "w13_escalation": sql("SELECT kind, key, node_id, round, hits, first_id, escalated FROM escalation",
+        "w13_escalation": sql("SELECT kind, key, node_id, round, hits, escalated FROM escalation",
                               "routed", more=ESCALATION),
         "w13_escalated_reports": sql("""SELECT r.packet_id, r.kind, r.key, r.node_id,
             e.escalated AND e.first_id = r.packet_id AS escalated FROM routed r JOIN escalation e

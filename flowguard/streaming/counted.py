@@ -9,7 +9,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.packet import div
 from ..operators.counts import DIMENSIONS, dimension_rows
-from ..operators.lookup import bounded, lookup_join
+from ..operators.lookup import Lookup, bounded, look_up
 from ..operators.ordering import number_rows
 from ..schema import COUNT_WINDOW, PACKET_ORDER
 from .run import per_batch, write_batch
@@ -38,7 +38,8 @@ def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoi
         numbered = number_rows(arrived, ["node_id"])
         if batch_id > 0:
             seen = spark.read.parquet(f"{state_path}/seen/batch={batch_id - 1}")
-            numbered = lookup_join(numbered, seen.withColumnRenamed("seen", "_before"), ["node_id"])
+            earlier = seen.select(F.col("node_id").cast("string").alias("key"), F.col("seen").alias("_before"))
+            numbered = look_up(numbered, [Lookup(F.col("node_id").cast("string"), earlier)])
             totals = totals.unionByName(seen).groupBy("node_id").agg(F.sum("seen").alias("seen"))
         else:
             numbered = numbered.withColumn("_before", F.lit(0))
