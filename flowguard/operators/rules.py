@@ -178,7 +178,7 @@ def _in_scope(scope: str, level, member: Column) -> Column | None:
 def _member(kind: str, direction: str | None, values: list[str]) -> Column:
     # One parsed text: building thousands of literals one by one is slow.
     if kind in ADDRESS_KINDS:
-        dotted = all(v.replace(".", "").isdigit() for v in values)
+        dotted = all("." in v and v.replace(".", "").isdigit() for v in values)
         quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
         return F.expr(f"{ip_key_sql(direction + '_ip', v6=not dotted)} IN ({', '.join(quoted)})")
     if kind == "port":
@@ -330,5 +330,5 @@ def _sliced(intervals: DataFrame, first, last):
         number = div(F.unix_micros(ts) - origin, length)
         return F.least(F.greatest(number, F.lit(0)), F.lit(TIME_SLICES))
 
-    to = F.coalesce(slice_of("end"), F.lit(TIME_SLICES)).cast("bigint")
+    to = F.when(F.col("end").isNull(), TIME_SLICES).otherwise(slice_of("end")).cast("bigint")
     return intervals.withColumn("slice", F.explode(F.sequence(slice_of("start").cast("bigint"), to))), slice_of
