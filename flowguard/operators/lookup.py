@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # A rule-side table is broadcast only when a count shows it has no more rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,38 +50,55 @@ class Lookup:
 def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the value columns of every table, NULL where a key is not found.
 
-    Small tables are broadcast into the scan stage. Larger ones are shuffled:
-    rows with a hot key, or with none, are spread over salts, and the few table
-    rows of the hot keys are repeated for each salt. One pass over the packets
-    finds the hot keys of all large tables.
+    Small tables are broadcast into the scan stage. A larger one is first cut
+    to the keys that occur among the packets; what is left of it is broadcast
+    if it is small enough now. Beyond that both sides are shuffled: rows with a
+    hot key, or with none, are spread over salts, and the few table rows of the
+    hot keys are repeated for each salt.
     """
     lookups = list(lookups)
-    small = [look.is_small(broadcast_rows) for look in lookups]
-    large = [i for i, fits in enumerate(small) if not fits]
-    hot = {} if df.isStreaming or not large else hot_keys(df, {i: lookups[i].key for i in large})
+    large = [i for i, look in enumerate(lookups) if not look.is_small(broadcast_rows)]
+    tables = {i: F.broadcast(look.table) for i, look in enumerate(lookups) if i not in large}
+    hot = {}
+    if large and not df.isStreaming:
+        # One pass over the packets, combined per key before its shuffle.
+        counts = materialise(key_counts(df, {i: lookups[i].key for i in large}), "keys")
+        for i in large:
+            occurring = counts.filter(F.col("i") == i).select("key")
+            seen = lookups[i].table.join(occurring, "key", "left_semi")
+            if fits_broadcast(seen, broadcast_rows):
+                tables[i] = F.broadcast(seen)
+            else:
+                hot[i] = None
+        if hot:
+            hot = hot_keys(counts, list(hot))
     for i, look in enumerate(lookups):
-        keyed = df.withColumn("_key", look.key)
-        if small[i]:
-            df = _left_join(keyed, F.broadcast(look.table), F.lit(True), look.within)
-        else:
-            salted, repeated = _salted(keyed, look.table, hot.get(i))
+        keyed, table = df.withColumn("_key", look.key), tables.get(i, look.table)
+        if i in hot or i not in tables:
+            salted, repeated = _salted(keyed, table, hot.get(i))
             df = _left_join(salted, repeated, F.col("_salt") == F.col("_table_salt"), look.within)
+        else:
+            df = _left_join(keyed, table, F.lit(True), look.within)
     return df
 
 
-def hot_keys(df: DataFrame, keys: dict[int, Column]) -> dict[int, DataFrame]:
+def key_counts(df: DataFrame, keys: dict[int, Column]) -> DataFrame:
+    """Rows (i, key, n): how often each key of each lookup occurs."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), key.alias("key")) for i, key in keys.items()])
+    return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.key").agg(F.count("*").alias("n"))
+
+
+def hot_keys(counts: DataFrame, lookups: list[int]) -> dict[int, DataFrame]:
     """Per lookup, the keys with more than 1/HOT_SHARE of all rows.
 
-    They are found now and kept as small local tables: no lookup has more than
-    HOT_SHARE of them.
+    A lookup has at most HOT_SHARE of them; they are read now and kept as small
+    local tables.
     """
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), key.alias("key")) for i, key in keys.items()])
-    counts = df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.key").agg(F.count("*").alias("n"))
-    total = df.select(F.count("*")).scalar()
-    found = counts.filter(F.col("key").isNotNull() & (F.col("n") * HOT_SHARE > total)).collect()
-    spark = df.sparkSession
-    return {i: spark.createDataFrame([(r["key"],) for r in found if r["i"] == i], "hot_key string")
-            for i in keys}
+    total = counts.filter(F.col("i") == lookups[0]).select(F.sum("n")).scalar()
+    found = counts.filter(F.col("i").isin(lookups) & F.col("key").isNotNull()
+                          & (F.col("n") * HOT_SHARE > total)).select("i", "key").collect()
+    spark = counts.sparkSession
+    return {i: spark.createDataFrame([(key,) for j, key in found if j == i], "hot_key string") for i in lookups}
 
 
 def _salted(df: DataFrame, table: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:

@@ -132,10 +132,4 @@ def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
-    for field in schema:
-        if isinstance(field.dataType, (T.LongType, T.IntegerType)):
-            frame[field.name] = frame[field.name].astype("Int64")
-        elif isinstance(field.dataType, T.BooleanType):
-            frame[field.name] = frame[field.name].astype("boolean")
-    return frame
+    return pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)

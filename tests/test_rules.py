@@ -110,10 +110,15 @@ def test_lookup_paths_agree_on_hot_and_missing_keys(spark, monkeypatch):
     table = spark.range(0, 1500).select(F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
                                         F.col("id").alias("v"))
     looks = lambda: [Lookup(F.col("k"), table)]
-    assert {i: [r[0] for r in d.collect()] for i, d in lookup.hot_keys(df, {0: F.col("k")}).items()} == {0: ["hot"]}
-    small, large = look_up(df, looks()), look_up(df, looks(), broadcast_rows=0)
-    assert small.count() == large.count() == 3000
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+    counts = lookup.key_counts(df, {0: F.col("k")})
+    assert [tuple(r) for r in lookup.hot_keys(counts, [0])[0].collect()] == [("hot",)]
+    # Broadcast as it is, broadcast after the cut to occurring keys, shuffled.
+    small, cut, large = look_up(df, looks()), look_up(df, looks(), 600), look_up(df, looks(), 0)
+    assert "_salt" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
+    assert small.count() == cut.count() == large.count() == 3000
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str) \
+        == sorted(map(tuple, cut.collect()), key=str)
     assert small.filter("v is not null").count() == 1000 + len(range(2, 1500, 3))
 
 
