@@ -12,8 +12,9 @@ from ..schema import DETECTION_FLOOR, DETECTION_RATIO
 
 
 def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float = DETECTION_RATIO,
-        floor: int = DETECTION_FLOOR, seed: str = "first", value: str = "n") -> DataFrame:
-    """Add ``prior``, ``cma`` and ``alert`` to per-window counts of each key.
+        floor: int = DETECTION_FLOOR, seed: str = "first", value: str = "n",
+        state: DataFrame | None = None) -> DataFrame:
+    """Add ``prior``, ``cma``, ``points`` and ``alert`` to per-window counts of each key.
 
     The average truncates to an integer at every step, so it is a fold in
     window order and not an aggregate. Counts are already one row per key and
@@ -23,38 +24,51 @@ def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float = DETECT
     ``prior`` is the average before the value; ``alert`` is set when the value
     exceeds ``prior * ratio`` and ``floor``. The first value of a key never
     alerts. With ``seed='discard'`` that value is not counted either and the
-    average starts at 0.
+    average starts at 0. ``points`` is the number of values in the average.
+
+    ``state`` continues earlier series: one row (key..., cma, points) per key.
     """
     if seed not in ("first", "discard"):
         raise ValueError(f"unknown seed {seed!r}")
     key = list(key)
     # Numbering shuffles and sorts by (key, order); the fold reads that order.
     step = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    numbered = counts.select(*key, order, F.col(value).cast("bigint").alias(value), step.alias("_step"))
-    schema = T.StructType([*numbered.schema.fields, T.StructField("prior", T.LongType()),
-                           T.StructField("cma", T.LongType())])
+    if state is None:
+        counts = counts.withColumn("_average", F.lit(None).cast("bigint")) \
+            .withColumn("_points", F.lit(None).cast("bigint"))
+    else:
+        counts = counts.join(state.select(*key, F.col("cma").alias("_average"), F.col("points").alias("_points")),
+                             key, "left")
+    numbered = counts.select(*key, order, F.col(value).cast("bigint").alias(value),
+                             step.alias("_step"), "_average", "_points")
+    added = ("prior", "cma", "points")
+    schema = T.StructType([*numbered.schema.fields, *[T.StructField(c, T.LongType()) for c in added]])
     folded = numbered.mapInArrow(_folder(value, seed == "discard"), schema)
     jump = (F.col("prior").isNotNull() & (F.col(value) > F.col("prior") * F.lit(float(ratio)))
             & (F.col(value) > floor))
-    return folded.withColumn("alert", F.coalesce(jump, F.lit(False))).drop("_step")
+    return folded.withColumn("alert", F.coalesce(jump, F.lit(False))).drop("_step", "_average", "_points")
 
 
 def _folder(value: str, discard_first: bool):
     def fold(batches):
         average, points = 0, 0
         for batch in batches:
-            priors, averages = [], []
-            for v, step in zip(batch.column(value).to_pylist(), batch.column("_step").to_pylist()):
-                if step == 1:
+            priors, averages, sizes = [], [], []
+            columns = [batch.column(c).to_pylist() for c in (value, "_step", "_average", "_points")]
+            for v, step, old_average, old_points in zip(*columns):
+                if step == 1 and old_points is None:
                     priors.append(None)
                     average, points = (0, 0) if discard_first else (v, 1)
                 else:
+                    if step == 1:
+                        average, points = old_average, old_points
                     priors.append(average)
                     average, points = cma_step(v, average, points)
                 averages.append(average)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(priors, pa.int64()), pa.array(averages, pa.int64())],
-                names=[*batch.schema.names, "prior", "cma"])
+                sizes.append(points)
+            added = [pa.array(c, pa.int64()) for c in (priors, averages, sizes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added],
+                                             names=[*batch.schema.names, "prior", "cma", "points"])
     return fold
 
 

@@ -493,13 +493,13 @@ def _per_day(spark, d, key="src_ip"):
 
 @query
 def w05_cma(spark, d):
-    return moving.cma(_per_day(spark, d), ["src_ip"], "slot", RATIO, FLOOR)
+    return moving.cma(_per_day(spark, d), ["src_ip"], "slot", RATIO, FLOOR).drop("points")
 
 
 @query
 def w06_cma_discard_first(spark, d):
     per_day = _per_day(spark, d, "dst_port").filter(F.col("dst_port").isNotNull())
-    return moving.cma(per_day, ["dst_port"], "slot", RATIO, FLOOR, seed="discard")
+    return moving.cma(per_day, ["dst_port"], "slot", RATIO, FLOOR, seed="discard").drop("points")
 
 
 @query
@@ -574,7 +574,10 @@ def t03_stream_rounds(spark, d):
 
 @query
 def t04_stream_cma(spark, d):
-    return drained(stream_cma(traffic_stream(spark, d), ["src_ip"], DAY, RATIO, FLOOR))
+    out = scratch_path(spark, "out")
+    stream_cma(traffic_stream(spark, d), ["src_ip"], out, scratch_path(spark, "averages"),
+               scratch_path(spark, "commits"), DAY, RATIO, FLOOR, available_now=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 @query

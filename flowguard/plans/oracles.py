@@ -360,10 +360,11 @@ def oracle_sql() -> dict[str, str]:
             FROM src_days, range(2) r(o) WHERE slot + o < (SELECT max(slot) FROM src_days) GROUP BY ALL""", "src_days"),
         "t03_stream_rounds": sql(f"""SELECT kind, key, node_id, {REPORT_ROUND} AS round, count(*) AS hits FROM routed
             WHERE {REPORT_ROUND} < (SELECT max({REPORT_ROUND}) FROM routed) GROUP BY ALL""", "routed"),
-        "t04_stream_cma": sql("""SELECT src_ip, slot, n, prior, cma, alert, CAST(0 AS BIGINT) AS late FROM avg
+        "t04_stream_cma": sql("""SELECT src_ip, slot, n, prior, cma, alert FROM avg
             WHERE slot < (SELECT max(slot) FROM src_days)""", "src_days", more=avg_src(1.5, 3)),
         "t05_stream_count_windows": counts_of_windows,
-        "t06_stream_escalation": sql("SELECT kind, key, node_id, round, escalated FROM escalation",
+        "t06_stream_escalation": sql("""SELECT kind, key, node_id, round, hits, escalated FROM escalation
+            WHERE round < (SELECT max(round) FROM rounds)""",
                                      "routed", more=ESCALATION),
         "t07_stream_rule_log": as_of,
         "t08_stream_outputs": sql("""SELECT CASE WHEN dropped_at IS NULL THEN 'passed' ELSE 'reports' END AS output,

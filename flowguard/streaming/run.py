@@ -5,9 +5,11 @@ per-batch writers put batch ``n`` into the folder ``batch=n`` and overwrite it
 when the batch is replayed.
 """
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
@@ -37,6 +39,19 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def earlier_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The newest table written before this batch, or None; a replay ignores its own."""
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    batches = {int(found[1]) for found in (re.search(r"/batch=(\d+)/", name) for name in files) if found}
+    earlier = [b for b in batches if b < batch_id]
+    return spark.read.parquet(f"{path}/batch={max(earlier)}") if earlier else None
+
+
 def run_stream(packets: DataFrame, rules, sinks: dict[str, str], checkpoint: str,
                levels: dict[int, str] = DEFAULT_LEVELS, bad_ips: DataFrame | None = None,
                available_now: bool = False) -> StreamingQuery:

@@ -1,135 +1,49 @@
-"""Stateful operators on streams: moving averages and escalation.
+"""Moving averages on a stream.
 
-Both combine each Arrow batch per (key, slot) before the shuffle, so a key with
-a third of all packets reaches its state as a handful of counts.
+The hits of a slot are counted by a windowed aggregate, whose state and late
+packets Spark handles. Only closed slots reach the average, which is folded per
+micro-batch for all keys at once: state operators that call Python per key cost
+milliseconds for each, too much for a table of addresses.
 """
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
-from ..functions.averages import cma_step
-from ..functions.packet import slot_of
-from ..operators.reports import report_kind
-from ..schema import DETECTION_FLOOR, DETECTION_RATIO, HIT_KINDS, ROUND_SECONDS, SLOT_SECONDS
+from ..operators.moving import cma
+from ..schema import DETECTION_FLOOR, DETECTION_RATIO, SLOT_SECONDS
+from .run import earlier_batch, per_batch, write_batch
+from .windows import stream_sliding_counts
 
 
-def _combined(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Counts and latest time per group within each Arrow batch."""
-    schema = T.StructType([*[rows.schema[c] for c in group], T.StructField("n", T.LongType()),
-                           T.StructField("ts", T.TimestampType())])
+def stream_cma(stream: DataFrame, keys: Iterable[str], path: str, state_path: str, checkpoint: str,
+               slot_seconds: float = SLOT_SECONDS, ratio: float = DETECTION_RATIO,
+               floor: int = DETECTION_FLOOR, delay: str = "0 seconds",
+               available_now: bool = False) -> StreamingQuery:
+    """Write one row per key and closed slot: keys, slot, n, prior, cma, alert.
 
-    def combine(frames):
-        for frame in frames:
-            yield frame.groupby(group, as_index=False, dropna=False).agg(n=("ts", "size"), ts=("ts", "max"))
-
-    return rows.mapInPandas(combine, schema)
-
-
-def _set_timeout(state, end_ms: int) -> bool:
-    """Ask for a wake-up once the watermark reaches ``end_ms``; False if it has."""
-    if end_ms - 1 <= state.getCurrentWatermarkMs():
-        return False
-    state.setTimeoutTimestamp(end_ms - 1)
-    return True
-
-
-def stream_cma(stream: DataFrame, keys: Iterable[str], slot_seconds: float = SLOT_SECONDS,
-               ratio: float = DETECTION_RATIO, floor: int = DETECTION_FLOOR,
-               delay: str = "0 seconds") -> DataFrame:
-    """One row per key and closed slot: its hits, the average before and after.
-
-    A slot closes when the key is seen in a later one, or when the watermark
-    passes its end. Packets for a closed slot are not counted; ``late`` tells
-    how many of them the key has had so far.
+    A slot closes when the watermark passes its end. The averages reached so far
+    are a table (keys, cma, points) per micro-batch that closed a slot.
     """
     keys = list(keys)
-    length_ms = int(round(slot_seconds * 1000))
-    rows = stream.select(*keys, slot_of("ts", slot_seconds).alias("slot"), "ts")
-    output = T.StructType([*[rows.schema[k] for k in keys],
-                           T.StructField("slot", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("prior", T.LongType()), T.StructField("cma", T.LongType()),
-                           T.StructField("alert", T.BooleanType()), T.StructField("late", T.LongType())])
-    kept = "average bigint, points bigint, slot bigint, open bigint, late bigint"
-
-    def step(key, frames, state):
-        average, points, slot, open_hits, late = state.get if state.exists else (0, 0, None, 0, 0)
-        closed = []
-
-        def close():
-            nonlocal average, points, open_hits
-            prior = average if points else None
-            alert = points > 0 and open_hits > prior * ratio and open_hits > floor
-            average, points = cma_step(open_hits, average, points)
-            closed.append((*key, slot, open_hits, prior, average, alert, late))
-            open_hits = 0
-
-        counts = {}
-        for frame in frames:
-            for s, n in zip(frame["slot"].tolist(), frame["n"].tolist()):
-                counts[s] = counts.get(s, 0) + n
-        for s in sorted(counts):
-            is_late = slot is not None and (s < slot or (s == slot and not open_hits))
-            if is_late:
-                late += counts[s]
-                continue
-            if open_hits and s > slot:
-                close()
-            slot, open_hits = s, open_hits + counts[s]
-        if open_hits and not _set_timeout(state, (slot + 1) * length_ms):
-            close()
-        state.update((average, points, slot, open_hits, late))
-        if closed:
-            yield _frame(closed, output)
+    counts = stream_sliding_counts(stream, keys, slot_seconds, 1, delay).withColumnRenamed("end_slot", "slot")
 
-    return _combined(rows, [*keys, "slot"]).withWatermark("ts", delay).groupBy(*keys) \
-        .applyInPandasWithState(step, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
-                      delay: str = "0 seconds") -> DataFrame:
-    """One row when a (kind, key, node) is first reported in a round.
-
-    ``escalated`` is set when it was also reported in the round just before. A
-    key is forgotten once no report can follow its last round directly.
-    """
-    group = ["kind", "key", "node_id"]
-    length_ms = int(round(round_seconds * 1000))
-    rows = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS)) \
-        .select(*group, slot_of("ts", round_seconds).alias("round"), "ts")
-    output = T.StructType([*[rows.schema[c] for c in group], T.StructField("round", T.LongType()),
-                           T.StructField("escalated", T.BooleanType())])
-
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
             return
-        hits, last = state.get if state.exists else (0, None)
-        rounds = {}
-        for frame in frames:
-            for r, n in zip(frame["round"].tolist(), frame["n"].tolist()):
-                rounds[r] = rounds.get(r, 0) + n
-        seen = []
-        for r in sorted(rounds):
-            hits += rounds[r]
-            if last is None or r > last:
-                seen.append((*key, r, last is not None and last == r - 1))
-                last = r
-        if _set_timeout(state, (last + 2) * length_ms):
-            state.update((hits, last))
-        elif state.exists:
-            state.remove()
-        if seen:
-            yield _frame(seen, output)
-
-    return _combined(rows, [*group, "round"]).withWatermark("ts", delay).groupBy(*group) \
-        .applyInPandasWithState(step, output, "hits bigint, last bigint", "append",
-                                GroupStateTimeout.EventTimeTimeout)
-
-
-def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=schema.fieldNames(), dtype=object)
+        before = earlier_batch(batch.sparkSession, state_path, batch_id)
+        folded = cma(batch, keys, "slot", ratio, floor, state=before).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_batch(folded.drop("points"), path, batch_id)
+            reached = folded.groupBy(*keys).agg(
+                F.max_by("cma", "slot").alias("cma"), F.max("points").alias("points"))
+            if before is not None:
+                reached = reached.unionByName(before.join(reached.select(*keys), keys, "left_anti"))
+            write_batch(reached, state_path, batch_id)
+        finally:
+            folded.unpersist()
+
+    return per_batch(counts, step, checkpoint, available_now)

@@ -40,6 +40,25 @@ def stream_rounds(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
                          div(micros(F.col("w.start")), length).alias("round"), "hits")
 
 
+def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
+                      delay: str = "0 seconds") -> DataFrame:
+    """Per (kind, key, node) and round: its hits, and whether it escalates.
+
+    A window of two rounds that advances by one sees a round together with the
+    one before, so the look back needs no state beyond that of the window.
+    """
+    routed = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS))
+    window = F.window("ts", _interval(2 * round_seconds), _interval(round_seconds))
+    pairs = routed.withWatermark("ts", delay).select(window.alias("w"), "kind", "key", "node_id", "ts")
+    length = int(round(round_seconds * 1_000_000))
+    in_round = micros("ts") >= micros(F.col("w.end")) - length
+    counts = pairs.groupBy("w", "kind", "key", "node_id").agg(
+        F.count_if(in_round).alias("hits"), F.count_if(~in_round).alias("before"))
+    return counts.filter(F.col("hits") > 0).select(
+        "kind", "key", "node_id", (div(micros(F.col("w.end")), length) - 1).alias("round"), "hits",
+        (F.col("before") > 0).alias("escalated"))
+
+
 def running_counters(stream: DataFrame, rules, bad_ips: DataFrame,
                      levels: dict[int, str] = DEFAULT_LEVELS, metrics: str = "traffic") -> DataFrame:
     """Packets processed, dropped and leaked so far, per node.
