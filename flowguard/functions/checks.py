@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import PROFILE_BY_VERBOSITY
+
 _PROFILES: dict[str, Callable[..., Column]] = {}
 
 
@@ -44,7 +46,9 @@ def profile_names() -> list[str]:
     return sorted(_PROFILES)
 
 
-def profile_ok(name: str, book, level=None) -> Column:
+def profile_ok(name: str | int, book, level=None) -> Column:
+    """The profile of that name, or of that verbosity number (0 to 3)."""
+    name = PROFILE_BY_VERBOSITY.get(name, name)
     if name not in _PROFILES:
         raise KeyError(f"unknown profile {name!r}; known: {', '.join(profile_names())}")
     return _PROFILES[name](book, level)

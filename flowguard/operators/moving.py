@@ -3,7 +3,7 @@
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +11,7 @@ from ..functions.averages import cma_step
 from ..schema import DETECTION_FLOOR, DETECTION_RATIO
 
 
-def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float = DETECTION_RATIO,
+def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float | Column = DETECTION_RATIO,
         floor: int = DETECTION_FLOOR, seed: str = "first", value: str = "n",
         state: DataFrame | None = None) -> DataFrame:
     """Add ``prior``, ``cma``, ``points`` and ``alert`` to per-window counts of each key.
@@ -22,7 +22,8 @@ def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float = DETECT
     Arrow batches, so a long series never has to fit in memory.
 
     ``prior`` is the average before the value; ``alert`` is set when the value
-    exceeds ``prior * ratio`` and ``floor``. The first value of a key never
+    exceeds ``prior * ratio`` and ``floor``; ``ratio`` may be a column over the
+    key, such as a ratio per node. The first value of a key never
     alerts. With ``seed='discard'`` that value is not counted either and the
     average starts at 0. ``points`` is the number of values in the average.
 
@@ -44,7 +45,8 @@ def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float = DETECT
     added = ("prior", "cma", "points")
     schema = T.StructType([*numbered.schema.fields, *[T.StructField(c, T.LongType()) for c in added]])
     folded = numbered.mapInArrow(_folder(value, seed == "discard"), schema)
-    jump = (F.col("prior").isNotNull() & (F.col(value) > F.col("prior") * F.lit(float(ratio)))
+    ratio = ratio if isinstance(ratio, Column) else F.lit(float(ratio))
+    jump = (F.col("prior").isNotNull() & (F.col(value) > F.col("prior") * ratio)
             & (F.col(value) > floor))
     return folded.withColumn("alert", F.coalesce(jump, F.lit(False))).drop("_step", "_average", "_points")
 

@@ -17,6 +17,9 @@ TCP_COLUMNS = UDP_COLUMNS + ["flag_mask"]
 
 
 def as_book(rules) -> RuleBook:
+    """A rule book as it is, or one loaded from a rule table; None has no rules."""
+    if rules is None:
+        return RuleBook({}, {}, {})
     return rules if isinstance(rules, RuleBook) else RuleBook.load(rules)
 
 

@@ -548,10 +548,24 @@ def w14_window_length(spark, d):
     return windows.window_length_ok(ticks, 2, 7200).select("node_id", "slot", "ok")
 
 
+@query
+def w15_detector_by_level(spark, d):
+    screened = screening.cascade(traffic(spark, d), rules=small_rules(spark))
+    return zoneless(detectors.detect_by_level(screened, {0: 0, 1: "off", 2: 2}, slot_seconds=DAY, n_slots=2,
+                                              ratio=RATIO, floor=FLOOR))
+
+
 @query
 def w16_ratio(spark, d):
     return zoneless(detectors.detect(traffic(spark, d), "sliding", slot_seconds=DAY, n_slots=2,
-                                  ratio=2.5, floor=FLOOR, dimensions=["dst_port"]))
+                                     ratio=2.5, floor=FLOOR, dimensions=["dst_port"]))
+
+
+@query
+def w16_ratio_per_node(spark, d):
+    ratio = F.when(F.col("node_id") < 4, 1.5).otherwise(3.0)
+    return zoneless(detectors.detect(traffic(spark, d), "sliding", slot_seconds=DAY, n_slots=2,
+                                     ratio=ratio, floor=FLOOR, dimensions=["dst_port"]))
 
 
 # Streams

@@ -1,6 +1,7 @@
 """Anomaly detectors: packets in, reports about jumping keys out."""
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.packet import slot_of
 from ..operators.counts import dimension_rows
 from ..operators.moving import cma
+from ..operators.screening import reached
 from ..operators.windows import count_windows, sliding_counts
-from ..schema import (COUNT_WINDOW, DETECTION_FLOOR, DETECTION_RATIO, DST_IP_REPORT,
+from ..schema import (COUNT_WINDOW, DETECTION_FLOOR, DETECTOR_BY_VERBOSITY, DETECTION_RATIO, DST_IP_REPORT,
                       PACKET_ORDER, SLOT_SECONDS, SRC_IP_REPORT, WINDOW_SLOTS)
 
 # Only addresses are tested by default; ports and flags are counted, not tested.
@@ -30,13 +32,24 @@ def detector_names() -> list[str]:
     return sorted(_DETECTORS)
 
 
-def detect(df: DataFrame, detector: str, **params) -> DataFrame:
-    """Run the named detector on packets."""
+def detect(df: DataFrame, detector: str | int, **params) -> DataFrame:
+    """Run a detector on packets, given by name or verbosity number (0 to 2)."""
+    detector = DETECTOR_BY_VERBOSITY.get(detector, detector)
     if detector not in _DETECTORS:
         raise KeyError(f"unknown detector {detector!r}; known: {', '.join(detector_names())}")
     return _DETECTORS[detector](df, **params)
 
 
+def detect_by_level(cascaded: DataFrame, detectors: dict[int, str | int], **params) -> DataFrame:
+    """Run each level's detector on the packets that reached the level.
+
+    Packets that a level drops are still counted there. Adds ``level``.
+    """
+    found = [detect(cascaded.filter(reached(level)), detector, **params).withColumn("level", F.lit(level))
+             for level, detector in sorted(detectors.items())]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _report_type() -> Column:
     out = None
     for dimension, code in _REPORT_TYPES.items():
@@ -45,7 +58,7 @@ def _report_type() -> Column:
     return out
 
 
-def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float = DETECTION_RATIO,
+def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float | Column = DETECTION_RATIO,
                    floor: int = DETECTION_FLOOR, dimensions: Iterable[str] = TESTED) -> DataFrame:
     """Jumps between count windows of each node.
 
@@ -66,7 +79,7 @@ def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float = DETEC
 
 
 def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: int = WINDOW_SLOTS,
-                   ratio: float = DETECTION_RATIO, floor: int = DETECTION_FLOOR,
+                   ratio: float | Column = DETECTION_RATIO, floor: int = DETECTION_FLOOR,
                    dimensions: Iterable[str] = TESTED, zero_tail: bool = True,
                    t0_micros: int = 0) -> DataFrame:
     """Jumps between sliding time windows of each node.

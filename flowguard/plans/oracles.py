@@ -138,14 +138,15 @@ def zero_tail(key: str, table: str, slots: int) -> str:
       WHERE slot + o <= (SELECT max(slot) FROM per_slot) GROUP BY ALL)"""
 
 
-def sliding_alerts(dimensions: str, ratio: float, floor: int) -> str:
-    more = DIMENSION_ROWS.format(t="packets") + f""",
+def sliding_alerts(dimensions: str, ratio: float | str, floor: int, source: str = "packets",
+                   names: tuple = ("packets",)) -> str:
+    more = DIMENSION_ROWS.format(t=source) + f""",
       tested AS (SELECT * FROM dimension_rows WHERE dimension IN ({dimensions})),
       """ + zero_tail("node_id, dimension, key", "tested", 2) + ", " + \
         cma("SELECT * FROM sliding", "node_id, dimension, key", "end_slot", ratio, floor)
     return sql("""SELECT node_id, make_timestamp((end_slot + 1) * 86400000000) AS ts, end_slot AS win,
         CAST(CASE dimension WHEN 'src_ip' THEN 3 WHEN 'dst_ip' THEN 4 ELSE 1 END AS INT) AS report_type, key, n, prior
-      FROM avg WHERE alert""", "packets", more=more)
+      FROM avg WHERE alert""", *names, more=more)
 
 
 CLASSIC = sql(
@@ -353,6 +354,10 @@ def oracle_sql() -> dict[str, str]:
         "w14_window_length": sql("""SELECT node_id, slot,
             coalesce((slot - lag(slot, 2) OVER (PARTITION BY node_id ORDER BY slot)) * 3600 = 7200, false) AS ok
             FROM (SELECT DISTINCT node_id, epoch_us(ts) // 3600000000 AS slot FROM packets) x""", "packets"),
+        "w15_detector_by_level": "SELECT *, CAST(2 AS INT) AS level FROM (" + sliding_alerts(
+            "'src_ip', 'dst_ip'", 1.5, 3, "(SELECT * FROM cascaded WHERE dropped_at IS NULL OR dropped_at >= 2)",
+            ("cascaded",)) + ") x",
+        "w16_ratio_per_node": sliding_alerts("'dst_port'", "CASE WHEN node_id < 4 THEN 1.5 ELSE 3.0 END", 3),
         "w16_ratio": sliding_alerts("'dst_port'", 2.5, 3),
         "t01_stream_cascade": sql("SELECT packet_id, node_id, dropped_at FROM cascaded", "cascaded"),
         # A window is written once the latest packet has passed its end.

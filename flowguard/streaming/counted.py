@@ -33,9 +33,8 @@ def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoi
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = batch.select(*columns)
-        totals = arrived.groupBy("node_id").agg(F.count("*").alias("seen"))
-        numbered = number_rows(arrived, ["node_id"])
+        numbered = number_rows(batch.select(*columns), ["node_id"])
+        totals = numbered.groupBy("node_id").agg(F.max("total").alias("seen"))
         if batch_id > 0:
             seen = spark.read.parquet(f"{state_path}/seen/batch={batch_id - 1}")
             earlier = seen.select(F.col("node_id").cast("string").alias("key"), F.col("seen").alias("_before"))

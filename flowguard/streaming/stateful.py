@@ -32,8 +32,15 @@ def stream_cma(stream: DataFrame, keys: Iterable[str], path: str, state_path: st
     counts = stream_sliding_counts(stream, keys, slot_seconds, 1, delay).withColumnRenamed("end_slot", "slot")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        # Kept, since every action on it would run the windowed aggregate again.
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not batch.isEmpty():
+                fold(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
         before = earlier_batch(batch.sparkSession, state_path, batch_id)
         folded = cma(batch, keys, "slot", ratio, floor, state=before).persist(StorageLevel.MEMORY_AND_DISK)
         try:
