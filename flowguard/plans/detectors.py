@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.packet import slot_of
@@ -68,14 +68,13 @@ def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float | Colum
     dimensions = list(dimensions)
     needed = dict.fromkeys([*PACKET_ORDER, "node_id", "proto", *_columns(dimensions)])
     windows = count_windows(df.select(*needed), size)
-    counts = dimension_rows(windows, ["node_id", "win", "ts"], dimensions) \
-        .groupBy("node_id", "win", "dimension", "key").agg(F.count("*").alias("n"), F.max("ts").alias("_last"))
-    # A window has `size` packets, so this partition has few rows by construction.
-    closed = F.max("_last").over(Window.partitionBy("node_id", "win"))
-    counts = counts.withColumn("_closed", F.struct("win", closed.alias("ts"))).drop("_last", "win")
-    alerts = cma(counts, ["node_id", "dimension", "key"], "_closed", ratio, floor).filter("alert")
-    return alerts.select("node_id", F.col("_closed.ts").alias("ts"), F.col("_closed.win").alias("win"),
-                         _report_type().alias("report_type"), "key", "n", "prior")
+    counts = dimension_rows(windows, ["node_id", "win"], dimensions) \
+        .groupBy("node_id", "win", "dimension", "key").agg(F.count("*").alias("n"))
+    alerts = cma(counts, ["node_id", "dimension", "key"], "win", ratio, floor).filter("alert")
+    # Only alerts need the closing time, so only they are joined with it.
+    closings = windows.groupBy("node_id", "win").agg(F.max("ts").alias("ts"))
+    return alerts.join(closings, ["node_id", "win"]).select(
+        "node_id", "ts", "win", _report_type().alias("report_type"), "key", "n", "prior")
 
 
 def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: int = WINDOW_SLOTS,

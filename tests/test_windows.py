@@ -11,7 +11,7 @@ from flowguard.operators.counts import all_hits, flag_hits, flag_rows, hits, por
 from flowguard.operators.moving import cma, last_n_average
 from flowguard.operators.ordering import number_rows, take_packets
 from flowguard.operators.windows import count_windows, sliding_counts, slot_counts, window_length_ok
-from flowguard.plans import detect, detect_classic, detect_sliding, register_detector
+from flowguard.plans import detect, detect_by_level, detect_classic, detect_sliding, register_detector
 
 
 def burst(n=600, seed=1, keys=6):
@@ -197,6 +197,33 @@ def test_sliding_detector_reports_a_jump(spark):
     assert {r["ts"] for r in got} == {START + timedelta(seconds=150)}
 
 
+def test_detectors_by_level_and_verbosity(spark):
+    rows = [packet(i, 1 + i) for i in range(3)] + [packet(100 + i, 31) for i in range(20)]
+    passed = packets(spark, rows).withColumn("dropped_at", F.lit(None).cast("int"))
+    got = detect_by_level(passed, {0: 0, 2: 2}, floor=10, dimensions=["src_ip"]).collect()
+    assert [(r["level"], r["n"]) for r in got] == [(2, 23)]
+    early = passed.withColumn("dropped_at", F.lit(1))
+    assert detect_by_level(early, {1: "sliding", 2: "sliding"}, floor=10, dimensions=["src_ip"]) \
+        .select("level").collect() == [(1,)]
+
+
+def test_ratio_may_depend_on_the_key(spark):
+    df = spark.createDataFrame([(k, w, 10 * (w + 1)) for k in (1, 2) for w in (0, 1)], "k int, w int, n bigint")
+    got = cma(df, ["k"], "w", F.when(F.col("k") == 1, 1.5).otherwise(2.5), 0).filter("alert")
+    assert [(r["k"], r["w"]) for r in got.collect()] == [(1, 1)]
+
+
+def test_cma_continues_an_earlier_series(spark):
+    values = [5, 9, 1, 30, 2, 8]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, w int, n bigint")
+    whole = cma(df, ["k"], "w").orderBy("w").collect()
+    first = cma(df.filter("w < 3"), ["k"], "w")
+    state = first.groupBy("k").agg(F.max_by("cma", "w").alias("cma"), F.max("points").alias("points"))
+    rest = cma(df.filter("w >= 3").union(spark.createDataFrame([("b", 3, 7)], df.schema)), ["k"], "w", state=state)
+    assert rest.filter("k = 'a'").orderBy("w").collect() == whole[3:]
+    assert tuple(rest.filter("k = 'b'").select("prior", "cma").first()) == (None, 7)
+
+
 def test_detector_registry(spark):
     df = packets(spark, [packet()])
     assert detect(df, "off").count() == 0
