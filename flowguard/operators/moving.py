@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.averages import cma_step
 from ..schema import DETECTION_FLOOR, DETECTION_RATIO
 
 
@@ -52,6 +51,8 @@ def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float | Column
 
 
 def _folder(value: str, discard_first: bool):
+    # A closure without names of this package: it travels to the workers by
+    # value, which therefore need not have the package installed.
     def fold(batches):
         average, points = 0, 0
         for batch in batches:
@@ -65,7 +66,7 @@ def _folder(value: str, discard_first: bool):
                     if step == 1:
                         average, points = old_average, old_points
                     priors.append(average)
-                    average, points = cma_step(v, average, points)
+                    average, points = (v + points * average) // (points + 1), points + 1
                 averages.append(average)
                 sizes.append(points)
             added = [pa.array(c, pa.int64()) for c in (priors, averages, sizes)]

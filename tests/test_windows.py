@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import START, packet, packets
-from flowguard.functions.averages import cma_step
 from flowguard.operators.counts import all_hits, flag_hits, flag_rows, hits, port_hits
 from flowguard.operators.moving import cma, last_n_average
 from flowguard.operators.ordering import number_rows, take_packets
@@ -110,14 +109,6 @@ def test_slots_before_the_epoch(spark):
     assert sorted(r["slot"] for r in slot_counts(df, [], 30).collect()) == [-1, 0]
 
 
-def test_cma_step():
-    average, points = 100, 1
-    for i, v in enumerate([50, 75, 9999, 1], start=1):
-        average, points = cma_step(v, average, points)
-        assert points == i + 1
-    assert average == (1 + 4 * ((9999 + 3 * ((75 + 2 * 75) // 3)) // 4)) // 5
-
-
 @pytest.mark.parametrize("seed", ["first", "discard"])
 @pytest.mark.parametrize("batch", ["3", "10000"])
 def test_cma_fold_against_steps(spark, seed, batch):
