@@ -1,5 +1,6 @@
 """Session settings the library depends on."""
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,15 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
-    On a cluster it lies under the shared ``spark.checkpoint.dir``. Only where
-    that is unset (local tests) does it fall back to a temporary folder.
+    It lies under the shared ``spark.checkpoint.dir``. Only a local session,
+    whose executors live on this machine, may do without that setting; any
+    other is refused, since its executors would not see a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         base = tempfile.mkdtemp(prefix="flowguard-")
     return f"{base.rstrip('/')}/flowguard-{name}-{uuid.uuid4().hex}"
 
