@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, licenses, neardup, packing, secrets
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -37,3 +37,18 @@ def op1_bpe(spark, d):
 @query
 def op3_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
+@query
+def op6_secrets(spark, d):
+    return secrets.findings(table(spark, d, "documents"))
+
+
+@query
+def op5_minhash_near_dup(spark, d):
+    return neardup.near_duplicates(table(spark, d, "documents"))
