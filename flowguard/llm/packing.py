@@ -156,8 +156,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
         if not left or before == 1:
             break
         tasks = max(1, -(-left // (open_bins * TASKS_JOINED)))
-        again_ = open_.select(id_col, *COLUMNS) \
-            .repartition(tasks, F.xxhash64(F.col(id_col), "piece", "ids_crc32")) \
+        # Written pieces lie as the tasks left them; joining neighbours needs no shuffle.
+        again_ = open_.select(id_col, *COLUMNS).coalesce(tasks) \
             .sortWithinPartitions(F.desc("length"), id_col, "piece")
         result = materialise(again_.mapInArrow(again(round_), schema), "packed")
         done = done.unionByName(result.filter(~F.col("open")))
