@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, neardup, packing, secrets
+from . import bpe, exactdedup, langid, licenses, linededup, neardup, packing, secrets, sharding, vectors
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -52,3 +52,35 @@ def op6_secrets(spark, d):
 @query
 def op5_minhash_near_dup(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op2_line_dedup(spark, d):
+    return linededup.drop_duplicate_lines(table(spark, d, "documents"))
+
+
+@query
+def op7_vector_near_dup(spark, d):
+    return vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query
+def op8_exact_dedup(spark, d):
+    return exactdedup.deduplicate(table(spark, d, "documents"))
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(100)]
+
+
+@query
+def op9_sharding(spark, d):
+    return sharding.place(table(spark, d, "documents"), SHARDS)
+
+
+@query
+def op10_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    fold = langid.fold(F.col("doc_id"))
+    profiles = langid.learn(docs.filter(fold != 1))
+    return langid.predict(docs, profiles) \
+        .select("doc_id", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
