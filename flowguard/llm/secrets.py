@@ -139,8 +139,11 @@ def findings(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_i
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,rule:int,end:int>>"))
     paths = docs.select(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob"))
     joined = paths.join(ledger.found(), "blob", "left").withColumn("spans", spans)
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["rule"] == n)).cast("long").alias(f"n_{r.kind}")
-              for n, r in enumerate(rules) if r.base]
+
+    def of_rule(number):
+        return F.filter("spans", lambda s: s["rule"] == number)
+
+    counts = [F.size(of_rule(n)).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(rules) if r.base]
     return joined.select(F.col("id").alias(id_col), *counts,
                          F.sha2(text(F.filter("spans", lambda s: F.array_contains(base, s["rule"]))), 256)
                          .alias("base_sha256"), text(F.col("spans")).alias("spans"))
@@ -162,12 +165,12 @@ def redact(docs: DataFrame, ledger: Ledger | None = None, mark: str = "[REDACTED
         .withColumn("begins", F.coalesce((F.col("start") >= F.max("end").over(before)).cast("int"), F.lit(1))) \
         .withColumn("cut", F.sum("begins").over(along)) \
         .groupBy("blob", "cut").agg(F.min("start").alias("start"), F.max("end").alias("end")) \
-        .groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    cuts = broadcast_if_small(materialise(cuts.withColumnRenamed("blob", "_blob"), "cuts"), 256)
+        .groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_flowguard_cuts"))
+    cuts = broadcast_if_small(materialise(cuts.withColumnRenamed("blob", "_flowguard_blob"), "cuts"), 256)
     text = F.col(text_col)
-    starts = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.length(text)))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))
+    starts = F.concat(F.transform("_flowguard_cuts", lambda c: c["start"]), F.array(F.length(text)))
+    ends = F.concat(F.array(F.lit(0)), F.transform("_flowguard_cuts", lambda c: c["end"]))
     kept = F.array_join(F.zip_with(ends, starts, lambda a, b: text.substr(a + 1, b - a)), mark)
-    columns = [F.when(F.col("_cuts").isNotNull(), kept).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
+    columns = [F.when(F.col("_flowguard_cuts").isNotNull(), kept).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
                for c in docs.columns]
-    return docs.withColumn("_blob", blob_of(text)).join(cuts, "_blob", "left").select(*columns)
+    return docs.withColumn("_flowguard_blob", blob_of(text)).join(cuts, "_flowguard_blob", "left").select(*columns)

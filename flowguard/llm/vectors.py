@@ -103,7 +103,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, least: float = SIMILA
 
 def _block_pair(least, directions, window, recall):
     """Links between two blocks: (id, links of it here, smallest id that links here reach)."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         ids = np.asarray(table["id"].to_pylist())
         copies = table["copies"].to_numpy()
         block = table["block"].to_numpy()
