@@ -163,7 +163,7 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 # Components of a graph
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """The component of every end of some links: (id, component).
+    """The component of every end of links between different ids: (id, component).
 
     ``links`` has two columns a and b of one orderable type; ``component`` is
     the smallest id that a path of links reaches. Large and small stars take

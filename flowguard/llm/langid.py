@@ -55,8 +55,9 @@ def grams(texts: list[str], is_letter: np.ndarray, orders: int = ORDERS) -> tupl
         whole = owner[:size] == owner[n - 1:]
         for i in range(1, n - 1):
             whole &= letter[i:size + i]
-        # A bigram of two blanks can only stand between texts or in an empty one.
-        whole &= letter[:size] | letter[n - 1:]
+        if n == 2:
+            # Two blanks stand next to each other in a text without letters.
+            whole &= letter[:size] | letter[1:]
         found.append(number[whole])
         owners.append(owner[:size][whole])
     return np.concatenate(found), np.concatenate(owners)

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,8 @@ def op10_language_id(spark, d):
     profiles = langid.learn(docs.filter(fold != 1))
     return langid.predict(docs, profiles) \
         .select("doc_id", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def pipeline(spark, d):
+    return corpus_pipeline.run(spark, d)

@@ -16,6 +16,7 @@ from ..session import materialise, scratch_path
 from .common import broadcast_if_small
 
 RULE_VERSION = "2"
+MARK = "[REDACTED]"
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,9 @@ RULES = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False),
 )
 
-# Cheaper patterns that find a match wherever a rule has one that is long enough.
-_CHEAP = {"hex": "[0-9a-f]{32}", "access": "AKIA[A-Z0-9]{12}"}
+# What is searched for instead where a match is a whole run of characters: only runs that are long enough.
+# An assignment is no such run. A short one is found and dropped, for it may cover the start of another.
+_SEARCHED = {"hex": "[0-9a-f]{32,}", "access": "AKIA[A-Z0-9]{12,}", "github": "gh[pousr]_[A-Za-z0-9]{36,}"}
 
 _BLOB = "blob binary, version string, spans array<struct<start:int,rule:int,end:int>>"
 
@@ -56,15 +58,15 @@ def find_spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     per_rule = []
     for number, rule in enumerate(rules):
-        pattern = F.lit(rule.pattern)
-        zipped = F.arrays_zip(F.split("text", rule.pattern, -1),
+        searched = _SEARCHED.get(rule.kind, rule.pattern)
+        pattern = F.lit(searched)
+        zipped = F.arrays_zip(F.split("text", searched, -1),
                               F.regexp_extract_all("text", pattern, F.lit(0)),
                               F.regexp_extract_all("text", pattern, F.lit(rule.value)))
         lengths = F.transform(F.filter(zipped, lambda x: x["1"].isNotNull()), lambda x, i: F.struct(
             F.lit(number).alias("rule"), i.alias("i"), F.length(x["0"]).alias("before"),
             F.length(x["1"]).alias("size"), F.length(x["2"]).alias("value")))
-        there = F.col("text").rlike(_CHEAP.get(rule.kind, rule.pattern))
-        per_rule.append(F.when(there, lengths))
+        per_rule.append(F.when(F.col("text").rlike(searched), lengths))
     empty = F.array().cast("array<struct<rule:int,i:int,before:int,size:int,value:int>>")
     rows = texts.select("blob", F.explode(F.flatten(F.array(*(F.coalesce(x, empty) for x in per_rule)))).alias("m")) \
         .select("blob", "m.*")
@@ -149,7 +151,7 @@ def findings(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_i
                          .alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, ledger: Ledger | None = None, mark: str = "[REDACTED]", id_col: str = "doc_id",
+def redact(docs: DataFrame, ledger: Ledger | None = None, mark: str = MARK, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in its text replaced by ``mark``; all rows and other columns stay.
 
