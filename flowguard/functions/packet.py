@@ -40,19 +40,41 @@ def _ipv4_text(a: str) -> str:
             f"THEN regexp_replace({a}, r'(\\A|\\.)0+(?=[0-9])', '$1') ELSE {a} END")
 
 
+# The first 96 bits of an IPv4-mapped IPv6 address in any spelling: five groups of zeros, some of which may be
+# left out, and ffff.
+_MAPPED = r"(?i)\A(?:(?:0{1,4}:){5}|(?:(?:0{1,4}:){1,4}|:):(?:0{1,4}:){0,4})ffff:"
+_DOTTED = r"([0-9]{1,3}(?:[.][0-9]{1,3}){3})\z"
+_TWO_GROUPS = r"([0-9a-f]{0,4}):([0-9a-f]{1,4}|:|)\z"
+
+
 def _mapped_ipv4(a: str) -> str:
-    """The IPv4 part of an IPv4-mapped IPv6 address, else NULL."""
-    part = f"nullif(regexp_extract({a}, r'(?i)\\A::ffff:([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)\\z', 1), '')"
-    return f"regexp_replace({part}, r'(\\A|\\.)0+(?=[0-9])', '$1')"
+    """The IPv4 address in an IPv4-mapped IPv6 address, whose end may be dotted or two groups; else NULL."""
+    dotted = f"nullif(regexp_extract({a}, r'{_MAPPED}{_DOTTED}', 1), '')"
+    # An empty group is one that '::' leaves out.
+    high, low = (f"coalesce(conv(regexp_extract({a}, r'{_MAPPED}{_TWO_GROUPS}', {i}), 16, 10), '0')" for i in (1, 2))
+    parts = [f"CAST({g} AS INT) div 256, CAST({g} AS INT) % 256" for g in (high, low)]
+    return (rf"coalesce(regexp_replace({dotted}, r'(\A|\.)0+(?=[0-9])', '$1'), "
+            f"CASE WHEN {a} RLIKE r'{_MAPPED}{_TWO_GROUPS}' THEN concat_ws('.', {', '.join(parts)}) END)")
+
+
+def _hex_tail(a: str) -> str:
+    """IPv6 text with a dotted end written as two groups."""
+    octet = [rf"try_cast(regexp_extract({a}, r'([0-9]{{1,3}})[.]([0-9]{{1,3}})[.]([0-9]{{1,3}})[.]([0-9]{{1,3}})\z', {i}) AS INT)"
+             for i in range(1, 5)]
+    byte = [f"CASE WHEN {o} < 256 THEN lpad(hex({o}), 2, '0') END" for o in octet]
+    return (rf"CASE WHEN contains({a}, '.') THEN concat(regexp_extract({a}, r'\A(.*:)[0-9.]+\z', 1), "
+            f"{byte[0]}, {byte[1]}, ':', {byte[2]}, {byte[3]}) ELSE {a} END")
 
 
 def _ipv6_hex(a: str) -> str:
-    """IPv6 text (any zero compression or case) as 32 hex digits, else NULL."""
-    closed = (f"concat(CASE WHEN startswith({a}, '::') THEN '0' ELSE '' END, lower({a}), "
-              f"CASE WHEN endswith({a}, '::') THEN '0' ELSE '' END)")
-    zeros = f"concat(':', repeat('0:', 8 - (length({closed}) - length(translate({closed}, ':', '')))))"
-    groups = f"transform(split(replace({closed}, '::', {zeros}), ':'), g -> lpad(g, 4, '0'))"
-    return f"nullif(regexp_extract(array_join({groups}, ''), r'\\A[0-9a-f]{{32}}\\z', 0), '')"
+    """IPv6 text (any zero compression or case, dotted end or not) as 32 hex digits, else NULL."""
+    def digits(b):
+        closed = (f"concat(CASE WHEN startswith({b}, '::') THEN '0' ELSE '' END, lower({b}), "
+                  f"CASE WHEN endswith({b}, '::') THEN '0' ELSE '' END)")
+        zeros = f"concat(':', repeat('0:', 8 - (length({closed}) - length(translate({closed}, ':', '')))))"
+        groups = f"transform(split(replace({closed}, '::', {zeros}), ':'), g -> lpad(g, 4, '0'))"
+        return rf"nullif(regexp_extract(array_join({groups}, ''), r'\A[0-9a-f]{{32}}\z', 0), '')"
+    return f"element_at(transform(array({_hex_tail(a)}), b -> {digits('b')}), 1)"
 
 
 def ip_key_sql(column: str, v6: bool = True) -> str:

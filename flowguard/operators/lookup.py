@@ -19,8 +19,8 @@ STREAM_SALTS = 32
 
 
 def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; reads no more than that."""
-    return rows > 0 and table.limit(rows + 1).count() <= rows
+    """Whether the table has at most ``rows`` rows; a count is combined per task."""
+    return rows > 0 and table.count() <= rows
 
 
 def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

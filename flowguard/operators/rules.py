@@ -1,10 +1,13 @@
 """Blacklist rules: current sets, scopes, and rules that change over time."""
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import profile_ok
 from ..functions.packet import div, ip_key, ip_key_sql, payload_text
 from ..session import materialise
 from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up
@@ -13,12 +16,12 @@ from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up
 INLINE_RULES = 2000
 # Addressed rules are spelled out per scope only for a few scopes.
 INLINE_SCOPES = 32
-# Every signature is one more regular expression per packet; more than this is
-# taken for a mistake and refused, never cut.
-MAX_PATTERNS = 10_000
+# So many signatures are tried as one regular expression.
+SIGNATURES_JOINED = 100
 
 ADDRESS_KINDS = ("ip", "monitored_ip")
 KINDS = ("ip", "port", "flags", "pattern", "monitored_ip")
+DIRECTIONS = ("src", "dst")
 
 
 def rule_key(kind="kind", value="value") -> Column:
@@ -36,6 +39,39 @@ def _rule_direction() -> Column:
         .otherwise(F.coalesce("direction", F.lit("src")))
 
 
+def rule_scope(scope="scope") -> Column:
+    """``all``, ``node:<n>`` or ``level:<n>`` with plain numbers; NULL for any other text."""
+    scope = F.col(scope)
+    number = F.regexp_extract(scope, r"\A(?:node|level):([0-9]{1,9})\z", 1).try_cast("bigint")
+    return F.when(scope == "all", scope) \
+        .when(number.isNotNull(), F.concat(F.substring_index(scope, ":", 1), F.lit(":"), number.cast("string")))
+
+
+def _checked(rules: DataFrame) -> DataFrame:
+    """Rules in normal form with ``reason``: why a rule cannot apply, or NULL.
+
+    This is the only place that reads scope, direction and value, so that a
+    rule means the same whatever the size of its table.
+    """
+    direction = _rule_direction()
+    reason = F.when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "kind") \
+        .when(rule_scope().isNull(), "scope") \
+        .when(direction.isNotNull() & ~direction.isin(*DIRECTIONS), "direction") \
+        .when(rule_key().isNull(), "value")
+    return rules.withColumns({"_scope": rule_scope(), "_direction": direction, "_value": rule_key(), "reason": reason})
+
+
+def normal_rules(rules: DataFrame) -> DataFrame:
+    """The rules that can apply, in normal form: (scope, kind, direction, value)."""
+    return _checked(rules).filter("reason IS NULL").select(
+        F.col("_scope").alias("scope"), "kind", F.col("_direction").alias("direction"), F.col("_value").alias("value"))
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """The rules that never apply, as they are, and the field that is to blame (``reason``)."""
+    return _checked(rules).filter("reason IS NOT NULL").select("scope", "kind", "direction", "value", "reason")
+
+
 def packet_key(kind: str, direction: str | None) -> Column:
     """The text key of a packet that ``rule_key`` values are joined with."""
     if kind in ADDRESS_KINDS:
@@ -58,9 +94,11 @@ class RuleBook:
     """A rule table made ready for checking packets.
 
     Sets of up to ``INLINE_RULES`` values become literal hash sets inside the
-    scan stage. Larger sets stay tables: ``attach`` joins them to the packets
+    scan stage. Larger sets stay tables: they are joined to the packets
     (broadcast after a size check, shuffled with salted hot keys beyond it) and
-    the checks read the joined column. Both give the same verdicts.
+    the checks read the joined column. Only sets that a check reads are
+    joined. Rules are brought to normal form before anything is decided by
+    size; those that cannot apply are listed by ``rejected_rules``.
     """
 
     def __init__(self, inline, patterns, tables, broadcast_rows=BROADCAST_ROWS):
@@ -68,34 +106,31 @@ class RuleBook:
         self.patterns = patterns
         self.tables = tables
         self.broadcast_rows = broadcast_rows
+        self._read: set | None = None
 
     @classmethod
     def load(cls, rules: DataFrame, inline_rows: int = INLINE_RULES,
              broadcast_rows: int = BROADCAST_ROWS) -> "RuleBook":
-        keyed = rules.select("scope", "kind", _rule_direction().alias("direction"),
-                             rule_key().alias("value")).filter(F.col("kind").isin(*KINDS))
-        keyed = keyed.filter(F.col("value").isNotNull())
+        keyed = normal_rules(rules)
         head = keyed.limit(inline_rows + 1).collect()
         if len(head) <= inline_rows:
             return cls.of_rows(map(tuple, head), rules.sparkSession, broadcast_rows=broadcast_rows)
 
-        # A snapshot with one row per value, written once and read by kind.
-        stored = materialise(keyed.groupBy("kind", "direction", "value")
-                             .agg(F.collect_set("scope").alias("scopes")), "rules")
+        # A snapshot with one row per rule, written once and read by kind.
+        stored = materialise(keyed.distinct(), "rules")
         sizes = {(r["kind"], r["direction"]): r["count"]
                  for r in stored.groupBy("kind", "direction").count().collect()}
-        large = {k: n for k, n in sizes.items() if n > inline_rows and k[0] != "pattern"}
-        if sizes.get(("pattern", None), 0) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} payload signatures")
         of = lambda kind, direction: (F.col("kind") == kind) & F.col("direction").eqNullSafe(direction)
-        small = [of(*k) for k in sizes if k not in large]
-        rows = stored.filter(any_of(small)).select(F.explode("scopes"), "kind", "direction", "value").collect()
-        tables = {k: (stored.filter(of(*k)).select("value", "scopes"), n) for k, n in large.items()}
+        # Signatures are always part of the plan; of other kinds only small sets come to the driver.
+        inline = [k for k, n in sizes.items() if n <= inline_rows or k[0] == "pattern"]
+        rows = stored.filter(any_of([of(*k) for k in inline])).collect()
+        tables = {k: (stored.filter(of(*k)).groupBy("value").agg(F.collect_set("scope").alias("scopes")), n)
+                  for k, n in sizes.items() if k not in inline}
         return cls.of_rows(map(tuple, rows), rules.sparkSession, tables, broadcast_rows)
 
     @classmethod
     def of_rows(cls, rows, spark, tables=None, broadcast_rows=BROADCAST_ROWS) -> "RuleBook":
-        """A book of the given (scope, kind, direction, value) rows and large tables."""
+        """A book of (scope, kind, direction, value) rows in normal form and large tables."""
         inline, patterns, tables = {}, {}, dict(tables or {})
         for scope, kind, direction, value in rows:
             sets = patterns if kind == "pattern" else inline.setdefault((kind, direction), {})
@@ -106,31 +141,38 @@ class RuleBook:
                 for value in values:
                     by_value.setdefault(value, []).append(scope)
             tables[key] = (spark.createDataFrame(list(by_value.items()), "value string, scopes array<string>"),
-                           len(by_value))
+                           sum(map(len, by_value.values())))
         return cls(inline, patterns, tables, broadcast_rows)
 
-    @property
-    def marks(self) -> list[str]:
-        return [self._mark(*key) for key in self.tables]
-
     @staticmethod
     def _mark(kind, direction) -> str:
         return f"_scopes_{kind}_{direction}"
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """Join the large rule sets; a no-op when every set is inline."""
+    def add(self, df: DataFrame, **columns: Callable[["RuleBook"], Column]) -> DataFrame:
+        """Add columns built from the book, joining only the large sets that they read."""
+        own = RuleBook(self.inline, self.patterns, self.tables, self.broadcast_rows)
+        own._read = set()
+        built = {name: build(own) for name, build in columns.items()}
+        marks = [self._mark(*key) for key in own._read]
+        return own.attach(df, own._read).withColumns(built).drop(*marks)
+
+    def attach(self, df: DataFrame, keys=None) -> DataFrame:
+        """Join large rule sets, all or the given ones; a no-op when every set is inline."""
+        chosen = [k for k in self.tables if keys is None or k in keys]
         return look_up(df, [
-            Lookup(packet_key(kind, direction),
-                   table.select(F.col("value").alias("key"), F.col("scopes").alias(self._mark(kind, direction))),
-                   rows=rows)
-            for (kind, direction), (table, rows) in self.tables.items()], self.broadcast_rows)
+            # Counted as rows are its (value, scope) pairs: a value in many scopes is as wide.
+            Lookup(packet_key(*key), self.tables[key][0].select(
+                F.col("value").alias("key"), F.col("scopes").alias(self._mark(*key))), rows=self.tables[key][1])
+            for key in chosen], self.broadcast_rows)
 
     def detach(self, df: DataFrame) -> DataFrame:
-        return df.drop(*self.marks)
+        return df.drop(*(self._mark(*key) for key in self.tables))
 
     def hit(self, kind: str, direction: str | None = None, level=None) -> Column:
         """True when the packet's value is in the set in force for it."""
         if (kind, direction) in self.tables:
+            if self._read is not None:
+                self._read.add((kind, direction))
             scopes = F.array(F.lit("all"), F.concat(F.lit("node:"), F.col("node_id").cast("string")),
                              F.concat(F.lit("level:"), _level(level).cast("string")))
             return F.coalesce(F.arrays_overlap(self._mark(kind, direction), scopes), F.lit(False))
@@ -143,11 +185,23 @@ class RuleBook:
         text = payload_text("payload")
         terms = []
         for scope, patterns in sorted(self.patterns.items()):
-            matches = any_of([text.rlike(signature(p, mode)) for p in sorted(patterns)])
+            matches = any_of([text.rlike(p) for p in joined_signatures(patterns, mode)])
             terms.append(_in_scope(scope, level, matches))
         return F.coalesce(any_of([t for t in terms if t is not None]), F.lit(False))
 
 
+def joined_signatures(patterns, mode: str) -> list[str]:
+    """Regular expressions of which one matches if any of the patterns does.
+
+    Plain patterns become alternatives of a few large expressions. Those that
+    count or name their groups, or that quote, stay alone.
+    """
+    alone = [p for p in sorted(patterns) if re.search(r"\\[1-9kQE]|\(\?<[A-Za-z]|#", p)]
+    plain = [p for p in sorted(patterns) if p not in set(alone)]
+    parts = [plain[i:i + SIGNATURES_JOINED] for i in range(0, len(plain), SIGNATURES_JOINED)]
+    return [signature("|".join(f"(?:{p})" for p in part), mode) for part in parts] + [signature(p, mode) for p in alone]
+
+
 def signature(pattern: str, mode: str) -> str:
     if mode not in ("full", "find"):
         raise ValueError(f"unknown signature mode {mode!r}")
@@ -186,25 +240,36 @@ def _member(kind: str, direction: str | None, values: list[str]) -> Column:
     return F.expr(f"proto = 'TCP' AND flag_mask IN ({', '.join(values)})")
 
 
-def current_rules(rule_log: DataFrame) -> DataFrame:
-    """Rules left in force by the whole log: the last change of each rule wins.
+def current_rules(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rules left in force at each node by the whole log: (node_id, kind, direction, value).
 
-    A ``reset`` wipes the rules of its own scope, one with scope ``all`` those
-    of every scope. Both steps are mergeable aggregates, so a rule that changes
-    very often is combined before the shuffle.
+    Of the changes and resets that reached a node, the last one of a rule
+    decides; a reset, whatever its scope, wipes all rules of the nodes it
+    reaches. Changes and resets are combined before they are spread over
+    nodes, so a rule that changes very often is one row by then.
     """
+    log = _normal_log(rule_log)
     key = ["scope", "kind", "direction", "value"]
-    changes = rule_log.filter(F.col("op") != "reset").select(
-        "seq", "op", "scope", "kind", _rule_direction().alias("direction"), "value")
-    last = changes.groupBy(*key).agg(
-        F.max_by("op", "seq").alias("_op"), F.max("seq").alias("_seq"))
-    resets = rule_log.filter(F.col("op") == "reset").groupBy("scope").agg(F.max("seq").alias("_reset"))
-    everywhere = resets.filter(F.col("scope") == "all").select(F.max("_reset")).scalar()
-    kept = last.join(bounded(resets), "scope", "left").filter(
-        (F.col("_op") == "add")
-        & (F.col("_seq") > F.coalesce("_reset", F.lit(-1).cast("bigint")))
-        & (F.col("_seq") > F.coalesce(everywhere, F.lit(-1).cast("bigint"))))
-    return kept.select(*key)
+    last = log.filter(~_wipes()).groupBy(*key).agg(F.max_by("op", "seq").alias("_op"), F.max("seq").alias("_seq"))
+    resets = log.filter(_wipes()).groupBy("scope").agg(F.max("seq").alias("_reset"))
+    wiped = expand_scope(resets, nodes).groupBy("node_id").agg(F.max("_reset").alias("_reset"))
+    rule = ["node_id", "kind", "direction", "value"]
+    states = expand_scope(last, nodes).groupBy(*rule).agg(
+        F.max_by("_op", "_seq").alias("_op"), F.max("_seq").alias("_seq"))
+    return states.filter(F.col("_op") == "add").join(bounded(wiped), "node_id", "left") \
+        .filter(F.col("_seq") > F.coalesce("_reset", F.lit(-1).cast("bigint"))).select(*rule)
+
+
+def _normal_log(rule_log: DataFrame) -> DataFrame:
+    """Changes in normal form, without those that can never apply (see ``rejected_rules``)."""
+    return _checked(rule_log).filter(F.col("_scope").isNotNull() & (_wipes() | F.col("reason").isNull())) \
+        .select("seq", "ts", F.col("_scope").alias("scope"), "op", "kind", F.col("_direction").alias("direction"),
+                F.when(_wipes(), F.col("value")).otherwise(F.col("_value")).alias("value"))
+
+
+def _wipes() -> Column:
+    """A reset, or a change of profile, empties the rules of the nodes it reaches."""
+    return F.col("op").isin("reset", "profile")
 
 
 def expand_scope(rules: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -227,12 +292,12 @@ def rule_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
     nothing. A ``reset`` ends every interval of its nodes. ``end`` is NULL while
     a rule is still in force. Intervals of one (node, rule) never overlap.
     """
-    log = expand_scope(rule_log, nodes)
-    is_reset = F.col("op") == "reset"
+    log = expand_scope(_normal_log(rule_log), nodes)
+    is_reset = _wipes()
     # Read backwards, the reset that follows a change is the last one seen.
     backwards = Window.partitionBy("node_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     next_reset = F.last(F.when(is_reset, F.struct("seq", "ts")), ignorenulls=True).over(backwards)
-    changes = log.withColumn("_wipe", next_reset).filter(~is_reset).withColumn("direction", _rule_direction())
+    changes = log.withColumn("_wipe", next_reset).filter(~is_reset)
 
     rule = ["node_id", "kind", "direction", "value"]
     history = Window.partitionBy(*rule).orderBy("seq")
@@ -251,49 +316,94 @@ MANY_INTERVALS = 64
 TIME_SLICES = 1024
 
 
-def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame,
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add ``verdict``: whether the packet passes the rules in force at its time.
+class RulesInForce:
+    """Stands in for a rule book where the rules of a packet's time are marked in columns."""
+
+    def __init__(self, marks: dict):
+        self.marks = marks
+
+    def hit(self, kind: str, direction: str | None = None, level=None) -> Column:
+        return any_of(self.marks.get((kind, direction), []))
+
+    def payload_hit(self, mode: str = "full", level=None) -> Column:
+        return any_of(self.marks.get(("pattern", None), []))
+
+
+def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
+                profile: str | int = "full") -> DataFrame:
+    """Add ``verdict``: whether the packet passes a profile under the rules in force at its time.
 
     A packet looks its value up among the intervals of its node, with the time
     as a further condition. Intervals of one rule do not overlap, so it meets
     one at most. The intervals of a rule that changes very often are cut into
     time slices and found by slice: since they are disjoint, cutting adds no
     more than one row per slice.
+
+    The few packets that match a signature are looked up with all the
+    signatures they match at once, and meet the packets again by ``packet_id``,
+    which is therefore to be unique.
     """
     stored = materialise(_counted_intervals(rule_log, nodes), "intervals")
     groups = stored.groupBy("kind", "direction", "many").agg(
         F.count("*").alias("rows"), F.count_distinct("node_id", "value").alias("rules"),
         F.min("start").alias("first"), F.max("start").alias("last")).collect()
-    patterns = stored.filter(F.col("kind") == "pattern").select("value").distinct() \
-        .limit(MAX_PATTERNS + 1).collect()
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} payload signatures")
 
-    lookups, hits = [], []
-    for group in sorted(groups, key=str):
-        kind, direction, many = group["kind"], group["direction"], group["many"]
-        chosen = stored.filter((F.col("kind") == kind) & (F.col("many") == many)
-                               & F.col("direction").eqNullSafe(direction))
-        # With slices this is an upper bound: disjoint intervals meet in one slice at most.
-        rows = group["rows"] + (group["rules"] * (TIME_SLICES + 1) if many else 0)
-        for value, pattern in _probes(kind, direction, patterns):
-            i = len(lookups)
-            mine = chosen if pattern is None else chosen.filter(F.col("value") == pattern)
-            parts = [F.col("node_id").cast("string"), F.col("value")]
-            probe = [F.col("node_id").cast("string"), value]
-            if many:
-                mine, slice_of = _sliced(mine, group["first"], group["last"])
-                parts.append(F.col("slice").cast("string"))
-                probe.append(slice_of("ts").cast("string"))
-            table = mine.select(_joined(parts).alias("key"), F.col("start").alias(f"_start_{i}"),
-                                F.col("end").alias(f"_end_{i}"))
-            start, end = F.col(f"_start_{i}"), F.col(f"_end_{i}")
-            in_force = (F.col("ts") >= start) & (end.isNull() | (F.col("ts") < end))
-            lookups.append(Lookup(_joined(probe), table, in_force, rows))
-            hits.append(start.isNotNull())
+    lookups, marks = [], {}
+    for group in sorted((g for g in groups if g["kind"] != "pattern"), key=str):
+        look, found = _interval_lookup(stored, group, packet_key(group["kind"], group["direction"]), len(lookups))
+        lookups.append(look)
+        marks.setdefault((group["kind"], group["direction"]), []).append(found)
+    hits = _signature_hits(df, stored, [g for g in groups if g["kind"] == "pattern"], broadcast_rows)
+    if hits is not None:
+        lookups.append(Lookup(F.col("packet_id").cast("string"), hits))
+        marks["pattern", None] = [F.col("_matched").isNotNull()]
     columns = df.columns
-    return look_up(df, lookups, broadcast_rows).withColumn("verdict", ~any_of(hits)).select(*columns, "verdict")
+    return look_up(df, lookups, broadcast_rows).withColumn("verdict", profile_ok(profile, RulesInForce(marks))) \
+        .select(*columns, "verdict")
+
+
+def _interval_lookup(stored: DataFrame, group, value: Column, i: int) -> tuple[Lookup, Column]:
+    """The lookup of a value in the intervals of one group, and whether it finds one."""
+    chosen = stored.filter((F.col("kind") == group["kind"]) & (F.col("many") == group["many"])
+                           & F.col("direction").eqNullSafe(group["direction"]))
+    parts = [F.col("node_id").cast("string"), F.col("value")]
+    probe = [F.col("node_id").cast("string"), value]
+    rows = group["rows"]
+    if group["many"]:
+        # An upper bound: disjoint intervals meet in one slice at most.
+        rows += group["rules"] * (TIME_SLICES + 1)
+        chosen, slice_of = _sliced(chosen, group["first"], group["last"])
+        parts.append(F.col("slice").cast("string"))
+        probe.append(slice_of("ts").cast("string"))
+    table = chosen.select(_joined(parts).alias("key"), F.col("start").alias(f"_start_{i}"),
+                          F.col("end").alias(f"_end_{i}"))
+    start, end = F.col(f"_start_{i}"), F.col(f"_end_{i}")
+    in_force = (F.col("ts") >= start) & (end.isNull() | (F.col("ts") < end))
+    return Lookup(_joined(probe), table, in_force, rows), start.isNotNull()
+
+
+def _signature_hits(df: DataFrame, stored: DataFrame, groups, broadcast_rows: int) -> DataFrame | None:
+    """Packets that match a signature in force: a table (key, _matched), or None without signatures."""
+    if not groups:
+        return None
+    patterns = sorted(r["value"] for r in stored.filter(F.col("kind") == "pattern").select("value").distinct().collect())
+    text = payload_text("payload")
+    parts = []
+    for at in range(0, len(patterns), SIGNATURES_JOINED):
+        part = patterns[at:at + SIGNATURES_JOINED]
+        each = F.array(*(F.when(text.rlike(signature(p, "full")), F.lit(p)) for p in part))
+        # Which of them it is asked only where one of them matches.
+        parts.append(F.when(any_of([text.rlike(p) for p in joined_signatures(part, "full")]), F.array_compact(each)))
+    matched = df.filter(F.col("proto").isin("TCP", "UDP")) \
+        .select("packet_id", "node_id", "ts", F.array(*parts).alias("_parts")) \
+        .select("packet_id", "node_id", "ts", F.explode(F.flatten(F.array_compact("_parts"))).alias("_signature"))
+    found, lookups = [], []
+    for group in sorted(groups, key=str):
+        look, own = _interval_lookup(stored, group, F.col("_signature"), len(lookups))
+        lookups.append(look)
+        found.append(own)
+    hits = look_up(matched, lookups, broadcast_rows).filter(any_of(found)).select(F.col("packet_id").cast("string").alias("key"))
+    return materialise(hits.distinct().withColumn("_matched", F.lit(True)), "matched")
 
 
 def _joined(parts: list[Column]) -> Column:
@@ -302,21 +412,8 @@ def _joined(parts: list[Column]) -> Column:
     return F.concat(*separated)
 
 
-def _probes(kind: str, direction: str | None, patterns):
-    """(value of the packet, signature) pairs; NULL values are not looked up."""
-    has_ports = F.col("proto").isin("TCP", "UDP")
-    if kind != "pattern":
-        value = packet_key(kind, direction)
-        return [(F.when(has_ports, value) if kind == "port" else value, None)]
-    text = payload_text("payload")
-    # Only packets that match a signature ask when it was in force.
-    return [(F.when(has_ports & text.rlike(signature(p, "full")), F.lit(p)), p)
-            for p in sorted(r["value"] for r in patterns)]
-
-
 def _counted_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
-    found = rule_intervals(rule_log, nodes).withColumn("value", rule_key()).filter(
-        F.col("kind").isin(*KINDS) & (F.col("kind") != "monitored_ip") & F.col("value").isNotNull())
+    found = rule_intervals(rule_log, nodes).filter(F.col("kind") != "monitored_ip")
     per_rule = F.count("*").over(Window.partitionBy("node_id", "kind", "direction", "value"))
     return found.withColumn("many", per_rule > MANY_INTERVALS)
 

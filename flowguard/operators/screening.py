@@ -42,8 +42,7 @@ def split_by_type(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
 
 def screen(df: DataFrame, profile: str, rules) -> DataFrame:
     """Add ``verdict``: whether the packet passes one profile."""
-    book = as_book(rules)
-    return book.detach(book.attach(df).withColumn("verdict", profile_ok(profile, book)))
+    return as_book(rules).add(df, verdict=lambda book: profile_ok(profile, book))
 
 
 def profile_by_level(df: DataFrame, level_profiles: dict[int, str], rules,
@@ -58,14 +57,16 @@ def profile_by_level(df: DataFrame, level_profiles: dict[int, str], rules,
     if nodes is not None:
         df = look_up(df, [Lookup(F.col("node_id").cast("string"),
                                  nodes.select(F.col("node_id").cast("string").alias("key"), "level"))])
-    df = book.attach(df)
-    verdict = None
-    for level, profile in sorted(level_profiles.items()):
-        ok = profile_ok(profile, book, level)
-        here = F.col("level") == level
-        verdict = F.when(here, ok) if verdict is None else verdict.when(here, ok)
-    verdict = F.lit(True) if verdict is None else verdict.otherwise(True)
-    return df.withColumn("verdict", verdict).select(*columns, *([] if nodes is None else ["level"]), "verdict")
+
+
+    def verdict(book):
+        out = None
+        for level, profile in sorted(level_profiles.items()):
+            here, ok = F.col("level") == level, profile_ok(profile, book, level)
+            out = F.when(here, ok) if out is None else out.when(here, ok)
+        return F.lit(True) if out is None else out.otherwise(True)
+
+    return book.add(df, verdict=verdict).select(*columns, *([] if nodes is None else ["level"]), "verdict")
 
 
 def split_verdict(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,19 +86,20 @@ def cascade(df: DataFrame, levels: dict[int, str] = DEFAULT_LEVELS, rules=None)
     NULL means that the packet passed all levels. All levels run in one narrow
     stage; a later level is not evaluated for a packet that is already dropped.
     """
-    book = as_book(rules)
-    dropped_at = None
-    for level, profile in sorted(levels.items()):
-        fails = ~profile_ok(profile, book, level)
-        dropped_at = F.when(fails, level) if dropped_at is None else dropped_at.when(fails, level)
-    return book.detach(book.attach(df).withColumn("dropped_at", dropped_at.cast("int")))
+    def dropped_at(book):
+        out = None
+        for level, profile in sorted(levels.items()):
+            fails = ~profile_ok(profile, book, level)
+            out = F.when(fails, level) if out is None else out.when(fails, level)
+        return out.cast("int")
+
+    return as_book(rules).add(df, dropped_at=dropped_at)
 
 
 def mark_monitored(df: DataFrame, rules) -> DataFrame:
     """Add ``monitored``: the packet comes from or goes to a watched address."""
-    book = as_book(rules)
-    watched = book.hit("monitored_ip", "src") | book.hit("monitored_ip", "dst")
-    return book.detach(book.attach(df).withColumn("monitored", watched))
+    return as_book(rules).add(
+        df, monitored=lambda book: book.hit("monitored_ip", "src") | book.hit("monitored_ip", "dst"))
 
 
 def mark_known_bad(df: DataFrame, bad_ips: DataFrame, out: str,

@@ -233,9 +233,16 @@ def p04_address_numbers(spark, d):
 
 @query
 def p04_address_match(spark, d):
-    # The same addresses in other spellings meet rules in normal form.
-    odd = traffic(spark, d).withColumn("src_ip", F.concat(
-        F.lit("::FFFF:"), F.regexp_replace("src_ip", "\\.([0-9])\\.", ".00$1.")))
+    # The same addresses in five other spellings meet rules in normal form.
+    octet = [F.split("src_ip", "[.]")[i].cast("int") for i in range(4)]
+    groups = F.concat(F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
+    zeros = F.regexp_replace("src_ip", "\\.([0-9])\\.", ".00$1.")
+    spelling = F.col("packet_id") % 5
+    odd = traffic(spark, d).withColumn("src_ip", F.when(spelling == 0, F.concat(F.lit("::FFFF:"), zeros))
+                                       .when(spelling == 1, F.concat(F.lit("::ffff:"), F.lower(groups)))
+                                       .when(spelling == 2, F.concat(F.lit("0:0:0:0:0:ffff:"), F.col("src_ip")))
+                                       .when(spelling == 3, F.concat(F.lit("0000:0::0:FFFF:"), groups))
+                                       .otherwise(zeros))
     return screening.screen(odd, "basic", derived_rules(spark, d)).select("packet_id", "verdict")
 
 
@@ -248,8 +255,7 @@ def p06_flag_rows(spark, d):
 
 def _passing(spark, d, check, *columns):
     book = rules.RuleBook.load(derived_rules(spark, d))
-    df = book.attach(traffic(spark, d))
-    return df.filter(check(book)).select("packet_id", *columns)
+    return book.add(traffic(spark, d), _passes=check).filter("_passes").select("packet_id", *columns)
 
 
 @query
@@ -348,24 +354,38 @@ def f15_monitored(spark, d):
 
 @query
 def j01_rules_as_of(spark, d):
-    return rules.rules_as_of(traffic(spark, d), derived_log(spark, d), network_nodes(spark, d)) \
+    return rules.rules_as_of(mixed_traffic(spark, d), derived_log(spark, d), network_nodes(spark, d)) \
+        .select("packet_id", "node_id", "verdict")
+
+
+@query
+def j01_rules_as_of_basic(spark, d):
+    return rules.rules_as_of(mixed_traffic(spark, d), derived_log(spark, d), network_nodes(spark, d), profile="basic") \
         .select("packet_id", "node_id", "verdict")
 
 
 @query
 def j01_rules_as_of_large_log(spark, d):
-    return rules.rules_as_of(traffic(spark, d), derived_log(spark, d), network_nodes(spark, d),
+    return rules.rules_as_of(mixed_traffic(spark, d), derived_log(spark, d), network_nodes(spark, d),
                              broadcast_rows=0).select("packet_id", "node_id", "verdict")
 
 
 @query
 def j02_current_rules(spark, d):
-    return rules.current_rules(derived_log(spark, d))
+    return rules.current_rules(derived_log(spark, d), network_nodes(spark, d))
 
 
 @query
 def j03_expand_scope(spark, d):
-    return rules.expand_scope(rules.current_rules(derived_log(spark, d)), network_nodes(spark, d))
+    # The same rules as intervals that have not ended.
+    intervals = rules.rule_intervals(derived_log(spark, d), network_nodes(spark, d))
+    return intervals.filter("end IS NULL").select("node_id", "kind", "direction", "value")
+
+
+@query
+def j03_addressed_rules(spark, d):
+    both = derived_rules(spark, d).unionByName(small_rules(spark))
+    return rules.expand_scope(rules.normal_rules(both), network_nodes(spark, d))
 
 
 def _passed(spark, d):

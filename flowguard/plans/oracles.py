@@ -159,38 +159,46 @@ CLASSIC = sql(
              WHERE d.dimension IN ('src_ip', 'dst_ip') GROUP BY d.node_id, d.dimension, d.key, d.win""",
           "node_id, dimension, key", "win", 1.5, 3, keep=", closed"))
 
-# The state of a rule at a packet's time is the last change of that rule, or
-# reset, that reached the packet's node no later than the packet.
-RULES_AS_OF = sql(
-    """SELECT packet_id, node_id, packet_id NOT IN (
-         SELECT packet_id FROM states GROUP BY packet_id, kind, direction, value
-         HAVING arg_max(op, seq) = 'add') AS verdict FROM packets""",
-    "packets", "nodes", "rule_log",
-    more="""node_log AS (
-        SELECT n.node_id, l.* EXCLUDE (scope) FROM rule_log l JOIN nodes n
-          ON l.scope IN ('all', 'level:' || n.level, 'node:' || n.node_id)),
-      signatures AS (SELECT DISTINCT value FROM node_log WHERE kind = 'pattern'),
-      probes AS (
-        SELECT packet_id, node_id, ts, 'ip' AS kind, 'src' AS direction, src_ip AS value FROM packets
-        UNION ALL SELECT packet_id, node_id, ts, 'port', 'dst', CAST(dst_port AS VARCHAR) FROM packets
-          WHERE proto IN ('TCP', 'UDP')
-        UNION ALL SELECT packet_id, node_id, ts, 'flags', NULL, CAST(flag_mask AS VARCHAR) FROM packets
-          WHERE proto = 'TCP'
-        UNION ALL SELECT packet_id, node_id, ts, 'pattern', NULL, s.value FROM packets, signatures s
-          WHERE proto IN ('TCP', 'UDP') AND regexp_full_match(payload, s.value)),
-      states AS (
-        SELECT p.packet_id, p.kind, p.direction, p.value, l.seq, l.op FROM probes p JOIN node_log l
-          ON l.node_id = p.node_id AND l.kind = p.kind AND l.value = p.value
-          AND l.direction IS NOT DISTINCT FROM p.direction AND l.ts <= p.ts
-        UNION ALL SELECT p.packet_id, p.kind, p.direction, p.value, l.seq, l.op FROM probes p JOIN node_log l
-          ON l.node_id = p.node_id AND l.op = 'reset' AND l.ts <= p.ts)""")
-
-CURRENT_RULES = """current_rules AS (
-    SELECT scope, kind, direction, value FROM (
-      SELECT *, row_number() OVER (PARTITION BY scope, kind, direction, value ORDER BY seq DESC) AS newest
-      FROM rule_log WHERE op <> 'reset') l
-    WHERE newest = 1 AND op = 'add' AND seq > coalesce((SELECT max(seq) FROM rule_log r
-      WHERE r.op = 'reset' AND (r.scope = l.scope OR r.scope = 'all')), -1))"""
+# A change or reset reaches the nodes of its scope.
+NODE_LOG = """node_log AS (
+    SELECT n.node_id, l.* EXCLUDE (scope) FROM rule_log l JOIN nodes n
+      ON l.scope IN ('all', 'level:' || n.level, 'node:' || n.node_id))"""
+
+
+def rules_as_of(profile: str, table: str = "mixed") -> str:
+    """The state of a rule at a packet's time is the last change of that rule, or reset, that reached the packet's
+    node no later than the packet. A profile asks for some kinds of rules only."""
+    kinds = "'ip', 'port', 'flags'" + (", 'pattern'" if profile == "full" else "")
+    unknown = "false" if profile == "full" else "true"
+    return sql(
+        f"""SELECT packet_id, node_id, CASE WHEN proto IN ('IP', 'TCP', 'UDP') THEN packet_id NOT IN (
+             SELECT packet_id FROM states WHERE kind IN ({kinds}) GROUP BY packet_id, kind, direction, value
+             HAVING arg_max(op, seq) = 'add') ELSE {unknown} END AS verdict FROM {table}""",
+        table, "nodes", "rule_log",
+        more=NODE_LOG + f""",
+          signatures AS (SELECT DISTINCT value FROM node_log WHERE kind = 'pattern'),
+          probes AS (
+            SELECT packet_id, node_id, ts, 'ip' AS kind, 'src' AS direction, src_ip AS value FROM {table}
+            UNION ALL SELECT packet_id, node_id, ts, 'port', 'dst', CAST(dst_port AS VARCHAR) FROM {table}
+              WHERE proto IN ('TCP', 'UDP')
+            UNION ALL SELECT packet_id, node_id, ts, 'flags', NULL, CAST(flag_mask AS VARCHAR) FROM {table}
+              WHERE proto = 'TCP'
+            UNION ALL SELECT packet_id, node_id, ts, 'pattern', NULL, s.value FROM {table}, signatures s
+              WHERE proto IN ('TCP', 'UDP') AND regexp_full_match(payload, s.value)),
+          states AS (
+            SELECT p.packet_id, p.kind, p.direction, p.value, l.seq, l.op FROM probes p JOIN node_log l
+              ON l.node_id = p.node_id AND l.kind = p.kind AND l.value = p.value
+              AND l.direction IS NOT DISTINCT FROM p.direction AND l.ts <= p.ts
+            UNION ALL SELECT p.packet_id, p.kind, p.direction, p.value, l.seq, l.op FROM probes p JOIN node_log l
+              ON l.node_id = p.node_id AND l.op = 'reset' AND l.ts <= p.ts)""")
+
+
+# What packets would meet after the whole log: of all that reached a node, no reset and no removal came after an add.
+CURRENT_RULES = sql(
+    """SELECT DISTINCT node_id, kind, direction, value FROM node_log a WHERE op = 'add' AND NOT EXISTS (
+         SELECT 1 FROM node_log b WHERE b.node_id = a.node_id AND b.seq > a.seq AND (b.op = 'reset' OR (
+           b.op = 'remove' AND b.kind = a.kind AND b.direction IS NOT DISTINCT FROM a.direction AND b.value = a.value)))""",
+    "nodes", "rule_log", more=NODE_LOG)
 
 
 def evaluation(run: str) -> str:
@@ -221,7 +229,7 @@ ESCALATION = f"""rounds AS (
 def oracle_sql() -> dict[str, str]:
     scan = sql(f"SELECT {PACKET_COLUMNS} FROM packets", "packets")
     first = sql("SELECT packet_id, ts, src_ip FROM packets ORDER BY ts, packet_id LIMIT 5000", "packets")
-    as_of = RULES_AS_OF
+    as_of = rules_as_of("full")
     counts_of_windows = sql(
         "SELECT node_id, win, dimension, key, count(*) AS n FROM dimension_rows WHERE dimension <> 'flag' GROUP BY ALL",
         "packets", more=COUNT_WINDOWS + ", "
@@ -284,9 +292,13 @@ def oracle_sql() -> dict[str, str]:
                              "packets", "small_rules"),
         "j01_rules_as_of": as_of,
         "j01_rules_as_of_large_log": as_of,
-        "j02_current_rules": sql("SELECT * FROM current_rules", "rule_log", more=CURRENT_RULES),
-        "j03_expand_scope": sql("""SELECT n.node_id, kind, direction, value FROM current_rules r JOIN nodes n
-            ON r.scope IN ('all', 'level:' || n.level, 'node:' || n.node_id)""", "rule_log", "nodes", more=CURRENT_RULES),
+        "j01_rules_as_of_basic": rules_as_of("basic"),
+        "j02_current_rules": CURRENT_RULES,
+        "j03_expand_scope": CURRENT_RULES,
+        "j03_addressed_rules": sql("""SELECT n.node_id, kind,
+            CASE WHEN kind IN ('ip', 'port', 'monitored_ip') THEN coalesce(direction, 'src') END AS direction, value
+            FROM both_rules r JOIN nodes n ON r.scope IN ('all', 'level:' || n.level, 'node:' || n.node_id)""",
+            "both_rules", "nodes"),
         "j04_leaked": sql("""SELECT packet_id, src_ip FROM cascaded
             WHERE dropped_at IS NULL AND src_ip IN (SELECT ip FROM bad)""", "cascaded", "bad"),
         "a01_src_ip_hits": hits("src_ip"),
@@ -371,7 +383,7 @@ def oracle_sql() -> dict[str, str]:
         "t06_stream_escalation": sql("""SELECT kind, key, node_id, round, hits, escalated FROM escalation
             WHERE round < (SELECT max(round) FROM rounds)""",
                                      "routed", more=ESCALATION),
-        "t07_stream_rule_log": as_of,
+        "t07_stream_rule_log": rules_as_of("full", "packets"),
         "t08_stream_outputs": sql("""SELECT CASE WHEN dropped_at IS NULL THEN 'passed' ELSE 'reports' END AS output,
             packet_id FROM cascaded UNION ALL SELECT 'leaked', packet_id FROM cascaded
             WHERE dropped_at IS NULL AND src_ip IN (SELECT ip FROM bad)""", "cascaded", "bad"),

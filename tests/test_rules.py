@@ -8,7 +8,10 @@ from fixtures import START, nodes, packet, packets, rule_log, rules
 from flowguard.operators import lookup
 from flowguard.operators import rules as rules_module
 from flowguard.operators.lookup import Lookup, look_up
-from flowguard.operators.rules import RuleBook, current_rules, expand_scope, rule_intervals, rules_as_of
+from flowguard.functions import checks
+from flowguard.operators.rules import (RuleBook, current_rules, expand_scope, rejected_rules, rule_intervals,
+                                       rules_as_of)
+from flowguard.operators.screening import screen
 
 DAY = 86_400
 
@@ -30,9 +33,69 @@ def test_intervals_ignore_repeats_and_end_at_reset(spark):
 def test_current_rules(spark):
     log = rule_log(spark, (1, 0, "all", "add", "ip", "src", "a"), (2, 1, "all", "remove", "ip", "src", "a"),
                    (3, 2, "node:1", "add", "port", None, "5"), (4, 3, "node:2", "add", "port", "dst", "6"),
-                   (5, 4, "node:1", "reset", None, None, None), (6, 5, "node:1", "add", "flags", None, "7"))
-    assert {tuple(r) for r in current_rules(log).collect()} == {
-        ("node:2", "port", "dst", "6"), ("node:1", "flags", None, "7")}
+                   (5, 4, "node:1", "reset", None, None, None), (6, 5, "node:01", "add", "flags", None, "7"),
+                   (7, 6, "zone:1", "add", "flags", None, "8"), (8, 7, "all", "add", "port", "both", "9"))
+    here = nodes(spark, (1, 0), (2, 1))
+    assert {tuple(r) for r in current_rules(log, here).collect()} == {
+        (2, "port", "dst", "6"), (1, "flags", None, "7")}
+
+
+def test_resets_and_removals_of_a_node_reach_rules_for_all(spark):
+    log = rule_log(spark, (1, 0, "all", "add", "ip", "src", "10.0.0.1"), (2, 1, "node:2", "remove", "ip", "src", "::ffff:a00:1"),
+                   (3, 2, "level:1", "reset", None, None, None))
+    here = nodes(spark, (1, 0), (2, 0), (3, 1))
+    assert {tuple(r) for r in current_rules(log, here).collect()} == {(1, "ip", "src", "10.0.0.1")}
+    open_ = rule_intervals(log, here).filter("end IS NULL")
+    assert [r["node_id"] for r in open_.collect()] == [1]
+
+
+ODD_RULES = [("zone:0", "port", "src", "1000"), ("node:01", "port", "src", "1001"), (None, "port", "src", "1002"),
+             ("all", "port", "both", "1003"), ("level:x", "ip", "src", "10.0.0.1"), ("all", "port", None, "01004"),
+             ("node:2", "flags", "both", "7"), ("all", "port", "dst", "x"), ("all", "speed", None, "1"),
+             ("all", "ip", None, "::ffff:a00:5"), ("node:", "port", "src", "1006")]
+
+
+@pytest.mark.parametrize("inline_rows", [0, 1, 2000])
+def test_a_rule_means_the_same_at_any_size(spark, inline_rows):
+    rows = [packet(i, src_port=1000 + i, node_id=1) for i in range(8)] \
+        + [packet(10, src_ip="10.0.0.5"), packet(11, src_ip="10.0.0.1"), packet(12, flag_mask=7, node_id=2)]
+    book = RuleBook.load(rules(spark, *ODD_RULES), inline_rows=inline_rows)
+    got = screen(packets(spark, rows), "full", book).filter("NOT verdict")
+    assert {r["packet_id"] for r in got.collect()} == {1, 4, 10, 12}
+    rejected = rejected_rules(rules(spark, *ODD_RULES)).collect()
+    assert sorted(r["reason"] for r in rejected) == ["direction", "kind", "scope", "scope", "scope", "scope", "value"]
+
+
+def test_only_the_sets_that_a_check_reads_are_joined(spark):
+    table = rules(spark, *[("all", "port", d, str(i)) for d in ("src", "dst") for i in range(50)],
+                  *[("all", "ip", "src", f"10.0.0.{i}") for i in range(50)])
+    book = RuleBook.load(table, inline_rows=0)
+    df = packets(spark, [packet(0)])
+    joins = lambda out: out._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(screen(df, "dpi", book)) == 0
+    assert joins(book.add(df, ok=lambda b: checks.port_ok(b, "src"))) == 1
+    assert joins(screen(df, "basic", book)) == 3
+
+
+def test_many_signatures(spark):
+    patterns = [f"attack {i} .*" for i in range(12_000)] + [r"(x)\1", "(?i)quiet", r"\Qa.b\E"]
+    rows = [packet(0, payload="attack 7 now"), packet(1, payload="attack 11999 x"), packet(2, payload="attack 12000 x"),
+            packet(3, payload="xx"), packet(4, payload="QUIET"), packet(5, payload="a.b"), packet(6, payload="acb"),
+            packet(7, payload="an attack 7 now"), packet(8, payload=None)]
+    df = packets(spark, rows)
+    book = RuleBook.load(rules(spark, *[("all", "pattern", None, p) for p in patterns]))
+    assert {r["packet_id"] for r in screen(df, "dpi", book).filter("NOT verdict").collect()} == {0, 1, 3, 4, 5}
+    log = rule_log(spark, *[(i, -1, "all", "add", "pattern", None, p) for i, p in enumerate(patterns)])
+    late = rules_as_of(df, log, nodes(spark, (1, 0)))
+    assert {r["packet_id"] for r in late.filter("NOT verdict").collect()} == {0, 1, 3, 4, 5}
+
+
+def test_profiles_over_time(spark):
+    log = rule_log(spark, (1, -1, "all", "add", "ip", "src", "192.168.1.1"))
+    df = packets(spark, [packet(0), packet(1, proto="ICMP"), packet(2, src_ip="10.0.0.1")])
+    passed = lambda profile: {r["packet_id"] for r in rules_as_of(df, log, nodes(spark, (1, 0)), profile=profile)
+                              .filter("verdict").collect()}
+    assert passed("full") == {2} and passed("basic") == {1, 2} and passed("dpi") == {0, 1, 2}
 
 
 def test_expand_scope(spark):
