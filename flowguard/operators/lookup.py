@@ -28,6 +28,15 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if fits_broadcast(table, rows) else table
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, on: Iterable[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, where NULL meets NULL; the columns are those of ``df``."""
+    on = list(on)
+    other = other.withColumnsRenamed({c: f"_other_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in on]
+    joined = df.join(other, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_other_{c}" for c in on))
+
+
 @dataclass
 class Lookup:
     """A table to be looked up by one text key.

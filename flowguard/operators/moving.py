@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DETECTION_FLOOR, DETECTION_RATIO
+from .lookup import null_safe_join
 
 
 def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float | Column = DETECTION_RATIO,
@@ -37,8 +38,8 @@ def cma(counts: DataFrame, key: Iterable[str], order: str, ratio: float | Column
         counts = counts.withColumn("_average", F.lit(None).cast("bigint")) \
             .withColumn("_points", F.lit(None).cast("bigint"))
     else:
-        counts = counts.join(state.select(*key, F.col("cma").alias("_average"), F.col("points").alias("_points")),
-                             key, "left")
+        counts = null_safe_join(counts, state.select(
+            *key, F.col("cma").alias("_average"), F.col("points").alias("_points")), key, "left")
     numbered = counts.select(*key, order, F.col(value).cast("bigint").alias(value),
                              step.alias("_step"), "_average", "_points")
     added = ("prior", "cma", "points")

@@ -8,10 +8,6 @@ from ..schema import PACKET_ORDER
 from ..session import scratch_path
 from .lookup import bounded
 
-# Up to this many rows, a plain top-k merge is cheaper than numbering.
-TOP_K_ROWS = 100_000
-
-
 def number_rows(df: DataFrame, by=(), order=PACKET_ORDER) -> DataFrame:
     """Add ``idx``, the 0-based position within ``by``, and ``total`` rows of it.
 
@@ -48,15 +44,13 @@ def number_rows(df: DataFrame, by=(), order=PACKET_ORDER) -> DataFrame:
             .select(*df.columns, "idx", "total"))
 
 
-def take_packets(df: DataFrame, n: int, order=PACKET_ORDER, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """The first ``n`` packets in the given order.
+def take_packets(df: DataFrame, n: int, order=PACKET_ORDER) -> DataFrame:
+    """The first ``n`` packets in the given order, as a set of rows.
 
-    Small ``n`` is a top-k merge. For large ``n`` a count per minute finds the
-    minute in which packet ``n`` lies, and only packets up to it are numbered.
+    A count per minute finds the minute in which packet ``n`` lies, and only
+    packets up to it are numbered, whatever ``n`` is.
     """
     order = list(order)
-    if n <= top_k_rows:
-        return df.orderBy(*order).limit(n)
     minute = slot_of(order[0], 60)
     per_minute = df.groupBy(minute.alias("_minute")).agg(F.count("*").alias("_rows"))
     reached = F.sum("_rows").over(Window.orderBy("_minute"))

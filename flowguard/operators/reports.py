@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import HIT_KINDS, REPORT_KINDS, ROUND_SECONDS
+from .lookup import null_safe_join
 from .windows import round_number
 
 
@@ -31,8 +32,14 @@ def report_hits(reports: DataFrame) -> DataFrame:
 
 
 def report_matrix(reports: DataFrame, nodes: Iterable[int]) -> DataFrame:
-    """Per (kind, key), one column of hits for each node of the given list."""
-    columns = [F.sum((F.col("node_id") == n).cast("bigint")).alias(f"node_{n}") for n in nodes]
+    """Per (kind, key), one column of hits for each node of the given list, and ``node_other`` for all others.
+
+    Reports of unlisted nodes, and those without a node, count in ``node_other``.
+    """
+    nodes = list(nodes)
+    columns = [F.count_if(F.col("node_id") == n).alias(f"node_{n}") for n in nodes]
+    other = ~F.coalesce(F.col("node_id").isin(*nodes), F.lit(False))
+    columns.append(F.count_if(other).alias("node_other"))
     return _routed(reports).groupBy("kind", "key").agg(*columns)
 
 
@@ -67,5 +74,5 @@ def flag_reports(reports: DataFrame, round_seconds: float = ROUND_SECONDS, t0_mi
     first = F.min(F.struct("ts", "packet_id")).alias("_first")
     escalating = _rounds(routed, round_seconds, t0_micros, first).filter("escalated") \
         .select(*_REPORTED, F.col("_first.packet_id").alias("packet_id"), "escalated")
-    return routed.join(escalating, [*_REPORTED, "packet_id"], "left") \
+    return null_safe_join(routed, escalating, [*_REPORTED, "packet_id"], "left") \
         .withColumn("escalated", F.coalesce("escalated", F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packet import slot_of
 from ..operators.counts import dimension_rows
+from ..operators.lookup import null_safe_join
 from ..operators.moving import cma
 from ..operators.screening import reached
 from ..operators.windows import count_windows, sliding_counts
@@ -45,8 +46,19 @@ def detect_by_level(cascaded: DataFrame, detectors: dict[int, str | int], **para
 
     Packets that a level drops are still counted there. Adds ``level``.
     """
-    found = [detect(cascaded.filter(reached(level)), detector, **params).withColumn("level", F.lit(level))
-             for level, detector in sorted(detectors.items())]
+    by_detector: dict[str, list[int]] = {}
+    for level, detector in detectors.items():
+        by_detector.setdefault(DETECTOR_BY_VERBOSITY.get(detector, detector), []).append(level)
+    found = []
+    for detector, levels in sorted(by_detector.items()):
+        if detector in _BY_LEVEL:
+            # One pass for all levels of a detector: a packet counts once at each level that it reached.
+            seen = F.filter(F.array(*(F.when(reached(n), F.lit(n)) for n in sorted(levels))), lambda n: n.isNotNull())
+            copies = cascaded.withColumn("level", F.explode(seen))
+            found.append(detect(copies, detector, by=("level", "node_id"), **params))
+        else:
+            found += [detect(cascaded.filter(reached(n)), detector, **params).withColumn("level", F.lit(n))
+                      for n in levels]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -59,40 +71,48 @@ def _report_type() -> Column:
 
 
 def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float | Column = DETECTION_RATIO,
-                   floor: int = DETECTION_FLOOR, dimensions: Iterable[str] = TESTED) -> DataFrame:
-    """Jumps between count windows of each node.
+                   floor: int = DETECTION_FLOOR, dimensions: Iterable[str] = TESTED,
+                   by: Iterable[str] = ("node_id",)) -> DataFrame:
+    """Jumps between count windows of each node, or of each group of the columns ``by``.
 
     Reports carry the window, the count, the average before it, and the time of
     the packet that closed the window.
     """
-    dimensions = list(dimensions)
-    needed = dict.fromkeys([*PACKET_ORDER, "node_id", "proto", *_columns(dimensions)])
-    windows = count_windows(df.select(*needed), size)
-    counts = dimension_rows(windows, ["node_id", "win"], dimensions) \
-        .groupBy("node_id", "win", "dimension", "key").agg(F.count("*").alias("n"))
-    alerts = cma(counts, ["node_id", "dimension", "key"], "win", ratio, floor).filter("alert")
+    dimensions, by = list(dimensions), list(by)
+    needed = dict.fromkeys([*PACKET_ORDER, *by, "proto", *_columns(dimensions)])
+    windows = count_windows(df.select(*needed), size, by)
+    counts = dimension_rows(windows, [*by, "win"], dimensions) \
+        .groupBy(*by, "win", "dimension", "key").agg(F.count("*").alias("n"))
+    alerts = cma(counts, [*by, "dimension", "key"], "win", ratio, floor).filter("alert")
     # Only alerts need the closing time, so only they are joined with it.
-    closings = windows.groupBy("node_id", "win").agg(F.max("ts").alias("ts"))
-    return alerts.join(closings, ["node_id", "win"]).select(
-        "node_id", "ts", "win", _report_type().alias("report_type"), "key", "n", "prior")
+    closings = windows.groupBy(*by, "win").agg(F.max("ts").alias("ts"))
+    return null_safe_join(alerts, closings, [*by, "win"]).select(
+        *by, "ts", "win", _report_type().alias("report_type"), "key", "n", "prior")
 
 
 def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: int = WINDOW_SLOTS,
                    ratio: float | Column = DETECTION_RATIO, floor: int = DETECTION_FLOOR,
                    dimensions: Iterable[str] = TESTED, zero_tail: bool = True,
-                   t0_micros: int = 0) -> DataFrame:
-    """Jumps between sliding time windows of each node.
+                   t0_micros: int = 0, by: Iterable[str] = ("node_id",)) -> DataFrame:
+    """Jumps between sliding time windows of each node, or of each group of the columns ``by``.
 
     ``win`` is the last slot of the window, ``ts`` the time at which it ends.
     """
-    rows = dimension_rows(df, ["node_id", "ts"], list(dimensions))
-    group = ["node_id", "dimension", "key"]
-    last_slot = df.select(F.max(slot_of("ts", slot_seconds, t0_micros))).scalar()
+    by = list(by)
+    rows = dimension_rows(df, [*by, "ts"], list(dimensions))
+    group = [*by, "dimension", "key"]
+    slot = F.max(slot_of("ts", slot_seconds, t0_micros))
+    if "level" in by:
+        # The last slot of each level, of which there are few.
+        last = {r["level"]: r["last"] for r in df.groupBy("level").agg(slot.alias("last")).collect()}
+        last_slot = reduce(lambda a, n: a.when(F.col("level") == n, F.lit(last[n])), last, F.when(F.lit(False), 0))
+    else:
+        last_slot = df.select(slot).scalar()
     counts = sliding_counts(rows, group, slot_seconds, n_slots, zero_tail, t0_micros, last_slot)
     alerts = cma(counts, group, "end_slot", ratio, floor).filter("alert")
     length = int(round(slot_seconds * 1_000_000))
     ends = F.timestamp_micros((F.col("end_slot") + 1) * F.lit(length).cast("bigint") + t0_micros)
-    return alerts.select("node_id", ends.alias("ts"), F.col("end_slot").alias("win"),
+    return alerts.select(*by, ends.alias("ts"), F.col("end_slot").alias("win"),
                          _report_type().alias("report_type"), "key", "n", "prior")
 
 
@@ -109,3 +129,6 @@ def _columns(dimensions: list[str]) -> list[str]:
 register_detector("off", detect_off)
 register_detector("classic", detect_classic)
 register_detector("sliding", detect_sliding)
+
+# Detectors that can group by level as well.
+_BY_LEVEL = ("classic", "sliding")

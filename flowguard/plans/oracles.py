@@ -243,7 +243,8 @@ def oracle_sql() -> dict[str, str]:
         "s01_packet_scan": scan,
         "s02_packet_stream": scan,
         "s03_take_packets": first,
-        "s03_take_packets_numbered": first,
+        "s03_take_packets_numbered": first.replace("LIMIT 5000", "LIMIT 150000"),
+        "s04_rule_log": sql("SELECT * FROM rule_log", "rule_log"),
         "s05_report_sink": sql(f"""SELECT packet_id, node_id, 6 AS report_type, src_ip AS key FROM packets p
             WHERE NOT {basic()} UNION ALL SELECT packet_id, node_id, report_type, key FROM reports""",
             "small_rules", "reports"),
@@ -323,7 +324,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE dropped_at IS NULL AND src_ip IN (SELECT ip FROM bad)""", "cascaded", "bad"),
         "a11_report_hits": sql("SELECT kind, key, node_id, count(*) AS hits FROM routed GROUP BY ALL", "routed"),
         "a12_report_matrix": sql("SELECT kind, key, " + ", ".join(
-            f"count(*) FILTER (node_id = {n}) AS node_{n}" for n in range(8)) + " FROM routed GROUP BY kind, key", "routed"),
+            f"count(*) FILTER (node_id = {n}) AS node_{n}" for n in range(6))
+            + ", count(*) FILTER (node_id IS NULL OR node_id NOT BETWEEN 0 AND 5) AS node_other FROM routed GROUP BY kind, key", "routed"),
         "a13_route_reports": sql("""SELECT r.packet_id, r.report_type, k.kind FROM reports r
             LEFT JOIN routed k ON k.packet_id = r.packet_id""", "routed"),
         "a14_evaluate": sql(evaluation("run-1"), "cascaded", "bad"),
@@ -366,22 +368,20 @@ def oracle_sql() -> dict[str, str]:
         "w14_window_length": sql("""SELECT node_id, slot,
             coalesce((slot - lag(slot, 2) OVER (PARTITION BY node_id ORDER BY slot)) * 3600 = 7200, false) AS ok
             FROM (SELECT DISTINCT node_id, epoch_us(ts) // 3600000000 AS slot FROM packets) x""", "packets"),
-        "w15_detector_by_level": "SELECT *, CAST(2 AS INT) AS level FROM (" + sliding_alerts(
-            "'src_ip', 'dst_ip'", 1.5, 3, "(SELECT * FROM cascaded WHERE dropped_at IS NULL OR dropped_at >= 2)",
-            ("cascaded",)) + ") x",
+        "w15_detector_by_level": " UNION ALL ".join(
+            f"SELECT *, CAST({level} AS INT) AS level FROM (" + sliding_alerts(
+                "'src_ip', 'dst_ip'", 1.5, 3, f"(SELECT * FROM cascaded WHERE dropped_at IS NULL OR dropped_at >= {level})",
+                ("cascaded",)) + ") x" for level in range(3)),
         "w16_ratio_per_node": sliding_alerts("'dst_port'", "CASE WHEN node_id < 4 THEN 1.5 ELSE 3.0 END", 3),
         "w16_ratio": sliding_alerts("'dst_port'", 2.5, 3),
         "t01_stream_cascade": sql("SELECT packet_id, node_id, dropped_at FROM cascaded", "cascaded"),
-        # A window is written once the latest packet has passed its end.
         "t02_stream_sliding_counts": sql("""SELECT src_ip, slot + o AS end_slot, CAST(sum(n) AS BIGINT) AS n
-            FROM src_days, range(2) r(o) WHERE slot + o < (SELECT max(slot) FROM src_days) GROUP BY ALL""", "src_days"),
+            FROM src_days, range(2) r(o) GROUP BY ALL""", "src_days"),
         "t03_stream_rounds": sql(f"""SELECT kind, key, node_id, {REPORT_ROUND} AS round, count(*) AS hits FROM routed
-            WHERE {REPORT_ROUND} < (SELECT max({REPORT_ROUND}) FROM routed) GROUP BY ALL""", "routed"),
-        "t04_stream_cma": sql("""SELECT src_ip, slot, n, prior, cma, alert FROM avg
-            WHERE slot < (SELECT max(slot) FROM src_days)""", "src_days", more=avg_src(1.5, 3)),
+            GROUP BY ALL""", "routed"),
+        "t04_stream_cma": sql("""SELECT src_ip, slot, n, prior, cma, alert FROM avg""", "src_days", more=avg_src(1.5, 3)),
         "t05_stream_count_windows": counts_of_windows,
-        "t06_stream_escalation": sql("""SELECT kind, key, node_id, round, hits, escalated FROM escalation
-            WHERE round < (SELECT max(round) FROM rounds)""",
+        "t06_stream_escalation": sql("""SELECT kind, key, node_id, round, hits, escalated FROM escalation""",
                                      "routed", more=ESCALATION),
         "t07_stream_rule_log": rules_as_of("full", "packets"),
         "t08_stream_outputs": sql("""SELECT CASE WHEN dropped_at IS NULL THEN 'passed' ELSE 'reports' END AS output,

@@ -1,4 +1,4 @@
 from .counted import stream_count_windows
-from .run import (latest_counters, run_counters, run_stream, run_with_rule_log, write_stream)
+from .run import (closing_packet, late_rows, latest_counters, run_counters, run_stream, run_with_rule_log, write_stream)
 from .stateful import stream_cma
 from .windows import running_counters, stream_escalation, stream_rounds, stream_sliding_counts

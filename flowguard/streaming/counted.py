@@ -9,12 +9,17 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.packet import div
 from ..operators.counts import DIMENSIONS, dimension_rows
-from ..operators.lookup import Lookup, bounded, look_up
+from ..operators.lookup import Lookup, bounded, look_up, null_safe_join
 from ..operators.ordering import number_rows
 from ..schema import COUNT_WINDOW, PACKET_ORDER
 from .run import per_batch, write_batch
 
 
+def _node_key():
+    """The node as a text key; packets without a node are a group as well."""
+    return F.coalesce(F.col("node_id").cast("string"), F.lit("none"))
+
+
 def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoint: str,
                          size: int = COUNT_WINDOW, dimensions: Iterable[str] = DIMENSIONS,
                          available_now: bool = False) -> StreamingQuery:
@@ -37,8 +42,8 @@ def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoi
         totals = numbered.groupBy("node_id").agg(F.max("total").alias("seen"))
         if batch_id > 0:
             seen = spark.read.parquet(f"{state_path}/seen/batch={batch_id - 1}")
-            earlier = seen.select(F.col("node_id").cast("string").alias("key"), F.col("seen").alias("_before"))
-            numbered = look_up(numbered, [Lookup(F.col("node_id").cast("string"), earlier)])
+            earlier = seen.select(_node_key().alias("key"), F.col("seen").alias("_before"))
+            numbered = look_up(numbered, [Lookup(_node_key(), earlier)])
             totals = totals.unionByName(seen).groupBy("node_id").agg(F.sum("seen").alias("seen"))
         else:
             numbered = numbered.withColumn("_before", F.lit(0))
@@ -51,7 +56,7 @@ def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoi
             counts = counts.unionByName(open_before).groupBy(*counts_key).agg(F.sum("n").alias("n"))
         write_batch(totals, f"{state_path}/seen", batch_id)
         seen_now = spark.read.parquet(f"{state_path}/seen/batch={batch_id}")
-        counts = counts.join(bounded(seen_now), "node_id").persist(StorageLevel.MEMORY_AND_DISK)
+        counts = null_safe_join(counts, bounded(seen_now), ["node_id"]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             done = F.col("win") < div(F.col("seen"), size)
             write_batch(counts.filter(done).drop("seen"), path, batch_id)

@@ -7,6 +7,7 @@ when the batch is replayed.
 
 import re
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..operators.rules import rules_as_of
 from ..operators.screening import as_book, cascade, drop_reports, leaked
-from ..schema import DEFAULT_LEVELS
+from ..schema import DEFAULT_LEVELS, PACKET
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -98,6 +99,26 @@ def run_with_rule_log(packets: DataFrame, read_log: Callable[[], DataFrame],
     return per_batch(packets, step, checkpoint, available_now)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query has dropped as too late, over the progress that it still holds.
+
+    A windowed count combines the packets of one task, window and key before
+    it looks at their time, so these count as one row.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for op in progress["stateOperators"])
+
+
+def closing_packet(spark: SparkSession, **fields) -> DataFrame:
+    """One packet so late that it closes every window before it, as the last file of a bounded stream.
+
+    Its own windows stay open, so that it is never counted. ``fields`` replace
+    its NULLs where a stream keeps only some packets.
+    """
+    row = {"packet_id": -1, "ts": datetime(9000, 1, 1), "proto": "IP", **fields}
+    return spark.createDataFrame([tuple(row.get(name) for name in PACKET.fieldNames())], PACKET)
+
+
 def run_counters(counters: DataFrame, path: str, checkpoint: str,
                  available_now: bool = False) -> StreamingQuery:
     """Write running counters (one row per node) after every micro-batch."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
+from ..operators.lookup import null_safe_join
 from ..operators.moving import cma
 from ..schema import DETECTION_FLOOR, DETECTION_RATIO, SLOT_SECONDS
 from .run import earlier_batch, per_batch, write_batch
@@ -21,11 +22,12 @@ from .windows import stream_sliding_counts
 
 def stream_cma(stream: DataFrame, keys: Iterable[str], path: str, state_path: str, checkpoint: str,
                slot_seconds: float = SLOT_SECONDS, ratio: float = DETECTION_RATIO,
-               floor: int = DETECTION_FLOOR, delay: str = "0 seconds",
+               floor: int = DETECTION_FLOOR, delay: str | None = None,
                available_now: bool = False) -> StreamingQuery:
     """Write one row per key and closed slot: keys, slot, n, prior, cma, alert.
 
-    A slot closes when the watermark passes its end. The averages reached so far
+    A slot closes when the watermark passes its end; packets may be late by
+    ``delay``, one slot unless it says otherwise. The averages reached so far
     are a table (keys, cma, points) per micro-batch that closed a slot.
     """
     keys = list(keys)
@@ -48,7 +50,7 @@ def stream_cma(stream: DataFrame, keys: Iterable[str], path: str, state_path: st
             reached = folded.groupBy(*keys).agg(
                 F.max_by("cma", "slot").alias("cma"), F.max("points").alias("points"))
             if before is not None:
-                reached = reached.unionByName(before.join(reached.select(*keys), keys, "left_anti"))
+                reached = reached.unionByName(null_safe_join(before, reached.select(*keys), keys, "left_anti"))
             write_batch(reached, state_path, batch_id)
         finally:
             folded.unpersist()

@@ -1,7 +1,10 @@
 """Windowed and running counts on streams.
 
 State is bounded by a watermark on event time: a window is written once, when
-the watermark has passed its end, and later packets for it are dropped.
+the watermark has passed its end. Packets may be late by ``delay``, which is one
+slot or round unless it says otherwise; later ones are dropped and counted
+(``late_rows``). What is open when a bounded stream ends is written if the input
+ends with a ``closing_packet``.
 """
 
 from collections.abc import Iterable
@@ -20,19 +23,19 @@ def _interval(seconds: float) -> str:
 
 
 def stream_sliding_counts(stream: DataFrame, keys: Iterable[str], slot_seconds: float = SLOT_SECONDS,
-                          n_slots: int = WINDOW_SLOTS, delay: str = "0 seconds") -> DataFrame:
+                          n_slots: int = WINDOW_SLOTS, delay: str | None = None) -> DataFrame:
     """Hits per key in sliding windows; ``end_slot`` as in the batch form."""
     window = F.window("ts", _interval(slot_seconds * n_slots), _interval(slot_seconds))
-    counts = stream.withWatermark("ts", delay).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
+    counts = stream.withWatermark("ts", delay or _interval(slot_seconds)).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
     length = int(round(slot_seconds * 1_000_000))
     return counts.select(*keys, (div(micros(F.col("w.end")), length) - 1).alias("end_slot"), "n")
 
 
 def stream_rounds(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
-                  delay: str = "0 seconds") -> DataFrame:
+                  delay: str | None = None) -> DataFrame:
     """Reports per (kind, key, node) and round."""
     routed = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS))
-    counts = routed.withWatermark("ts", delay) \
+    counts = routed.withWatermark("ts", delay or _interval(round_seconds)) \
         .groupBy(F.window("ts", _interval(round_seconds)).alias("w"), "kind", "key", "node_id") \
         .agg(F.count("*").alias("hits"))
     length = int(round(round_seconds * 1_000_000))
@@ -41,7 +44,7 @@ def stream_rounds(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
 
 
 def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
-                      delay: str = "0 seconds") -> DataFrame:
+                      delay: str | None = None) -> DataFrame:
     """Per (kind, key, node) and round: its hits, and whether it escalates.
 
     A window of two rounds that advances by one sees a round together with the
@@ -49,7 +52,7 @@ def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
     """
     routed = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS))
     window = F.window("ts", _interval(2 * round_seconds), _interval(round_seconds))
-    pairs = routed.withWatermark("ts", delay).select(window.alias("w"), "kind", "key", "node_id", "ts")
+    pairs = routed.withWatermark("ts", delay or _interval(round_seconds)).select(window.alias("w"), "kind", "key", "node_id", "ts")
     length = int(round(round_seconds * 1_000_000))
     in_round = micros("ts") >= micros(F.col("w.end")) - length
     counts = pairs.groupBy("w", "kind", "key", "node_id").agg(

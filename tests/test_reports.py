@@ -38,8 +38,9 @@ def test_totals_and_unknown_codes_are_no_hits(spark):
 
 def test_matrix(spark):
     df = reports(spark, (0, 1, 1, "80"), (0, 1, 1, "80"), (0, 3, 1, "80"), (0, 2, 3, "a"))
-    got = {(r["kind"], r["key"]): (r["node_1"], r["node_2"], r["node_3"]) for r in report_matrix(df, [1, 2, 3]).collect()}
-    assert got == {("port", "80"): (2, 0, 1), ("ip", "a"): (0, 1, 0)}
+    df = df.union(reports(spark, (0, 9, 1, "80"), (0, None, 1, "80")))
+    got = {(r["kind"], r["key"]): tuple(r)[2:] for r in report_matrix(df, [1, 2, 3]).collect()}
+    assert got == {("port", "80"): (2, 0, 1, 2), ("ip", "a"): (0, 1, 0, 0)}
 
 
 def test_escalation_against_steps(spark):

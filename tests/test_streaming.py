@@ -12,7 +12,7 @@ from flowguard.operators.reports import escalate
 from flowguard.operators.windows import count_windows, slot_counts
 from flowguard.session import scratch_path
 from flowguard.sources.packets import packet_stream
-from flowguard.streaming import (latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
+from flowguard.streaming import (closing_packet, late_rows, latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
                                  stream_cma, stream_count_windows, stream_escalation, stream_sliding_counts,
                                  write_stream)
 from flowguard.streaming.run import earlier_batch, write_batch
@@ -35,8 +35,11 @@ def source(spark, rows, files):
     return path
 
 
-def stream(spark, rows, files):
-    return packet_stream(spark, source(spark, rows, files), files_per_trigger=1)
+def stream(spark, rows, files, closed=False):
+    path = source(spark, rows, files)
+    if closed:
+        closing_packet(spark, node_id=1, src_ip="10.0.0.0").write.mode("append").parquet(path)
+    return packet_stream(spark, path, files_per_trigger=1)
 
 
 def drained(df):
@@ -60,12 +63,12 @@ def averaged(df, *parameters, **options):
 @pytest.mark.parametrize("files", [1, 5])
 def test_stream_cma_equals_batch(spark, files):
     rows = traffic()
-    got = averaged(stream(spark, rows, files), 1.2, 2)
+    for row in rows[::7]:
+        row["src_ip"] = None  # a key like any other
+    got = averaged(stream(spark, rows, files, closed=True), 1.2, 2)
     batch = cma(slot_counts(packets(spark, rows), ["src_ip"], 30), ["src_ip"], "slot", 1.2, 2)
-    last = max(r["ts"] for r in rows)
-    closed = F.timestamp_micros((F.col("slot") + 1) * 30_000_000) <= F.lit(last)
     columns = ("src_ip", "slot", "n", "prior", "cma", "alert")
-    assert rowset(got, *columns) == rowset(batch.filter(closed), *columns)
+    assert rowset(got, *columns) == rowset(batch, *columns)
     assert got.filter("alert").count() > 0
 
 
@@ -79,6 +82,20 @@ def test_packets_within_the_delay_still_count(spark):
     assert [(r["n"], r["prior"], r["cma"]) for r in got.orderBy("slot").collect()] == [(3, None, 3), (2, 3, 2), (1, 2, 1)]
 
 
+def test_late_packets_are_counted(spark):
+    path = scratch_path(spark, "source")
+    for i, part in enumerate([[1, 2], [500], [501], [3, 4, 490]]):
+        packets(spark, [packet(10 * i + j, s) for j, s in enumerate(part)]).coalesce(1).write.mode("append").parquet(path)
+    closing_packet(spark, src_ip="x").write.mode("append").parquet(path)
+    out = scratch_path(spark, "out")
+    query = write_stream(stream_sliding_counts(packet_stream(spark, path, 1), ["src_ip"], 30, 1), out,
+                         scratch_path(spark, "commits"), available_now=True)
+    query.awaitTermination()
+    # Both late packets of one window and key reach the state as one row.
+    assert late_rows(query) == 1
+    assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [2, 3]
+
+
 def test_replayed_batch_does_not_count_twice(spark):
     state = scratch_path(spark, "state")
     for batch in (0, 2, 3):
@@ -91,6 +108,8 @@ def test_replayed_batch_does_not_count_twice(spark):
 @pytest.mark.parametrize("files", [1, 4])
 def test_stream_count_windows_equal_batch(spark, files):
     rows = traffic()
+    for row in rows[::3]:
+        row["node_id"] = None
     out = scratch_path(spark, "out")
     stream_count_windows(stream(spark, rows, files), out, scratch_path(spark, "state"), scratch_path(spark, "commits"),
                          size=25, dimensions=["src_ip", "dst_port"], available_now=True).awaitTermination()
@@ -107,19 +126,17 @@ def as_reports(df):
 @pytest.mark.parametrize("files", [1, 5])
 def test_stream_escalation_equals_batch(spark, files):
     rows = traffic(n=60, span=3000)
-    got = drained(stream_escalation(as_reports(stream(spark, rows, files))))
+    got = drained(stream_escalation(as_reports(stream(spark, rows, files, closed=True))))
     columns = ("kind", "key", "node_id", "round", "hits", "escalated")
     batch = escalate(as_reports(packets(spark, rows)))
-    last = max(r["ts"] for r in rows)
-    closed = F.timestamp_micros((F.col("round") + 1) * 60_000_000) <= F.lit(last)
-    assert rowset(got, *columns) == rowset(batch.filter(closed), *columns)
+    assert rowset(got, *columns) == rowset(batch, *columns)
     assert len({r[-1] for r in rowset(got, *columns)}) == 2
 
 
 def test_stream_sliding_counts_in_many_batches(spark):
     rows = traffic()
-    one = drained(stream_sliding_counts(stream(spark, rows, 1), ["src_ip"]))
-    many = drained(stream_sliding_counts(stream(spark, rows, 6), ["src_ip"]))
+    one = drained(stream_sliding_counts(stream(spark, rows, 1, closed=True), ["src_ip"]))
+    many = drained(stream_sliding_counts(stream(spark, rows, 6, closed=True), ["src_ip"]))
     columns = ("src_ip", "end_slot", "n")
     assert rowset(one, *columns) == rowset(many, *columns) != []
 
