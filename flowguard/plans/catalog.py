@@ -17,8 +17,8 @@ from ..session import pin_utc, scratch_path
 from ..sources import packets as scans
 from ..sources import sinks
 from ..streaming import (closing_packet, latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
-                         stream_cma, stream_count_windows, stream_escalation, stream_rounds,
-                         stream_sliding_counts, write_stream)
+                         stream_classic_detector, stream_cma, stream_count_windows, stream_escalation, stream_rounds,
+                         stream_sliding_counts, stream_sliding_detector, write_stream)
 from . import detectors, evaluation
 
 DAY = 86_400
@@ -678,6 +678,32 @@ def t09_running_counters(spark, d):
     return latest_counters(spark.read.parquet(out))
 
 
+@query
+def t10_stream_sliding_detector(spark, d):
+    out = scratch_path(spark, "out")
+    stream_sliding_detector(ordered_stream(spark, d), out, scratch_path(spark, "averages"), scratch_path(spark, "commits"),
+                            DAY, 2, RATIO, FLOOR, available_now=True).awaitTermination()
+    return zoneless(spark.read.parquet(out).drop("batch"))
+
+
+@query
+def t11_stream_classic_detector(spark, d):
+    out = scratch_path(spark, "out")
+    stream_classic_detector(ordered_stream(spark, d, closed=False), out, scratch_path(spark, "state"),
+                            scratch_path(spark, "commits"), SIZE, RATIO, FLOOR, available_now=True).awaitTermination()
+    return zoneless(spark.read.parquet(out).drop("batch"))
+
+
+@query
+def t12_stream_detector_rounds(spark, d):
+    # Reports of a running detector, in rounds and escalated as they come.
+    out = scratch_path(spark, "out")
+    stream_sliding_detector(ordered_stream(spark, d), out, scratch_path(spark, "averages"), scratch_path(spark, "commits"),
+                            DAY, 2, RATIO, FLOOR, available_now=True).awaitTermination()
+    found = spark.read.parquet(out).drop("batch").withColumn("packet_id", F.xxhash64("node_id", "win", "report_type", "key"))
+    return reports.escalate(found, 2 * DAY)
+
+
 # Plug-ins
 
 @query

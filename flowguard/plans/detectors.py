@@ -62,7 +62,8 @@ def detect_by_level(cascaded: DataFrame, detectors: dict[int, str | int], **para
     return reduce(DataFrame.unionByName, found)
 
 
-def _report_type() -> Column:
+def report_type() -> Column:
+    """The report code of a jump in a tested dimension."""
     out = None
     for dimension, code in _REPORT_TYPES.items():
         match = F.col("dimension") == dimension
@@ -87,7 +88,7 @@ def detect_classic(df: DataFrame, size: int = COUNT_WINDOW, ratio: float | Colum
     # Only alerts need the closing time, so only they are joined with it.
     closings = windows.groupBy(*by, "win").agg(F.max("ts").alias("ts"))
     return null_safe_join(alerts, closings, [*by, "win"]).select(
-        *by, "ts", "win", _report_type().alias("report_type"), "key", "n", "prior")
+        *by, "ts", "win", report_type().alias("report_type"), "key", "n", "prior")
 
 
 def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: int = WINDOW_SLOTS,
@@ -113,7 +114,7 @@ def detect_sliding(df: DataFrame, slot_seconds: float = SLOT_SECONDS, n_slots: i
     length = int(round(slot_seconds * 1_000_000))
     ends = F.timestamp_micros((F.col("end_slot") + 1) * F.lit(length).cast("bigint") + t0_micros)
     return alerts.select(*by, ends.alias("ts"), F.col("end_slot").alias("win"),
-                         _report_type().alias("report_type"), "key", "n", "prior")
+                         report_type().alias("report_type"), "key", "n", "prior")
 
 
 def detect_off(df: DataFrame, **_params) -> DataFrame:

@@ -128,21 +128,21 @@ COUNT_WINDOWS = """numbered AS (
   windows AS (SELECT *, idx // 100 AS win FROM numbered WHERE idx < (total // 100) * 100)"""
 
 
-def zero_tail(key: str, table: str, slots: int) -> str:
-    """Counts per window as a running counter would report them."""
+def zero_tail(key: str, table: str, slots: int, running: bool = False) -> str:
+    """Counts per window as a running counter would report them, to the last slot of the data or beyond it."""
     picked = ", ".join(f"s.{k}" for k in key.split(", "))
     return f"""per_slot AS (SELECT {key}, {DAY_SLOT} AS slot, count(*) AS n FROM {table} GROUP BY ALL),
     sliding AS (SELECT {picked}, slot + o AS end_slot,
         CAST(sum(CASE WHEN o < {slots} THEN n ELSE 0 END) AS BIGINT) AS n
       FROM per_slot s, range({slots + 1}) r(o)
-      WHERE slot + o <= (SELECT max(slot) FROM per_slot) GROUP BY ALL)"""
+      WHERE {running} OR slot + o <= (SELECT max(slot) FROM per_slot) GROUP BY ALL)"""
 
 
 def sliding_alerts(dimensions: str, ratio: float | str, floor: int, source: str = "packets",
-                   names: tuple = ("packets",)) -> str:
+                   names: tuple = ("packets",), running: bool = False) -> str:
     more = DIMENSION_ROWS.format(t=source) + f""",
       tested AS (SELECT * FROM dimension_rows WHERE dimension IN ({dimensions})),
-      """ + zero_tail("node_id, dimension, key", "tested", 2) + ", " + \
+      """ + zero_tail("node_id, dimension, key", "tested", 2, running) + ", " + \
         cma("SELECT * FROM sliding", "node_id, dimension, key", "end_slot", ratio, floor)
     return sql("""SELECT node_id, make_timestamp((end_slot + 1) * 86400000000) AS ts, end_slot AS win,
         CAST(CASE dimension WHEN 'src_ip' THEN 3 WHEN 'dst_ip' THEN 4 ELSE 1 END AS INT) AS report_type, key, n, prior
@@ -391,6 +391,12 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (dropped_at IS NOT NULL) AS dropped,
             count(*) FILTER (dropped_at IS NULL AND src_ip IN (SELECT ip FROM bad)) AS leaked
             FROM cascaded GROUP BY node_id""", "cascaded", "bad"),
+        "t10_stream_sliding_detector": sliding_alerts("'src_ip', 'dst_ip'", 1.5, 3, running=True),
+        "t11_stream_classic_detector": CLASSIC,
+        "t12_stream_detector_rounds": f"""SELECT *, coalesce(lag(round) OVER (PARTITION BY kind, key, node_id ORDER BY round)
+              = round - 1, false) AS escalated
+            FROM (SELECT 'ip' AS kind, key, node_id, epoch_us(ts) // 172800000000 AS round, count(*) AS hits
+              FROM ({sliding_alerts("'src_ip', 'dst_ip'", 1.5, 3, running=True)}) a GROUP BY ALL) r""",
         "u01_custom_profile": sql(f"""SELECT packet_id, CAST(CASE WHEN {hit('ip', 'src', level='0')}
             OR {hit('port', 'src', level='0')} THEN 0 WHEN NOT {dpi(level='1')} THEN 1 END AS INT) AS dropped_at
             FROM packets p""", "packets", "small_rules"),

@@ -1,6 +1,6 @@
 """Count windows over a stream."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +20,15 @@ def _node_key():
     return F.coalesce(F.col("node_id").cast("string"), F.lit("none"))
 
 
-def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoint: str,
+def stream_count_windows(stream: DataFrame, path: str | None, state_path: str, checkpoint: str,
                          size: int = COUNT_WINDOW, dimensions: Iterable[str] = DIMENSIONS,
-                         available_now: bool = False) -> StreamingQuery:
+                         available_now: bool = False,
+                         completed: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Write hits (node_id, win, dimension, key, n) of every completed window.
 
+    ``completed`` is handed the same rows of each micro-batch with ``ts``, the
+    time of the last packet that hit the key in the window.
+
     The state between micro-batches is two small tables per batch: how many
     packets each node has had, and the counts of its open window (one window of
     packets per node at most). Numbering and counting a batch are distributed,
@@ -49,17 +53,21 @@ def stream_count_windows(stream: DataFrame, path: str, state_path: str, checkpoi
             numbered = numbered.withColumn("_before", F.lit(0))
         position = F.col("idx") + F.coalesce("_before", F.lit(0))
         rows = dimension_rows(numbered.withColumn("win", div(position, size)),
-                              ["node_id", "win"], dimensions)
-        counts = rows.groupBy(*counts_key).agg(F.count("*").alias("n"))
+                              ["node_id", "win", "ts"], dimensions)
+        counts = rows.groupBy(*counts_key).agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
         if batch_id > 0:
             open_before = spark.read.parquet(f"{state_path}/open/batch={batch_id - 1}")
-            counts = counts.unionByName(open_before).groupBy(*counts_key).agg(F.sum("n").alias("n"))
+            counts = counts.unionByName(open_before).groupBy(*counts_key) \
+                .agg(F.sum("n").alias("n"), F.max("ts").alias("ts"))
         write_batch(totals, f"{state_path}/seen", batch_id)
         seen_now = spark.read.parquet(f"{state_path}/seen/batch={batch_id}")
         counts = null_safe_join(counts, bounded(seen_now), ["node_id"]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             done = F.col("win") < div(F.col("seen"), size)
-            write_batch(counts.filter(done).drop("seen"), path, batch_id)
+            if path is not None:
+                write_batch(counts.filter(done).drop("seen", "ts"), path, batch_id)
+            if completed is not None:
+                completed(counts.filter(done).drop("seen"), batch_id)
             write_batch(counts.filter(~done).drop("seen"), f"{state_path}/open", batch_id)
         finally:
             counts.unpersist()

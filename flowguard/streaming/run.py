@@ -9,7 +9,6 @@ import re
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,17 +39,14 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def earlier_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The newest table written before this batch, or None; a replay ignores its own."""
-    try:
-        files = spark.read.parquet(path).inputFiles()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    batches = {int(found[1]) for found in (re.search(r"/batch=(\d+)/", name) for name in files) if found}
-    earlier = [b for b in batches if b < batch_id]
-    return spark.read.parquet(f"{path}/batch={max(earlier)}") if earlier else None
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the ``batch=<n>`` folders in a folder; its files are not listed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(folder))
+    return sorted(int(found[1]) for found in (re.fullmatch(r"batch=(\d+)", name) for name in names) if found)
 
 
 def run_stream(packets: DataFrame, rules, sinks: dict[str, str], checkpoint: str,

@@ -18,15 +18,16 @@ from ..operators.screening import cascade, mark_known_bad
 from ..schema import DEFAULT_LEVELS, HIT_KINDS, ROUND_SECONDS, SLOT_SECONDS, WINDOW_SLOTS
 
 
-def _interval(seconds: float) -> str:
+def interval(seconds: float) -> str:
+    """A length of time as Spark's windows take it."""
     return f"{int(round(seconds * 1_000_000))} microseconds"
 
 
 def stream_sliding_counts(stream: DataFrame, keys: Iterable[str], slot_seconds: float = SLOT_SECONDS,
                           n_slots: int = WINDOW_SLOTS, delay: str | None = None) -> DataFrame:
     """Hits per key in sliding windows; ``end_slot`` as in the batch form."""
-    window = F.window("ts", _interval(slot_seconds * n_slots), _interval(slot_seconds))
-    counts = stream.withWatermark("ts", delay or _interval(slot_seconds)).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
+    window = F.window("ts", interval(slot_seconds * n_slots), interval(slot_seconds))
+    counts = stream.withWatermark("ts", delay or interval(slot_seconds)).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
     length = int(round(slot_seconds * 1_000_000))
     return counts.select(*keys, (div(micros(F.col("w.end")), length) - 1).alias("end_slot"), "n")
 
@@ -35,8 +36,8 @@ def stream_rounds(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
                   delay: str | None = None) -> DataFrame:
     """Reports per (kind, key, node) and round."""
     routed = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS))
-    counts = routed.withWatermark("ts", delay or _interval(round_seconds)) \
-        .groupBy(F.window("ts", _interval(round_seconds)).alias("w"), "kind", "key", "node_id") \
+    counts = routed.withWatermark("ts", delay or interval(round_seconds)) \
+        .groupBy(F.window("ts", interval(round_seconds)).alias("w"), "kind", "key", "node_id") \
         .agg(F.count("*").alias("hits"))
     length = int(round(round_seconds * 1_000_000))
     return counts.select("kind", "key", "node_id",
@@ -51,8 +52,8 @@ def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
     one before, so the look back needs no state beyond that of the window.
     """
     routed = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS))
-    window = F.window("ts", _interval(2 * round_seconds), _interval(round_seconds))
-    pairs = routed.withWatermark("ts", delay or _interval(round_seconds)).select(window.alias("w"), "kind", "key", "node_id", "ts")
+    window = F.window("ts", interval(2 * round_seconds), interval(round_seconds))
+    pairs = routed.withWatermark("ts", delay or interval(round_seconds)).select(window.alias("w"), "kind", "key", "node_id", "ts")
     length = int(round(round_seconds * 1_000_000))
     in_round = micros("ts") >= micros(F.col("w.end")) - length
     counts = pairs.groupBy("w", "kind", "key", "node_id").agg(

@@ -15,7 +15,10 @@ from flowguard.sources.packets import packet_stream
 from flowguard.streaming import (closing_packet, late_rows, latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
                                  stream_cma, stream_count_windows, stream_escalation, stream_sliding_counts,
                                  write_stream)
-from flowguard.streaming.run import earlier_batch, write_batch
+from flowguard.plans.detectors import detect_classic, detect_sliding
+from flowguard.streaming import stateful, stream_classic_detector, stream_sliding_detector
+from flowguard.streaming.run import batches_of
+from flowguard.streaming.stateful import fold_closed
 
 
 def traffic(n=300, seed=5, span=600):
@@ -97,12 +100,43 @@ def test_late_packets_are_counted(spark):
 
 
 def test_replayed_batch_does_not_count_twice(spark):
-    state = scratch_path(spark, "state")
-    for batch in (0, 2, 3):
-        write_batch(spark.range(batch, batch + 1), state, batch)
-    assert earlier_batch(spark, state, 0) is None
-    assert earlier_batch(spark, scratch_path(spark, "none"), 1) is None
-    assert [earlier_batch(spark, state, b).first()[0] for b in (1, 2, 3, 4)] == [0, 0, 2, 3]
+    state, out = scratch_path(spark, "state"), {}
+    closed = lambda slot: spark.createDataFrame([("a", slot, 10 * (slot + 1))], "key string, slot long, n long")
+    write = lambda folded, batch: out.update({batch: folded.collect()[0]})
+    for batch in (0, 2, 2, 3, 5, 5):
+        fold_closed(closed(batch), batch, ["key"], "slot", 1.5, 0, state, write)
+    assert {b: (r["prior"], r["cma"]) for b, r in out.items()} == {0: (None, 10), 2: (10, 20), 3: (20, 26), 5: (26, 34)}
+    assert batches_of(spark, state) == [0, 2, 3, 5] and batches_of(spark, scratch_path(spark, "none")) == []
+
+
+def test_changes_are_gathered_in_full_versions(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "FULL_EVERY", 2)
+    rows = traffic()
+    got = averaged(stream(spark, rows, 6, closed=True), 1.2, 2)
+    batch = cma(slot_counts(packets(spark, rows), ["src_ip"], 30), ["src_ip"], "slot", 1.2, 2)
+    columns = ("src_ip", "slot", "n", "prior", "cma", "alert")
+    assert rowset(got, *columns) == rowset(batch, *columns)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_detectors_equal_batch(spark, files):
+    rows = traffic(n=400)
+    for i, row in enumerate(rows):
+        row["node_id"] = None if i % 5 == 0 else row["node_id"]
+    columns = ("node_id", "ts", "win", "report_type", "key", "n", "prior")
+    out = scratch_path(spark, "out")
+    stream_sliding_detector(stream(spark, rows, files, closed=True), out, scratch_path(spark, "state"),
+                            scratch_path(spark, "commits"), 30, 2, 1.2, 2, available_now=True).awaitTermination()
+    last = max(r["ts"] for r in rows)
+    batch = detect_sliding(packets(spark, rows), 30, 2, 1.2, 2)
+    # A batch ends with the data, a stream goes on until all hits have left.
+    got = spark.read.parquet(out).filter(F.col("ts") <= F.lit(last) + F.expr("INTERVAL 30 SECONDS"))
+    assert rowset(got, *columns) == rowset(batch, *columns) != []
+
+    out = scratch_path(spark, "out")
+    stream_classic_detector(stream(spark, rows, files), out, scratch_path(spark, "state"), scratch_path(spark, "commits"),
+                            25, 1.2, 2, available_now=True).awaitTermination()
+    assert rowset(spark.read.parquet(out), *columns) == rowset(detect_classic(packets(spark, rows), 25, 1.2, 2), *columns) != []
 
 
 @pytest.mark.parametrize("files", [1, 4])
