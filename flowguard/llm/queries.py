@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exactdedup, langid, licenses, linededup, neardup, packing, secrets, sharding, vectors
+from .common import LOWER, UPPER
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -30,6 +31,50 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_SQL["op8_exact_dedup"] = f"""
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+      doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents) x
+    WINDOW same AS (PARTITION BY t)"""
+
+# All pairs, and all vectors that links reach.
+_SQL["op7_vector_near_dup"] = """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+      reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT id, b FROM reach JOIN links ON a = r)
+    SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(r) AS component_id,
+      min(r) = id AS kept
+    FROM reach GROUP BY id"""
+
+
+def _secrets_sql() -> str:
+    """Matches and what lies between them, as lists; places are sums of lengths."""
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    rules = ", ".join(f"({i}, '{r.kind}', {quoted(r.pattern)}, {r.value}, {r.least}, {str(r.base).lower()})"
+                      for i, r in enumerate(secrets.RULES))
+    per_rule = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS rule, string_split_regex(t, {quoted(r.pattern)}) AS apart,
+              regexp_extract_all(t, {quoted(r.pattern)}, 0) AS found, regexp_extract_all(t, {quoted(r.pattern)}, {r.value}) AS val
+            FROM texts""" for i, r in enumerate(secrets.RULES))
+    joined = lambda where: f"""coalesce(string_agg(kind || ':' || (ends - size) || ':' || ends, ',' ORDER BY ends - size, rule)
+        {where}, '')"""
+    counts = ", ".join(f"count(*) FILTER (rule = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.RULES) if r.base)
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      rules AS (SELECT * FROM (VALUES {rules}) r(rule, kind, pattern, val, least, base)),
+      lists AS ({per_rule}),
+      places AS (SELECT doc_id, rule, unnest(range(1, len(found) + 1)) AS i, apart, found, val FROM lists),
+      spans AS (SELECT p.doc_id, r.kind, r.base, p.rule, length(found[i]) AS size,
+          CAST(list_sum([length(x) for x in apart[1:i]]) + list_sum([length(x) for x in found[1:i]]) AS BIGINT) AS ends
+        FROM places p JOIN rules r ON r.rule = p.rule WHERE length(p.val[i]) >= r.least)
+    SELECT d.doc_id, {counts}, sha256({joined("FILTER (base)")}) AS base_sha256, {joined("FILTER (kind IS NOT NULL)")} AS spans
+    FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+_SQL["op6_secrets"] = _secrets_sql()
+
+
 @query
 def op1_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
