@@ -1,14 +1,15 @@
 """Blacklist rules: current sets, scopes, and rules that change over time."""
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import profile_ok
+from ..functions.checks import profile_names, profile_ok
 from ..functions.packet import div, ip_key, ip_key_sql, payload_text
+from ..schema import DEFAULT_LEVELS, PROFILE_BY_VERBOSITY
 from ..session import materialise
 from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up
 
@@ -272,34 +273,37 @@ def _wipes() -> Column:
     return F.col("op").isin("reset", "profile")
 
 
-def expand_scope(rules: DataFrame, nodes: DataFrame) -> DataFrame:
+def expand_scope(rules: DataFrame, nodes: DataFrame, by: Iterable[str] = ("node_id",)) -> DataFrame:
     """One row per (node, rule): scopes ``all``, ``level:n`` and ``node:n`` resolved.
 
-    ``nodes`` lists each node once, with its level; it is the broadcast side
+    ``nodes`` lists each node once, with its level, or each node at each of
+    several levels with ``by`` naming both columns; it is the broadcast side
     when its counted size allows.
     """
+    by = list(by)
     scopes = F.array(F.lit("all"), F.concat(F.lit("level:"), F.col("level").cast("string")),
                      F.concat(F.lit("node:"), F.col("node_id").cast("string")))
-    addressed = nodes.select("node_id", F.explode(scopes).alias("scope"))
+    addressed = nodes.select(*by, F.explode(scopes).alias("scope"))
     joined = rules.join(bounded(addressed), "scope")
-    return joined.select("node_id", *[c for c in rules.columns if c != "scope"])
+    return joined.select(*by, *[c for c in rules.columns if c != "scope"])
 
 
-def rule_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Times ``[start, end)`` in which each rule is in force at each node.
+def rule_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] = ("node_id",)) -> DataFrame:
+    """Times ``[start, end)`` in which each rule is in force at each node (or at each of the places ``by`` names).
 
     Rules are sets: adding a rule twice or removing an absent one changes
     nothing. A ``reset`` ends every interval of its nodes. ``end`` is NULL while
     a rule is still in force. Intervals of one (node, rule) never overlap.
     """
-    log = expand_scope(_normal_log(rule_log), nodes)
+    by = list(by)
+    log = expand_scope(_normal_log(rule_log), nodes, by)
     is_reset = _wipes()
     # Read backwards, the reset that follows a change is the last one seen.
-    backwards = Window.partitionBy("node_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    backwards = Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     next_reset = F.last(F.when(is_reset, F.struct("seq", "ts")), ignorenulls=True).over(backwards)
     changes = log.withColumn("_wipe", next_reset).filter(~is_reset)
 
-    rule = ["node_id", "kind", "direction", "value"]
+    rule = [*by, "kind", "direction", "value"]
     history = Window.partitionBy(*rule).orderBy("seq")
     before = F.lag(F.struct("op", F.col("_wipe.seq").alias("wipe"))).over(history)
     changes = changes.withColumn("_before", before)
@@ -311,6 +315,22 @@ def rule_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
             .filter(F.col("end").isNull() | (F.col("start") < F.col("end"))))
 
 
+def profile_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] = ("node_id",)) -> DataFrame:
+    """Times ``[start, end)`` in which a log's ``profile`` changes hold: (by..., profile, start, end).
+
+    The value is a profile's name or verbosity number; a change to an unknown
+    one still wipes the rules, but leaves the profile as it is.
+    """
+    by = list(by)
+    names = {**{str(n): name for n, name in PROFILE_BY_VERBOSITY.items()}, **{name: name for name in profile_names()}}
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    changes = expand_scope(_normal_log(rule_log).filter(F.col("op") == "profile"), nodes, by) \
+        .withColumn("profile", F.try_element_at(F.create_map(*pairs), F.col("value"))).filter("profile IS NOT NULL")
+    following = F.lead("ts").over(Window.partitionBy(*by).orderBy("seq"))
+    return changes.select(*by, "profile", F.col("ts").alias("start"), following.alias("end")) \
+        .filter(F.col("end").isNull() | (F.col("start") < F.col("end")))
+
+
 # A rule with more intervals than this is looked up by time slice as well.
 MANY_INTERVALS = 64
 TIME_SLICES = 1024
@@ -343,23 +363,72 @@ def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, broadcast_
     signatures they match at once, and meet the packets again by ``packet_id``,
     which is therefore to be unique.
     """
-    stored = materialise(_counted_intervals(rule_log, nodes), "intervals")
-    groups = stored.groupBy("kind", "direction", "many").agg(
+    stored = materialise(_counted_intervals(rule_log, nodes, ["node_id"]), "intervals")
+    lookups: list[Lookup] = []
+    marks = _marks(df, stored, _interval_groups(stored), lookups, broadcast_rows)
+    columns = df.columns
+    return look_up(df, lookups, broadcast_rows).withColumn("verdict", profile_ok(profile, RulesInForce(marks))) \
+        .select(*columns, "verdict")
+
+
+def cascade_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, levels: dict[int, str] = DEFAULT_LEVELS,
+                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add ``dropped_at``: the first level that stops the packet under what holds there at the packet's time.
+
+    Every node runs all levels. At each of them hold the rules and the profile
+    that the log has set for all, for the level or for the node; before a
+    ``profile`` change a level runs the profile that ``levels`` gives it. Such
+    a change also wipes the rules. NULL means that the packet passed.
+    """
+    by, columns = ["node_id", "level"], df.columns
+    every = F.array(*(F.lit(n) for n in sorted(levels)))
+    places = nodes.select("node_id").distinct().withColumn("level", F.explode(every))
+    stored = materialise(_counted_intervals(rule_log, places, by), "intervals")
+    profiles = materialise(profile_intervals(rule_log, places, by), "profiles")
+    groups = _interval_groups(stored, "level")
+    ever = {(r["level"], r["profile"]) for r in profiles.select("level", "profile").distinct().collect()}
+
+    lookups: list[Lookup] = []
+    dropped_at = None
+    for level, default in sorted(levels.items()):
+        book = RulesInForce(_marks(df, stored.filter(F.col("level") == level),
+                                   [g for g in groups if g["level"] == level], lookups, broadcast_rows))
+        default = PROFILE_BY_VERBOSITY.get(default, default)
+        ok = profile_ok(default, book)
+        named = sorted(name for n, name in ever if n == level)
+        if named:
+            start, end, name = F.col(f"_from_{level}"), F.col(f"_to_{level}"), F.col(f"_profile_{level}")
+            table = profiles.filter(F.col("level") == level).select(
+                F.col("node_id").cast("string").alias("key"), F.col("start").alias(f"_from_{level}"),
+                F.col("end").alias(f"_to_{level}"), F.col("profile").alias(f"_profile_{level}"))
+            lookups.append(Lookup(F.col("node_id").cast("string"), table,
+                                  (F.col("ts") >= start) & (end.isNull() | (F.col("ts") < end))))
+            ok = reduce(lambda out, n: F.when(name == n, profile_ok(n, book)).otherwise(out), named, ok)
+        dropped_at = F.when(~ok, level) if dropped_at is None else dropped_at.when(~ok, level)
+    return look_up(df, lookups, broadcast_rows).withColumn("dropped_at", dropped_at.cast("int")) \
+        .select(*columns, "dropped_at")
+
+
+def _interval_groups(stored: DataFrame, *by: str) -> list:
+    """Sizes and times of the intervals of each kind, direction and form."""
+    return stored.groupBy(*by, "kind", "direction", "many").agg(
         F.count("*").alias("rows"), F.count_distinct("node_id", "value").alias("rules"),
         F.min("start").alias("first"), F.max("start").alias("last")).collect()
 
-    lookups, marks = [], {}
+
+def _marks(df: DataFrame, stored: DataFrame, groups: list, lookups: list[Lookup], broadcast_rows: int) -> dict:
+    """Conditions under which a rule of each kind hits a packet, over columns that the added lookups bring."""
+    marks: dict = {}
     for group in sorted((g for g in groups if g["kind"] != "pattern"), key=str):
         look, found = _interval_lookup(stored, group, packet_key(group["kind"], group["direction"]), len(lookups))
         lookups.append(look)
         marks.setdefault((group["kind"], group["direction"]), []).append(found)
     hits = _signature_hits(df, stored, [g for g in groups if g["kind"] == "pattern"], broadcast_rows)
     if hits is not None:
-        lookups.append(Lookup(F.col("packet_id").cast("string"), hits))
-        marks["pattern", None] = [F.col("_matched").isNotNull()]
-    columns = df.columns
-    return look_up(df, lookups, broadcast_rows).withColumn("verdict", profile_ok(profile, RulesInForce(marks))) \
-        .select(*columns, "verdict")
+        matched = f"_matched_{len(lookups)}"
+        lookups.append(Lookup(F.col("packet_id").cast("string"), hits.withColumnRenamed("_matched", matched)))
+        marks["pattern", None] = [F.col(matched).isNotNull()]
+    return marks
 
 
 def _interval_lookup(stored: DataFrame, group, value: Column, i: int) -> tuple[Lookup, Column]:
@@ -412,9 +481,9 @@ def _joined(parts: list[Column]) -> Column:
     return F.concat(*separated)
 
 
-def _counted_intervals(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
-    found = rule_intervals(rule_log, nodes).filter(F.col("kind") != "monitored_ip")
-    per_rule = F.count("*").over(Window.partitionBy("node_id", "kind", "direction", "value"))
+def _counted_intervals(rule_log: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    found = rule_intervals(rule_log, nodes, by).filter(F.col("kind") != "monitored_ip")
+    per_rule = F.count("*").over(Window.partitionBy(*by, "kind", "direction", "value"))
     return found.withColumn("many", per_rule > MANY_INTERVALS)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, packet
 from ..operators import counts, moving, ordering, reports, rules, screening, windows
+from ..schema import DEFAULT_LEVELS
 from ..session import pin_utc, scratch_path
 from ..sources import packets as scans
 from ..sources import sinks
@@ -125,6 +126,13 @@ def derived_log(spark, d) -> DataFrame:
     return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def profile_log(spark, d) -> DataFrame:
+    """The derived log, in which every other reset is a change of profile."""
+    is_profile = (F.col("op") == "reset") & (F.col("seq") % 2 == 0)
+    return derived_log(spark, d).withColumn("value", F.when(is_profile, (F.col("seq") % 4).cast("string")).otherwise(F.col("value"))) \
+        .withColumn("op", F.when(is_profile, "profile").otherwise(F.col("op")))
+
+
 def network_nodes(spark, d) -> DataFrame:
     return traffic(spark, d).select("node_id").distinct().withColumn("level", F.expr(LEVEL_OF_NODE))
 
@@ -395,6 +403,12 @@ def j01_rules_as_of_large_log(spark, d):
                              broadcast_rows=0).select("packet_id", "node_id", "verdict")
 
 
+@query
+def j01_cascade_as_of(spark, d):
+    return rules.cascade_as_of(mixed_traffic(spark, d), profile_log(spark, d), network_nodes(spark, d)) \
+        .select("packet_id", "node_id", "dropped_at")
+
+
 @query
 def j02_current_rules(spark, d):
     return rules.current_rules(derived_log(spark, d), network_nodes(spark, d))
@@ -660,6 +674,15 @@ def t07_stream_rule_log(spark, d):
     return spark.read.parquet(out).select("packet_id", "node_id", "verdict")
 
 
+@query
+def t07_stream_cascade_log(spark, d):
+    out, sent = scratch_path(spark, "out"), scratch_path(spark, "reports")
+    run_with_rule_log(ordered_stream(spark, d, files=2, closed=False), lambda: profile_log(spark, d), network_nodes(spark, d), out,
+                      scratch_path(spark, "commits"), DEFAULT_LEVELS, sent, available_now=True).awaitTermination()
+    passed = spark.read.parquet(out).select("packet_id", F.col("dropped_at").cast("string").alias("result"))
+    return passed.unionByName(spark.read.parquet(sent).select("packet_id", F.concat(F.lit("report "), "key").alias("result")))
+
+
 @query
 def t08_stream_outputs(spark, d):
     paths = {name: scratch_path(spark, name) for name in ("passed", "reports", "leaked")}

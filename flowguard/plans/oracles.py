@@ -193,6 +193,48 @@ def rules_as_of(profile: str, table: str = "mixed") -> str:
               ON l.node_id = p.node_id AND l.op = 'reset' AND l.ts <= p.ts)""")
 
 
+# The log of rules and profiles at every level of every node. Within a level the last profile no later than the packet
+# says which kinds of rules count; the profiles of the levels stand at the beginning.
+PROFILE_LOG = """profile_log AS (
+    SELECT * REPLACE (CASE WHEN op = 'reset' AND seq % 2 = 0 THEN 'profile' ELSE op END AS op,
+      CASE WHEN op = 'reset' AND seq % 2 = 0 THEN CAST(seq % 4 AS VARCHAR) ELSE value END AS value) FROM rule_log)"""
+
+
+def cascade_as_of(table: str) -> str:
+    kinds = {"src": "p.src_ip", "dst": "CAST(p.dst_port AS VARCHAR)", None: "CAST(p.flag_mask AS VARCHAR)"}
+    return PROFILE_LOG + f""",
+      places AS (SELECT node_id, unnest([0, 1, 2]) AS level FROM nodes),
+      place_log AS (SELECT n.node_id, n.level, l.* EXCLUDE (scope) FROM profile_log l JOIN places n
+        ON l.scope IN ('all', 'level:' || n.level, 'node:' || n.node_id)),
+      signatures AS (SELECT DISTINCT value FROM place_log WHERE kind = 'pattern'),
+      probes AS (
+        SELECT packet_id, node_id, ts, proto, 'ip' AS kind, 'src' AS direction, {kinds['src']} AS value FROM {table} p
+        UNION ALL SELECT packet_id, node_id, ts, proto, 'port', 'dst', {kinds['dst']} FROM {table} p WHERE proto IN ('TCP', 'UDP')
+        UNION ALL SELECT packet_id, node_id, ts, proto, 'flags', NULL, {kinds[None]} FROM {table} p WHERE proto = 'TCP'
+        UNION ALL SELECT packet_id, node_id, ts, proto, 'pattern', NULL, s.value FROM {table} p, signatures s
+          WHERE proto IN ('TCP', 'UDP') AND regexp_full_match(payload, s.value)),
+      states AS (
+        SELECT p.packet_id, l.level, p.kind, p.direction, p.value, l.seq, l.op FROM probes p JOIN place_log l
+          ON l.node_id = p.node_id AND l.kind = p.kind AND l.value = p.value
+          AND l.direction IS NOT DISTINCT FROM p.direction AND l.ts <= p.ts
+        UNION ALL SELECT p.packet_id, l.level, p.kind, p.direction, p.value, l.seq, l.op FROM probes p JOIN place_log l
+          ON l.node_id = p.node_id AND l.op IN ('reset', 'profile') AND l.ts <= p.ts),
+      hits AS (SELECT DISTINCT packet_id, level, kind FROM (
+        SELECT packet_id, level, kind, direction, value FROM states GROUP BY ALL HAVING arg_max(op, seq) = 'add') h),
+      profiles AS (
+        SELECT p.packet_id, p.proto, n.level, coalesce(
+            (SELECT arg_max(l.value, l.seq) FROM place_log l WHERE l.op = 'profile' AND l.node_id = p.node_id
+              AND l.level = n.level AND l.ts <= p.ts), CASE n.level WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '0' END) AS profile
+        FROM {table} p JOIN places n ON n.node_id = p.node_id),
+      failed AS (
+        SELECT packet_id, level FROM profiles r WHERE
+          (profile = '3' AND proto NOT IN ('IP', 'TCP', 'UDP'))
+          OR (proto IN ('IP', 'TCP', 'UDP') AND EXISTS (SELECT 1 FROM hits h WHERE h.packet_id = r.packet_id AND h.level = r.level
+            AND (profile IN ('1', '3') AND h.kind <> 'pattern' OR profile IN ('2', '3') AND h.kind = 'pattern')))),
+      screened AS (SELECT p.packet_id, p.node_id, p.src_ip, CAST((SELECT min(level) FROM failed f WHERE f.packet_id = p.packet_id) AS INT)
+        AS dropped_at FROM {table} p)"""
+
+
 # What packets would meet after the whole log: of all that reached a node, no reset and no removal came after an add.
 CURRENT_RULES = sql(
     """SELECT DISTINCT node_id, kind, direction, value FROM node_log a WHERE op = 'add' AND NOT EXISTS (
@@ -294,6 +336,11 @@ def oracle_sql() -> dict[str, str]:
         "j01_rules_as_of": as_of,
         "j01_rules_as_of_large_log": as_of,
         "j01_rules_as_of_basic": rules_as_of("basic"),
+        "j01_cascade_as_of": sql("SELECT packet_id, node_id, dropped_at FROM screened", "mixed", "nodes", "rule_log",
+                                 more=cascade_as_of("mixed")),
+        "t07_stream_cascade_log": sql("""SELECT packet_id, CAST(dropped_at AS VARCHAR) AS result FROM screened
+            UNION ALL SELECT packet_id, 'report ' || src_ip FROM screened WHERE dropped_at IS NOT NULL""",
+            "packets", "nodes", "rule_log", more=cascade_as_of("packets")),
         "j02_current_rules": CURRENT_RULES,
         "j03_expand_scope": CURRENT_RULES,
         "j03_addressed_rules": sql("""SELECT n.node_id, kind,

@@ -9,7 +9,7 @@ from flowguard.operators import lookup
 from flowguard.operators import rules as rules_module
 from flowguard.operators.lookup import Lookup, look_up
 from flowguard.functions import checks
-from flowguard.operators.rules import (RuleBook, current_rules, expand_scope, rejected_rules, rule_intervals,
+from flowguard.operators.rules import (RuleBook, cascade_as_of, current_rules, expand_scope, rejected_rules, rule_intervals,
                                        rules_as_of)
 from flowguard.operators.screening import screen
 
@@ -194,3 +194,25 @@ def test_large_rule_sets_stay_out_of_the_plan_text(spark):
     got = df.filter(~book.hit("port", "src")).collect()
     assert [r["packet_id"] for r in got] == [1]
     assert timedelta(0) == got[0]["ts"] - START
+
+
+def test_cascade_under_changing_profiles(spark):
+    log = rule_log(spark, (1, -5, "all", "add", "port", "src", "5"), (2, -4, "level:1", "add", "pattern", None, "bad"),
+                   (3, 10, "level:1", "profile", None, None, "basic"), (4, 20, "node:2", "profile", None, None, "3"),
+                   (5, 21, "node:2", "add", "pattern", None, "bad"), (6, 30, "level:0", "profile", None, None, "none"),
+                   (7, 40, "all", "profile", None, None, "0"))
+    case = lambda i, s, **f: packet(i, s, **{"node_id": 1, "src_port": 6, **f})
+    rows = [case(0, 1, src_port=5), case(1, 1, payload="bad"), case(2, 1), case(3, 1, proto="ICMP", src_port=5),
+            # Level 1 runs the basic profile now and its rules are gone, also those for all.
+            case(4, 11, payload="bad"), case(5, 11, src_port=5),
+            # All levels of node 2 run the full profile, whose first level knows the signature.
+            case(6, 22, node_id=2, payload="bad"), case(7, 22, node_id=2, src_port=5), case(8, 22, node_id=2, proto="ICMP"),
+            case(9, 22, payload="bad"), case(10, 22, src_port=5),
+            # An unknown profile wipes the rules of level 0 and leaves its profile.
+            case(11, 31, src_port=5), case(12, 31, node_id=2, proto="ICMP"),
+            # Nothing is checked any more.
+            case(13, 41, node_id=2, proto="ICMP"), case(14, 41, src_port=5)]
+    got = cascade_as_of(packets(spark, rows), log, nodes(spark, (1, 0), (2, 1)))
+    assert {r["packet_id"]: r["dropped_at"] for r in got.collect() if r["dropped_at"] is not None} == {
+        0: 0, 1: 1, 5: 0, 6: 0, 8: 0, 10: 0, 12: 0}
+    assert got.columns == packets(spark, rows).columns + ["dropped_at"]

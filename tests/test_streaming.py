@@ -218,3 +218,16 @@ def test_rule_changes_between_batches(spark):
     got = spark.read.parquet(out).orderBy("packet_id").collect()
     assert [r["verdict"] for r in got] == [True, True, False, False, True, True]
     assert got[0]["ts"] == START + timedelta(0)
+
+
+def test_levels_and_reports_under_a_log(spark):
+    rows = [packet(i, 10 * i, src_ip="10.0.0.1") for i in range(6)]
+    log = rule_log(spark, (1, 15, "level:1", "profile", None, None, "basic"), (2, 16, "level:1", "add", "ip", "src", "10.0.0.1"),
+                   (3, 35, "level:1", "reset", None, None, None))
+    out, sent = scratch_path(spark, "out"), scratch_path(spark, "reports")
+    run_with_rule_log(stream(spark, rows, 3), lambda: log, nodes(spark, (1, 0)), out, scratch_path(spark, "commits"),
+                      {0: "basic", 1: "dpi"}, sent, available_now=True).awaitTermination()
+    assert [r["dropped_at"] for r in spark.read.parquet(out).orderBy("packet_id").collect()] == [None, None, 1, 1, None, None]
+    assert sorted(r["packet_id"] for r in spark.read.parquet(sent).collect()) == [2, 3]
+    with pytest.raises(ValueError):
+        run_with_rule_log(stream(spark, rows, 1), lambda: log, nodes(spark, (1, 0)), out, "x", reports_path=sent)
