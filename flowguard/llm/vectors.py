@@ -24,6 +24,7 @@ RECALL = 0.9999
 WINDOW = 0.85
 BLOCK_ROWS = 4096
 PAIRS_AT_ONCE = 1 << 16
+QUERIES_AT_ONCE = 32
 # With fewer dimensions a projection says little: all pairs of a block are verified.
 LEAST_DIMS = 16
 
@@ -60,45 +61,37 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, least: float = SIMILA
     if not len(a) or not len(b):
         return
     dims = a.shape[1]
-    rows, columns, held = [], [], 0
-
-    def verified():
-        i, j = np.concatenate(rows), np.concatenate(columns)
-        near = np.einsum("ij,ij->i", a[i], b[j]) >= least
-        return i[near], j[near]
-
     if dims < LEAST_DIMS:
-        order = windows = None
         needed = 0
+        steps_a, steps_b = np.zeros((len(a), 0), np.uint8), np.zeros((0, len(b)), np.uint8)
+        half = np.uint8(0)
     else:
-        d = directions_for(dims, directions)
         needed = collisions_needed(directions, window, recall)
-        half = window * math.sqrt(2 - 2 * least) / math.sqrt(dims)
-        pa_, pb = a @ d, b @ d
-        order = np.argsort(pb, axis=0)
-        ordered = np.take_along_axis(pb, order, axis=0)
-        order = [np.ascontiguousarray(order[:, j]) for j in range(directions)]
-        low = np.stack([np.searchsorted(ordered[:, j], pa_[:, j] - half, "left") for j in range(directions)], axis=1)
-        high = np.stack([np.searchsorted(ordered[:, j], pa_[:, j] + half, "right") for j in range(directions)], axis=1)
-        windows = (low.tolist(), high.tolist())
-    for q in range(len(a)):
-        if order is None:
-            found = np.arange(len(b))
-        else:
-            met = np.concatenate([o[x:y] for o, x, y in zip(order, windows[0][q], windows[1][q])])
-            found = np.flatnonzero(np.bincount(met, minlength=len(b)) >= needed)
+        # Sorted by counting: a projection's place in the order is one of 256 steps, 32 to a deviation of random
+        # unit vectors. Windows are rounded up to whole steps and what lies beyond four deviations counts as four,
+        # so that no collision is lost.
+        d, scale = directions_for(dims, directions), 32 * math.sqrt(dims)
+        steps_a, steps_b = (np.clip(np.floor(x @ d * scale) + 128, 0, 255).astype(np.uint8) for x in (a, b))
+        steps_b = np.ascontiguousarray(steps_b.T)
+        half = np.uint8(math.ceil(window * math.sqrt(2 - 2 * least) * 32))
+    for q in range(0, len(a), QUERIES_AT_ONCE):
+        low = q if same else 0
+        own = steps_a[q:q + QUERIES_AT_ONCE] + half
+        counts = np.zeros((len(own), len(b) - low), np.uint8)
+        apart, met = np.empty_like(counts), np.empty(counts.shape, bool)
+        for j in range(len(steps_b)):
+            # In bytes, a difference below 0 is a large one.
+            np.subtract(own[:, j, None], steps_b[j, None, low:], out=apart)
+            np.less_equal(apart, 2 * half, out=met)
+            np.add(counts, met.view(np.uint8), out=counts)
+        i, j = np.nonzero(counts >= needed)
+        i, j = i + q, j + low
         if same:
-            found = found[found > q]
-        for at in range(0, len(found), PAIRS_AT_ONCE):
-            part = found[at:at + PAIRS_AT_ONCE]
-            rows.append(np.full(len(part), q))
-            columns.append(part)
-            held += len(part)
-            if held >= PAIRS_AT_ONCE:
-                yield verified()
-                rows, columns, held = [], [], 0
-    if held:
-        yield verified()
+            i, j = i[j > i], j[j > i]
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            x, y = i[at:at + PAIRS_AT_ONCE], j[at:at + PAIRS_AT_ONCE]
+            near = np.einsum("ij,ij->i", a[x], b[y]) >= least
+            yield x[near], y[near]
 
 
 def _block_pair(least, directions, window, recall):
