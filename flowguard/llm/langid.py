@@ -18,7 +18,7 @@ from .common import per_worker
 
 ORDERS = 3
 PROFILE = 300
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 
 
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                 for own in per_blocks(texts, is_letter):
                     parts.append(own)
                     held += len(own[0])
-                    if held > 4_000_000:
+                    if held > 1_000_000:
                         parts = [_summed(*(np.concatenate(p) for p in zip(*parts)))]
                         held = len(parts[0][0])
                 keys, counts = _summed(*(np.concatenate(p) for p in zip(*parts)))
