@@ -120,6 +120,11 @@ class WordHasher:
         The words of row ``first + i`` are ``hashes[bounds[i]:bounds[i + 1]]``.
         NULL counts as empty.
         """
+        for row, hashes, bounds, _ in self.sized_texts(column):
+            yield row, hashes, bounds
+
+    def sized_texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``texts``, with the length of each word in bytes."""
         data, offsets = text_bytes(column)
         row, rows = 0, len(offsets) - 1
         while row < rows:
@@ -127,14 +132,14 @@ class WordHasher:
             last = min(max(last, row + 1), rows)
             own = data[offsets[row]:offsets[last]]
             if last == row + 1 and len(own) > self.block:
-                parts = [self._piece(own[a:b], np.zeros(1, np.int64))[0] for a, b in self._cuts(own)]
-                h = np.concatenate(parts)
-                yield row, h, np.array([0, len(h)])
+                parts = [self._piece(own[a:b], np.zeros(1, np.int64)) for a, b in self._cuts(own)]
+                h, start, end = (np.concatenate(x) for x in zip(*parts))
+                yield row, h, np.array([0, len(h)]), end - start
             else:
                 at = (offsets[row:last] - offsets[row]).astype(np.int64)
-                h, start, _ = self._piece(own, at[at < len(own)]) if len(own) else (np.zeros(0, np.uint64), at[:0], None)
+                h, start, end = self._piece(own, at[at < len(own)]) if len(own) else (np.zeros(0, np.uint64), at[:0], at[:0])
                 bounds = np.append(np.searchsorted(start, at), len(h))
-                yield row, h, bounds
+                yield row, h, bounds, end - start
             row = last
 
 

@@ -16,28 +16,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import PowerSums, WordHasher, broadcast_if_small, components, mix, per_worker
+from .common import PowerSums, WordHasher, broadcast_if_small, mix, per_worker, ragged
 from .licenses import WORD
-from .neardup import candidates
+from .neardup import candidates, linked
 
 SIMILARITY = 0.8
 # Lines with fewer characters than this always stay.
 LEAST_CHARS = 16
 MOST_BITS = 3
+# Words of fewer bytes have no part in the SimHash of a line that has longer ones.
+TELLING_BYTES = 4
 # Fixed by MOST_BITS: with five blocks, three differing bits leave two untouched.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
 
+def telling(words: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each run that are long enough to tell lines apart, or all of a run that has none.
+
+    The shortest words stand in every line. Their votes would give lines that
+    have nothing else in common the same bits.
+    """
+    long = sizes >= TELLING_BYTES
+    before = np.append(0, np.cumsum(long))
+    none = before[bounds[1:]] == before[bounds[:-1]]
+    chosen = long | np.repeat(none, np.diff(bounds))
+    return words[chosen], np.append(0, np.cumsum(chosen))[bounds]
+
+
 def simhashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The SimHash of each run words[bounds[i]:bounds[i + 1]] of word hashes."""
     size = np.diff(bounds)
     out = np.zeros(len(size), np.uint64)
     full = np.flatnonzero(size)
-    if len(full):
-        bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, bounds[:-1][full], axis=0, dtype=np.int32)
-        packed = np.packbits(2 * ones > size[full, None], axis=1, bitorder="little")
-        out[full] = np.ascontiguousarray(packed).view("<u8").ravel()
+    if not len(full):
+        return out
+    # Eight bits of every word at a time, one to a byte; a byte holds the count of up to 255 words.
+    parts = -(-size[full] // 255)
+    starts = ragged(np.zeros(len(full), np.int64), parts) * 255 + np.repeat(bounds[:-1][full], parts)
+    first = np.cumsum(parts) - parts
+    half = size[full]
+    for bit in range(8):
+        lanes = (words >> np.uint64(bit)) & np.uint64(0x0101010101010101)
+        counts = np.add.reduceat(lanes, starts).view(np.uint8).reshape(-1, 8)
+        counts = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
+        majority = np.ascontiguousarray(2 * counts > half[:, None]).view(np.uint64).ravel()
+        out[full] |= majority << np.uint64(bit)
     return out
 
 
@@ -78,11 +101,30 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _same_until(a: str, b: str) -> int:
+    """The length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether edits change at most 1 - ``least`` of the longer line."""
     most = max(len(a), len(b))
     allowed = (1 - least) * most + 1e-9
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    # What both lines begin and end with costs nothing; the rest never costs more than its length.
+    begin = _same_until(a, b)
+    a, b = a[begin:], b[begin:]
+    end = _same_until(a[::-1], b[::-1])
+    a, b = a[:len(a) - end], b[:len(b) - end]
+    return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
 
 
 def _lines(batches):
@@ -96,7 +138,7 @@ def _lines(batches):
             number = np.concatenate([np.arange(n) for n in split.value_lengths().to_numpy()])
             owner = pc.list_parent_indices(split).to_numpy()
             chars = pc.utf8_length(flat).to_numpy()
-            for first, words, bounds in hasher.texts(flat):
+            for first, words, bounds, sizes in hasher.sized_texts(flat):
                 rows = np.arange(first, first + len(bounds) - 1)
                 hashed = mix(words)
                 one = sums.hashes(words, bounds[:-1], bounds[1:])
@@ -106,7 +148,7 @@ def _lines(batches):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(own), part.column(2).take(own), pa.array(number[rows[kept]], pa.int32()),
                      pa.array(one[kept].view(np.int64)), pa.array(two[kept].view(np.int64)),
-                     pa.array(simhashes(words, bounds)[kept].view(np.int64)), pa.array(chars[rows[kept]], pa.int32())],
+                     pa.array(simhashes(*telling(words, bounds, sizes))[kept].view(np.int64)), pa.array(chars[rows[kept]], pa.int32())],
                     names=["id", "key", "line", "h1", "h2", "simhash", "n"])
 
 
@@ -148,8 +190,10 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         F.count("*").alias("times"), F.min(place).alias("first"), F.first("simhash").alias("simhash"),
         F.first("n").alias("n")), "distinct")
     # Lines of which a pair at `least` cannot differ more in length, punctuation aside.
-    pairs = candidates(distinct.select(F.col("h1").alias("id"), "n", block_keys(F.col("simhash")).alias("bands")),
-                       least=0.9 * least)
+    near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= MOST_BITS
+    pairs = candidates(distinct.select(F.col("h1").alias("id"), "n", "simhash", block_keys(F.col("simhash")).alias("bands")),
+                       least=0.9 * least, within=near)
+    # Pairs with the first line of a large bucket are still to be tried.
     bits = distinct.select("h1", "simhash")
     pairs = pairs.join(bits.select(F.col("h1").alias("a"), F.col("simhash").alias("sa")), "a") \
         .join(bits.select(F.col("h1").alias("b"), F.col("simhash").alias("sb")), "b") \
@@ -163,10 +207,13 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     texts = plain.alias("d").join(chosen, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.key") == F.col("c.key"))) \
         .select("text", "chosen").mapInArrow(_texts, "h1 long, t string").dropDuplicates(["h1"])
     texts = materialise(texts, "texts")
-    links = pairs.join(texts.select(F.col("h1").alias("a"), F.col("t").alias("ta")), "a") \
-        .join(texts.select(F.col("h1").alias("b"), F.col("t").alias("tb")), "b") \
-        .select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long")
-    reached = components(materialise(links, "verified"))
+
+    def verified(some):
+        return some.join(texts.select(F.col("h1").alias("a"), F.col("t").alias("ta")), "a") \
+            .join(texts.select(F.col("h1").alias("b"), F.col("t").alias("tb")), "b") \
+            .select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long")
+
+    reached = linked(pairs, verified)
 
     # The group of every line that has a copy or a link, and the occurrence that stays.
     groups = distinct.join(reached.withColumnRenamed("id", "h1"), "h1", "left") \

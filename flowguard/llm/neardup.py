@@ -8,11 +8,12 @@ a value are candidates; candidates are verified by aligning their shingles.
 
 import hashlib
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -147,42 +148,66 @@ def _verify(least):
     return run
 
 
-def candidates(texts: DataFrame, bucket: int = BUCKET, levels: int = LEVELS,
-               least: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs a < b of a table (id, n, bands) that share a sketch value.
+def candidates(texts: DataFrame, bucket: int = BUCKET, levels: int = LEVELS, least: float = SIMILARITY,
+               within: Column | None = None) -> DataFrame:
+    """Distinct pairs a < b of a table (id, n, bands, ...) that share a sketch value.
 
     A bucket of more than ``bucket`` texts gives the pairs with its first text
     and is split by one more value of the sketch, up to ``levels`` times. Texts
     that stay together that long agree in so many ordered minima that they are
     near copies of each other; two that are parted meet under other values.
+
+    Within smaller buckets, pairs whose sizes ``n`` are further apart than
+    ``least`` allows, or that fail the condition ``within`` on the columns of a
+    and b, are never made.
     """
-    narrow = texts.select("id", "n", "bands")
-    rows = texts.select("id", "n", F.posexplode("bands").alias("band", "value"))
+    own = [c for c in texts.columns if c != "bands"]
+    rows = texts.select(*own, F.posexplode("bands").alias("band", "value"))
     pairs = None
     close = (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n")) & (F.col("a.id") < F.col("b.id"))
+    close = close if within is None else close & within
     for level in range(levels):
-        sizes = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")) \
+        sizes = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("id").alias("first")) \
             .filter("size > 1")
         # The sizes of buckets that matter are few; written, they make the next join a join of plain scans.
         sizes = materialise(sizes, "buckets")
         shared = materialise(rows.join(broadcast_if_small(sizes, 64), ["band", "value"]), "shared")
-        small = shared.filter(F.col("size") <= bucket).select("id", "n", "band", "value")
-        own = small.alias("a").join(small.alias("b"), ["band", "value"]).filter(close) \
+        small = shared.filter(F.col("size") <= bucket).select(*own, "band", "value")
+        together = small.alias("a").join(small.alias("b"), (F.col("a.band") == F.col("b.band"))
+                                         & (F.col("a.value") == F.col("b.value")) & close) \
             .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        star = shared.filter((F.col("size") > bucket) & (F.col("id") > F.col("first.id"))
-                             & (F.least("n", "first.n") >= least * F.greatest("n", "first.n"))) \
-            .select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-        both = own.union(star)
+        star = shared.filter((F.col("size") > bucket) & (F.col("id") > F.col("first"))) \
+            .select(F.col("first").alias("a"), F.col("id").alias("b"))
+        both = together.union(star)
         pairs = both if pairs is None else pairs.union(both)
         large = shared.filter(F.col("size") > bucket).select("id", "band", "value")
         if level + 1 == levels or large.isEmpty():
             break
         # One more value, another one at each level, joins the key.
         further = F.element_at("bands", (F.col("band") + 5 * level + 1) % F.size("bands") + 1)
-        rows = large.join(narrow, "id").select("id", "n", "band", F.xxhash64("value", further).alias("value"))
+        rows = large.join(texts, "id").select(*own, "band", F.xxhash64("value", further).alias("value"))
     return pairs.distinct()
 
 
+def linked(pairs: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The components that those of some stored pairs form which ``verified`` keeps: (id, component).
+
+    First one pair per text is verified; then those that could still join two
+    components. A pair inside one component would change nothing.
+    """
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialise(verified(first), "verified")
+    known = broadcast_if_small(materialise(components(links), "component"), 32)
+    rest = pairs.join(first, ["a", "b"], "left_anti") \
+        .join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left") \
+        .join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left") \
+        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = materialise(verified(rest), "verified")
+    if more.isEmpty():
+        return known
+    return materialise(components(links.union(more)), "component")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """The class of near copies that every document belongs to.
@@ -220,17 +245,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
             .select("a", "b", "left", "right")
         return joined.mapInArrow(_verify(least), f"a {kind}, b {kind}")
 
-    # First one candidate per text; then those that could still join two components.
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialise(verified(first), "verified")
-    known = broadcast_if_small(materialise(components(links), "component"), 32)
-    rest = pairs.join(first, ["a", "b"], "left_anti") \
-        .join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left") \
-        .join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left") \
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = materialise(verified(rest), "verified")
-    if not more.isEmpty():
-        known = materialise(components(links.union(more)), "component")
+    known = linked(pairs, verified)
 
     # Classes of more than one document, by digest.
     classes = texts.join(known, "id", "left") \

@@ -169,6 +169,7 @@ def test_edit_distance():
 
 def simhash(words):
     hasher = common.WordHasher()
+    words = [w for w in words if len(w.encode()) >= linededup.TELLING_BYTES] or words
     total = [0] * 64
     _, h, _ = next(hasher.texts(pa.array([" ".join(words)])))
     for x in h.tolist():
