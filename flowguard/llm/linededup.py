@@ -2,7 +2,8 @@
 
 Lines are normalised to their words and get a 64-bit SimHash. Lines whose
 hashes differ in at most three bits share two of five blocks of bits, so they
-meet under one of ten keys; those that meet are verified by edit similarity.
+meet under one of ten keys; those that meet are verified by edit similarity,
+however many lines have the key.
 Of each connected group one occurrence stays.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import PowerSums, WordHasher, broadcast_if_small, mix, per_worker, ragged
 from .licenses import WORD
-from .neardup import candidates, linked
+from .neardup import bucketed, crossed, joined, linked
 
 SIMILARITY = 0.8
 # Lines with fewer characters than this always stay.
@@ -28,6 +29,8 @@ MOST_BITS = 3
 TELLING_BYTES = 4
 # Fixed by MOST_BITS: with five blocks, three differing bits leave two untouched.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+# The bits of each of the ten keys.
+KEY_MASKS = [np.uint64(sum((1 << size) - 1 << shift for shift, size in two)) for two in combinations(BLOCKS, 2)]
 
 
 def telling(words: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +176,54 @@ def _verify(least):
     return run
 
 
+def _near_pairs(left, right):
+    """Positions (i, j) of lines of two chunks, or of one, that are within few bits and in different components.
+
+    A pair that shares several keys is there only under the first.
+    """
+    x, own = left["simhash"].to_numpy().view(np.uint64), left["component"].to_numpy()
+    y, other = (x, own) if right is None else (right["simhash"].to_numpy().view(np.uint64), right["component"].to_numpy())
+    apart = x[:, None] ^ y[None, :]
+    i, j = np.nonzero(np.bitwise_count(apart) <= MOST_BITS)
+    apart, met = apart[i, j], own[i] != other[j]
+    for mask in KEY_MASKS[:left["band"][0].as_py()]:
+        met &= (apart & mask) != 0
+    return i[met], j[met]
+
+
+def _with_near(left, right):
+    """The lines, with their key's number, that have a near one in the bucket."""
+    i, j = _near_pairs(left, right)
+    found = left["id"].to_numpy()[np.unique(i)].tolist() + (left if right is None else right)["id"].to_numpy()[np.unique(j)].tolist()
+    return found, [left["band"][0].as_py()] * len(found)
+
+
+def _alike(least):
+    """Links that join the components of two chunks as all their similar pairs would."""
+    def run(left, right):
+        i, j = _near_pairs(left, right)
+        both = left if right is None else pa.concat_tables([left, right])
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        else:
+            j = j + len(left)
+        ids, texts, label = both["id"].to_pylist(), both["t"].to_pylist(), both["component"].to_numpy().copy()
+        a, b = [], []
+        for own in np.split(np.arange(len(i)), np.flatnonzero(i[1:] != i[:-1]) + 1) if len(i) else ():
+            x, others = i[own[0]], j[own]
+            others = others[label[others] != label[x]]
+            while len(others):
+                y = others[0]
+                if similar(texts[x], texts[y], least):
+                    a.append(ids[x])
+                    b.append(ids[y])
+                    label[label == label[y]] = label[x]
+                others = others[1:]
+                others = others[label[others] != label[x]]
+        return a, b
+    return run
+
+
 def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """The lines to drop: (id, key, lines), a row per text that loses some.
@@ -191,22 +242,25 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         F.first("n").alias("n")), "distinct")
     # Lines of which a pair at `least` cannot differ more in length, punctuation aside.
     near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= MOST_BITS
-    pairs = candidates(distinct.select(F.col("h1").alias("id"), "n", "simhash", block_keys(F.col("simhash")).alias("bands")),
-                       least=0.9 * least, within=near)
+    pairs, large = bucketed(
+        distinct.select(F.col("h1").alias("id"), "n", "simhash", block_keys(F.col("simhash")).alias("bands")),
+        least=0.9 * least, within=near)
     # Pairs with the first line of a large bucket are still to be tried.
     bits = distinct.select("h1", "simhash")
     pairs = pairs.join(bits.select(F.col("h1").alias("a"), F.col("simhash").alias("sa")), "a") \
         .join(bits.select(F.col("h1").alias("b"), F.col("simhash").alias("sb")), "b") \
         .filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS).select("a", "b")
-    pairs = materialise(pairs, "pairs")
+    pairs, large = materialise(pairs, "pairs"), materialise(large, "large")
+
+    def texts_of(wanted):
+        chosen = distinct.join(wanted, "h1", "left_semi").groupBy("first.id", "first.key") \
+            .agg(F.collect_list(F.struct("h1", F.col("first.line").alias("line"))).alias("chosen"))
+        chosen = broadcast_if_small(materialise(chosen, "chosen"), 256).alias("c")
+        found = plain.alias("d").join(chosen, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.key") == F.col("c.key"))) \
+            .select("text", "chosen").mapInArrow(_texts, "h1 long, t string").dropDuplicates(["h1"])
+        return materialise(found, "texts")
 
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    chosen = distinct.join(wanted, "h1", "left_semi").groupBy("first.id", "first.key") \
-        .agg(F.collect_list(F.struct("h1", F.col("first.line").alias("line"))).alias("chosen"))
-    chosen = broadcast_if_small(materialise(chosen, "chosen"), 256).alias("c")
-    texts = plain.alias("d").join(chosen, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.key") == F.col("c.key"))) \
-        .select("text", "chosen").mapInArrow(_texts, "h1 long, t string").dropDuplicates(["h1"])
-    texts = materialise(texts, "texts")
+    texts = texts_of(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct())
 
     def verified(some):
         return some.join(texts.select(F.col("h1").alias("a"), F.col("t").alias("ta")), "a") \
@@ -214,6 +268,14 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
             .select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long")
 
     reached = linked(pairs, verified)
+    if not large.isEmpty():
+        # By their bits first, which are short; the texts of those that are near each other follow.
+        bits = distinct.select(F.col("h1").alias("id"), "simhash")
+        near = materialise(crossed(large, reached, bits, _with_near).distinct(), "near") \
+            .select(F.col("a").alias("id"), F.col("b").cast("int").alias("band"))
+        large = materialise(large.join(near, ["id", "band"], "left_semi"), "large")
+        texts = texts_of(large.select(F.col("id").alias("h1")).distinct())
+        reached = joined(reached, large, bits.join(texts.withColumnRenamed("h1", "id"), "id"), _alike(least))
 
     # The group of every line that has a copy or a link, and the occurrence that stays.
     groups = distinct.join(reached.withColumnRenamed("id", "h1"), "h1", "left") \

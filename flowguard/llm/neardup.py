@@ -26,6 +26,9 @@ MINIMA, BANDS = 3, 18
 # Within a bucket of up to so many texts all pairs are candidates; a larger one is split by further values.
 BUCKET = 16
 LEVELS = 4
+# Texts of a larger bucket that one task compares with as many others, and rows of such chunks a task reads.
+CHUNK = 256
+TASK_ROWS = 4096
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -189,6 +192,100 @@ def candidates(texts: DataFrame, bucket: int = BUCKET, levels: int = LEVELS, lea
     return pairs.distinct()
 
 
+def bucketed(texts: DataFrame, bucket: int = BUCKET, least: float = SIMILARITY,
+             within: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of a table (id, n, bands, ...) that share a sketch value, and the members of large buckets.
+
+    Buckets of up to ``bucket`` texts give all their pairs, but for those whose
+    sizes ``n`` are further apart than ``least`` allows or that fail the
+    condition ``within`` on the columns of a and b. A larger one gives the pairs
+    with its first text only, so that a group of copies is soon known; its
+    members (id, band, value, first) are returned for ``crossed``, which
+    compares them all.
+    """
+    own = [c for c in texts.columns if c != "bands"]
+    rows = texts.select(*own, F.posexplode("bands").alias("band", "value"))
+    close = (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n")) & (F.col("a.id") < F.col("b.id"))
+    close = close if within is None else close & within
+    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
+    # The sizes of buckets that matter are few; written, they make the next join a join of plain scans.
+    sizes = materialise(sizes, "buckets")
+    shared = materialise(rows.join(broadcast_if_small(sizes, 64), ["band", "value"]), "shared")
+    small = shared.filter(F.col("size") <= bucket).select(*own, "band", "value")
+    together = small.alias("a").join(small.alias("b"), (F.col("a.band") == F.col("b.band"))
+                                     & (F.col("a.value") == F.col("b.value")) & close) \
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    large = shared.filter(F.col("size") > bucket).select("id", "band", "value", "first")
+    star = large.filter(F.col("id") > F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return together.union(star).distinct(), large
+
+
+def crossed(large: DataFrame, known: DataFrame, payload: DataFrame, compare: Callable, chunk: int = CHUNK,
+            task_rows: int = TASK_ROWS) -> DataFrame:
+    """What ``compare`` finds among all pairs of a large bucket that lie in different components: (a, b).
+
+    ``large`` has the members of buckets (id, band, value, first), ``known`` the
+    components so far (id, component), ``payload`` by id what is compared. The
+    members of a bucket are cut into chunks of about ``chunk``. Every two chunks
+    meet in one task, which reads few rows however large the bucket is; only
+    those inside the component of the first text do not meet each other.
+
+    ``compare`` is called with the two chunks (or with one and None, for the
+    pairs within it), tables of id, band, component and the payload, and gives
+    lists a and b of ids. It should not give a row for every pair.
+    """
+    kind = large.schema["id"].dataType.simpleString()
+    of = known.select("id", "component")
+    members = large.join(of, "id", "left") \
+        .join(of.select(F.col("id").alias("first"), F.col("component").alias("main")), "first", "left") \
+        .withColumn("component", F.coalesce("component", "id")) \
+        .select("id", "band", "value", "component", (F.col("component") == F.coalesce("main", "first")).alias("inside"))
+    members = materialise(members, "members")
+    counts = members.groupBy("band", "value") \
+        .agg(F.count_if("inside").alias("inner"), F.count_if(~F.col("inside")).alias("outer")).filter("outer > 0") \
+        .select("band", "value", F.ceil(F.col("inner") / chunk).alias("inner"), F.ceil(F.col("outer") / chunk).alias("outer"))
+    counts = materialise(counts, "chunks")
+    # Chunks 0, 1, ... are outside and meet all; those inside come after and meet the ones outside.
+    place = F.xxhash64("id", F.lit(1))
+    own = F.when(F.col("inside"), F.col("outer") + F.pmod(place, "inner")).otherwise(F.pmod(place, "outer"))
+    last = F.col("outer") + F.when(F.col("inside"), 0).otherwise(F.col("inner")) - 1
+    met = members.join(broadcast_if_small(counts, 64), ["band", "value"]) \
+        .select("id", "band", "value", "component", own.alias("own"),
+                F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")) \
+        .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    met = materialise(met, "met")
+    tasks = max(1, -(-met.count() // task_rows))
+
+    def run(table):
+        band, value, low, high, own = (table[c].to_numpy() for c in ("band", "value", "low", "high", "own"))
+        order = np.lexsort((own, high, low, value, band))
+        groups = np.stack([x[order].astype(np.int64) for x in (band, value, low, high)])
+        starts = np.flatnonzero(np.append(True, (groups[:, 1:] != groups[:, :-1]).any(axis=0)))
+        a, b = [], []
+        for at in np.split(order, starts[1:]):
+            left, right = at[own[at] == low[at]], at[own[at] != low[at]]
+            if not len(left) or (not len(right) and low[at[0]] != high[at[0]]):
+                continue
+            some = compare(table.take(left), table.take(right) if len(right) else None)
+            a += some[0]
+            b += some[1]
+        return pa.table({"a": pa.array(a, table["id"].type), "b": pa.array(b, table["id"].type)})
+
+    return met.join(payload, "id") \
+        .withColumn("task", F.pmod(F.xxhash64("band", "value", "low", "high"), F.lit(tasks))).groupBy("task") \
+        .applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def joined(known: DataFrame, large: DataFrame, payload: DataFrame, compare: Callable) -> DataFrame:
+    """The components of ``known`` after ``crossed`` has joined some of them."""
+    if large.isEmpty():
+        return known
+    more = materialise(crossed(large, known, payload, compare).distinct(), "crossed")
+    if more.isEmpty():
+        return known
+    return materialise(components(known.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)), "component")
+
+
 def linked(pairs: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The components that those of some stored pairs form which ``verified`` keeps: (id, component).
 

@@ -245,6 +245,36 @@ def test_lines_of_odd_rows(spark):
     assert rows(linededup.drop_duplicate_lines(empty(spark))) == []
 
 
+def simhash_of(lines):
+    _, words, bounds, sizes = next(common.WordHasher().sized_texts(pa.array(lines)))
+    return linededup.simhashes(*linededup.telling(words, bounds, sizes))
+
+
+def test_all_pairs_of_a_large_bucket_of_lines(spark):
+    # Four of eight words are the same one, so that the others change few bits.
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+    other = lambda: [word() for _ in range(4)]
+    text = lambda words: " ".join(["base"] * 4 + words)
+    unlike, pairs = [text(other()) for _ in range(600)], []
+    while len(pairs) < 20:
+        own = other()
+        a, b = text(own), text([*own[:3], word()])
+        apart = int(np.bitwise_xor(*simhash_of([a, b])))
+        blocks = sum((apart >> shift & (1 << size) - 1) > 0 for shift, size in linededup.BLOCKS)
+        if apart.bit_count() == blocks == 3 and linededup.similar(a, b):
+            pairs.append((a, b))
+    first = [a for a, _ in pairs] + unlike
+    lines = first + [b for _, b in pairs]
+    hashes = simhash_of(lines)
+    alike = [(x, y) for x in range(len(lines)) for y in range(x + 1, len(lines))
+             if (hashes[x] ^ hashes[y]).item().bit_count() <= linededup.MOST_BITS and linededup.similar(lines[x], lines[y])]
+    assert alike == [(x, len(first) + x) for x in range(20)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(df).collect()}
+    assert got == {i: line if i < len(first) else "" for i, line in enumerate(lines)}
+
+
 # Vectors
 
 def linked(ids, x, least=0.9):
