@@ -3,7 +3,8 @@
 A sketch value holds, for one hash function, the few smallest of a text's
 occurrence-labelled five-word shingles in the order in which the text has them.
 Unlike a set's minima it changes when passages change places. Texts that share
-a value are candidates; candidates are verified by aligning their shingles.
+a value are candidates, however many share it; candidates are verified by
+aligning their shingles, except for those that are in one class already.
 """
 
 import hashlib
@@ -23,9 +24,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # Minima per value and values per text: a pair at 0.8 shares none of 18 with a chance of 3e-6.
 MINIMA, BANDS = 3, 18
-# Within a bucket of up to so many texts all pairs are candidates; a larger one is split by further values.
+# The pairs of a bucket of up to so many texts are made by a join; those of a larger one are compared in chunks.
 BUCKET = 16
-LEVELS = 4
 # Texts of a larger bucket that one task compares with as many others, and rows of such chunks a task reads.
 CHUNK = 256
 TASK_ROWS = 4096
@@ -151,45 +151,39 @@ def _verify(least):
     return run
 
 
-def candidates(texts: DataFrame, bucket: int = BUCKET, levels: int = LEVELS, least: float = SIMILARITY,
-               within: Column | None = None) -> DataFrame:
-    """Distinct pairs a < b of a table (id, n, bands, ...) that share a sketch value.
+def _alike(least):
+    """Links that join the components of two chunks as all their candidate pairs would.
 
-    A bucket of more than ``bucket`` texts gives the pairs with its first text
-    and is split by one more value of the sketch, up to ``levels`` times. Texts
-    that stay together that long agree in so many ordered minima that they are
-    near copies of each other; two that are parted meet under other values.
-
-    Within smaller buckets, pairs whose sizes ``n`` are further apart than
-    ``least`` allows, or that fail the condition ``within`` on the columns of a
-    and b, are never made.
+    A pair that shares several values is there only under the first.
     """
-    own = [c for c in texts.columns if c != "bands"]
-    rows = texts.select(*own, F.posexplode("bands").alias("band", "value"))
-    pairs = None
-    close = (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n")) & (F.col("a.id") < F.col("b.id"))
-    close = close if within is None else close & within
-    for level in range(levels):
-        sizes = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("id").alias("first")) \
-            .filter("size > 1")
-        # The sizes of buckets that matter are few; written, they make the next join a join of plain scans.
-        sizes = materialise(sizes, "buckets")
-        shared = materialise(rows.join(broadcast_if_small(sizes, 64), ["band", "value"]), "shared")
-        small = shared.filter(F.col("size") <= bucket).select(*own, "band", "value")
-        together = small.alias("a").join(small.alias("b"), (F.col("a.band") == F.col("b.band"))
-                                         & (F.col("a.value") == F.col("b.value")) & close) \
-            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        star = shared.filter((F.col("size") > bucket) & (F.col("id") > F.col("first"))) \
-            .select(F.col("first").alias("a"), F.col("id").alias("b"))
-        both = together.union(star)
-        pairs = both if pairs is None else pairs.union(both)
-        large = shared.filter(F.col("size") > bucket).select("id", "band", "value")
-        if level + 1 == levels or large.isEmpty():
-            break
-        # One more value, another one at each level, joins the key.
-        further = F.element_at("bands", (F.col("band") + 5 * level + 1) % F.size("bands") + 1)
-        rows = large.join(texts, "id").select(*own, "band", F.xxhash64("value", further).alias("value"))
-    return pairs.distinct()
+    def run(left, right):
+        both = left if right is None else pa.concat_tables([left, right])
+        both = both.combine_chunks()
+        ids, n, band = both["id"].to_pylist(), both["n"].to_numpy(), both["band"][0].as_py()
+        _, label = np.unique(np.array(both["component"].to_pylist()), return_inverse=True)
+        values = np.stack([x.values.to_numpy(zero_copy_only=False) for x in both["bands"]])[:, :band]
+        words, labels = both["words"], {}
+        a, b = [], []
+
+        def own(i):
+            if i not in labels:
+                labels[i] = shingles(words[i].values.to_numpy(zero_copy_only=False).view(np.uint32))
+            return labels[i]
+
+        for x in range(len(left)):
+            first = x + 1 if right is None else len(left)
+            near = (np.minimum(n[first:], n[x]) >= least * np.maximum(n[first:], n[x]) - 1e-9) & (label[first:] != label[x])
+            near &= (values[first:] != values[x]).all(axis=1)
+            others = np.flatnonzero(near) + first
+            while len(others):
+                y, others = int(others[0]), others[1:]
+                if aligned(own(x), own(y), least) >= least:
+                    a.append(ids[x])
+                    b.append(ids[y])
+                    label[label == label[y]] = label[x]
+                    others = others[label[others] != label[x]]
+        return a, b
+    return run
 
 
 def bucketed(texts: DataFrame, bucket: int = BUCKET, least: float = SIMILARITY,
@@ -328,8 +322,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "texts")
     # Rows of one id with several texts: their classes are linked through the id.
-    pairs = materialise(candidates(texts, least=least), "pairs")
+    pairs, large = (materialise(x, name) for x, name in zip(bucketed(texts, least=least), ("pairs", "large")))
 
+    # The members of large buckets are among them: each has a pair with the first.
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     involved = broadcast_if_small(materialise(involved, "involved"), 16)
     words = materialise(plain.join(involved, "id", "left_semi")
@@ -343,6 +338,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         return joined.mapInArrow(_verify(least), f"a {kind}, b {kind}")
 
     known = linked(pairs, verified)
+    known = joined(known, large, texts.select("id", "n", "bands").join(words, "id"), _alike(least))
 
     # Classes of more than one document, by digest.
     classes = texts.join(known, "id", "left") \

@@ -123,6 +123,40 @@ def test_a_large_group_of_near_copies(spark):
         assert r.class_id == (0 if r.doc_id < 1000 else r.doc_id)
 
 
+def test_pairs_in_a_large_family_of_pages(spark):
+    # Pages of one template, no two of them quite alike but for planted pairs; most share a sketch value.
+    rnd = random.Random(11)
+    n, planted = 1000, 20
+    numbers = {}
+    template = [f"w{i}" for i in range(404)]
+
+    def labels(page):
+        return neardup.shingles(np.array([numbers.setdefault(w, len(numbers)) for w in page], np.uint64))
+
+    def page(i):
+        own = list(template)
+        for part in range(6):
+            own[67 * part + rnd.randrange(67)] = f"new{i}.{part}"
+        return own
+
+    pages, shingled = [], []
+    while len(pages) < n + planted:
+        i = len(pages)
+        own, pair = page(i), set()
+        if i >= n:
+            own, pair = list(pages[2 * n - 1 - i]), {2 * n - 1 - i}
+            for x in rnd.sample(range(404), 8):
+                own[x] = f"copy{i}.{x}"
+        new = labels(own)
+        if {x for x, other in enumerate(shingled) if neardup.aligned(other, new) >= 0.8} == pair \
+                and all(neardup.aligned(shingled[x], new) < 0.83 for x in pair):
+            pages.append(own)
+            shingled.append(new)
+    df = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id long, text string").repartition(4)
+    want = {i: 2 * n - 1 - i if i >= n else i for i in range(len(pages))}
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
+
+
 def test_documents_of_odd_rows(spark):
     df = with_clashes(odd(spark))
     got = rows(neardup.near_duplicates(df).select("doc_id", "class_id", "kept"))
