@@ -309,6 +309,21 @@ def test_all_pairs_of_a_large_bucket_of_lines(spark):
     assert got == {i: line if i < len(first) else "" for i, line in enumerate(lines)}
 
 
+def test_lines_that_differ_in_short_words(spark):
+    # All have one SimHash; what is found does not depend on how many there are. Held against edit similarity alone.
+    rnd = random.Random(12)
+    lines = ["invoice " + " ".join(str(rnd.randint(100, 999)) for _ in range(4)) for _ in range(150)]
+    lines += [line[:-1] + str((int(line[-1]) + 1) % 10) for line in lines[50:80]]
+    root = {i: i for i in range(len(lines))}
+    for x in range(len(lines)):
+        for y in range(x + 1, len(lines)):
+            if linededup.edit_distance(lines[x], lines[y]) <= 0.2 * max(len(lines[x]), len(lines[y])) + 1e-9:
+                union(root, x, y)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(df).collect()}
+    assert got == {i: line if find(root, i) == i else "" for i, line in enumerate(lines)}
+
+
 # Vectors
 
 def linked(ids, x, least=0.9):
