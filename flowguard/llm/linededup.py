@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import PowerSums, WordHasher, broadcast_if_small, mix, per_worker, ragged
+from .common import PowerSums, WordHasher, broadcast_if_small, mix, per_worker, ragged, text_bytes
 from .licenses import WORD
 from .neardup import bucketed, crossed, joined, linked
 
@@ -141,6 +141,10 @@ def _lines(batches):
             number = np.concatenate([np.arange(n) for n in split.value_lengths().to_numpy()])
             owner = pc.list_parent_indices(split).to_numpy()
             chars = pc.utf8_length(flat).to_numpy()
+            data, ends = text_bytes(flat)
+            # Characters of words: of a longer character the first byte counts.
+            before = np.append(0, np.cumsum(hasher.is_word[data] & ((data & 0xC0) != 0x80)))
+            letters = before[ends[1:]] - before[ends[:-1]]
             for first, words, bounds, sizes in hasher.sized_texts(flat):
                 rows = np.arange(first, first + len(bounds) - 1)
                 hashed = mix(words)
@@ -151,7 +155,8 @@ def _lines(batches):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(own), part.column(2).take(own), pa.array(number[rows[kept]], pa.int32()),
                      pa.array(one[kept].view(np.int64)), pa.array(two[kept].view(np.int64)),
-                     pa.array(simhashes(*telling(words, bounds, sizes))[kept].view(np.int64)), pa.array(chars[rows[kept]], pa.int32())],
+                     pa.array(simhashes(*telling(words, bounds, sizes))[kept].view(np.int64)),
+                     pa.array((letters[rows] + np.diff(bounds) - 1)[kept], pa.int32())],
                     names=["id", "key", "line", "h1", "h2", "simhash", "n"])
 
 
@@ -240,11 +245,11 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     distinct = materialise(lines.groupBy("h1", "h2").agg(
         F.count("*").alias("times"), F.min(place).alias("first"), F.first("simhash").alias("simhash"),
         F.first("n").alias("n")), "distinct")
-    # Lines of which a pair at `least` cannot differ more in length, punctuation aside.
+    # n is the length of the normalised line, the same for all copies; a pair at `least` cannot differ more in it.
     near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= MOST_BITS
     pairs, large = bucketed(
         distinct.select(F.col("h1").alias("id"), "n", "simhash", block_keys(F.col("simhash")).alias("bands")),
-        least=0.9 * least, within=near)
+        least=least - 1e-9, within=near)
     # Pairs with the first line of a large bucket are still to be tried.
     bits = distinct.select("h1", "simhash")
     pairs = pairs.join(bits.select(F.col("h1").alias("a"), F.col("simhash").alias("sa")), "a") \

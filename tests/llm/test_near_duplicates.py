@@ -324,6 +324,15 @@ def test_lines_that_differ_in_short_words(spark):
     assert got == {i: line if find(root, i) == i else "" for i, line in enumerate(lines)}
 
 
+def test_lines_with_leaders(spark):
+    # Punctuation and indentation have no part in the length that is compared.
+    lines = ["Chapter one about the long winding river 12 " + "." * 60, "Chapter one about the long winding river 13",
+             "\t" * 70 + "Überblick zu langen Flüssen Nr 4", "Überblick zu langen Flüssen Nr 5"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(df).collect()}
+    assert got == {0: lines[0], 1: "", 2: lines[2], 3: ""}
+
+
 # Vectors
 
 def linked(ids, x, least=0.9):
