@@ -1,8 +1,9 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-All vectors are projected on many random directions and sorted along each. A
-query's window on a direction holds the vectors whose projection differs by no
-more than a fixed width. Pairs that meet in enough windows are verified. How
+All vectors are projected on many random directions and projections held in
+steps of a byte. A query's window on a direction holds the vectors whose
+projection differs by no more than a fixed width; it is not cut from a sorted
+list, but tested for every pair of vectors. Pairs that meet in enough windows are verified. How
 many are enough follows from the chance that a pair at the similarity bound
 meets in one window.
 """
