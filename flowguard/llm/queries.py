@@ -7,7 +7,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, langid, licenses, linededup, neardup, packing, secrets, sharding, vectors
+from . import bpe, dialogue, exactdedup, langid, licenses, linededup, neardup, packing, secrets, sharding, vectors
 from .common import LOWER, UPPER
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,11 @@ def op10_language_id(spark, d):
         .select("doc_id", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op13_conversation_repair(spark, d):
+    return dialogue.repair(table(spark, d, "conversations"))
+
+
 @query
 def pipeline(spark, d):
     return corpus_pipeline.run(spark, d)
