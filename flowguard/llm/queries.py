@@ -7,7 +7,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dialogue, exactdedup, langid, licenses, linededup, neardup, packing, secrets, sharding, spellings, vectors
+from . import bpe, dialogue, exactdedup, langid, licenses, linededup, neardup, packing, records, secrets, sharding, spellings, vectors
 from .common import LOWER, UPPER
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,11 @@ def op10_language_id(spark, d):
         .select("doc_id", F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_token_records(spark, d):
+    return records.described(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op12_spelling_variants(spark, d):
     return spellings.variants(table(spark, d, "documents"))
