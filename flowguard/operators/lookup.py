@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import bloom_filter, bloom_words, might_be_in
 from ..session import materialise
 
 # A rule-side table is broadcast only when a count shows it has no more rows.
@@ -59,32 +60,57 @@ class Lookup:
 def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the value columns of every table, NULL where a key is not found.
 
-    Small tables are broadcast into the scan stage. A larger one is first cut
-    to the keys that occur among the packets; what is left of it is broadcast
-    if it is small enough now. Beyond that both sides are shuffled: rows with a
-    hot key, or with none, are spread over salts, and the few table rows of the
-    hot keys are repeated for each salt.
+    Small tables are broadcast into the scan stage. For a larger one a Bloom
+    filter of its keys is tested in the scan first, and only packets that may
+    have a match count from there on: the table is cut to their keys and
+    broadcast if it is small enough now. Beyond that those packets alone are
+    shuffled, rows with a hot key spread over salts, and the few table rows of
+    the hot keys repeated for each salt; all other packets go by.
     """
     lookups = list(lookups)
     large = [i for i, look in enumerate(lookups) if not look.is_small(broadcast_rows)]
     tables = {i: F.broadcast(look.table) for i, look in enumerate(lookups) if i not in large}
-    hot = {}
-    if large and not df.isStreaming:
+    if df.isStreaming:
+        # A stream's future keys are unknown: every key is spread, over fewer salts.
+        return _joined(df, lookups, tables, dict.fromkeys(large))
+    shuffled, may = {}, {}
+    if large:
+        may = {i: _may_match(lookups[i]) for i in large}
         # One pass over the packets, combined per key before its shuffle.
-        counts = materialise(key_counts(df, {i: lookups[i].key for i in large}), "keys")
+        counts = materialise(key_counts(df, {i: F.when(may[i], lookups[i].key) for i in large}), "keys")
         for i in large:
             occurring = counts.filter(F.col("i") == i).select("key")
             seen = lookups[i].table.join(occurring, "key", "left_semi")
             if fits_broadcast(seen, broadcast_rows):
                 tables[i] = F.broadcast(seen)
             else:
-                hot[i] = None
-        if hot:
-            hot = hot_keys(counts, list(hot))
+                shuffled[i] = None
+        if shuffled:
+            shuffled = hot_keys(counts, list(shuffled))
+    if not shuffled:
+        return _joined(df, lookups, tables, {})
+    possible = F.lit(False)
+    for i in shuffled:
+        possible = possible | F.coalesce(may[i], F.lit(False))
+    nothing = {name: F.lit(None).cast(kind) for i in shuffled for name, kind in lookups[i].table.dtypes if name != "key"}
+    passing = _joined(df.filter(~possible), [look for i, look in enumerate(lookups) if i not in shuffled],
+                      dict(enumerate(tables[i] for i in range(len(lookups)) if i not in shuffled)), {}).withColumns(nothing)
+    return _joined(df.filter(possible), lookups, tables, shuffled).unionByName(passing)
+
+
+def _may_match(look: Lookup) -> Column:
+    """Whether a packet's key passes a Bloom filter of the table's keys."""
+    words = bloom_words(look.rows if look.rows is not None else look.table.count())
+    stored = materialise(bloom_filter(look.table.filter("key IS NOT NULL"), "key", words), "bloom")
+    return might_be_in(look.key, stored.scalar(), words)
+
+
+def _joined(df: DataFrame, lookups: list[Lookup], tables: dict[int, DataFrame], hot: dict) -> DataFrame:
+    """Join all tables: those in ``tables`` as they are, those in ``hot`` with salts."""
     for i, look in enumerate(lookups):
         keyed, table = df.withColumn("_key", look.key), tables.get(i, look.table)
-        if i in hot or i not in tables:
-            salted, repeated = _salted(keyed, table, hot.get(i))
+        if i in hot:
+            salted, repeated = _salted(keyed, table, hot[i])
             df = _left_join(salted, repeated, F.col("_salt") == F.col("_table_salt"), look.within)
         else:
             df = _left_join(keyed, table, F.lit(True), look.within)
@@ -92,7 +118,7 @@ def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROA
 
 
 def key_counts(df: DataFrame, keys: dict[int, Column]) -> DataFrame:
-    """Rows (i, key, n): how often each key of each lookup occurs."""
+    """Rows (i, key, n): how often each key of each lookup occurs, and how many rows have none (a NULL key)."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), key.alias("key")) for i, key in keys.items()])
     return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.key").agg(F.count("*").alias("n"))
 
@@ -116,7 +142,6 @@ def _salted(df: DataFrame, table: DataFrame, hot: DataFrame | None) -> tuple[Dat
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is None:
-        # A stream's future keys are unknown: every key is spread, over fewer salts.
         return df.withColumn("_salt", salt), table.withColumn("_table_salt", F.explode(every))
     is_hot = F.col("hot_key").isNotNull()
     hot = F.broadcast(hot)

@@ -1,26 +1,26 @@
 """Blacklist rules: current sets, scopes, and rules that change over time."""
 
-import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bits import NUMBERS, as_bits, bitmaps, is_member
 from ..functions.checks import profile_names, profile_ok
 from ..functions.packet import div, ip_key, ip_key_sql, payload_text
 from ..schema import DEFAULT_LEVELS, PROFILE_BY_VERBOSITY
 from ..session import materialise
 from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up
+from .signatures import compiles, joined_signatures, signature_index, signature_matches
 
-# Rule sets up to this size become literal sets in the plan.
+# Address sets and signatures up to this number become part of the plan.
 INLINE_RULES = 2000
-# Addressed rules are spelled out per scope only for a few scopes.
+# Sets are spelled out per scope only for a few scopes.
 INLINE_SCOPES = 32
-# So many signatures are tried as one regular expression.
-SIGNATURES_JOINED = 100
 
 ADDRESS_KINDS = ("ip", "monitored_ip")
+NUMBER_KINDS = ("port", "flags")
 KINDS = ("ip", "port", "flags", "pattern", "monitored_ip")
 DIRECTIONS = ("src", "dst")
 
@@ -28,9 +28,10 @@ DIRECTIONS = ("src", "dst")
 def rule_key(kind="kind", value="value") -> Column:
     """Rule value in the form in which packets are compared with it."""
     key, kind, value = ip_key(value), F.col(kind), F.col(value)
+    number = value.try_cast("bigint")
     return (F.when(kind.isin(*ADDRESS_KINDS), key)
-            .when(kind == "pattern", value)
-            .otherwise(value.try_cast("bigint").cast("string")))
+            .when(kind == "pattern", F.when(compiles(value), value))
+            .when(number.between(0, NUMBERS - 1), number.cast("string")))
 
 
 def _rule_direction() -> Column:
@@ -94,12 +95,16 @@ def any_of(terms: list[Column]) -> Column:
 class RuleBook:
     """A rule table made ready for checking packets.
 
-    Sets of up to ``INLINE_RULES`` values become literal hash sets inside the
-    scan stage. Larger sets stay tables: they are joined to the packets
-    (broadcast after a size check, shuffled with salted hot keys beyond it) and
-    the checks read the joined column. Only sets that a check reads are
-    joined. Rules are brought to normal form before anything is decided by
-    size; those that cannot apply are listed by ``rejected_rules``.
+    Ports and flag vectors are bitmaps, one of at most 8 KB per scope, whatever
+    the number of rules: the scan stage tests a bit. Address sets of up to
+    ``INLINE_RULES`` values become literal hash sets there. Larger ones stay
+    tables: they are joined to the packets (broadcast after a size check;
+    beyond it only packets that a Bloom filter lets through are shuffled, hot
+    keys salted) and the checks read the joined column. So do sets of more than
+    ``INLINE_SCOPES`` scopes. Many signatures are a table with an index of
+    required text (see ``signatures``); payloads that match are found first. Only sets that a check reads are joined. Rules
+    are brought to normal form before anything is decided by size; those that
+    cannot apply are listed by ``rejected_rules``.
     """
 
     def __init__(self, inline, patterns, tables, broadcast_rows=BROADCAST_ROWS):
@@ -108,6 +113,7 @@ class RuleBook:
         self.tables = tables
         self.broadcast_rows = broadcast_rows
         self._read: set | None = None
+        self._index: DataFrame | None = None
 
     @classmethod
     def load(cls, rules: DataFrame, inline_rows: int = INLINE_RULES,
@@ -119,15 +125,21 @@ class RuleBook:
 
         # A snapshot with one row per rule, written once and read by kind.
         stored = materialise(keyed.distinct(), "rules")
-        sizes = {(r["kind"], r["direction"]): r["count"]
-                 for r in stored.groupBy("kind", "direction").count().collect()}
+        sizes = {(r["kind"], r["direction"]): r for r in stored.groupBy("kind", "direction").agg(
+            F.count("*").alias("rows"), F.count_distinct("scope").alias("scopes")).collect()}
         of = lambda kind, direction: (F.col("kind") == kind) & F.col("direction").eqNullSafe(direction)
-        # Signatures are always part of the plan; of other kinds only small sets come to the driver.
-        inline = [k for k, n in sizes.items() if n <= inline_rows or k[0] == "pattern"]
+        bits = [k for k, n in sizes.items() if k[0] in NUMBER_KINDS and n["scopes"] <= INLINE_SCOPES]
+        # Of addresses and signatures only small sets come to the driver.
+        inline = [k for k, n in sizes.items() if k not in bits and n["rows"] <= inline_rows]
         rows = stored.filter(any_of([of(*k) for k in inline])).collect()
-        tables = {k: (stored.filter(of(*k)).groupBy("value").agg(F.collect_set("scope").alias("scopes")), n)
-                  for k, n in sizes.items() if k not in inline}
-        return cls.of_rows(map(tuple, rows), rules.sparkSession, tables, broadcast_rows)
+        tables = {k: (stored.filter(of(*k)).groupBy("value").agg(F.collect_set("scope").alias("scopes")), n["rows"])
+                  for k, n in sizes.items() if k not in inline and k not in bits}
+        book = cls.of_rows(map(tuple, rows), rules.sparkSession, tables, broadcast_rows)
+        # At most two halves of 4 KB per scope and kind.
+        for row in bitmaps(stored.filter(any_of([of(*k) for k in bits])), ["kind", "direction", "scope"], "value").collect():
+            sets = book.inline.setdefault((row["kind"], row["direction"]), {})
+            sets[row["scope"]] = sets.get(row["scope"], 0) | as_bits(row["half"], row["bits"])
+        return book
 
     @classmethod
     def of_rows(cls, rows, spark, tables=None, broadcast_rows=BROADCAST_ROWS) -> "RuleBook":
@@ -143,6 +155,10 @@ class RuleBook:
                     by_value.setdefault(value, []).append(scope)
             tables[key] = (spark.createDataFrame(list(by_value.items()), "value string, scopes array<string>"),
                            sum(map(len, by_value.values())))
+        for (kind, _), sets in inline.items():
+            if kind in NUMBER_KINDS:
+                for scope, values in sets.items():
+                    sets[scope] = reduce(lambda bits, v: bits | 1 << int(v), values, 0)
         return cls(inline, patterns, tables, broadcast_rows)
 
     @staticmethod
@@ -151,38 +167,75 @@ class RuleBook:
 
     def add(self, df: DataFrame, **columns: Callable[["RuleBook"], Column]) -> DataFrame:
         """Add columns built from the book, joining only the large sets that they read."""
-        own = RuleBook(self.inline, self.patterns, self.tables, self.broadcast_rows)
-        own._read = set()
+        own = self._in_plan() if df.isStreaming else RuleBook(self.inline, self.patterns, self.tables, self.broadcast_rows)
+        own._read, own._index = set(), self._index
         built = {name: build(own) for name, build in columns.items()}
         marks = [self._mark(*key) for key in own._read]
-        return own.attach(df, own._read).withColumns(built).drop(*marks)
+        out = own.attach(df, own._read).withColumns(built).drop(*marks)
+        self._index = own._index
+        return out
+
+    def _in_plan(self) -> "RuleBook":
+        """The book with all signatures in the plan: a stream cannot be read twice to find them by index."""
+        tables, patterns = dict(self.tables), {scope: set(own) for scope, own in self.patterns.items()}
+        if ("pattern", None) in tables:
+            table, _ = tables.pop(("pattern", None))
+            for scope, value in table.select(F.explode("scopes"), "value").collect():
+                patterns.setdefault(scope, set()).add(value)
+        return RuleBook(self.inline, patterns, tables, self.broadcast_rows)
 
     def attach(self, df: DataFrame, keys=None) -> DataFrame:
-        """Join large rule sets, all or the given ones; a no-op when every set is inline."""
-        chosen = [k for k in self.tables if keys is None or k in keys]
-        return look_up(df, [
-            # Counted as rows are its (value, scope) pairs: a value in many scopes is as wide.
-            Lookup(packet_key(*key), self.tables[key][0].select(
-                F.col("value").alias("key"), F.col("scopes").alias(self._mark(*key))), rows=self.tables[key][1])
-            for key in chosen], self.broadcast_rows)
+        """Join large rule sets, all or the given ones; a no-op when every set is inline.
+
+        Sets are named by (kind, direction), large signature sets by ("pattern", mode).
+        """
+        if keys is None:
+            keys = {k for k in self.tables if k != ("pattern", None)} \
+                | ({("pattern", "full"), ("pattern", "find")} if ("pattern", None) in self.tables else set())
+        lookups = []
+        for key in sorted(keys, key=str):
+            if key[0] == "pattern":
+                lookups.append(Lookup(_payload_key(), self._matching_payloads(df, key[1])))
+            else:
+                # Counted as rows are its (value, scope) pairs: a value in many scopes is as wide.
+                lookups.append(Lookup(packet_key(*key), self.tables[key][0].select(
+                    F.col("value").alias("key"), F.col("scopes").alias(self._mark(*key))), rows=self.tables[key][1]))
+        return look_up(df, lookups, self.broadcast_rows)
+
+    def _matching_payloads(self, df: DataFrame, mode: str) -> DataFrame:
+        """Payloads that match some signature and the scopes of all that they match: (key, mark), written."""
+        table, _ = self.tables["pattern", None]
+        if self._index is None:
+            self._index = signature_index(table)
+        matched = signature_matches(df.select("payload"), self._index, mode, broadcast_rows=self.broadcast_rows)
+        pairs = matched.select(_payload_key().alias("key"), "_signature").distinct()
+        scopes = look_up(pairs, [Lookup(F.col("_signature"), table.withColumnRenamed("value", "key"), rows=self.tables["pattern", None][1])],
+                         self.broadcast_rows).select("key", F.explode("scopes").alias("scope"))
+        return materialise(scopes.groupBy("key").agg(F.collect_set("scope").alias(self._mark("pattern", mode))), "matching")
 
     def detach(self, df: DataFrame) -> DataFrame:
-        return df.drop(*(self._mark(*key) for key in self.tables))
+        return df.drop(*(self._mark(*key) for key in self.tables), self._mark("pattern", "full"), self._mark("pattern", "find"))
 
     def hit(self, kind: str, direction: str | None = None, level=None) -> Column:
         """True when the packet's value is in the set in force for it."""
         if (kind, direction) in self.tables:
-            if self._read is not None:
-                self._read.add((kind, direction))
-            scopes = F.array(F.lit("all"), F.concat(F.lit("node:"), F.col("node_id").cast("string")),
-                             F.concat(F.lit("level:"), _level(level).cast("string")))
-            return F.coalesce(F.arrays_overlap(self._mark(kind, direction), scopes), F.lit(False))
-        terms = [_in_scope(scope, level, _member(kind, direction, sorted(values)))
+            return self._marked(kind, direction, level)
+        terms = [_in_scope(scope, level, _member(kind, direction, values))
                  for scope, values in sorted(self.inline.get((kind, direction), {}).items())]
         return F.coalesce(any_of([t for t in terms if t is not None]), F.lit(False))
 
+    def _marked(self, kind, direction, level) -> Column:
+        """Whether a joined column names a scope that holds for the packet."""
+        if self._read is not None:
+            self._read.add((kind, direction))
+        scopes = F.array(F.lit("all"), F.concat(F.lit("node:"), F.col("node_id").cast("string")),
+                         F.concat(F.lit("level:"), _level(level).cast("string")))
+        return F.coalesce(F.arrays_overlap(self._mark(kind, direction), scopes), F.lit(False))
+
     def payload_hit(self, mode: str = "full", level=None) -> Column:
         """True when a signature matches: the whole payload, or any part of it."""
+        if ("pattern", None) in self.tables:
+            return self._marked("pattern", mode, level)
         text = payload_text("payload")
         terms = []
         for scope, patterns in sorted(self.patterns.items()):
@@ -191,23 +244,9 @@ class RuleBook:
         return F.coalesce(any_of([t for t in terms if t is not None]), F.lit(False))
 
 
-def joined_signatures(patterns, mode: str) -> list[str]:
-    """Regular expressions of which one matches if any of the patterns does.
-
-    Plain patterns become alternatives of a few large expressions. Those that
-    count or name their groups, or that quote, stay alone.
-    """
-    alone = [p for p in sorted(patterns) if re.search(r"\\[1-9kQE]|\(\?<[A-Za-z]|#", p)]
-    plain = [p for p in sorted(patterns) if p not in set(alone)]
-    parts = [plain[i:i + SIGNATURES_JOINED] for i in range(0, len(plain), SIGNATURES_JOINED)]
-    return [signature("|".join(f"(?:{p})" for p in part), mode) for part in parts] + [signature(p, mode) for p in alone]
-
-
-def signature(pattern: str, mode: str) -> str:
-    if mode not in ("full", "find"):
-        raise ValueError(f"unknown signature mode {mode!r}")
-    # \A..\z, since $ would also accept a trailing line break.
-    return f"\\A(?:{pattern})\\z" if mode == "full" else pattern
+def _payload_key() -> Column:
+    """A payload's text by its digest, so that long payloads are short keys."""
+    return F.sha2(payload_text("payload"), 256)
 
 
 def _level(level) -> Column:
@@ -230,15 +269,16 @@ def _in_scope(scope: str, level, member: Column) -> Column | None:
     return member if level == int(number) else None
 
 
-def _member(kind: str, direction: str | None, values: list[str]) -> Column:
-    # One parsed text: building thousands of literals one by one is slow.
-    if kind in ADDRESS_KINDS:
-        dotted = all("." in v and v.replace(".", "").isdigit() for v in values)
-        quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
-        return F.expr(f"{ip_key_sql(direction + '_ip', v6=not dotted)} IN ({', '.join(quoted)})")
+def _member(kind: str, direction: str | None, values: set[str] | int) -> Column:
+    """Whether a packet's field is in a set: of addresses in normal form, or of numbers as bits."""
     if kind == "port":
-        return F.expr(f"{direction}_port IN ({', '.join(values)})")
-    return F.expr(f"proto = 'TCP' AND flag_mask IN ({', '.join(values)})")
+        return is_member(f"{direction}_port", values)
+    if kind == "flags":
+        return (F.col("proto") == "TCP") & is_member("flag_mask", values)
+    # One parsed text: building thousands of literals one by one is slow.
+    dotted = all("." in v and v.replace(".", "").isdigit() for v in values)
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in sorted(values)]
+    return F.expr(f"{ip_key_sql(direction + '_ip', v6=not dotted)} IN ({', '.join(quoted)})")
 
 
 def current_rules(rule_log: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -455,17 +495,10 @@ def _signature_hits(df: DataFrame, stored: DataFrame, groups, broadcast_rows: in
     """Packets that match a signature in force: a table (key, _matched), or None without signatures."""
     if not groups:
         return None
-    patterns = sorted(r["value"] for r in stored.filter(F.col("kind") == "pattern").select("value").distinct().collect())
-    text = payload_text("payload")
-    parts = []
-    for at in range(0, len(patterns), SIGNATURES_JOINED):
-        part = patterns[at:at + SIGNATURES_JOINED]
-        each = F.array(*(F.when(text.rlike(signature(p, "full")), F.lit(p)) for p in part))
-        # Which of them it is asked only where one of them matches.
-        parts.append(F.when(any_of([text.rlike(p) for p in joined_signatures(part, "full")]), F.array_compact(each)))
-    matched = df.filter(F.col("proto").isin("TCP", "UDP")) \
-        .select("packet_id", "node_id", "ts", F.array(*parts).alias("_parts")) \
-        .select("packet_id", "node_id", "ts", F.explode(F.flatten(F.array_compact("_parts"))).alias("_signature"))
+    patterns = stored.filter(F.col("kind") == "pattern").select("value").distinct()
+    sent = df.filter(F.col("proto").isin("TCP", "UDP")).select("packet_id", "node_id", "ts", "payload")
+    matched = signature_matches(sent, signature_index(patterns), "full", broadcast_rows=broadcast_rows) \
+        .select("packet_id", "node_id", "ts", "_signature")
     found, lookups = [], []
     for group in sorted(groups, key=str):
         look, own = _interval_lookup(stored, group, F.col("_signature"), len(lookups))

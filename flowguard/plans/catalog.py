@@ -47,6 +47,12 @@ DERIVED_RULES = """
     UNION ALL SELECT 'all', 'port', 'dst', CAST(1000 + s_suppkey AS VARCHAR(9)) FROM supplier
     UNION ALL SELECT 'all', 'flags', NULL, CAST(p_size AS VARCHAR(9)) FROM part WHERE p_size > 40"""
 
+# Signatures derived from the orders; those of every tenth hold at one node only.
+ORDER_SIGNATURES = r"""
+    SELECT CASE WHEN o_orderkey % 10 = 0 THEN concat('node:', CAST(o_orderkey % 7 AS STRING)) ELSE 'all' END AS scope,
+      concat('(click|view) .*"k": ', CAST(o_orderkey AS STRING), '[}]') AS value
+    FROM {orders} WHERE o_orderkey % 3 < 2"""
+
 # A rule log derived from the error events.
 DERIVED_LOG = """
     SELECT seq, ts, CASE k % 3 WHEN 0 THEN 'all' WHEN 1 THEN concat('level:', CAST(u % 3 AS VARCHAR(9)))
@@ -322,6 +328,16 @@ def f06_payload_full(spark, d):
     return traffic(spark, d).filter(checks.payload_ok(book)).select("packet_id", "payload")
 
 
+@query
+def f06_signature_index(spark, d):
+    # As many signatures as there are orders, and some that no engine takes.
+    signatures = spark.sql(f"""{ORDER_SIGNATURES} UNION ALL SELECT * FROM VALUES ('all', 'a)|(b'), ('all', '('), ('level:x', 'c') AS t(scope, value)""",
+                           orders=table(spark, d, "orders"))
+    rules_ = signatures.select("scope", F.lit("pattern").alias("kind"), F.lit(None).cast("string").alias("direction"), "value")
+    book = rules.RuleBook.load(rules_, inline_rows=0)
+    return book.add(traffic(spark, d), _passes=lambda b: checks.payload_ok(b)).filter("_passes").select("packet_id", "payload")
+
+
 @query
 def f07_payload_find(spark, d):
     found = spark.sql("""SELECT * FROM VALUES ('all','pattern',NULL,'"k": 7[0-9]'),

@@ -1,6 +1,6 @@
 """DuckDB statements that say, in plain SQL, what the registered queries return."""
 
-from .catalog import (BAD_IPS, DERIVED_LOG, DERIVED_RULES, LEVEL_OF_NODE, REPORT_KEY, REPORT_TYPE,
+from .catalog import (BAD_IPS, DERIVED_LOG, DERIVED_RULES, ORDER_SIGNATURES, LEVEL_OF_NODE, REPORT_KEY, REPORT_TYPE,
                       RULE_VALUES, UNKNOWN_TYPE)
 
 PACKETS = """
@@ -319,6 +319,11 @@ def oracle_sql() -> dict[str, str]:
         "f07_payload_find": sql("""SELECT packet_id, payload FROM packets
             WHERE NOT coalesce(regexp_matches(payload, '"k": 7[0-9]'), false)
               AND NOT coalesce(regexp_matches(payload, 'purchase .*5'), false)""", "packets"),
+        "f06_signature_index": sql(f"""SELECT packet_id, payload FROM packets p WHERE NOT EXISTS (
+            SELECT 1 FROM ({ORDER_SIGNATURES.format(orders="orders").replace("STRING", "VARCHAR")}) s
+            WHERE (s.scope = 'all' OR s.scope = concat('node:', CAST(p.node_id AS VARCHAR)))
+              AND regexp_extract(s.value, '[0-9]+') = regexp_extract(p.payload, '[0-9]+')
+              AND regexp_full_match(p.payload, s.value))""", "packets"),
         "f08_basic_profile": verdict(basic("derived_rules"), "derived_rules"),
         "f09_dpi_profile": verdict(dpi(), "small_rules"),
         "f10_full_profile": verdict(full("both_rules"), "both_rules"),

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import START, nodes, packet, packets, rule_log, rules
-from flowguard.operators import lookup
+from flowguard.operators import lookup, signatures
 from flowguard.operators import rules as rules_module
 from flowguard.operators.lookup import Lookup, look_up
-from flowguard.functions import checks
+from flowguard.functions import bits, checks
 from flowguard.operators.rules import (RuleBook, cascade_as_of, current_rules, expand_scope, rejected_rules, rule_intervals,
                                        rules_as_of)
 from flowguard.operators.screening import screen
@@ -73,8 +73,10 @@ def test_only_the_sets_that_a_check_reads_are_joined(spark):
     df = packets(spark, [packet(0)])
     joins = lambda out: out._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(screen(df, "dpi", book)) == 0
-    assert joins(book.add(df, ok=lambda b: checks.port_ok(b, "src"))) == 1
-    assert joins(screen(df, "basic", book)) == 3
+    assert joins(book.add(df, ok=lambda b: checks.ip_ok(b, "src"))) == 1
+    # Ports are bits, whatever their number.
+    assert joins(book.add(df, ok=lambda b: checks.port_ok(b, "src"))) == 0
+    assert joins(screen(df, "basic", book)) == 1
 
 
 def test_many_signatures(spark):
@@ -185,17 +187,103 @@ def test_lookup_paths_agree_on_hot_and_missing_keys(spark, monkeypatch):
     assert small.filter("v is not null").count() == 1000 + len(range(2, 1500, 3))
 
 
-def test_large_rule_sets_stay_out_of_the_plan_text(spark):
-    table = spark.range(3000).select(F.lit("all").alias("scope"), F.lit("port").alias("kind"), F.lit("src").alias("direction"),
-                                     (F.col("id") + 5000).cast("string").alias("value"))
+def test_large_address_sets_stay_out_of_the_plan_text(spark):
+    table = spark.range(3000).select(F.lit("all").alias("scope"), F.lit("ip").alias("kind"), F.lit("src").alias("direction"),
+                                     F.concat(F.lit("10.1."), (F.col("id") / 256).cast("int"), F.lit("."), F.col("id") % 256).alias("value"))
     book = RuleBook.load(table)
-    assert list(book.tables) == [("port", "src")] and not book.inline
-    df = book.attach(packets(spark, [packet(0, src_port=5000), packet(1, src_port=4999), packet(2, src_port=7999)]))
-    got = df.filter(~book.hit("port", "src")).collect()
+    assert list(book.tables) == [("ip", "src")] and not book.inline
+    df = book.attach(packets(spark, [packet(0, src_ip="10.1.0.0"), packet(1, src_ip="10.0.0.0"), packet(2, src_ip="10.1.11.183")]))
+    got = df.filter(~book.hit("ip", "src")).collect()
     assert [r["packet_id"] for r in got] == [1]
     assert timedelta(0) == got[0]["ts"] - START
 
 
+@pytest.mark.parametrize("inline_rows", [0, 100_000])
+def test_numbers_are_bits(spark, inline_rows):
+    random.seed(9)
+    edges = [0, 1, 63, 64, 32_767, 32_768, 65_535]
+    ports = sorted({*edges, *random.sample(range(65_536), 3000)})
+    masks = [0, 255, 511, 65_535]
+    table = rules(spark, *[("all", "port", "src", str(p)) for p in ports], *[("level:1", "port", "dst", str(p)) for p in edges],
+                  *[("node:1", "flags", None, str(m)) for m in masks], ("all", "port", "src", "65536"), ("all", "flags", None, "-1"))
+    book = RuleBook.load(table, inline_rows=inline_rows)
+    assert not book.tables
+    asked = sorted({*edges, *(p + d for p in ports[:500] for d in (-1, 0, 1)), -1, 70_000})
+    rows = [packet(i, src_port=p, dst_port=p, flag_mask=p, node_id=1) for i, p in enumerate(asked)] + [packet(9999, src_port=None, flag_mask=None)]
+    got = book.add(packets(spark, rows), src=lambda b: b.hit("port", "src"), low=lambda b: b.hit("port", "dst", 0),
+                   high=lambda b: b.hit("port", "dst", 1), flags=lambda b: b.hit("flags")).collect()
+    for r in got:
+        p = r["src_port"]
+        assert (r["src"], r["low"], r["high"], r["flags"]) == (p in ports, False, r["dst_port"] in edges, r["flag_mask"] in masks)
+    assert sorted(r["value"] for r in rejected_rules(table).collect()) == ["-1", "65536"]
+
+
+def test_bloom_filter(spark):
+    keys = spark.range(50_000).select(F.concat(F.lit("10.0.0."), "id").alias("key"))
+    words = bits.bloom_words(50_000)
+    passed = lambda df: df.filter(bits.might_be_in(F.col("key"), bits.bloom_filter(keys, "key", words).scalar(), words)).count()
+    assert passed(keys) == 50_000
+    others = spark.range(200_000).select(F.concat(F.lit("10.0.1."), "id").alias("key"))
+    assert passed(others) < 0.02 * 200_000
+    assert passed(spark.range(10).select(F.lit(None).cast("string").alias("key"))) == 0
+    assert bits.bloom_words(0) == 1 and bits.bloom_words(1 << 40) == bits.BLOOM_WORDS
+
+
+def test_only_possible_hits_are_shuffled(spark):
+    table = spark.range(20_000).select(F.concat(F.lit("10.0.0."), "id").alias("key"), F.col("id").alias("v"))
+    other = spark.range(100).select((F.col("id") * 2).cast("string").alias("key"), F.col("id").alias("w"))
+    df = spark.range(100_000).select("id", F.when(F.col("id") % 1000 == 0, F.concat(F.lit("10.0.0."), F.col("id") % 30_000))
+                                     .when(F.col("id") % 7 > 0, F.concat(F.lit("192.168."), "id")).alias("k"))
+    got = look_up(df, [Lookup(F.col("k"), table, rows=1 << 30), Lookup((F.col("id") % 200).cast("string"), other)], 10_000)
+    want = df.withColumns({"v": F.when(F.col("k").startswith("10.") & (F.substring_index("k", ".", -1).cast("int") < 20_000),
+                                       F.substring_index("k", ".", -1).cast("long")),
+                           "w": F.when(F.col("id") % 2 == 0, F.expr("(id % 200) div 2"))})
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    shuffled = look_up(df, [Lookup(F.col("k"), table)], 0)
+    assert sorted(map(tuple, shuffled.collect()), key=str) == sorted(map(tuple, want.drop("w").collect()), key=str)
+    # One side of the union has no exchange: packets without a possible match go by.
+    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Join ") >= 1 and plan.split("\n")[-1].count("Join") == 0
+
+
+SIGNATURES = {
+    r"attack \d+ .*": "attack ", r"(a|b)longer text?": "longer tex", r"x|attack": "", r"(?i)attack": "", r"\Qattack\E": "", r"att+ack": "att",
+    r"[abc]def\.ghi[^]x]*": "def.ghi", r"ab{0,2}cdef": "cdef", r"\x41tack\u0042 after": " after", r"((in)(ner)) out(er)*": " out", r"\p{L}word\pLx": "word",
+    r"a\|b\\c": r"a|b\c", r"end$": "end", r"(?=look)ahead": "ahead", r"a+b": "a", r"": "", r"[\]]after": "after", r"(\))closed": "closed",
+}
+
+
+def test_required_text():
+    for pattern, text in SIGNATURES.items():
+        assert signatures.required_text(pattern) == text, pattern
+
+
+@pytest.mark.parametrize("mode", ["full", "find"])
+def test_signature_index(spark, mode):
+    random.seed(3)
+    parts = ["attack", "longer tex", "def.ghi", " after", "word", "ahead", "a|b\\c", "x", "end", "\n", "αβγδε", "closed", "inner outer", "12"]
+    payloads = ["".join(random.choice(parts) for _ in range(random.randint(1, 5))) for _ in range(300)] + [None, "", "attack 12 now", "alonger text"]
+    patterns = [*SIGNATURES, "αβγ.ε.*", "attack", ".*word.*", "(x)\\1", "12*"]
+    df = packets(spark, [packet(i, payload=p) for i, p in enumerate(payloads)])
+    index = signatures.signature_index(spark.createDataFrame([(p,) for p in patterns], "value string"))
+    got = {(r["packet_id"], r["_signature"]) for r in signatures.signature_matches(df, index, mode).collect()}
+    want = {(r["packet_id"], p) for p in patterns
+            for r in df.filter(F.col("payload").rlike(signatures.signature(p, mode))).select("packet_id").collect()}
+    assert got == want and len(want) > 100
+
+
+def test_a_hundred_thousand_signatures(spark):
+    made = spark.range(100_000).select(F.lit("all").alias("scope"), F.lit("pattern").alias("kind"), F.lit(None).cast("string").alias("direction"),
+                                       F.concat(F.lit("attack [a-z]+ "), F.col("id"), F.lit(" .*")).alias("value"))
+    odd = rules(spark, ("all", "pattern", None, "("), ("all", "pattern", None, "a)|(b"), ("node:2", "pattern", None, "only (here|there)"))
+    book = RuleBook.load(made.unionByName(odd))
+    rows = [packet(0, payload="attack on 99999 x"), packet(1, payload="attack on 100000 x"), packet(2, payload="attack 7 x"), packet(3, payload=None),
+            packet(4, payload="only here", node_id=2), packet(5, payload="only here", node_id=1), packet(6, payload="a"), packet(None, payload="attack x 5 y")]
+    df = packets(spark, rows)
+    assert {r["packet_id"] for r in screen(df, "dpi", book).filter("NOT verdict").collect()} == {0, 4, None}
+    assert {r["value"] for r in rejected_rules(made.unionByName(odd)).collect()} == {"(", "a)|(b"}
+
+
 def test_cascade_under_changing_profiles(spark):
     log = rule_log(spark, (1, -5, "all", "add", "port", "src", "5"), (2, -4, "level:1", "add", "pattern", None, "bad"),
                    (3, 10, "level:1", "profile", None, None, "basic"), (4, 20, "node:2", "profile", None, None, "3"),
