@@ -190,7 +190,10 @@ def _alternate(at: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 class PieceNumbers:
-    """Numbers pieces by their 64-bit hash, in an open-addressing table."""
+    """Numbers pieces by their 64-bit hash, in an open-addressing table.
+
+    A hash only finds a piece; whether it is the same is asked of the pieces themselves.
+    """
 
     def __init__(self, slots: int = 1 << 21):
         self.hash = np.zeros(slots, np.uint64)
@@ -250,12 +253,16 @@ class Encoder:
 
     def _forget(self):
         self.numbers = PieceNumbers()
+        # The characters of all numbered pieces, and pieces whose hash another one has.
+        self.codes, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.others: dict[str, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.waiting: list[str] = []
         for token, i in self.vocabulary.special.items():
             # Special tokens are pieces that are known from the start.
             codes = np.frombuffer(token.encode("utf-32-le"), np.uint32)
             self.numbers.add(self.sums.hashes(codes, np.array([0]), np.array([len(codes)])))
+            self._keep(codes, np.array([0]), np.array([len(codes)]))
             self._learn(np.array([i], np.int32), np.array([0, 1]))
 
     def _learn(self, ids, bounds):
@@ -263,6 +270,23 @@ class Encoder:
         self.sizes = np.append(self.sizes, np.diff(bounds))
         self.ids = np.append(self.ids, ids)
 
+    def _keep(self, codes, start, end):
+        """Store the characters of newly numbered pieces."""
+        sizes = end - start
+        self.begins = np.append(self.begins, len(self.codes) + np.cumsum(sizes) - sizes)
+        self.lengths = np.append(self.lengths, sizes)
+        self.codes = np.append(self.codes, codes[ragged(start, sizes)])
+
+    def _unlike(self, numbers, codes, start, end) -> np.ndarray:
+        """Which pieces codes[start:end] are not those that their numbers stand for."""
+        sizes = end - start
+        unlike = self.lengths[numbers] != sizes
+        rows = np.flatnonzero(~unlike)
+        differ = codes[ragged(start[rows], sizes[rows])] != self.codes[ragged(self.begins[numbers[rows]], sizes[rows])]
+        if differ.any():
+            unlike[np.repeat(rows, sizes[rows])[differ]] = True
+        return np.flatnonzero(unlike)
+
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """A text as segments that no piece crosses, and whether each is a special token."""
         parts = [text]
@@ -302,6 +326,15 @@ class Encoder:
             at = new[at]
             self.waiting += [text[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
             self.numbers.add(values)
+            self._keep(codes, start[at], end[at])
+        for i in self._unlike(found, codes, start, end):
+            piece = text[start[i]:end[i]]
+            if piece not in self.others:
+                self.others[piece] = self.numbers.count
+                self.numbers.count += 1
+                self.waiting.append(piece)
+                self._keep(codes, start[i:i + 1], end[i:i + 1])
+            found[i] = self.others[piece]
         return found, np.searchsorted(start, first)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
+from .bpe import Encoder
 from .common import per_worker, ragged
 
 END_ID = 2
@@ -32,8 +33,6 @@ END_ID = 2
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20
 BLOCK_CHARS = 1 << 20
-# Pieces of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
 
 FRAME = 16
 HEAD = "<?qB"
@@ -47,14 +46,17 @@ class Checksums:
 
     The register after two neighbouring runs of bytes is that after the first,
     moved on by the length of the second, xor that of the second alone. So all
-    bytes are looked up at once, and runs of equal length are joined in pairs.
+    pairs of bytes are looked up at once, and runs of equal length are joined in pairs.
     """
 
     def __init__(self):
         table = np.arange(256, dtype=np.uint32)
         for _ in range(8):
             table = np.where(table & 1, (table >> np.uint32(1)) ^ np.uint32(CASTAGNOLI), table >> np.uint32(1))
-        self.table = table
+        # The register after any two bytes, the first of which is the lower half of the index.
+        pair = np.arange(1 << 16, dtype=np.uint32)
+        one = table[pair & np.uint32(0xFF)]
+        self.table = table[(one ^ (pair >> np.uint32(8))) & np.uint32(0xFF)] ^ (one >> np.uint32(8))
         # moves[k] moves a register on by 2**k bytes, a table per byte of the register.
         bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
         one = table[bits & np.uint32(0xFF)] ^ (bits >> np.uint32(8))
@@ -94,7 +96,7 @@ class Checksums:
                 if ones:
                     # The same as ones added to the first four bytes.
                     padded[ragged(begin, np.minimum(size, 4))] ^= 0xFF
-                register, level = self.table[padded].reshape(len(own), width), 0
+                register, level = self.table[padded.view("<u2")].reshape(len(own), width // 2), 1
                 while register.shape[1] > 1:
                     register = self._move(register[:, 0::2], level) ^ register[:, 1::2]
                     level += 1
@@ -174,57 +176,6 @@ def unframe(block: bytes, offsets: np.ndarray) -> Iterator[tuple[int | None, np.
         yield (name if known else None), np.frombuffer(block, {2: "<u2", 4: "<u4"}[width], (size - struct.calcsize(HEAD)) // width, at + struct.calcsize(HEAD))
 
 
-class LibraryEncoder:
-    """Ids of the tokenizers library, which sees each distinct piece between blanks once.
-
-    Only for tokenizers that drop white space: no token of theirs crosses a blank.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        if len(self.tokenizer.encode("a b", add_special_tokens=False).ids) != 2 \
-                or self.tokenizer.encode("a  b", add_special_tokens=False).ids != self.tokenizer.encode("a b", add_special_tokens=False).ids:
-            raise ValueError(f"{path} keeps white space")
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> list[int]:
-        """Encode pieces and number them; long ones get a number that is not remembered."""
-        first = len(self.starts)
-        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.concatenate([self.ids, *found])
-        for i, piece in enumerate(pieces, first):
-            if len(piece) <= LONGEST:
-                self.known[piece] = i
-        return list(range(first, first + len(pieces)))
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, followed by ``end_id``."""
-        if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
-            self._forget()
-        split = [t.split(" ") for t in texts]
-        new = {p for own in split for p in own if p not in self.known}
-        numbers = dict(zip(new, self._learn(list(new)))) if new else {}
-        out = []
-        for own in split:
-            try:
-                at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
-            except KeyError:
-                at = np.fromiter((self.known[p] if p in self.known else numbers[p] for p in own), np.int64, len(own))
-            out.append(np.append(self.ids[ragged(self.starts[at], self.sizes[at])], np.int32(end_id)))
-        return out
-
-
 def _open(uri: str):
     """A file system and a path on it; any that Arrow reaches will do (local, HDFS, object stores)."""
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
@@ -297,11 +248,12 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
 
     def write(batches):
         place = TaskContext.get().partitionId()
-        encoder = per_worker(("library", path), lambda: LibraryEncoder(path))
+        encoder = per_worker(("bpe", path), lambda: Encoder(path))
+        width = 2 if encoder.vocabulary.size <= 1 << 16 else 4
         file, made = None, []
         for ids, texts in _blocks(batches, min(BLOCK_CHARS, file_bytes)):
             file = file or _File(folder, place)
-            file.add(ids, encoder.encode(texts, end_id), encoder.width)
+            file.add(ids, [np.append(t, np.int32(end_id)) for t in encoder.encode(texts)], width)
             if file.bytes >= file_bytes:
                 made.append((place, len(made), *file.close()))
                 file = None

@@ -34,6 +34,24 @@ def test_ids_are_those_of_the_library(path):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text[:200]
 
 
+def thue_morse(n):
+    """Two words whose polynomial hashes are equal modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_of_one_hash_keep_their_own_ids(path):
+    library = Tokenizer.from_file(path)
+    x, y = thue_morse(2048)
+    for texts in ([x, y], [y, x], [f"{x} {y} {x}", y], [y], [x + " " + y[:-1] + "c", y]):
+        got = [ids.tolist() for ids in bpe.Encoder(path).encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = bpe.Encoder(path)
+    for text in (x, y, x, y):
+        assert next(encoder.encode([text])).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_forgotten_between_blocks_change_nothing(monkeypatch):
     texts = [r[1] for r in documents()]
     want = [ids.tolist() for ids in bpe.Encoder(BYTE).encode(texts)]

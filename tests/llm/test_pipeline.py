@@ -19,8 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 @pytest.fixture(scope="module")
 def stages(spark):
-    """What every stage returns over the small documents, beginning with these."""
-    made = [spark.read.parquet(f"{FOLDER}/documents.parquet")]
+    """What every stage returns over the small documents, beginning with these; every ninth holds a secret."""
+    planted = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\nThe password = hunter2hunter2"), F.col("doc_id"))).otherwise(F.col("text"))
+    made = [spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("text", planted).withColumn("n_chars", F.length("text").cast("long"))]
     for name, stage in corpus_pipeline.STAGES:
         made.append(materialise(stage(spark, made[-1], FOLDER), "stage"))
     return made
@@ -34,7 +35,7 @@ def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near copies", "secrets", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
     assert {re.match(r"op\d+_|pipeline", name)[0] for name in queries.queries()} \
-        == {*(f"op{n}_" for n in range(1, 11)), "pipeline"}
+        == {*(f"op{n}_" for n in range(1, 14)), "pipeline"}
 
 
 def test_columns_stay(stages):

@@ -10,7 +10,6 @@ import public_tokenizers
 import pytest
 from edge import documents, empty, odd, odd_rows, rows, with_clashes
 from pyspark.sql import functions as F
-from test_bpe_and_packing import odd_texts
 from tokenizers import Tokenizer
 
 from flowguard.llm import records
@@ -39,17 +38,6 @@ def test_checksums(monkeypatch):
         assert got.tolist() == [slow_crc32c(d) for d in data]
 
 
-def test_pieces_have_the_ids_of_the_library(monkeypatch):
-    library, encoder = Tokenizer.from_file(WORD), records.LibraryEncoder(WORD)
-    texts = list(odd_texts()) + [r[1] for r in documents()]
-    monkeypatch.setattr(records, "REMEMBERED", 3000)
-    for at in range(0, len(texts), 100):
-        for text, ids in zip(texts[at:at + 100], encoder.encode(texts[at:at + 100], 2)):
-            assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text[:100]
-    with pytest.raises(ValueError):
-        records.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def expected(source):
     library = Tokenizer.from_file(WORD)
     for doc_id, text in source:
