@@ -320,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT coalesce(regexp_matches(payload, '"k": 7[0-9]'), false)
               AND NOT coalesce(regexp_matches(payload, 'purchase .*5'), false)""", "packets"),
         "f06_signature_index": sql(f"""SELECT packet_id, payload FROM packets p WHERE NOT EXISTS (
-            SELECT 1 FROM ({ORDER_SIGNATURES.format(orders="orders").replace("STRING", "VARCHAR")}) s
+            SELECT 1 FROM ({ORDER_SIGNATURES.replace("{orders}", "orders").replace("STRING", "VARCHAR")}) s
             WHERE (s.scope = 'all' OR s.scope = concat('node:', CAST(p.node_id AS VARCHAR)))
               AND regexp_extract(s.value, '[0-9]+') = regexp_extract(p.payload, '[0-9]+')
               AND regexp_full_match(p.payload, s.value))""", "packets"),
