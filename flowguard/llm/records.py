@@ -31,14 +31,14 @@ from .common import per_worker, ragged
 END_ID = 2
 # A task begins a new file beyond so many bytes, a reader takes about so many at once, and a writer so many characters.
 FILE_BYTES = 256 << 20
-READ_BYTES = 8 << 20
-BLOCK_CHARS = 1 << 20
+READ_BYTES = 1 << 20
+BLOCK_CHARS = 1 << 19
 
 FRAME = 16
 HEAD = "<?qB"
 # The reversed polynomial of CRC-32C, and what masks a checksum.
 CASTAGNOLI, MASK = 0x82F63B78, 0xA282EAD8
-BLOCK, PIECE = 64, 1 << 22
+BLOCK, PIECE = 64, 1 << 19
 
 
 class Checksums:
@@ -285,39 +285,41 @@ def locations(spark: SparkSession, folder: str) -> DataFrame:
 
     ``start`` counts the tokens of all records before it. Indexes are read by as many tasks as there are files.
     """
+    return _files(spark, folder).mapInArrow(_index_reader(folder), "file string, row long, offset long, end long, start long")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder, dealt to as many tasks."""
+    files = manifest(spark, folder).select("file", "bytes", "records", "first_token")
+    return files.repartitionByRange(max(1, min(files.count(), 10_000)), "file")
+
+
+def _index_reader(folder: str):
+    def block(file, row, own, end, first):
+        """All entries of ``own`` but the last, which only ends another; the last too if its end is given."""
+        ends = own[1:, 0] if end is None else np.append(own[1:, 0], end)
+        own = own[:len(ends)]
+        n = len(own)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([file] * n), pa.array(np.arange(row, row + n)), pa.array(own[:, 0]), pa.array(ends), pa.array(own[:, 1] + first)],
+            names=["file", "row", "offset", "end", "start"])
+
     def read(batches):
         for batch in batches:
             for file, size, records, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 store, base = _open(folder)
                 with store.open_input_stream(f"{base}/{file}.index") as stream:
-                    row = 0
+                    row, held = 0, None
                     while row < records:
-                        # One entry more is the end of the last record of the block.
-                        own = np.frombuffer(stream.read(16 * min(65_536, records - row)), "<u8").reshape(-1, 2).astype(np.int64)
-                        if row:
+                        # The last entry of a block waits for the next one, which says where it ends.
+                        own = np.frombuffer(stream.read(16 * min(16_384, records - row)), "<u8").reshape(-1, 2).astype(np.int64)
+                        if held is not None:
                             yield block(file, row - 1, np.concatenate([held, own[:1]]), None, first)
                         if len(own) > 1:
                             yield block(file, row, own, None, first)
                         held, row = own[-1:], row + len(own)
                     yield block(file, records - 1, held, size, first)
-
-    def block(file, row, own, end, first):
-        """All entries of ``own`` but the last, which only ends another; the last too if its end is given."""
-        ends = own[1:, 0] if end is None else np.append(own[1:, 0], end)
-        own = own[:len(ends)]
-        n = len(own)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([file] * n), pa.array(np.arange(row, row + n)), pa.array(own[:, 0]), pa.array(ends), pa.array(own[:, 1] + first)],
-            names=["file", "row", "offset", "end", "start"])
-
-    files = manifest(spark, folder).select("file", "bytes", "records", "first_token")
-    return _spread(files, "file").mapInArrow(read, "file string, row long, offset long, end long, start long")
-
-
-def _spread(files: DataFrame, by: str) -> DataFrame:
-    """The rows of a small table of files over as many tasks."""
-    n = files.count()
-    return files.repartitionByRange(max(1, min(n, 10_000)), by)
+    return read
 
 
 def fetch(places: DataFrame, folder: str) -> DataFrame:
@@ -326,11 +328,16 @@ def fetch(places: DataFrame, folder: str) -> DataFrame:
     Runs of neighbouring records are read at once. Every checksum is verified; a record that does not agree
     ends the query with Corrupt.
     """
+    return places.select("file", "row", "offset", "end", "start") \
+        .mapInArrow(_record_reader(folder), "doc_id long, start long, tokens array<int>")
+
+
+def _record_reader(folder: str):
     def read(batches):
         streams = {}
         store, base = _open(folder)
         for batch in batches:
-            file, offset, end, start = (batch.column(i).to_pylist() for i in range(4))
+            file, _, offset, end, start = (batch.column(i).to_pylist() for i in range(5))
             i = 0
             while i < len(file):
                 j = i + 1
@@ -350,8 +357,7 @@ def fetch(places: DataFrame, folder: str) -> DataFrame:
                 i = j
         for stream in streams.values():
             stream.close()
-
-    return places.select("file", "offset", "end", "start").mapInArrow(read, "doc_id long, start long, tokens array<int>")
+    return read
 
 
 def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
@@ -374,13 +380,16 @@ def described(docs: DataFrame, path: str, folder: str | None = None, end_id: int
     folder = folder or scratch_path(spark, "records")
     write_records(docs, path, folder, end_id, id_col, text_col)
 
+    indexes, records = _index_reader(folder), _record_reader(folder)
+
     def describe(batches):
-        for batch in batches:
+        # One function, so that a task needs one Python worker.
+        for batch in records(indexes(batches)):
             tokens = batch.column(2)
             bounds, flat = np.asarray(tokens.offsets), np.asarray(tokens.values).astype("<u4")
             crc = [zlib.crc32(flat[a:b].data) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())],
                                              names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return fetch(locations(spark, folder), folder).mapInArrow(describe, "doc_id long, start long, n_tokens long, ids_crc32 long") \
+    return _files(spark, folder).mapInArrow(describe, "doc_id long, start long, n_tokens long, ids_crc32 long") \
         .withColumnRenamed("doc_id", id_col)
