@@ -1,12 +1,39 @@
 """Exact positions in a total order, without ever sorting a group in one task."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packet import slot_of
 from ..schema import PACKET_ORDER
-from ..session import scratch_path
-from .lookup import bounded
+from ..session import materialise, scratch_path
+from .lookup import bounded, null_safe_join
+
+def in_ranges(df: DataFrame, by, order) -> DataFrame:
+    """The rows, written in ranges of (by, order), with the number of each row's range in ``_range``.
+
+    A range is what one task holds, however large a group is. What a row must
+    know of its neighbours is found within (``_range``, by), and carried over
+    the edges of ranges by ``carried``.
+    """
+    path = scratch_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def carried(placed: DataFrame, by, value: Column, name: str, backwards: bool = False) -> DataFrame:
+    """Add ``name``: the last value that ranges before a row's own hold for its group (or the first of those after).
+
+    ``value`` aggregates the rows of one group in one range; NULL means that
+    the range has nothing to say. One row per (range, group) is looked at, and
+    only groups that go on in another range are joined.
+    """
+    by = list(by)
+    edges = placed.groupBy("_range", *by).agg(value.alias(name))
+    order = F.desc("_range") if backwards else F.asc("_range")
+    along = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn(name, F.last(name, ignorenulls=True).over(along)).filter(F.col(name).isNotNull())
+    return null_safe_join(placed, bounded(materialise(edges, "edges")), ["_range", *by], "left")
+
 
 def number_rows(df: DataFrame, by=(), order=PACKET_ORDER) -> DataFrame:
     """Add ``idx``, the 0-based position within ``by``, and ``total`` rows of it.

@@ -11,7 +11,8 @@ from ..functions.checks import profile_names, profile_ok
 from ..functions.packet import div, ip_key, ip_key_sql, payload_text
 from ..schema import DEFAULT_LEVELS, PROFILE_BY_VERBOSITY
 from ..session import materialise
-from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up
+from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up, null_safe_join
+from .ordering import carried, in_ranges
 from .signatures import compiles, joined_signatures, signature_index, signature_matches
 
 # Address sets and signatures up to this number become part of the plan.
@@ -334,22 +335,30 @@ def rule_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] = ("
     Rules are sets: adding a rule twice or removing an absent one changes
     nothing. A ``reset`` ends every interval of its nodes. ``end`` is NULL while
     a rule is still in force. Intervals of one (node, rule) never overlap.
+
+    The log is written in ranges, by node and by rule; what follows or comes
+    before in another range is carried over. So changes that all concern one
+    node, or one rule, are shared by all tasks.
     """
     by = list(by)
-    log = expand_scope(_normal_log(rule_log), nodes, by)
-    is_reset = _wipes()
-    # Read backwards, the reset that follows a change is the last one seen.
-    backwards = Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    next_reset = F.last(F.when(is_reset, F.struct("seq", "ts")), ignorenulls=True).over(backwards)
-    changes = log.withColumn("_wipe", next_reset).filter(~is_reset)
+    is_reset, wipe = _wipes(), F.struct("seq", "ts")
+    log = in_ranges(expand_scope(_normal_log(rule_log), nodes, by), by, ["seq"])
+    # Read backwards, the reset that follows a change is the last one seen: in the range of the change, or in one behind it.
+    log = carried(log, by, F.min(F.when(is_reset, wipe)), "_later", backwards=True)
+    backwards = Window.partitionBy("_range", *by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    next_reset = F.coalesce(F.last(F.when(is_reset, wipe), ignorenulls=True).over(backwards), F.col("_later"))
+    changes = log.withColumn("_wipe", next_reset).filter(~is_reset).drop("_later", "_range")
 
     rule = [*by, "kind", "direction", "value"]
-    history = Window.partitionBy(*rule).orderBy("seq")
-    before = F.lag(F.struct("op", F.col("_wipe.seq").alias("wipe"))).over(history)
-    changes = changes.withColumn("_before", before)
+    state = F.struct("op", F.col("_wipe.seq").alias("wipe"))
+    changes = carried(in_ranges(changes, rule, ["seq"]), rule, F.max_by(state, "seq"), "_earlier")
+    history = Window.partitionBy("_range", *rule).orderBy("seq")
+    changes = changes.withColumn("_before", F.coalesce(F.lag(state).over(history), F.col("_earlier")))
     was = F.when(F.col("_before").isNotNull() & F.col("_before.wipe").eqNullSafe(F.col("_wipe.seq")),
                  F.col("_before.op")).otherwise("remove")
-    changes = changes.filter(F.col("op") != was).withColumn("_next", F.lead("ts").over(history))
+    changes = carried(materialise(changes.filter(F.col("op") != was), "changes"), rule,
+                      F.min_by(F.col("ts"), "seq"), "_following", backwards=True)
+    changes = changes.withColumn("_next", F.coalesce(F.lead("ts").over(history), F.col("_following")))
     return (changes.filter(F.col("op") == "add")
             .select(*rule, F.col("ts").alias("start"), F.least("_next", "_wipe.ts").alias("end"))
             .filter(F.col("end").isNull() | (F.col("start") < F.col("end"))))
@@ -366,12 +375,14 @@ def profile_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] =
     pairs = [F.lit(x) for pair in names.items() for x in pair]
     changes = expand_scope(_normal_log(rule_log).filter(F.col("op") == "profile"), nodes, by) \
         .withColumn("profile", F.try_element_at(F.create_map(*pairs), F.col("value"))).filter("profile IS NOT NULL")
-    following = F.lead("ts").over(Window.partitionBy(*by).orderBy("seq"))
+    changes = carried(in_ranges(changes, by, ["seq"]), by, F.min_by(F.col("ts"), "seq"), "_following", backwards=True)
+    following = F.coalesce(F.lead("ts").over(Window.partitionBy("_range", *by).orderBy("seq")), F.col("_following"))
     return changes.select(*by, "profile", F.col("ts").alias("start"), following.alias("end")) \
         .filter(F.col("end").isNull() | (F.col("start") < F.col("end")))
 
 
-# A rule with more intervals than this is looked up by time slice as well.
+# A rule with more intervals than this is looked up by time slice as well: by so many slices
+# at least, and by about as many as it has intervals.
 MANY_INTERVALS = 64
 TIME_SLICES = 1024
 
@@ -396,8 +407,8 @@ def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, broadcast_
     A packet looks its value up among the intervals of its node, with the time
     as a further condition. Intervals of one rule do not overlap, so it meets
     one at most. The intervals of a rule that changes very often are cut into
-    time slices and found by slice: since they are disjoint, cutting adds no
-    more than one row per slice.
+    about as many time slices and found by slice: since they are disjoint,
+    cutting adds no more than one row per slice.
 
     The few packets that match a signature are looked up with all the
     signatures they match at once, and meet the packets again by ``packet_id``,
@@ -424,9 +435,11 @@ def cascade_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, levels:
     every = F.array(*(F.lit(n) for n in sorted(levels)))
     places = nodes.select("node_id").distinct().withColumn("level", F.explode(every))
     stored = materialise(_counted_intervals(rule_log, places, by), "intervals")
-    profiles = materialise(profile_intervals(rule_log, places, by), "profiles")
+    profiles = materialise(_with_slices(profile_intervals(rule_log, places, by), by), "profiles")
     groups = _interval_groups(stored, "level")
     ever = {(r["level"], r["profile"]) for r in profiles.select("level", "profile").distinct().collect()}
+    spans = profiles.groupBy("level", "slices").agg(F.count("*").alias("rows"), F.count_distinct("node_id").alias("rules"),
+                                                    F.min("start").alias("first"), F.max("start").alias("last")).collect()
 
     lookups: list[Lookup] = []
     dropped_at = None
@@ -437,12 +450,13 @@ def cascade_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, levels:
         ok = profile_ok(default, book)
         named = sorted(name for n, name in ever if n == level)
         if named:
-            start, end, name = F.col(f"_from_{level}"), F.col(f"_to_{level}"), F.col(f"_profile_{level}")
-            table = profiles.filter(F.col("level") == level).select(
-                F.col("node_id").cast("string").alias("key"), F.col("start").alias(f"_from_{level}"),
-                F.col("end").alias(f"_to_{level}"), F.col("profile").alias(f"_profile_{level}"))
-            lookups.append(Lookup(F.col("node_id").cast("string"), table,
-                                  (F.col("ts") >= start) & (end.isNull() | (F.col("ts") < end))))
+            names = []
+            for span in sorted((r for r in spans if r["level"] == level), key=lambda r: r["slices"]):
+                chosen = profiles.filter((F.col("level") == level) & (F.col("slices") == span["slices"]))
+                look, _ = _as_of(chosen, span, [F.col("node_id").cast("string")], [F.col("node_id").cast("string")], len(lookups), "profile")
+                names.append(F.col(f"_profile_{len(lookups)}"))
+                lookups.append(look)
+            name = F.coalesce(*names)
             ok = reduce(lambda out, n: F.when(name == n, profile_ok(n, book)).otherwise(out), named, ok)
         dropped_at = F.when(~ok, level) if dropped_at is None else dropped_at.when(~ok, level)
     return look_up(df, lookups, broadcast_rows).withColumn("dropped_at", dropped_at.cast("int")) \
@@ -451,7 +465,7 @@ def cascade_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, levels:
 
 def _interval_groups(stored: DataFrame, *by: str) -> list:
     """Sizes and times of the intervals of each kind, direction and form."""
-    return stored.groupBy(*by, "kind", "direction", "many").agg(
+    return stored.groupBy(*by, "kind", "direction", "slices").agg(
         F.count("*").alias("rows"), F.count_distinct("node_id", "value").alias("rules"),
         F.min("start").alias("first"), F.max("start").alias("last")).collect()
 
@@ -473,19 +487,26 @@ def _marks(df: DataFrame, stored: DataFrame, groups: list, lookups: list[Lookup]
 
 def _interval_lookup(stored: DataFrame, group, value: Column, i: int) -> tuple[Lookup, Column]:
     """The lookup of a value in the intervals of one group, and whether it finds one."""
-    chosen = stored.filter((F.col("kind") == group["kind"]) & (F.col("many") == group["many"])
+    chosen = stored.filter((F.col("kind") == group["kind"]) & (F.col("slices") == group["slices"])
                            & F.col("direction").eqNullSafe(group["direction"]))
-    parts = [F.col("node_id").cast("string"), F.col("value")]
-    probe = [F.col("node_id").cast("string"), value]
+    node = F.col("node_id").cast("string")
+    return _as_of(chosen, group, [node, F.col("value")], [node, value], i)
+
+
+def _as_of(chosen: DataFrame, group, parts: list[Column], probe: list[Column], i: int, *more: str) -> tuple[Lookup, Column]:
+    """The lookup of what holds at a packet's time among intervals of one form, and whether it finds one.
+
+    Columns ``more`` of the table come with it, named with an underscore and the number ``i``.
+    """
     rows = group["rows"]
-    if group["many"]:
+    if group["slices"]:
         # An upper bound: disjoint intervals meet in one slice at most.
-        rows += group["rules"] * (TIME_SLICES + 1)
-        chosen, slice_of = _sliced(chosen, group["first"], group["last"])
-        parts.append(F.col("slice").cast("string"))
-        probe.append(slice_of("ts").cast("string"))
+        rows += group["rules"] * (group["slices"] + 1)
+        chosen, slice_of = _sliced(chosen, group["first"], group["last"], group["slices"])
+        parts = [*parts, F.col("slice").cast("string")]
+        probe = [*probe, slice_of("ts").cast("string")]
     table = chosen.select(_joined(parts).alias("key"), F.col("start").alias(f"_start_{i}"),
-                          F.col("end").alias(f"_end_{i}"))
+                          F.col("end").alias(f"_end_{i}"), *(F.col(c).alias(f"_{c}_{i}") for c in more))
     start, end = F.col(f"_start_{i}"), F.col(f"_end_{i}")
     in_force = (F.col("ts") >= start) & (end.isNull() | (F.col("ts") < end))
     return Lookup(_joined(probe), table, in_force, rows), start.isNotNull()
@@ -516,18 +537,27 @@ def _joined(parts: list[Column]) -> Column:
 
 def _counted_intervals(rule_log: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     found = rule_intervals(rule_log, nodes, by).filter(F.col("kind") != "monitored_ip")
-    per_rule = F.count("*").over(Window.partitionBy(*by, "kind", "direction", "value"))
-    return found.withColumn("many", per_rule > MANY_INTERVALS)
+    return _with_slices(found, [*by, "kind", "direction", "value"])
+
+
+def _with_slices(intervals: DataFrame, key: list[str]) -> DataFrame:
+    """Add ``slices``: 0 for a key with few intervals, else a power of four of about their number."""
+    stored = materialise(intervals, "intervals")
+    n = F.col("_n")
+    often = stored.groupBy(*key).agg(F.count("*").alias("_n")).filter(n > MANY_INTERVALS) \
+        .withColumn("slices", F.greatest(F.lit(TIME_SLICES), F.pow(F.lit(4), F.ceil(F.log2(n) / 2))).cast("bigint")).drop("_n")
+    return null_safe_join(stored, bounded(materialise(often, "often")), key, "left") \
+        .withColumn("slices", F.coalesce("slices", F.lit(0).cast("bigint")))
 
 
-def _sliced(intervals: DataFrame, first, last):
+def _sliced(intervals: DataFrame, first, last, slices: int):
     """Intervals with one row per time slice they touch, and the slice of a time."""
     origin = F.unix_micros(F.lit(first))
-    length = div(F.unix_micros(F.lit(last)) - origin, TIME_SLICES) + 1
+    length = div(F.unix_micros(F.lit(last)) - origin, slices) + 1
 
     def slice_of(ts) -> Column:
         number = div(F.unix_micros(ts) - origin, length)
-        return F.least(F.greatest(number, F.lit(0)), F.lit(TIME_SLICES))
+        return F.least(F.greatest(number, F.lit(0)), F.lit(slices))
 
-    to = F.when(F.col("end").isNull(), TIME_SLICES).otherwise(slice_of("end")).cast("bigint")
+    to = F.when(F.col("end").isNull(), slices).otherwise(slice_of("end")).cast("bigint")
     return intervals.withColumn("slice", F.explode(F.sequence(slice_of("start").cast("bigint"), to))), slice_of

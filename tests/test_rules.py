@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import START, nodes, packet, packets, rule_log, rules
-from flowguard.operators import lookup, signatures
+from flowguard.operators import lookup, ordering, signatures
 from flowguard.operators import rules as rules_module
 from flowguard.operators.lookup import Lookup, look_up
 from flowguard.functions import bits, checks
@@ -167,6 +167,52 @@ def test_rules_as_of_against_step_simulation(spark, monkeypatch, many, slices, b
     assert len(set(got.values())) == 2
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """As many ranges as shuffle partitions, however few rows there are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_intervals_across_ranges(spark, many_ranges):
+    log, rows = random_case(seed=77, n_rules=2, changes=300)
+    levels = {1: 0, 2: 1, 3: 1}
+    got = rules_as_of(packets(spark, rows), rule_log(spark, *log), nodes(spark, *levels.items()))
+    assert {r["packet_id"]: r["verdict"] for r in got.collect()} == simulate(log, rows, levels)
+
+
+def test_all_changes_at_one_node_and_rule(spark, many_ranges):
+    changes = [(i, 2 * i, "node:1", "reset" if i % 50 == 49 else "remove" if i % 3 == 2 else "add", "port", "src", "7") for i in range(600)]
+    log = rule_log(spark, *[c if c[3] != "reset" else (*c[:4], None, None, None) for c in changes])
+    inside, want, start = False, [], None
+    for _, second, _, op, *_ in changes:
+        if (op == "add") != inside:
+            if inside:
+                want.append((start, second))
+            inside, start = not inside, second
+    if inside:
+        want.append((start, None))
+    got = rule_intervals(log, nodes(spark, (1, 0))).collect()
+    assert sorted((at(r["start"]), at(r["end"])) for r in got) == want and len(want) > 150
+    placed = ordering.in_ranges(spark.range(1000).select(F.lit(1).alias("node"), "id"), ["node"], ["id"])
+    assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_many_profile_changes_of_one_node(spark, many_ranges, monkeypatch):
+    monkeypatch.setattr(rules_module, "TIME_SLICES", 16)
+    names = ["basic", "empty", "full"]
+    log = rule_log(spark, *[(i, i, "node:1", "profile", None, None, names[i % 3]) for i in range(1000)])
+    rows = [packet(i, i + 0.5, node_id=1, proto="ICMP") for i in range(-1, 1010)] + [packet(5000, 500, node_id=2, proto="ICMP")]
+    got = {r["packet_id"]: r["dropped_at"] for r in cascade_as_of(packets(spark, rows), log, nodes(spark, (1, 0), (2, 0)), {0: "empty"}).collect()}
+    # Only the full profile stops a packet of an unknown type.
+    assert got == {**{i: 0 if i >= 0 and min(i, 999) % 3 == 2 else None for i in range(-1, 1010)}, 5000: None}
+    sliced = rules_module._with_slices(rules_module.profile_intervals(log, nodes(spark, (1, 0))), ["node_id"])
+    assert {r["slices"] for r in sliced.select("slices").distinct().collect()} == {1024}
+
+
 def test_lookup_paths_agree_on_hot_and_missing_keys(spark, monkeypatch):
     monkeypatch.setattr(lookup, "HOT_SHARE", 20)
     monkeypatch.setattr(lookup, "SALTS", 7)
