@@ -32,13 +32,13 @@ END_ID = 2
 # A task begins a new file beyond so many bytes, a reader takes about so many at once, and a writer so many characters.
 FILE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 4 << 20
 
 FRAME = 16
 HEAD = "<?qB"
 # The reversed polynomial of CRC-32C, and what masks a checksum.
 CASTAGNOLI, MASK = 0x82F63B78, 0xA282EAD8
-BLOCK, PIECE = 64, 1 << 19
+BLOCK, PIECE = 64, 1 << 20
 
 
 class Checksums:
