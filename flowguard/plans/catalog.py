@@ -17,7 +17,7 @@ from ..schema import DEFAULT_LEVELS
 from ..session import pin_utc, scratch_path
 from ..sources import packets as scans
 from ..sources import sinks
-from ..streaming import (closing_packet, latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
+from ..streaming import (closing_packet, latest_counters, query_totals, run_counters, run_stream, run_with_rule_log, running_counters,
                          stream_classic_detector, stream_cma, stream_count_windows, stream_escalation, stream_rounds,
                          stream_sliding_counts, stream_sliding_detector, write_stream)
 from . import detectors, evaluation
@@ -26,6 +26,7 @@ DAY = 86_400
 RATIO, FLOOR, SIZE = 1.5, 3, 100
 REPORT_ROUND = 21_600
 NODES = range(6)
+ROWS_PER_FILE = 2_000_000
 
 # The small rule table of most queries; valid text in both SQL dialects.
 RULE_VALUES = """
@@ -160,21 +161,28 @@ def zoneless(df: DataFrame, name: str = "ts") -> DataFrame:
 
 
 def ordered_stream(spark, d, files: int = 4, closed: bool = True) -> DataFrame:
-    """Traffic as a stream of several files in order of time, one per trigger.
+    """Traffic as a stream in order of time, in so many triggers of several files each.
 
     With ``closed`` a last packet, years later, closes all windows; it sends a
     report, so that streams of reports see it too.
     """
     df, path = traffic(spark, d), scratch_path(spark, "files")
-    at = packet.micros("ts")
-    bounds = df.select(at.cast("double").alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.01)
-    edges = [None, *(F.lit(int(b)) for b in bounds), None]
-    for low, high in zip(edges, edges[1:]):
-        part = df if low is None else df.filter(at > low)
-        (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(path)
+    # Ranges of time are written side by side; only the times of the files put them in order.
+    per_trigger = max(2, -(-df.count() // (files * ROWS_PER_FILE)))
+    df.repartitionByRange(files * per_trigger, "ts").write.parquet(path)
+    parts = sorted(f for f in map(str, spark.read.parquet(path).inputFiles()))
+    in_order(spark, parts)
     if closed:
-        closing_packet(spark, node_id=0, src_ip="10.0.0.3", dst_ip="192.168.1.0").write.mode("append").parquet(path)
-    return scans.packet_stream(spark, path, 1)
+        closing_packet(spark, node_id=0, src_ip="10.0.0.3", dst_ip="192.168.1.0").coalesce(1).write.mode("append").parquet(path)
+        in_order(spark, sorted(set(spark.read.parquet(path).inputFiles()) - set(parts)), len(parts))
+    return scans.packet_stream(spark, path, per_trigger)
+
+
+def in_order(spark, names: list[str], first: int = 0) -> None:
+    """Give files times in the order of their names, by which a stream takes them."""
+    for i, name in enumerate(names, first):
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(place, 1_000_000_000_000 + 1000 * i, -1)
 
 
 def drained(df: DataFrame) -> DataFrame:
@@ -717,6 +725,20 @@ def t09_running_counters(spark, d):
     return latest_counters(spark.read.parquet(out))
 
 
+@query
+def t09_query_totals(spark, d):
+    # What every micro-batch observed, and what came too late for closed slots, over the query's life.
+    totals = query_totals(spark)
+    try:
+        counters = running_counters(ordered_stream(spark, d, 12, closed=False), small_rules(spark), bad_ips(spark))
+        running = run_counters(counters, scratch_path(spark, "counters"), scratch_path(spark, "commits"), available_now=True)
+        running.awaitTermination()
+        seen = totals.observed(running, "traffic")
+    finally:
+        spark.streams.removeListener(totals)
+    return spark.createDataFrame(sorted(seen.items()), "metric string, n long")
+
+
 @query
 def t10_stream_sliding_detector(spark, d):
     out = scratch_path(spark, "out")

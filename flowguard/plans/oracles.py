@@ -443,6 +443,8 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (dropped_at IS NOT NULL) AS dropped,
             count(*) FILTER (dropped_at IS NULL AND src_ip IN (SELECT ip FROM bad)) AS leaked
             FROM cascaded GROUP BY node_id""", "cascaded", "bad"),
+        "t09_query_totals": sql("""SELECT 'processed' AS metric, count(*) AS n FROM cascaded
+            UNION ALL SELECT 'dropped', count(*) FROM cascaded WHERE dropped_at IS NOT NULL""", "cascaded"),
         "t10_stream_sliding_detector": sliding_alerts("'src_ip', 'dst_ip'", 1.5, 3, running=True),
         "t11_stream_classic_detector": CLASSIC,
         "t12_stream_detector_rounds": f"""SELECT *, coalesce(lag(round) OVER (PARTITION BY kind, key, node_id ORDER BY round)

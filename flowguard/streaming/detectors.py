@@ -19,7 +19,7 @@ from ..schema import COUNT_WINDOW, DETECTION_FLOOR, DETECTION_RATIO, SLOT_SECOND
 from .counted import stream_count_windows
 from .run import per_batch, write_batch
 from .stateful import fold_closed
-from .windows import interval
+from .windows import over_panes, panes
 
 GROUP = ["node_id", "dimension", "key"]
 
@@ -35,10 +35,11 @@ def stream_sliding_detector(stream: DataFrame, path: str, state_path: str, check
     hits have just left, which count 0 once, as a running counter has it.
     """
     length = int(round(slot_seconds * 1_000_000))
-    rows = dimension_rows(stream.withWatermark("ts", delay or interval(slot_seconds)), ["node_id", "ts"], list(dimensions))
-    window = F.window("ts", interval(slot_seconds * (n_slots + 1)), interval(slot_seconds)).alias("w")
-    counts = rows.select(window, *GROUP, "ts").groupBy("w", *GROUP).agg(
-        F.count_if(micros("ts") >= micros(F.col("w.start")) + length).alias("n")) \
+    rows = dimension_rows(stream, ["node_id", "ts"], list(dimensions))
+    slots = panes(rows, GROUP, slot_seconds, delay)
+    slots = slots.select(over_panes(slot_seconds, n_slots + 1), *GROUP, "n", F.window_time("pane").alias("at"))
+    counts = slots.groupBy("w", *GROUP).agg(
+        F.coalesce(F.sum(F.when(micros("at") >= micros(F.col("w.start")) + length, F.col("n"))), F.lit(0).cast("bigint")).alias("n")) \
         .select(*GROUP, (div(micros(F.col("w.end")), length) - 1).alias("win"), "n")
 
     def write(folded: DataFrame, batch_id: int) -> None:

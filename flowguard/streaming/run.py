@@ -6,12 +6,13 @@ when the batch is replayed.
 """
 
 import re
+import time
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.storagelevel import StorageLevel
 
 from ..operators.rules import cascade_as_of, rules_as_of
@@ -110,14 +111,69 @@ def run_with_rule_log(packets: DataFrame, read_log: Callable[[], DataFrame],
     return per_batch(packets, step, checkpoint, available_now)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query has dropped as too late, over the progress that it still holds.
+class QueryTotals(StreamingQueryListener):
+    """Adds up what queries report per micro-batch, for as long as they live: late rows and observed metrics.
 
-    A windowed count combines the packets of one task, window and key before
-    it looks at their time, so these count as one row.
+    A query's own progress keeps only its latest micro-batches. Totals belong to
+    the query, not to one run of it: a batch that is run again counts once.
     """
-    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress
-               for op in progress["stateOperators"])
+
+    def __init__(self):
+        self._late: dict[str, int] = {}
+        self._observed: dict[str, dict[tuple[str, str], int]] = {}
+        self._last: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        """Nothing is to be done before the first batch."""
+
+    def onQueryIdle(self, event) -> None:
+        """A trigger without data changes no total."""
+
+    def onQueryTerminated(self, event) -> None:
+        """Totals stay readable after the end."""
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        query, batch = str(progress.id), progress.batchId
+        # Progress without a batch is only a sign of life.
+        if "addBatch" not in progress.durationMs or batch <= self._last.get(query, -1):
+            return
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self._late[query] = self._late.get(query, 0) + late
+        sums = self._observed.setdefault(query, {})
+        for name, row in progress.observedMetrics.items():
+            for metric, value in row.asDict().items():
+                sums[name, metric] = sums.get((name, metric), 0) + (value or 0)
+        self._last[query] = batch
+
+    def _settle(self, query: StreamingQuery, seconds: float = 30.0) -> str:
+        """Wait until the last batch that the query has reported has come here too."""
+        last, until = query.lastProgress, time.monotonic() + seconds
+        while last and "addBatch" in last["durationMs"] and self._last.get(str(query.id), -1) < last["batchId"]:
+            if time.monotonic() > until:
+                raise TimeoutError(f"batch {last['batchId']} has not been reported")
+            time.sleep(0.02)
+        return str(query.id)
+
+    def late_rows(self, query: StreamingQuery) -> int:
+        """Rows that a query has dropped as too late, over all of its batches.
+
+        A windowed count combines the packets of one task, window and key before
+        it looks at their time, so these count as one row.
+        """
+        return self._late.get(self._settle(query), 0)
+
+    def observed(self, query: StreamingQuery, name: str) -> dict[str, int]:
+        """The sums of observed metrics of that name over all batches of a query."""
+        sums = self._observed.get(self._settle(query), {})
+        return {metric: value for (own, metric), value in sums.items() if own == name}
+
+
+def query_totals(spark: SparkSession) -> QueryTotals:
+    """Totals of all queries of a session that start from now on."""
+    totals = QueryTotals()
+    spark.streams.addListener(totals)
+    return totals
 
 
 def closing_packet(spark: SparkSession, **fields) -> DataFrame:

@@ -3,13 +3,13 @@
 State is bounded by a watermark on event time: a window is written once, when
 the watermark has passed its end. Packets may be late by ``delay``, which is one
 slot or round unless it says otherwise; later ones are dropped and counted
-(``late_rows``). What is open when a bounded stream ends is written if the input
+(``query_totals``). What is open when a bounded stream ends is written if the input
 ends with a ``closing_packet``.
 """
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.packet import div, micros
@@ -23,11 +23,27 @@ def interval(seconds: float) -> str:
     return f"{int(round(seconds * 1_000_000))} microseconds"
 
 
+def panes(stream: DataFrame, keys: Iterable[str], seconds: float, delay: str | None = None) -> DataFrame:
+    """Rows per key in tumbling windows: (pane, keys, n). Longer windows are made of them, never of packets."""
+    watermarked = stream.withWatermark("ts", delay or interval(seconds))
+    return watermarked.groupBy(F.window("ts", interval(seconds)).alias("pane"), *keys).agg(F.count("*").alias("n"))
+
+
+def over_panes(seconds: float, n: int) -> Column:
+    """The windows of ``n`` panes that hold a pane; they advance by one."""
+    return F.window(F.window_time("pane"), interval(seconds * n), interval(seconds)).alias("w")
+
+
 def stream_sliding_counts(stream: DataFrame, keys: Iterable[str], slot_seconds: float = SLOT_SECONDS,
                           n_slots: int = WINDOW_SLOTS, delay: str | None = None) -> DataFrame:
-    """Hits per key in sliding windows; ``end_slot`` as in the batch form."""
-    window = F.window("ts", interval(slot_seconds * n_slots), interval(slot_seconds))
-    counts = stream.withWatermark("ts", delay or interval(slot_seconds)).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
+    """Hits per key in sliding windows; ``end_slot`` as in the batch form.
+
+    Packets are counted by slot; a second aggregate adds up closed slots.
+    """
+    keys = list(keys)
+    counts = panes(stream, keys, slot_seconds, delay)
+    counts = counts.withColumnRenamed("pane", "w") if n_slots == 1 else \
+        counts.groupBy(over_panes(slot_seconds, n_slots), *keys).agg(F.sum("n").alias("n"))
     length = int(round(slot_seconds * 1_000_000))
     return counts.select(*keys, (div(micros(F.col("w.end")), length) - 1).alias("end_slot"), "n")
 
@@ -48,16 +64,17 @@ def stream_escalation(reports: DataFrame, round_seconds: float = ROUND_SECONDS,
                       delay: str | None = None) -> DataFrame:
     """Per (kind, key, node) and round: its hits, and whether it escalates.
 
-    A window of two rounds that advances by one sees a round together with the
-    one before, so the look back needs no state beyond that of the window.
+    Reports are counted by round. A window of two rounds that advances by one
+    sees a round together with the one before, so the look back needs no state
+    beyond that of the window.
     """
     routed = reports.withColumn("kind", report_kind()).filter(F.col("kind").isin(*HIT_KINDS))
-    window = F.window("ts", interval(2 * round_seconds), interval(round_seconds))
-    pairs = routed.withWatermark("ts", delay or interval(round_seconds)).select(window.alias("w"), "kind", "key", "node_id", "ts")
+    rounds = panes(routed, ["kind", "key", "node_id"], round_seconds, delay)
     length = int(round(round_seconds * 1_000_000))
-    in_round = micros("ts") >= micros(F.col("w.end")) - length
-    counts = pairs.groupBy("w", "kind", "key", "node_id").agg(
-        F.count_if(in_round).alias("hits"), F.count_if(~in_round).alias("before"))
+    pairs = rounds.select(over_panes(round_seconds, 2), "kind", "key", "node_id", "n", F.window_time("pane").alias("at"))
+    in_round = micros("at") >= micros(F.col("w.end")) - length
+    total = lambda own: F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0).cast("bigint"))
+    counts = pairs.groupBy("w", "kind", "key", "node_id").agg(total(in_round).alias("hits"), total(~in_round).alias("before"))
     return counts.filter(F.col("hits") > 0).select(
         "kind", "key", "node_id", (div(micros(F.col("w.end")), length) - 1).alias("round"), "hits",
         (F.col("before") > 0).alias("escalated"))

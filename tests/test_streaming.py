@@ -12,7 +12,7 @@ from flowguard.operators.reports import escalate
 from flowguard.operators.windows import count_windows, slot_counts
 from flowguard.session import scratch_path
 from flowguard.sources.packets import packet_stream
-from flowguard.streaming import (closing_packet, late_rows, latest_counters, run_counters, run_stream, run_with_rule_log, running_counters,
+from flowguard.streaming import (closing_packet, latest_counters, query_totals, run_counters, run_stream, run_with_rule_log, running_counters,
                                  stream_cma, stream_count_windows, stream_escalation, stream_sliding_counts,
                                  write_stream)
 from flowguard.plans.detectors import detect_classic, detect_sliding
@@ -90,15 +90,53 @@ def test_late_packets_are_counted(spark):
     for i, part in enumerate([[1, 2], [500], [501], [3, 4, 490]]):
         packets(spark, [packet(10 * i + j, s) for j, s in enumerate(part)]).coalesce(1).write.mode("append").parquet(path)
     closing_packet(spark, src_ip="x").write.mode("append").parquet(path)
-    out = scratch_path(spark, "out")
+    out, totals = scratch_path(spark, "out"), query_totals(spark)
     query = write_stream(stream_sliding_counts(packet_stream(spark, path, 1), ["src_ip"], 30, 1), out,
                          scratch_path(spark, "commits"), available_now=True)
     query.awaitTermination()
     # Both late packets of one window and key reach the state as one row.
-    assert late_rows(query) == 1
+    assert totals.late_rows(query) == 1
+    spark.streams.removeListener(totals)
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [2, 3]
 
 
+def test_totals_outlive_the_progress_that_a_query_holds(spark):
+    path, totals = scratch_path(spark, "source"), query_totals(spark)
+    commits, out = scratch_path(spark, "commits"), scratch_path(spark, "out")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        def run(first, last):
+            # Every batch after the first brings one packet in time and one that is much too late.
+            for i in range(first, last):
+                packets(spark, [packet(2 * i, 10_000 + 100 * i), packet(2 * i + 1, i)]).coalesce(1).write.mode("append").parquet(path)
+            stream = packet_stream(spark, path, 1).observe("seen", F.count(F.lit(1)).alias("rows"), F.sum("packet_id").alias("ids"))
+            query = write_stream(stream_sliding_counts(stream, ["src_ip"], 30, 2), out, commits, available_now=True)
+            query.awaitTermination()
+            return query
+
+        query = run(0, 12)
+        assert len(query.recentProgress) <= 3
+        assert totals.observed(query, "seen") == {"rows": 24, "ids": sum(range(24))} and totals.late_rows(query) == 10
+        # The same query goes on after a restart.
+        query = run(12, 15)
+        assert totals.observed(query, "seen") == {"rows": 30, "ids": sum(range(30))} and totals.late_rows(query) == 13
+        assert totals.observed(query, "other") == {}
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        spark.streams.removeListener(totals)
+
+
+def test_windows_are_made_of_panes(spark):
+    path = scratch_path(spark, "source")
+    packets(spark, [packet(i, i % 7) for i in range(200)]).write.parquet(path)
+    plan = stream_sliding_counts(packet_stream(spark, path), ["src_ip"], 30, 5)._jdf.queryExecution().analyzed().toString()
+    lines = [line.strip("+-:~ ") for line in plan.splitlines()]
+    counted = [i for i, line in enumerate(lines) if line.startswith("Aggregate")]
+    copied = [i for i, line in enumerate(lines) if line.startswith("Expand")]
+    # The first aggregate, the lower one, is that of tumbling panes; only its rows are copied into windows.
+    assert len(counted) == 2 and copied and max(copied) < counted[1]
+
+
 def test_replayed_batch_does_not_count_twice(spark):
     state, out = scratch_path(spark, "state"), {}
     closed = lambda slot: spark.createDataFrame([("a", slot, 10 * (slot + 1))], "key string, slot long, n long")
