@@ -24,6 +24,8 @@ ADDRESS_KINDS = ("ip", "monitored_ip")
 NUMBER_KINDS = ("port", "flags")
 KINDS = ("ip", "port", "flags", "pattern", "monitored_ip")
 DIRECTIONS = ("src", "dst")
+# Where rules hold if every node runs several levels.
+LEVEL_PLACE = ["node_id", "level"]
 
 
 def rule_key(kind="kind", value="value") -> Column:
@@ -341,8 +343,19 @@ def rule_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] = ("
     node, or one rule, are shared by all tasks.
     """
     by = list(by)
+    return intervals_of(placed_changes(rule_log, nodes, by), by).drop("seq")
+
+
+def placed_changes(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str]) -> DataFrame:
+    """The changes of a log at each place that they reach, in normal form."""
+    return expand_scope(_normal_log(rule_log), nodes, by)
+
+
+def intervals_of(changes: DataFrame, by: Iterable[str]) -> DataFrame:
+    """Intervals (see ``rule_intervals``) of changes at their places, with ``seq`` of the change that began each."""
+    by = list(by)
     is_reset, wipe = _wipes(), F.struct("seq", "ts")
-    log = in_ranges(expand_scope(_normal_log(rule_log), nodes, by), by, ["seq"])
+    log = in_ranges(changes, by, ["seq"])
     # Read backwards, the reset that follows a change is the last one seen: in the range of the change, or in one behind it.
     log = carried(log, by, F.min(F.when(is_reset, wipe)), "_later", backwards=True)
     backwards = Window.partitionBy("_range", *by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
@@ -360,7 +373,7 @@ def rule_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] = ("
                       F.min_by(F.col("ts"), "seq"), "_following", backwards=True)
     changes = changes.withColumn("_next", F.coalesce(F.lead("ts").over(history), F.col("_following")))
     return (changes.filter(F.col("op") == "add")
-            .select(*rule, F.col("ts").alias("start"), F.least("_next", "_wipe.ts").alias("end"))
+            .select(*rule, "seq", F.col("ts").alias("start"), F.least("_next", "_wipe.ts").alias("end"))
             .filter(F.col("end").isNull() | (F.col("start") < F.col("end"))))
 
 
@@ -371,13 +384,19 @@ def profile_intervals(rule_log: DataFrame, nodes: DataFrame, by: Iterable[str] =
     one still wipes the rules, but leaves the profile as it is.
     """
     by = list(by)
+    return profiles_of(placed_changes(rule_log.filter(F.col("op") == "profile"), nodes, by), by).drop("seq")
+
+
+def profiles_of(changes: DataFrame, by: Iterable[str]) -> DataFrame:
+    """Intervals (see ``profile_intervals``) of changes at their places, with ``seq`` of the change that began each."""
+    by = list(by)
     names = {**{str(n): name for n, name in PROFILE_BY_VERBOSITY.items()}, **{name: name for name in profile_names()}}
     pairs = [F.lit(x) for pair in names.items() for x in pair]
-    changes = expand_scope(_normal_log(rule_log).filter(F.col("op") == "profile"), nodes, by) \
+    changes = changes.filter(F.col("op") == "profile") \
         .withColumn("profile", F.try_element_at(F.create_map(*pairs), F.col("value"))).filter("profile IS NOT NULL")
     changes = carried(in_ranges(changes, by, ["seq"]), by, F.min_by(F.col("ts"), "seq"), "_following", backwards=True)
     following = F.coalesce(F.lead("ts").over(Window.partitionBy("_range", *by).orderBy("seq")), F.col("_following"))
-    return changes.select(*by, "profile", F.col("ts").alias("start"), following.alias("end")) \
+    return changes.select(*by, "profile", "seq", F.col("ts").alias("start"), following.alias("end")) \
         .filter(F.col("end").isNull() | (F.col("start") < F.col("end")))
 
 
@@ -414,7 +433,12 @@ def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, broadcast_
     signatures they match at once, and meet the packets again by ``packet_id``,
     which is therefore to be unique.
     """
-    stored = materialise(_counted_intervals(rule_log, nodes, ["node_id"]), "intervals")
+    return judged(df, rule_intervals(rule_log, nodes), broadcast_rows, profile)
+
+
+def judged(df: DataFrame, intervals: DataFrame, broadcast_rows: int = BROADCAST_ROWS, profile: str | int = "full") -> DataFrame:
+    """Add ``verdict`` under rule intervals that are known already (see ``rules_as_of``)."""
+    stored = materialise(_counted(intervals, ["node_id"]), "intervals")
     lookups: list[Lookup] = []
     marks = _marks(df, stored, _interval_groups(stored), lookups, broadcast_rows)
     columns = df.columns
@@ -431,11 +455,23 @@ def cascade_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, levels:
     ``profile`` change a level runs the profile that ``levels`` gives it. Such
     a change also wipes the rules. NULL means that the packet passed.
     """
-    by, columns = ["node_id", "level"], df.columns
+    places = level_places(nodes, levels)
+    return judged_by_level(df, rule_intervals(rule_log, places, LEVEL_PLACE), profile_intervals(rule_log, places, LEVEL_PLACE),
+                           levels, broadcast_rows)
+
+
+def level_places(nodes: DataFrame, levels: Iterable[int]) -> DataFrame:
+    """Every node at each of the levels, which it runs one after the other."""
     every = F.array(*(F.lit(n) for n in sorted(levels)))
-    places = nodes.select("node_id").distinct().withColumn("level", F.explode(every))
-    stored = materialise(_counted_intervals(rule_log, places, by), "intervals")
-    profiles = materialise(_with_slices(profile_intervals(rule_log, places, by), by), "profiles")
+    return nodes.select("node_id").distinct().withColumn("level", F.explode(every))
+
+
+def judged_by_level(df: DataFrame, intervals: DataFrame, profile_spans: DataFrame, levels: dict[int, str] = DEFAULT_LEVELS,
+                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add ``dropped_at`` under rule and profile intervals that are known already (see ``cascade_as_of``)."""
+    columns = df.columns
+    stored = materialise(_counted(intervals, LEVEL_PLACE), "intervals")
+    profiles = materialise(_with_slices(profile_spans, LEVEL_PLACE), "profiles")
     groups = _interval_groups(stored, "level")
     ever = {(r["level"], r["profile"]) for r in profiles.select("level", "profile").distinct().collect()}
     spans = profiles.groupBy("level", "slices").agg(F.count("*").alias("rows"), F.count_distinct("node_id").alias("rules"),
@@ -535,9 +571,9 @@ def _joined(parts: list[Column]) -> Column:
     return F.concat(*separated)
 
 
-def _counted_intervals(rule_log: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    found = rule_intervals(rule_log, nodes, by).filter(F.col("kind") != "monitored_ip")
-    return _with_slices(found, [*by, "kind", "direction", "value"])
+def _counted(intervals: DataFrame, by: list[str]) -> DataFrame:
+    """The intervals that checks read, with the number of time slices they are looked up by."""
+    return _with_slices(intervals.filter(F.col("kind") != "monitored_ip"), [*by, "kind", "direction", "value"])
 
 
 def _with_slices(intervals: DataFrame, key: list[str]) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.storagelevel import StorageLevel
 
-from ..operators.rules import cascade_as_of, rules_as_of
 from ..operators.screening import as_book, cascade, drop_reports, leaked
 from ..schema import DEFAULT_LEVELS, PACKET
 
@@ -82,35 +81,6 @@ def run_stream(packets: DataFrame, rules, sinks: dict[str, str], checkpoint: str
     return per_batch(packets, step, checkpoint, available_now)
 
 
-def run_with_rule_log(packets: DataFrame, read_log: Callable[[], DataFrame],
-                      nodes: DataFrame, path: str, checkpoint: str, levels: dict[int, str] | None = None,
-                      reports_path: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Screen a stream while its rules and profiles change.
-
-    Each micro-batch reads the rule log anew and judges every packet by what
-    was in force at the packet's own time: by one full profile (``verdict``),
-    or by the given levels (``dropped_at``), with a report for each dropped
-    packet if ``reports_path`` names a folder.
-    """
-    if reports_path is not None and levels is None:
-        raise ValueError("reports need levels")
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        if levels is None:
-            write_batch(rules_as_of(batch, read_log(), nodes), path, batch_id)
-            return
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            write_batch(cascade_as_of(batch, read_log(), nodes, levels), path, batch_id)
-        finally:
-            batch.unpersist()
-        if reports_path is not None:
-            screened = batch.sparkSession.read.parquet(f"{path}/batch={batch_id}")
-            write_batch(drop_reports(screened.filter(F.col("dropped_at").isNotNull())), reports_path, batch_id)
-
-    return per_batch(packets, step, checkpoint, available_now)
-
-
 class QueryTotals(StreamingQueryListener):
     """Adds up what queries report per micro-batch, for as long as they live: late rows and observed metrics.
 

@@ -9,6 +9,7 @@ from fixtures import START, nodes, packet, packets, rule_log, rules
 from flowguard.operators.counts import dimension_rows
 from flowguard.operators.moving import cma
 from flowguard.operators.reports import escalate
+from flowguard.operators.rules import cascade_as_of, rules_as_of
 from flowguard.operators.windows import count_windows, slot_counts
 from flowguard.session import scratch_path
 from flowguard.sources.packets import packet_stream
@@ -269,3 +270,47 @@ def test_levels_and_reports_under_a_log(spark):
     assert sorted(r["packet_id"] for r in spark.read.parquet(sent).collect()) == [2, 3]
     with pytest.raises(ValueError):
         run_with_rule_log(stream(spark, rows, 1), lambda: log, nodes(spark, (1, 0)), out, "x", reports_path=sent)
+
+
+@pytest.mark.parametrize("levels", [None, {0: "basic", 1: "dpi"}])
+def test_rule_state_follows_a_growing_log(spark, levels):
+    random.seed(12)
+    changes = []
+    for seq in range(160):
+        scope = random.choice(["all", "level:0", "level:1", "node:1", "node:2"])
+        op = random.choice(["add", "add", "remove", "add", "remove", "reset", "profile"] if seq % 9 == 0 else ["add", "add", "remove"])
+        kind, direction, value = random.choice([("ip", "src", "10.0.0.1"), ("ip", "src", "10.0.0.2"), ("port", "dst", "5"), ("pattern", None, "bad.*")])
+        if op == "reset":
+            kind = direction = value = None
+        if op == "profile":
+            kind, direction, value = None, None, random.choice(["basic", "full", "dpi", "nonsense"])
+        changes.append((seq, 10 * seq, scope, op, kind, direction, value))
+    rows = [packet(i, 2 * i + 1, src_ip=f"10.0.0.{random.randint(1, 3)}", dst_port=random.choice([5, 6]), node_id=random.choice([1, 2]),
+                   proto=random.choice(["TCP", "UDP", "IP"]), payload=random.choice(["bad x", "good"])) for i in range(800)]
+    source, out, commits, state = (scratch_path(spark, n) for n in ("source", "out", "commits", "state"))
+    here, read = nodes(spark, (1, 0), (2, 1)), []
+
+    def run(upto):
+        def read_log():
+            read.append(upto)
+            return rule_log(spark, *changes[:upto])
+        run_with_rule_log(packet_stream(spark, source, 1), read_log, here, out, commits, levels, available_now=True, state_path=state) \
+            .awaitTermination()
+
+    # The log grows between runs, by nothing once; a packet of the last run comes very late.
+    for first, last, upto in ((0, 250, 51), (250, 500, 101), (500, 505, 101), (505, 790, 160), (790, 800, 160)):
+        packets(spark, rows[first:last]).coalesce(1).write.mode("append").parquet(source)
+        run(upto)
+    late = packet(9000, 333, src_ip="10.0.0.1", dst_port=5, node_id=1, payload="bad x")
+    packets(spark, [late]).coalesce(1).write.mode("append").parquet(source)
+    run(160)
+    df, log = packets(spark, [*rows, late]), rule_log(spark, *changes)
+    want = rules_as_of(df, log, here) if levels is None else cascade_as_of(df, log, here, levels)
+    column = "verdict" if levels is None else "dropped_at"
+    as_map = lambda table: {r["packet_id"]: r[column] for r in table.select("packet_id", column).collect()}
+    assert as_map(spark.read.parquet(out)) == as_map(want) and len(set(as_map(want).values())) >= 2
+    # A batch without new rows writes no version, and a version holds what is open and what has ended since.
+    versions = batches_of(spark, f"{state}/seen")
+    assert len(versions) == 3 and len(read) == 6
+    ended = [spark.read.parquet(f"{state}/rules/batch={v}").filter("end IS NOT NULL").count() for v in versions]
+    assert all(0 < n < 120 for n in ended)
