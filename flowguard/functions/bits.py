@@ -36,9 +36,9 @@ def is_member(column: str, bits: int) -> Column:
         word = rest & _WORD
         words.append(word - (1 << 64) if word >> 63 else word)
         rest >>= 64
-    # The least number has no literal of its own.
-    text = ", ".join(f"{w}L" if w > -(1 << 63) else "(-9223372036854775807L - 1L)" for w in words)
-    return F.expr(f"(shiftright(get(array({text}), shiftright({column}, 6) - {first}), {column} & 63) & 1L) = 1L")
+    # One text, folded into an array before anything runs: a thousand literals would be a thousand nodes of the plan.
+    text = ",".join(map(str, words))
+    return F.expr(f"(shiftright(get(CAST(split('{text}', ',') AS ARRAY<BIGINT>), shiftright({column}, 6) - {first}), {column} & 63) & 1L) = 1L")
 
 
 def bloom_words(keys: int) -> int:
@@ -69,6 +69,13 @@ def bloom_filter(table: DataFrame, key: str, words: int) -> DataFrame:
 
 
 def might_be_in(key: Column, filter_words: Column, words: int) -> Column:
-    """False only for keys that are not in the set; NULL for a NULL key."""
-    word, mask = _place(key, words)
-    return F.when(key.isNotNull(), F.get(filter_words, word).bitwiseAND(mask) == mask)
+    """False only for keys that are not in the set; NULL for a NULL key.
+
+    The key, which may be a long expression, stands in it twice, not once for each bit.
+    """
+    def place(k):
+        word, mask = _place(k, words)
+        return F.when(k.isNotNull(), F.struct(word.alias("word"), mask.alias("mask")))
+
+    at = F.get(F.transform(F.array(key), place), F.lit(0))
+    return F.bitwise_not(F.get(filter_words, at["word"])).bitwiseAND(at["mask"]) == 0

@@ -20,14 +20,22 @@ def in_ranges(df: DataFrame, by, order) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def carried(placed: DataFrame, by, value: Column, name: str, backwards: bool = False) -> DataFrame:
+def ranges_in(placed: DataFrame) -> int:
+    """How many ranges ``in_ranges`` has written at most: one file each."""
+    return len(placed.inputFiles())
+
+
+def carried(placed: DataFrame, by, value: Column, name: str, ranges: int, backwards: bool = False) -> DataFrame:
     """Add ``name``: the last value that ranges before a row's own hold for its group (or the first of those after).
 
     ``value`` aggregates the rows of one group in one range; NULL means that
     the range has nothing to say. One row per (range, group) is looked at, and
-    only groups that go on in another range are joined.
+    only groups that go on in another range are joined; with one range there is none.
     """
     by = list(by)
+    if ranges <= 1:
+        kind = placed.groupBy("_range").agg(value.alias(name)).schema[name].dataType
+        return placed.withColumn(name, F.lit(None).cast(kind))
     edges = placed.groupBy("_range", *by).agg(value.alias(name))
     order = F.desc("_range") if backwards else F.asc("_range")
     along = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from ..functions.packet import div, ip_key, ip_key_sql, payload_text
 from ..schema import DEFAULT_LEVELS, PROFILE_BY_VERBOSITY
 from ..session import materialise
 from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up, null_safe_join
-from .ordering import carried, in_ranges
+from .ordering import carried, in_ranges, ranges_in
 from .signatures import compiles, joined_signatures, signature_index, signature_matches
 
 # Address sets and signatures up to this number become part of the plan.
@@ -210,10 +210,11 @@ class RuleBook:
         table, _ = self.tables["pattern", None]
         if self._index is None:
             self._index = signature_index(table)
-        matched = signature_matches(df.select("payload"), self._index, mode, broadcast_rows=self.broadcast_rows)
+        matched = signature_matches(df.select("payload"), self._index, mode)
         pairs = matched.select(_payload_key().alias("key"), "_signature").distinct()
-        scopes = look_up(pairs, [Lookup(F.col("_signature"), table.withColumnRenamed("value", "key"), rows=self.tables["pattern", None][1])],
-                         self.broadcast_rows).select("key", F.explode("scopes").alias("scope"))
+        by_value = Lookup(F.col("_signature"), table.withColumnRenamed("value", "key").withColumnRenamed("scopes", "_scopes"),
+                          rows=self.tables["pattern", None][1])
+        scopes = look_up(pairs, [by_value]).select("key", F.explode("_scopes").alias("scope"))
         return materialise(scopes.groupBy("key").agg(F.collect_set("scope").alias(self._mark("pattern", mode))), "matching")
 
     def detach(self, df: DataFrame) -> DataFrame:
@@ -357,20 +358,24 @@ def intervals_of(changes: DataFrame, by: Iterable[str]) -> DataFrame:
     is_reset, wipe = _wipes(), F.struct("seq", "ts")
     log = in_ranges(changes, by, ["seq"])
     # Read backwards, the reset that follows a change is the last one seen: in the range of the change, or in one behind it.
-    log = carried(log, by, F.min(F.when(is_reset, wipe)), "_later", backwards=True)
+    log = carried(log, by, F.min(F.when(is_reset, wipe)), "_later", ranges_in(log), backwards=True)
     backwards = Window.partitionBy("_range", *by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     next_reset = F.coalesce(F.last(F.when(is_reset, wipe), ignorenulls=True).over(backwards), F.col("_later"))
     changes = log.withColumn("_wipe", next_reset).filter(~is_reset).drop("_later", "_range")
 
     rule = [*by, "kind", "direction", "value"]
     state = F.struct("op", F.col("_wipe.seq").alias("wipe"))
-    changes = carried(in_ranges(changes, rule, ["seq"]), rule, F.max_by(state, "seq"), "_earlier")
+    changes = in_ranges(changes, rule, ["seq"])
+    ranges = ranges_in(changes)
+    changes = carried(changes, rule, F.max_by(state, "seq"), "_earlier", ranges)
     history = Window.partitionBy("_range", *rule).orderBy("seq")
     changes = changes.withColumn("_before", F.coalesce(F.lag(state).over(history), F.col("_earlier")))
     was = F.when(F.col("_before").isNotNull() & F.col("_before.wipe").eqNullSafe(F.col("_wipe.seq")),
                  F.col("_before.op")).otherwise("remove")
-    changes = carried(materialise(changes.filter(F.col("op") != was), "changes"), rule,
-                      F.min_by(F.col("ts"), "seq"), "_following", backwards=True)
+    changes = changes.filter(F.col("op") != was)
+    if ranges > 1:
+        changes = materialise(changes, "changes")
+    changes = carried(changes, rule, F.min_by(F.col("ts"), "seq"), "_following", ranges, backwards=True)
     changes = changes.withColumn("_next", F.coalesce(F.lead("ts").over(history), F.col("_following")))
     return (changes.filter(F.col("op") == "add")
             .select(*rule, "seq", F.col("ts").alias("start"), F.least("_next", "_wipe.ts").alias("end"))
@@ -394,7 +399,8 @@ def profiles_of(changes: DataFrame, by: Iterable[str]) -> DataFrame:
     pairs = [F.lit(x) for pair in names.items() for x in pair]
     changes = changes.filter(F.col("op") == "profile") \
         .withColumn("profile", F.try_element_at(F.create_map(*pairs), F.col("value"))).filter("profile IS NOT NULL")
-    changes = carried(in_ranges(changes, by, ["seq"]), by, F.min_by(F.col("ts"), "seq"), "_following", backwards=True)
+    changes = in_ranges(changes, by, ["seq"])
+    changes = carried(changes, by, F.min_by(F.col("ts"), "seq"), "_following", ranges_in(changes), backwards=True)
     following = F.coalesce(F.lead("ts").over(Window.partitionBy("_range", *by).orderBy("seq")), F.col("_following"))
     return changes.select(*by, "profile", "seq", F.col("ts").alias("start"), following.alias("end")) \
         .filter(F.col("end").isNull() | (F.col("start") < F.col("end")))
@@ -438,7 +444,7 @@ def rules_as_of(df: DataFrame, rule_log: DataFrame, nodes: DataFrame, broadcast_
 
 def judged(df: DataFrame, intervals: DataFrame, broadcast_rows: int = BROADCAST_ROWS, profile: str | int = "full") -> DataFrame:
     """Add ``verdict`` under rule intervals that are known already (see ``rules_as_of``)."""
-    stored = materialise(_counted(intervals, ["node_id"]), "intervals")
+    stored = _counted(intervals, ["node_id"])
     lookups: list[Lookup] = []
     marks = _marks(df, stored, _interval_groups(stored), lookups, broadcast_rows)
     columns = df.columns
@@ -470,8 +476,8 @@ def judged_by_level(df: DataFrame, intervals: DataFrame, profile_spans: DataFram
                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``dropped_at`` under rule and profile intervals that are known already (see ``cascade_as_of``)."""
     columns = df.columns
-    stored = materialise(_counted(intervals, LEVEL_PLACE), "intervals")
-    profiles = materialise(_with_slices(profile_spans, LEVEL_PLACE), "profiles")
+    stored = _counted(intervals, LEVEL_PLACE)
+    profiles = _with_slices(profile_spans, LEVEL_PLACE)
     groups = _interval_groups(stored, "level")
     ever = {(r["level"], r["profile"]) for r in profiles.select("level", "profile").distinct().collect()}
     spans = profiles.groupBy("level", "slices").agg(F.count("*").alias("rows"), F.count_distinct("node_id").alias("rules"),
@@ -582,7 +588,10 @@ def _with_slices(intervals: DataFrame, key: list[str]) -> DataFrame:
     n = F.col("_n")
     often = stored.groupBy(*key).agg(F.count("*").alias("_n")).filter(n > MANY_INTERVALS) \
         .withColumn("slices", F.greatest(F.lit(TIME_SLICES), F.pow(F.lit(4), F.ceil(F.log2(n) / 2))).cast("bigint")).drop("_n")
-    return null_safe_join(stored, bounded(materialise(often, "often")), key, "left") \
+    often = materialise(often, "often")
+    if often.isEmpty():
+        return stored.withColumn("slices", F.lit(0).cast("bigint"))
+    return null_safe_join(stored, bounded(often), key, "left") \
         .withColumn("slices", F.coalesce("slices", F.lit(0).cast("bigint")))
 
 
