@@ -13,7 +13,7 @@ from ..schema import DEFAULT_LEVELS, PROFILE_BY_VERBOSITY
 from ..session import materialise
 from .lookup import BROADCAST_ROWS, Lookup, bounded, look_up, null_safe_join
 from .ordering import carried, in_ranges, ranges_in
-from .signatures import compiles, joined_signatures, signature_index, signature_matches
+from .signatures import compiles, joined_signatures, signature_index, signature_matches, unindexed
 
 # Address sets and signatures up to this number become part of the plan.
 INLINE_RULES = 2000
@@ -120,10 +120,10 @@ class RuleBook:
 
     @classmethod
     def load(cls, rules: DataFrame, inline_rows: int = INLINE_RULES,
-             broadcast_rows: int = BROADCAST_ROWS) -> "RuleBook":
+             broadcast_rows: int = BROADCAST_ROWS, inline_signatures: int = INLINE_RULES) -> "RuleBook":
         keyed = normal_rules(rules)
         head = keyed.limit(inline_rows + 1).collect()
-        if len(head) <= inline_rows:
+        if len(head) <= min(inline_rows, inline_signatures):
             return cls.of_rows(map(tuple, head), rules.sparkSession, broadcast_rows=broadcast_rows)
 
         # A snapshot with one row per rule, written once and read by kind.
@@ -133,7 +133,8 @@ class RuleBook:
         of = lambda kind, direction: (F.col("kind") == kind) & F.col("direction").eqNullSafe(direction)
         bits = [k for k, n in sizes.items() if k[0] in NUMBER_KINDS and n["scopes"] <= INLINE_SCOPES]
         # Of addresses and signatures only small sets come to the driver.
-        inline = [k for k, n in sizes.items() if k not in bits and n["rows"] <= inline_rows]
+        inline = [k for k, n in sizes.items()
+                  if k not in bits and n["rows"] <= (inline_signatures if k[0] == "pattern" else inline_rows)]
         rows = stored.filter(any_of([of(*k) for k in inline])).collect()
         tables = {k: (stored.filter(of(*k)).groupBy("value").agg(F.collect_set("scope").alias("scopes")), n["rows"])
                   for k, n in sizes.items() if k not in inline and k not in bits}
@@ -559,8 +560,9 @@ def _signature_hits(df: DataFrame, stored: DataFrame, groups, broadcast_rows: in
     if not groups:
         return None
     patterns = stored.filter(F.col("kind") == "pattern").select("value").distinct()
+    few = sum(g["rules"] for g in groups) <= INLINE_RULES
     sent = df.filter(F.col("proto").isin("TCP", "UDP")).select("packet_id", "node_id", "ts", "payload")
-    matched = signature_matches(sent, signature_index(patterns), "full", broadcast_rows=broadcast_rows) \
+    matched = signature_matches(sent, unindexed(patterns) if few else signature_index(patterns)) \
         .select("packet_id", "node_id", "ts", "_signature")
     found, lookups = [], []
     for group in sorted(groups, key=str):

@@ -151,6 +151,11 @@ def signature_index(patterns: DataFrame) -> DataFrame:
     return materialise(known.join(anchors, "value", "left").select("value", "required", F.col("anchor.gram").alias("gram")), "signatures")
 
 
+def unindexed(patterns: DataFrame) -> DataFrame:
+    """An index for a few patterns, which are all tried on all payloads."""
+    return patterns.select("value", F.lit("").alias("required"), F.lit(None).cast("string").alias("gram"))
+
+
 def signature_matches(df: DataFrame, index: DataFrame, mode: str = "full", payload: str = "payload",
                       broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per row of ``df`` and signature that its payload matches: all columns, ``_text`` and ``_signature``."""
@@ -165,6 +170,7 @@ def signature_matches(df: DataFrame, index: DataFrame, mode: str = "full", paylo
     whole = F.concat(F.lit(around[0]), F.col("_candidate.value"), F.lit(around[1]))
     found = candidates.filter(F.regexp_like(F.col("_text"), whole)).select(*texts.columns, F.col("_candidate.value").alias("_signature"))
 
+    # What an index has no anchor for comes to the driver and into the plan.
     free = sorted(r["value"] for r in index.filter("gram IS NULL").collect())
     if not free:
         return found

@@ -342,7 +342,7 @@ def f06_signature_index(spark, d):
     signatures = spark.sql(f"""{ORDER_SIGNATURES} UNION ALL SELECT * FROM VALUES ('all', 'a)|(b'), ('all', '('), ('level:x', 'c') AS t(scope, value)""",
                            orders=table(spark, d, "orders"))
     rules_ = signatures.select("scope", F.lit("pattern").alias("kind"), F.lit(None).cast("string").alias("direction"), "value")
-    book = rules.RuleBook.load(rules_, inline_rows=0)
+    book = rules.RuleBook.load(rules_, inline_signatures=0)
     return book.add(traffic(spark, d), _passes=lambda b: checks.payload_ok(b)).filter("_passes").select("packet_id", "payload")
 
 
