@@ -51,7 +51,7 @@ DERIVED_RULES = """
 # Signatures derived from the orders; those of every tenth hold at one node only.
 ORDER_SIGNATURES = r"""
     SELECT CASE WHEN o_orderkey % 10 = 0 THEN concat('node:', CAST(o_orderkey % 7 AS STRING)) ELSE 'all' END AS scope,
-      concat('(click|view) .*"k": ', CAST(o_orderkey AS STRING), '[}]') AS value
+      concat('(click|view) .*"k": ', CAST(o_orderkey AS STRING), '.') AS value
     FROM {orders} WHERE o_orderkey % 3 < 2"""
 
 # A rule log derived from the error events.
