@@ -22,9 +22,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def broadcast_if_small(stored: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A stored table with a broadcast hint if its counted size allows one."""
-    return F.broadcast(stored) if stored.count() * row_bytes <= most else stored
+def broadcast_if_small(stored: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES, items: str | None = None,
+                       item_bytes: int = 32) -> DataFrame:
+    """A stored table with a broadcast hint if its counted size allows one; ``items`` is a column of arrays."""
+    weight = stored.count() * row_bytes
+    if items and weight <= most:
+        weight += item_bytes * (stored.agg(F.sum(F.size(items))).first()[0] or 0)
+    return F.broadcast(stored) if weight <= most else stored
 
 
 def per_worker(key, make):

@@ -1,13 +1,16 @@
 """Fuzzy deduplication of lines.
 
-Lines are normalised to their words and get a 64-bit SimHash. Lines whose
-hashes differ in at most three bits share two of five blocks of bits, so they
-meet under one of ten keys; those that meet are verified by edit similarity,
-however many lines have the key.
-Of each connected group one occurrence stays.
+Lines are normalised to their words. Every word is dealt to a block by its
+hash, and every block gets the SimHash of its words, so that an edit touches
+only the blocks of the words it changes. Lines that share a key (an untouched
+block, or several of a line of few words) are candidates; they are verified by
+edit similarity, however many lines have the key. Of each connected group one
+occurrence stays. Lines of fewer than five words are compared exactly.
 """
 
+import hashlib
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,34 +19,75 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import bloom_filter, bloom_words, might_be_in
 from ..session import materialise
-from .common import PowerSums, WordHasher, broadcast_if_small, mix, per_worker, ragged, text_bytes
+from .common import BROADCAST_BYTES, WordHasher, broadcast_if_small, lists, mix, per_worker, ragged, text_bytes
 from .licenses import WORD
-from .neardup import bucketed, crossed, joined, linked
+from .neardup import BUCKET, crossed, joined, linked
 
 SIMILARITY = 0.8
-# Lines with fewer characters than this always stay.
-LEAST_CHARS = 16
-MOST_BITS = 3
-# Words of fewer bytes have no part in the SimHash of a line that has longer ones.
-TELLING_BYTES = 4
-# Fixed by MOST_BITS: with five blocks, three differing bits leave two untouched.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-# The bits of each of the ten keys.
-KEY_MASKS = [np.uint64(sum((1 << size) - 1 << shift for shift, size in two)) for two in combinations(BLOCKS, 2)]
-
-
-def telling(words: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each run that are long enough to tell lines apart, or all of a run that has none.
-
-    The shortest words stand in every line. Their votes would give lines that
-    have nothing else in common the same bits.
-    """
-    long = sizes >= TELLING_BYTES
-    before = np.append(0, np.cumsum(long))
-    none = before[bounds[1:]] == before[bounds[:-1]]
-    chosen = long | np.repeat(none, np.diff(bounds))
-    return words[chosen], np.append(0, np.cumsum(chosen))[bounds]
+# Lines of fewer words are only compared exactly.
+LEAST_WORDS = 5
+# From so many words on, the number of blocks and of the blocks in a key. Beyond the last the first two double.
+DEALT = [(LEAST_WORDS, 5, 3), (10, 6, 2), (24, 8, 1), (48, 12, 1), (96, 24, 1)]
+# Lines of fewer words have a block for each word as well; a key takes all of these but one.
+SINGLE = 10
+# A line belongs to the level below too if it has at most so many times the words where its own begins.
+OVERLAP = 1.25
+# A key counts if its blocks hold so many words and so many bytes.
+KEY_WORDS, KEY_BYTES = 3, 12
+# In large buckets only lines whose SimHashes differ in at most so many bits are verified. At a similarity of 0.8
+# about 13 differ; one pair in a thousand is further apart.
+MOST_BITS = 24
+
+
+def levels(most: int) -> Iterator[tuple[int, int, float, int, int]]:
+    """The levels of lines of up to ``most`` words: number, least words, words beyond them, blocks, blocks in a key."""
+    known = list(DEALT)
+    while known[-1][0] <= most:
+        least, blocks, taken = known[-1]
+        known.append((2 * least, 2 * blocks, taken))
+    for i, ((least, blocks, taken), (beyond, _, _)) in enumerate(zip(known, known[1:])):
+        yield i, least, beyond * OVERLAP, blocks, taken
+
+
+def line_keys(words: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each line words[bounds[i]:bounds[i + 1]] of word hashes, which are ``sizes`` bytes long."""
+    count = np.diff(bounds)
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+    def add(rows, values, kind):
+        lines.append(rows)
+        keys.append(mix(values + np.uint64(kind)))
+
+    for level, least, beyond, blocks, taken in levels(int(count.max(initial=0))):
+        rows = np.flatnonzero((count >= least) & (count < beyond))
+        if not len(rows):
+            continue
+        at = ragged(bounds[rows], count[rows])
+        own = words[at]
+        block = np.repeat(np.arange(len(rows)) * blocks, count[rows]) + ((own >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+        held = np.bincount(block, minlength=len(rows) * blocks)
+        size = np.bincount(block, sizes[at], len(rows) * blocks).reshape(-1, blocks)
+        marks = simhashes(own[np.argsort(block, kind="stable")], np.append(0, np.cumsum(held)))
+        marks = mix(marks + held.astype(np.uint64)).reshape(-1, blocks)
+        held = held.reshape(-1, blocks)
+        for number, chosen in enumerate(combinations(range(blocks), taken)):
+            some = sum(held[:, c] for c in chosen) >= KEY_WORDS
+            some &= sum(size[:, c] for c in chosen) >= KEY_BYTES
+            value = np.zeros(int(some.sum()), np.uint64)
+            for c in chosen:
+                value = mix(value * np.uint64(3) + marks[some, c])
+            add(rows[some], value, (level + 1 << 32) + number)
+    rows = np.flatnonzero((count >= LEAST_WORDS) & (count < SINGLE * OVERLAP))
+    if len(rows):
+        own = mix(words[ragged(bounds[rows], count[rows])])
+        total = np.add.reduceat(own, np.cumsum(count[rows]) - count[rows])
+        add(rows, total, 0)
+        add(np.repeat(rows, count[rows]), np.repeat(total, count[rows]) - own, 0)
+    lines, keys = np.concatenate(lines), np.concatenate(keys)
+    order = np.argsort(lines, kind="stable")
+    return keys[order], np.append(0, np.cumsum(np.bincount(lines, minlength=len(count))))
 
 
 def simhashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -57,22 +101,17 @@ def simhashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     parts = -(-size[full] // 255)
     starts = ragged(np.zeros(len(full), np.int64), parts) * 255 + np.repeat(bounds[:-1][full], parts)
     first = np.cumsum(parts) - parts
-    half = size[full]
+    half = size[full] // 2
     for bit in range(8):
         lanes = (words >> np.uint64(bit)) & np.uint64(0x0101010101010101)
         counts = np.add.reduceat(lanes, starts).view(np.uint8).reshape(-1, 8)
-        counts = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
-        majority = np.ascontiguousarray(2 * counts > half[:, None]).view(np.uint64).ravel()
+        if len(starts) > len(full):
+            counts = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
+        majority = np.ascontiguousarray(counts > half[:, None]).view(np.uint64).ravel()
         out[full] |= majority << np.uint64(bit)
     return out
 
 
-def block_keys(simhash):
-    """The ten keys of a SimHash column: every two of its five blocks."""
-    part = [F.shiftrightunsigned(simhash, shift).bitwiseAND(F.lit((1 << size) - 1)) for shift, size in BLOCKS]
-    return F.array(*(F.shiftleft(part[i], 13).bitwiseOR(part[j]) for i, j in combinations(range(5), 2)))
-
-
 def normalised(line: str) -> str:
     """The words of a line in lower case."""
     return " ".join(WORD.findall(line.lower()))
@@ -130,8 +169,27 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
 
 
+def _digests(data: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Per line of UTF-8 bytes a digest of its words, as two numbers, and their characters with a space between."""
+    word = hasher.is_word[data]
+    after = np.append(False, word[:-1])
+    after[ends[:-1][ends[:-1] < len(data)]] = False
+    # Of what lies between words one byte is kept, and that made a space.
+    kept = word | after
+    plain = np.where(word, data, np.uint8(32))[kept].tobytes()
+    place = np.append(0, np.cumsum(kept))[ends]
+    chars = np.append(0, np.cumsum(kept & ((data & 0xC0) != 0x80)))[ends]
+    found, trailing = [], np.zeros(len(ends) - 1, np.int64)
+    for i, (a, b) in enumerate(zip(place[:-1].tolist(), place[1:].tolist())):
+        if b > a and plain[b - 1] == 32:
+            b -= 1
+            trailing[i] = 1
+        found.append(hashlib.blake2b(plain[a:b], digest_size=16).digest())
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), np.diff(chars) - trailing
+
+
 def _lines(batches):
-    hasher, sums = per_worker("words", WordHasher), per_worker("line sums", lambda: PowerSums(1 << 16))
+    hasher = per_worker("words", WordHasher)
     for batch in batches:
         # Few texts at a time: a list of lines takes as much again as the texts.
         for at in range(0, len(batch), 256):
@@ -140,24 +198,19 @@ def _lines(batches):
             flat = pc.utf8_lower(split.flatten())
             number = np.concatenate([np.arange(n) for n in split.value_lengths().to_numpy()])
             owner = pc.list_parent_indices(split).to_numpy()
-            chars = pc.utf8_length(flat).to_numpy()
-            data, ends = text_bytes(flat)
-            # Characters of words: of a longer character the first byte counts.
-            before = np.append(0, np.cumsum(hasher.is_word[data] & ((data & 0xC0) != 0x80)))
-            letters = before[ends[1:]] - before[ends[:-1]]
             for first, words, bounds, sizes in hasher.sized_texts(flat):
                 rows = np.arange(first, first + len(bounds) - 1)
-                hashed = mix(words)
-                one = sums.hashes(words, bounds[:-1], bounds[1:])
-                two = sums.hashes(hashed, bounds[:-1], bounds[1:])
-                kept = np.flatnonzero((np.diff(bounds) > 0) & (chars[rows] >= LEAST_CHARS))
+                data, ends = text_bytes(flat.slice(first, len(rows)))
+                digests, chars = _digests(data[ends[0]:ends[-1]], ends - ends[0], hasher)
+                keys, key_bounds = line_keys(words, bounds, sizes)
+                kept = np.flatnonzero(np.diff(bounds) > 0)
                 own = pa.array(owner[rows[kept]])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(own), part.column(2).take(own), pa.array(number[rows[kept]], pa.int32()),
-                     pa.array(one[kept].view(np.int64)), pa.array(two[kept].view(np.int64)),
-                     pa.array(simhashes(*telling(words, bounds, sizes))[kept].view(np.int64)),
-                     pa.array((letters[rows] + np.diff(bounds) - 1)[kept], pa.int32())],
-                    names=["id", "key", "line", "h1", "h2", "simhash", "n"])
+                     pa.array(digests[kept, 0]), pa.array(digests[kept, 1]),
+                     pa.array(simhashes(words, bounds)[kept].view(np.int64)), pa.array(chars[kept], pa.int32()),
+                     lists(keys.view(np.int64), key_bounds).take(pa.array(kept))],
+                    names=["id", "key", "line", "h1", "h2", "simhash", "n", "keys"])
 
 
 def _texts(batches):
@@ -182,25 +235,20 @@ def _verify(least):
 
 
 def _near_pairs(left, right):
-    """Positions (i, j) of lines of two chunks, or of one, that are within few bits and in different components.
-
-    A pair that shares several keys is there only under the first.
-    """
-    x, own = left["simhash"].to_numpy().view(np.uint64), left["component"].to_numpy()
-    y, other = (x, own) if right is None else (right["simhash"].to_numpy().view(np.uint64), right["component"].to_numpy())
-    apart = x[:, None] ^ y[None, :]
-    i, j = np.nonzero(np.bitwise_count(apart) <= MOST_BITS)
-    apart, met = apart[i, j], own[i] != other[j]
-    for mask in KEY_MASKS[:left["band"][0].as_py()]:
-        met &= (apart & mask) != 0
-    return i[met], j[met]
+    """Positions (i, j) of lines of two chunks, or of one, that may be similar and are in different components."""
+    x, own, n = (left[c].to_numpy() for c in ("simhash", "component", "n"))
+    y, other, m = (x, own, n) if right is None else (right[c].to_numpy() for c in ("simhash", "component", "n"))
+    near = np.bitwise_count((x[:, None] ^ y[None, :]).view(np.uint64)) <= MOST_BITS
+    i, j = np.nonzero(near & (own[:, None] != other[None, :]))
+    close = np.minimum(n[i], m[j]) >= SIMILARITY * np.maximum(n[i], m[j]) - 1e-9
+    return i[close], j[close]
 
 
 def _with_near(left, right):
-    """The lines, with their key's number, that have a near one in the bucket."""
+    """The lines, with their key, that have a near one in the bucket."""
     i, j = _near_pairs(left, right)
     found = left["id"].to_numpy()[np.unique(i)].tolist() + (left if right is None else right)["id"].to_numpy()[np.unique(j)].tolist()
-    return found, [left["band"][0].as_py()] * len(found)
+    return found, [left["value"][0].as_py()] * len(found)
 
 
 def _alike(least):
@@ -229,6 +277,33 @@ def _alike(least):
     return run
 
 
+def _candidates(lines: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of lines that share a key, and the members of large buckets (id, band, value, first).
+
+    The pairs of a large bucket are those with its first line; ``crossed``
+    compares the others.
+    """
+    rows = lines.select(F.col("h1").alias("id"), "n", F.explode("keys").alias("value"))
+    # Copies of a line are combined before the shuffle, and only keys go through it.
+    shared = rows.groupBy("value").agg(F.min("id").alias("first"), F.max("id").alias("last")) \
+        .filter("first < last").select("value", "first")
+    shared = materialise(shared, "shared")
+    number = shared.count()
+    if number * 32 > BROADCAST_BYTES:
+        # Of all others only those that may have a shared key are shuffled.
+        words = bloom_words(number)
+        rows = rows.filter(might_be_in(F.col("value"), materialise(bloom_filter(shared, "value", words), "bloom").scalar(), words))
+    members = materialise(rows.join(broadcast_if_small(shared, 32), "value").distinct(), "members")
+    sizes = materialise(members.groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > BUCKET), "sizes")
+    large = members.join(broadcast_if_small(sizes, 32), "value")
+    small = members.join(broadcast_if_small(sizes, 32), "value", "left_anti")
+    close = (F.least("a.n", "b.n") >= (least - 1e-9) * F.greatest("a.n", "b.n")) & (F.col("a.id") < F.col("b.id"))
+    together = small.alias("a").join(small.alias("b"), (F.col("a.value") == F.col("b.value")) & close) \
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    star = large.filter("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return together.union(star).distinct(), large.select("id", F.lit(0).alias("band"), "value", "first")
+
+
 def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """The lines to drop: (id, key, lines), a row per text that loses some.
@@ -239,28 +314,19 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
     kind = plain.schema["id"].dataType.simpleString()
     lines = materialise(plain.mapInArrow(
-        _lines, f"id {kind}, key long, line int, h1 long, h2 long, simhash long, n int"), "lines")
+        _lines, f"id {kind}, key long, line int, h1 long, h2 long, simhash long, n int, keys array<bigint>"), "lines")
     # Distinct lines with their first occurrence; copies are combined before the shuffle.
     place = F.struct("id", "key", "line")
     distinct = materialise(lines.groupBy("h1", "h2").agg(
-        F.count("*").alias("times"), F.min(place).alias("first"), F.first("simhash").alias("simhash"),
-        F.first("n").alias("n")), "distinct")
-    # n is the length of the normalised line, the same for all copies; a pair at `least` cannot differ more in it.
-    near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= MOST_BITS
-    pairs, large = bucketed(
-        distinct.select(F.col("h1").alias("id"), "n", "simhash", block_keys(F.col("simhash")).alias("bands")),
-        least=least - 1e-9, within=near)
-    # Pairs with the first line of a large bucket are still to be tried.
-    bits = distinct.select("h1", "simhash")
-    pairs = pairs.join(bits.select(F.col("h1").alias("a"), F.col("simhash").alias("sa")), "a") \
-        .join(bits.select(F.col("h1").alias("b"), F.col("simhash").alias("sb")), "b") \
-        .filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS).select("a", "b")
-    pairs, large = materialise(pairs, "pairs"), materialise(large, "large")
+        F.count("*").alias("times"), F.min(place).alias("first"), F.min("simhash").alias("simhash"),
+        F.min("n").alias("n")), "distinct")
+    bits = distinct.select("h1", "simhash", "n")
+    pairs, large = (materialise(x, name) for x, name in zip(_candidates(lines, least), ("pairs", "large")))
 
     def texts_of(wanted):
         chosen = distinct.join(wanted, "h1", "left_semi").groupBy("first.id", "first.key") \
             .agg(F.collect_list(F.struct("h1", F.col("first.line").alias("line"))).alias("chosen"))
-        chosen = broadcast_if_small(materialise(chosen, "chosen"), 256).alias("c")
+        chosen = broadcast_if_small(materialise(chosen, "chosen"), 64, items="chosen").alias("c")
         found = plain.alias("d").join(chosen, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.key") == F.col("c.key"))) \
             .select("text", "chosen").mapInArrow(_texts, "h1 long, t string").dropDuplicates(["h1"])
         return materialise(found, "texts")
@@ -275,10 +341,10 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     reached = linked(pairs, verified)
     if not large.isEmpty():
         # By their bits first, which are short; the texts of those that are near each other follow.
-        bits = distinct.select(F.col("h1").alias("id"), "simhash")
+        bits = bits.withColumnRenamed("h1", "id")
         near = materialise(crossed(large, reached, bits, _with_near).distinct(), "near") \
-            .select(F.col("a").alias("id"), F.col("b").cast("int").alias("band"))
-        large = materialise(large.join(near, ["id", "band"], "left_semi"), "large")
+            .select(F.col("a").alias("id"), F.col("b").alias("value"))
+        large = materialise(large.join(near, ["id", "value"], "left_semi"), "large")
         texts = texts_of(large.select(F.col("id").alias("h1")).distinct())
         reached = joined(reached, large, bits.join(texts.withColumnRenamed("h1", "id"), "id"), _alike(least))
 
@@ -298,9 +364,10 @@ def drop_duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str
 
     The first occurrence is that of the smallest id (NULL before all), then
     line. Lines are compared by their words without case; two are similar if
-    their SimHashes differ in at most three bits and character edits change at
-    most 1 - ``least`` of the longer. Lines of fewer than 16 characters or
-    without words always stay.
+    they share a key (see the module) and character edits change at most
+    1 - ``least`` of the longer. Lines of fewer than five words are similar only
+    if they are equal. Lines without words always stay. Texts and lines may have
+    any length; an empty table gives no rows.
 
     All rows and columns stay; a text may become empty, a NULL text remains
     NULL. Rows that repeat id and text lose the same lines, so that each keeps
@@ -312,7 +379,7 @@ def drop_duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str
     columns = docs.columns
     keyed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
     rows = keyed.alias("d").join(
-        broadcast_if_small(dropped, 256).alias("x"),
+        broadcast_if_small(dropped, 64, items="lines", item_bytes=4).alias("x"),
         F.col(f"d.{id_col}").eqNullSafe(F.col("x.id")) & (F.col(f"d.{own}") == F.col("x.key")), "left") \
         .select(*(F.col(f"d.`{c}`") for c in columns), F.col("x.lines").alias(lost))
     text_at = columns.index(text_col)

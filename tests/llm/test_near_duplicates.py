@@ -201,34 +201,33 @@ def test_edit_distance():
         assert linededup.edit_distance(a, b) == plain_distance(a, b)
 
 
-def simhash(words):
-    hasher = common.WordHasher()
-    words = [w for w in words if len(w.encode()) >= linededup.TELLING_BYTES] or words
-    total = [0] * 64
-    _, h, _ = next(hasher.texts(pa.array([" ".join(words)])))
-    for x in h.tolist():
-        for bit in range(64):
-            total[bit] += 1 if x >> bit & 1 else -1
-    return sum(1 << bit for bit in range(64) if total[bit] > 0)
+def grams(line):
+    """How often a line has each of 1,024 groups of character pairs: an edit changes at most four counts by one."""
+    own = np.zeros(1024, np.int32)
+    for pair in zip(line, line[1:]):
+        own[hash(pair) % 1024] += 1
+    return own
 
 
 def without_copies(source):
-    """Texts after the first occurrence of each group of similar lines; source in order of id."""
-    lines = [(i, n, line) for i, text in source for n, line in enumerate((text or "").split("\n"))]
-    known, places = {}, defaultdict(list)
-    for i, n, line in lines:
-        words = words_of(line)
-        if words and len(line) >= linededup.LEAST_CHARS:
-            key = " ".join(words)
-            known.setdefault(key, (len(known), simhash(words)))
-            places[key].append((i, n))
-    root = {number: number for number, _ in known.values()}
-    keys = list(known)
-    hashes = np.array([known[k][1] for k in keys], np.uint64)
-    for x, a in enumerate(keys):
-        near = np.flatnonzero(np.bitwise_count(hashes[x + 1:] ^ hashes[x]) <= linededup.MOST_BITS) + x + 1
+    """Texts after the first occurrence of each group of similar lines, by edit distance alone; source in order of id."""
+    places = defaultdict(list)
+    for i, text in source:
+        for n, line in enumerate((text or "").split("\n")):
+            if words_of(line):
+                places[" ".join(words_of(line))].append((i, n))
+    keys = list(places)
+    root = {x: x for x in range(len(keys))}
+    fuzzy = [x for x, k in enumerate(keys) if len(k.split(" ")) >= 5]
+    counts, sizes = np.stack([grams(keys[x]) for x in fuzzy]), np.array([len(keys[x]) for x in fuzzy])
+    for at, x in enumerate(fuzzy):
+        allowed = (1 - linededup.SIMILARITY) * np.maximum(sizes[at + 1:], sizes[at]) + 1e-9
+        near = np.flatnonzero(np.abs(sizes[at + 1:] - sizes[at]) <= allowed)
+        near = near[np.abs(counts[at + 1:][near] - counts[at]).sum(axis=1) <= 4 * allowed[near]]
         for y in near.tolist():
-            if plain_distance(a, keys[y]) <= (1 - linededup.SIMILARITY) * max(len(a), len(keys[y])) + 1e-9:
+            y = fuzzy[at + 1 + y]
+            if find(root, x) != find(root, y) and linededup.edit_distance(keys[x], keys[y]) \
+                    <= (1 - linededup.SIMILARITY) * max(len(keys[x]), len(keys[y])) + 1e-9:
                 union(root, x, y)
     stays, gone = {}, set()
     for x, key in enumerate(keys):
@@ -279,36 +278,81 @@ def test_lines_of_odd_rows(spark):
     assert rows(linededup.drop_duplicate_lines(empty(spark))) == []
 
 
-def simhash_of(lines):
-    _, words, bounds, sizes = next(common.WordHasher().sized_texts(pa.array(lines)))
-    return linededup.simhashes(*linededup.telling(words, bounds, sizes))
+def keys_of(lines):
+    """The keys of each line."""
+    _, words, bounds, sizes = next(common.WordHasher(1 << 24).sized_texts(pa.array(lines)))
+    keys, ends = linededup.line_keys(words, bounds, sizes)
+    return [set(keys[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def test_all_pairs_of_a_large_bucket_of_lines(spark):
-    # Four of eight words are the same one, so that the others change few bits.
+    # All lines share the three words of two of six blocks, and the pairs in question no other block.
     rnd = random.Random(10)
-    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
-    other = lambda: [word() for _ in range(4)]
-    text = lambda words: " ".join(["base"] * 4 + words)
-    unlike, pairs = [text(other()) for _ in range(600)], []
-    while len(pairs) < 20:
-        own = other()
-        a, b = text(own), text([*own[:3], word()])
-        apart = int(np.bitwise_xor(*simhash_of([a, b])))
-        blocks = sum((apart >> shift & (1 << size) - 1) > 0 for shift, size in linededup.BLOCKS)
-        if apart.bit_count() == blocks == 3 and linededup.similar(a, b):
-            pairs.append((a, b))
+    blocks = next(n for _, least, beyond, n, _ in linededup.levels(14) if least <= 14 < beyond)
+    dealt = defaultdict(list)
+    made = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.choice((4, 10)))) for _ in range(60_000)]
+    _, hashes, _ = next(common.WordHasher(1 << 24).texts(pa.array([" ".join(made)])))
+    for word, h in zip(made, hashes.tolist()):
+        dealt[(h >> 32) % blocks, len(word)].append(word)
+    take = lambda block, size: dealt[block, size].pop()
+    shared = [take(0, 10), take(0, 10), take(1, 10)]
+
+    def text():
+        own = [take(2 + i % 4, 10) for i in range(9)]
+        return lambda words: " ".join(shared + own + words)
+
+    unlike, pairs = [text()([take(2, 4), take(3, 4)]) for _ in range(300)], []
+    for _ in range(20):
+        own = text()
+        pairs.append((own([take(2, 4), take(3, 4)]), own([take(4, 4), take(5, 4)])))
     first = [a for a, _ in pairs] + unlike
     lines = first + [b for _, b in pairs]
-    hashes = simhash_of(lines)
-    alike = [(x, y) for x in range(len(lines)) for y in range(x + 1, len(lines))
-             if (hashes[x] ^ hashes[y]).item().bit_count() <= linededup.MOST_BITS and linededup.similar(lines[x], lines[y])]
+    keys = keys_of(lines)
+    assert all(len(keys[x] & keys[len(first) + x]) == 1 for x in range(20))
+    assert len(set.intersection(*keys)) == 1
+    alike = [(x, y) for x in range(len(lines)) for y in range(x + 1, len(lines)) if linededup.similar(lines[x], lines[y])]
     assert alike == [(x, len(first) + x) for x in range(20)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(df).collect()}
     assert got == {i: line if i < len(first) else "" for i, line in enumerate(lines)}
 
 
+@pytest.mark.parametrize("least, most, changed, share", [
+    (5, 5, 1, 0.99), (6, 9, 1, 0.99), (10, 14, 1, 0.97), (15, 23, 1, 0.99), (24, 47, 1, 0.99), (48, 80, 1, 0.99),
+    (15, 23, 2, 0.9), (24, 47, 3, 0.95), (48, 80, 5, 0.95), (200, 300, 20, 0.9)])
+def test_recall_of_lines_with_changed_words(least, most, changed, share):
+    # Similar pairs that share a key, whatever the length of the line.
+    rnd = random.Random(13)
+    words = sorted({w for _, text, *_ in documents() for w in words_of(text)})
+    pairs = []
+    while len(pairs) < 400:
+        a = [rnd.choice(words) for _ in range(rnd.randint(least, most))]
+        b = list(a)
+        for i in rnd.sample(range(len(a)), changed):
+            b[i] = rnd.choice(words)
+        if a != b and linededup.similar(" ".join(a), " ".join(b)):
+            pairs.append((" ".join(a), " ".join(b)))
+    found = sum(bool(a & b) for a, b in zip(keys_of([a for a, _ in pairs]), keys_of([b for _, b in pairs])))
+    assert found >= share * len(pairs)
+
+
+def test_short_lines_by_equality(spark):
+    lines = ["Read more", "read  MORE!", "Read much more", "...", "...", "one two three four", "one two three fouR", "one two three for"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(df).collect()}
+    assert [i for i, line in enumerate(lines) if got[i] != line] == [1, 6]
+
+
+def test_lines_are_known_by_their_letters(spark):
+    # Two words with one polynomial hash modulo 2^64.
+    x = "a"
+    while len(x) < 2048:
+        x += x.translate(str.maketrans("ab", "ba"))
+    lines = [x, x.translate(str.maketrans("ab", "ba"))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.drop_duplicate_lines(df).collect()} == dict(enumerate(lines))
+
+
 def test_lines_that_differ_in_short_words(spark):
     # All have one SimHash; what is found does not depend on how many there are. Held against edit similarity alone.
     rnd = random.Random(12)
