@@ -25,11 +25,13 @@ def ranges_in(placed: DataFrame) -> int:
     return len(placed.inputFiles())
 
 
-def carried(placed: DataFrame, by, value: Column, name: str, ranges: int, backwards: bool = False) -> DataFrame:
+def carried(placed: DataFrame, by, value: Column, name: str, ranges: int, backwards: bool = False,
+            least: bool = False) -> DataFrame:
     """Add ``name``: the last value that ranges before a row's own hold for its group (or the first of those after).
 
     ``value`` aggregates the rows of one group in one range; NULL means that
-    the range has nothing to say. One row per (range, group) is looked at, and
+    the range has nothing to say. With ``least`` it is the least of all these
+    values instead. One row per (range, group) is looked at, and
     only groups that go on in another range are joined; with one range there is none.
     """
     by = list(by)
@@ -39,7 +41,8 @@ def carried(placed: DataFrame, by, value: Column, name: str, ranges: int, backwa
     edges = placed.groupBy("_range", *by).agg(value.alias(name))
     order = F.desc("_range") if backwards else F.asc("_range")
     along = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn(name, F.last(name, ignorenulls=True).over(along)).filter(F.col(name).isNotNull())
+    found = F.min(name) if least else F.last(name, ignorenulls=True)
+    edges = edges.withColumn(name, found.over(along)).filter(F.col(name).isNotNull())
     return null_safe_join(placed, bounded(materialise(edges, "edges")), ["_range", *by], "left")
 
 

@@ -201,6 +201,42 @@ def test_all_changes_at_one_node_and_rule(spark, many_ranges):
     assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 200
 
 
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_later_rows_of_a_log_may_lie_earlier_in_time(spark, ranges, request, monkeypatch):
+    if ranges > 1:
+        request.getfixturevalue("many_ranges")
+    monkeypatch.setattr(rules_module, "MANY_INTERVALS", 4)
+    random.seed(3)
+    changes = []
+    for seq in range(240):
+        op = random.choice(["add", "add", "remove"] * 5 + ["reset", "profile"])
+        value = {"reset": None, "profile": random.choice(["basic", "empty"])}.get(op, f"10.0.0.{random.randint(1, 3)}")
+        kind, direction = (None, None) if op in ("reset", "profile") else ("ip", "src")
+        # Four runs over the same time, one after the other in the log.
+        changes.append((seq, 10 * (seq % 60) + random.randint(0, 30), random.choice(["all", "node:1", "node:2"]), op, kind, direction, value))
+    rows = [packet(i, i, node_id=1 + i % 2, src_ip=f"10.0.0.{random.randint(1, 3)}") for i in range(640)]
+
+    def states(node, second):
+        """What the last row of each rule, and of the profile, says among all rows no later than a time."""
+        held, profile = set(), "full"
+        for _, ts, scope, op, _, _, value in changes:
+            if ts <= second and scope in ("all", f"node:{node}"):
+                held = held | {value} if op == "add" else held - {value} if op == "remove" else set()
+                profile = value if op == "profile" else profile
+        return held, profile
+
+    want, dropped = {}, {}
+    for p in packets(spark, rows).collect():
+        held, profile = states(p["node_id"], at(p["ts"]))
+        want[p["packet_id"]] = p["src_ip"] not in held
+        dropped[p["packet_id"]] = 0 if p["src_ip"] in held and profile != "empty" else None
+    log, here = rule_log(spark, *changes), nodes(spark, (1, 0), (2, 0))
+    got = rules_as_of(packets(spark, rows), log, here).select("packet_id", "verdict").collect()
+    assert len(got) == 640 and dict(map(tuple, got)) == want and len(set(want.values())) == 2
+    got = cascade_as_of(packets(spark, rows), log, here, {0: "full"}).select("packet_id", "dropped_at").collect()
+    assert len(got) == 640 and dict(map(tuple, got)) == dropped
+
+
 def test_many_profile_changes_of_one_node(spark, many_ranges, monkeypatch):
     monkeypatch.setattr(rules_module, "TIME_SLICES", 16)
     names = ["basic", "empty", "full"]
