@@ -44,7 +44,8 @@ class Lookup:
 
     ``table`` has a column ``key`` and value columns. It holds at most one row
     per key (or, with the condition ``within``, at most one that satisfies it),
-    so no packet multiplies. ``rows`` is its size where it is already counted.
+    so no packet multiplies; with more, a packet comes with each of them.
+    ``rows`` is its size where it is already counted.
     """
     key: Column
     table: DataFrame

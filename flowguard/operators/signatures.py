@@ -160,10 +160,10 @@ def signature_matches(df: DataFrame, index: DataFrame, mode: str = "full", paylo
                       broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per row of ``df`` and signature that its payload matches: all columns, ``_text`` and ``_signature``."""
     texts = df.withColumn("_text", payload_text(payload)).filter("_text IS NOT NULL")
-    by_gram = index.filter("gram IS NOT NULL").groupBy(F.col("gram").alias("key")) \
-        .agg(F.collect_list(F.struct("value", "required")).alias("_found"))
-    anchored = look_up(texts.withColumn("_gram", F.explode(_grams("_text"))), [Lookup(F.col("_gram"), by_gram)], broadcast_rows)
-    candidates = anchored.filter("_found IS NOT NULL").select(*texts.columns, F.explode("_found").alias("_candidate")) \
+    # A row per signature, so that a gram which many share is neither one wide row nor counted as one.
+    anchors = index.filter("gram IS NOT NULL").select(F.col("gram").alias("key"), F.struct("value", "required").alias("_candidate"))
+    anchored = look_up(texts.withColumn("_gram", F.explode(_grams("_text"))), [Lookup(F.col("_gram"), anchors)], broadcast_rows)
+    candidates = anchored.filter("_candidate IS NOT NULL").select(*texts.columns, "_candidate") \
         .filter(F.contains("_text", "_candidate.required"))
     # The pattern is a column: it is compiled for each candidate, of which few are left.
     around = ("\\A(?:", ")\\z") if signature("", mode) else ("", "")
