@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WordHasher, broadcast_if_small, components, lists, mix, per_worker
+from .common import WordHasher, broadcast_if_small, components, lists, mix, per_worker, ragged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,6 +29,12 @@ BUCKET = 16
 # Texts of a larger bucket that one task compares with as many others, and rows of such chunks a task reads.
 CHUNK = 256
 TASK_ROWS = 4096
+# Texts that are brought to lower case at a time.
+PART = 256
+# From so many pairs of two chunks on the shingles that they share are counted for all of them at once, and labels with
+# more pairs of texts than COMMON are counted by a matrix product.
+COUNTED = 256
+COMMON = 64
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -107,10 +113,18 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return matched / (total - matched) if matched >= needed else 0.0
 
 
+def _hashed(hasher, batch):
+    """The ids of a few rows at a time with what ``WordHasher.texts`` yields for them; lower case takes further copies of a text."""
+    for at in range(0, len(batch), PART):
+        part = batch.slice(at, PART)
+        for first, h, bounds in hasher.texts(pc.utf8_lower(part.column(1).cast(pa.large_string()))):
+            yield part.column(0), first, h, bounds
+
+
 def _sketches(batches):
     hasher = per_worker("words", WordHasher)
     for batch in batches:
-        for first, h, bounds in hasher.texts(pc.utf8_lower(batch.column(1).cast(pa.large_string()))):
+        for ids, first, h, bounds in _hashed(hasher, batch):
             digests, sizes, values = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = h[a:b]
@@ -119,7 +133,7 @@ def _sketches(batches):
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if b > a else None)
                 values.append(sketch(labels) if b > a else np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(sizes)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
+                [ids.slice(first, len(sizes)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
                  lists(np.concatenate(values).view(np.int64), np.cumsum([0, *map(len, values)]))],
                 names=["id", "digest", "n", "bands"])
 
@@ -127,9 +141,9 @@ def _sketches(batches):
 def _word_arrays(batches):
     hasher = per_worker("words", WordHasher)
     for batch in batches:
-        for first, h, bounds in hasher.texts(pc.utf8_lower(batch.column(1).cast(pa.large_string()))):
+        for ids, first, h, bounds in _hashed(hasher, batch):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(bounds) - 1), lists(h.astype(np.uint32).view(np.int32), bounds)],
+                [ids.slice(first, len(bounds) - 1), lists(h.astype(np.uint32).view(np.int32), bounds)],
                 names=["id", "words"])
 
 
@@ -151,10 +165,40 @@ def _verify(least):
     return run
 
 
+def shared_labels(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many labels each text of ``left`` has in common with each of ``right``."""
+    out = np.zeros(len(left) * len(right), np.int64)
+    x, y = (np.repeat(np.arange(len(side)), [len(own) for own in side]) for side in (left, right))
+    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    m, k = (np.bincount(part, minlength=at.max(initial=-1) + 1) for part in (at[:len(x)], at[len(x):]))
+    by_x, by_y = np.argsort(at[:len(x)], kind="stable"), np.argsort(at[len(x):], kind="stable")
+    name = at[:len(x)][by_x]
+    starts = np.cumsum(k) - k
+    rare = (m * k > 0) & (m * k <= COMMON)
+    some, own = x[by_x][rare[name]], name[rare[name]]
+    for first in range(0, len(some), 1 << 16):
+        part = own[first:first + (1 << 16)]
+        others = y[by_y[ragged(starts[part], k[part])]]
+        out += np.bincount(np.repeat(some[first:first + (1 << 16)], k[part]) * len(right) + others, minlength=len(out))
+    out = out.reshape(len(left), len(right))
+    often = m * k > COMMON
+    column = np.where(often, np.cumsum(often) - 1, -1)
+    for first in range(0, int(often.sum()), 2048):
+        dense = []
+        for side, texts, places in ((left, x, column[at[:len(x)]]), (right, y, column[at[len(x):]])):
+            here = (places >= first) & (places < first + 2048)
+            table = np.zeros((len(side), 2048), np.float32)
+            table[texts[here], places[here] - first] = 1
+            dense.append(table)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
 def _alike(least):
     """Links that join the components of two chunks as all their candidate pairs would.
 
-    A pair that shares several values is there only under the first.
+    A pair that shares several values is there only under the first. Of many
+    pairs only those are aligned that have enough shingles in common.
     """
     def run(left, right):
         both = left if right is None else pa.concat_tables([left, right])
@@ -164,17 +208,28 @@ def _alike(least):
         values = np.stack([x.values.to_numpy(zero_copy_only=False) for x in both["bands"]])[:, :band]
         words, labels = both["words"], {}
         a, b = [], []
+        # The second text of a pair: one that follows within the chunk, or any of the other chunk.
+        second = slice(0 if right is None else len(left), len(both))
+        one, two = n[:len(left), None], n[None, second]
+        near = (np.minimum(one, two) >= least * np.maximum(one, two) - 1e-9) & (label[:len(left), None] != label[None, second])
+        for j in range(band):
+            near &= values[:len(left), None, j] != values[None, second, j]
+        if right is None:
+            near = np.triu(near, 1)
 
         def own(i):
             if i not in labels:
                 labels[i] = shingles(words[i].values.to_numpy(zero_copy_only=False).view(np.uint32))
             return labels[i]
 
-        for x in range(len(left)):
-            first = x + 1 if right is None else len(left)
-            near = (np.minimum(n[first:], n[x]) >= least * np.maximum(n[first:], n[x]) - 1e-9) & (label[first:] != label[x])
-            near &= (values[first:] != values[x]).all(axis=1)
-            others = np.flatnonzero(near) + first
+        if near.sum() >= COUNTED:
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            common = shared_labels([own(i) for i in rows.tolist()], [own(i) for i in (columns + second.start).tolist()])
+            # What ``aligned`` asks for first.
+            near[np.ix_(rows, columns)] &= common >= least / (1 + least) * (one[rows] + two[:, columns]) - 1e-9
+        for x in np.flatnonzero(near.any(axis=1)).tolist():
+            others = np.flatnonzero(near[x]) + second.start
+            others = others[label[others] != label[x]]
             while len(others):
                 y, others = int(others[0]), others[1:]
                 if aligned(own(x), own(y), least) >= least:

@@ -157,6 +157,33 @@ def test_pairs_in_a_large_family_of_pages(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_shared_labels():
+    rng = np.random.default_rng(13)
+    # Labels of a few texts, of many and of all; texts without any.
+    left, right = ([np.unique(np.concatenate([np.arange(40), 100 + rng.integers(0, 3000, rng.integers(0, 300)),
+                                              10_000 + rng.integers(0, 60, 20)])).astype(np.uint64) for _ in range(n)] for n in (70, 30))
+    left[3] = right[5] = np.zeros(0, np.uint64)
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert neardup.shared_labels(left, right).tolist() == want
+    assert neardup.shared_labels([left[3]], [right[5]]).tolist() == [[0]]
+
+
+def test_unlike_texts_of_a_bucket_are_not_aligned(monkeypatch):
+    # 200 texts with a common passage and one pair of copies: only that pair is worth an alignment.
+    rng = np.random.default_rng(14)
+    words = [np.concatenate([np.arange(60), rng.integers(1000, 1 << 31, 140)]) for _ in range(199)]
+    words.append(np.append(words[7][:-1], 5))
+    table = pa.table({"id": pa.array(range(200), pa.int64()), "n": pa.array([196] * 200, pa.int32()),
+                      "band": pa.array([0] * 200, pa.int32()), "component": pa.array(range(200), pa.int64()),
+                      "bands": pa.array([[i] for i in range(200)], pa.list_(pa.int64())),
+                      "words": pa.array([w.astype(np.uint32).view(np.int32).tolist() for w in words], pa.list_(pa.int32()))})
+    calls, aligned = [], neardup.aligned
+    monkeypatch.setattr(neardup, "aligned", lambda *x: calls.append(x) or aligned(*x))
+    assert neardup._alike(0.8)(table, None) == ([7], [199])
+    assert neardup._alike(0.8)(table.slice(0, 100), table.slice(100)) == ([7], [199])
+    assert len(calls) == 2
+
+
 def test_documents_of_odd_rows(spark):
     df = with_clashes(odd(spark))
     got = rows(neardup.near_duplicates(df).select("doc_id", "class_id", "kept"))
