@@ -1,9 +1,10 @@
 """Fuzzy deduplication of lines.
 
 Lines are normalised to their words and get a 64-bit SimHash. Lines whose
-hashes differ in at most three bits share two of five blocks of bits, so they
-meet under one of ten keys; those that meet are verified by edit similarity,
-however many lines have the key.
+hashes differ in at most three bits share two of five blocks of bits. Hashes
+meet in one task by one block and there by a second one; only links that join
+hashes to families leave the task, never all pairs. The lines of a family are
+verified by edit similarity, however many they are.
 Of each connected group one occurrence stays.
 """
 
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import PowerSums, WordHasher, broadcast_if_small, mix, per_worker, ragged, text_bytes
+from .common import PowerSums, WordHasher, broadcast_if_small, components, mix, per_worker, ragged
 from .licenses import WORD
-from .neardup import bucketed, crossed, joined, linked
+from .neardup import joined
 
 SIMILARITY = 0.8
 # Lines with fewer characters than this always stay.
@@ -29,8 +30,11 @@ MOST_BITS = 3
 TELLING_BYTES = 4
 # Fixed by MOST_BITS: with five blocks, three differing bits leave two untouched.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-# The bits of each of the ten keys.
-KEY_MASKS = [np.uint64(sum((1 << size) - 1 << shift for shift, size in two)) for two in combinations(BLOCKS, 2)]
+# SimHashes that one task compares, and those of one key up to which all pairs are looked at side by side.
+TASK_HASHES = 1 << 15
+BUCKET = 16
+# Texts that are held as Python values at a time.
+PART = 256
 
 
 def telling(words: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +71,79 @@ def simhashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_keys(simhash):
-    """The ten keys of a SimHash column: every two of its five blocks."""
-    part = [F.shiftrightunsigned(simhash, shift).bitwiseAND(F.lit((1 << size) - 1)) for shift, size in BLOCKS]
-    return F.array(*(F.shiftleft(part[i], 13).bitwiseOR(part[j]) for i, j in combinations(range(5), 2)))
+def block_values(simhash):
+    """The first four of the five blocks of a SimHash column: two hashes that share two blocks share one of these."""
+    return F.array(*(F.shiftrightunsigned(simhash, shift).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
+                     for shift, size in BLOCKS[:-1]))
+
+
+def _within(x, y):
+    return np.bitwise_count(x ^ y) <= MOST_BITS
+
+
+def _near(own: np.ndarray, mask: np.uint64):
+    """Links (x, y) between hashes that agree under ``mask`` which join whatever all their near pairs join."""
+    key = own & mask
+    order = np.argsort(key, kind="stable")
+    own, key = own[order], key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    small = np.repeat((sizes > 1) & (sizes <= BUCKET), sizes)
+    few, key = own[small], key[small]
+    for apart in range(1, BUCKET):
+        at = np.flatnonzero(key[:-apart] == key[apart:])
+        if not len(at):
+            break
+        at = at[_within(few[at], few[at + apart])]
+        yield few[at], few[at + apart]
+    for run in np.flatnonzero(sizes > BUCKET):
+        left, open_ = own[starts[run]:starts[run] + sizes[run]], []
+        while len(left):
+            if not open_:
+                open_, left = [left[0]], left[1:]
+            x = open_.pop()
+            near = _within(left, x)
+            if near.any():
+                yield np.full(int(near.sum()), x), left[near]
+                open_ += list(left[near])
+                left = left[~near]
+
+
+def _near_links(table):
+    """A link for every two families of near hashes of a task that become one."""
+    hashes, block = table["simhash"].to_numpy().view(np.uint64), table["block"].to_numpy()
+    found = [(np.zeros(0, np.uint64),) * 2]
+    for i, j in combinations(range(len(BLOCKS)), 2):
+        mask = np.uint64(sum((1 << size) - 1 << shift for shift, size in (BLOCKS[i], BLOCKS[j])))
+        found += _near(hashes[block == i], mask)
+    x, y = (np.concatenate(side).view(np.int64) for side in zip(*found))
+    root, a, b = {}, [], []
+
+    def top(v):
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for v, w in np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1).T.tolist():
+        own, other = top(v), top(w)
+        if own != other:
+            root[other] = own
+            a.append(v)
+            b.append(w)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def families(hashes: DataFrame) -> DataFrame:
+    """The hashes (simhash) of a stored table that near ones lead to others: (simhash, family).
+
+    Four rows a hash are shuffled. Hashes that share a block are in one task,
+    and few enough there, since a block has thousands of values.
+    """
+    tasks = max(1, -(-hashes.count() * (len(BLOCKS) - 1) // TASK_HASHES))
+    dealt = hashes.select("simhash", F.posexplode(block_values(F.col("simhash"))).alias("block", "value")) \
+        .select("simhash", "block", F.pmod(F.xxhash64("block", "value"), F.lit(tasks)).cast("int").alias("task"))
+    links = materialise(dealt.groupBy("task").applyInArrow(_near_links, "a long, b long"), "links")
+    return components(links).select(F.col("id").alias("simhash"), F.col("component").alias("family"))
 
 
 def normalised(line: str) -> str:
@@ -134,17 +207,13 @@ def _lines(batches):
     hasher, sums = per_worker("words", WordHasher), per_worker("line sums", lambda: PowerSums(1 << 16))
     for batch in batches:
         # Few texts at a time: a list of lines takes as much again as the texts.
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
+        for at in range(0, len(batch), PART):
+            part = batch.slice(at, PART)
             split = pc.split_pattern(part.column(1).cast(pa.large_string()).fill_null(""), "\n")
             flat = pc.utf8_lower(split.flatten())
             number = np.concatenate([np.arange(n) for n in split.value_lengths().to_numpy()])
             owner = pc.list_parent_indices(split).to_numpy()
             chars = pc.utf8_length(flat).to_numpy()
-            data, ends = text_bytes(flat)
-            # Characters of words: of a longer character the first byte counts.
-            before = np.append(0, np.cumsum(hasher.is_word[data] & ((data & 0xC0) != 0x80)))
-            letters = before[ends[1:]] - before[ends[:-1]]
             for first, words, bounds, sizes in hasher.sized_texts(flat):
                 rows = np.arange(first, first + len(bounds) - 1)
                 hashed = mix(words)
@@ -155,21 +224,22 @@ def _lines(batches):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(own), part.column(2).take(own), pa.array(number[rows[kept]], pa.int32()),
                      pa.array(one[kept].view(np.int64)), pa.array(two[kept].view(np.int64)),
-                     pa.array(simhashes(*telling(words, bounds, sizes))[kept].view(np.int64)),
-                     pa.array((letters[rows] + np.diff(bounds) - 1)[kept], pa.int32())],
-                    names=["id", "key", "line", "h1", "h2", "simhash", "n"])
+                     pa.array(simhashes(*telling(words, bounds, sizes))[kept].view(np.int64))],
+                    names=["id", "key", "line", "h1", "h2", "simhash"])
 
 
 def _texts(batches):
     """The normalised text of chosen lines of each document."""
     for batch in batches:
-        names, texts = [], []
-        for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = text.split("\n")
-            for x in chosen:
-                names.append(x["h1"])
-                texts.append(normalised(lines[x["line"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["h1", "t"])
+        for at in range(0, len(batch), PART):
+            part = batch.slice(at, PART)
+            names, texts = [], []
+            for text, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                lines = text.split("\n")
+                for x in chosen:
+                    names.append(x["id"])
+                    texts.append(normalised(lines[x["line"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["id", "t"])
 
 
 def _verify(least):
@@ -182,25 +252,10 @@ def _verify(least):
 
 
 def _near_pairs(left, right):
-    """Positions (i, j) of lines of two chunks, or of one, that are within few bits and in different components.
-
-    A pair that shares several keys is there only under the first.
-    """
+    """Positions (i, j) of lines of two chunks, or of one, that are within few bits and in different components."""
     x, own = left["simhash"].to_numpy().view(np.uint64), left["component"].to_numpy()
     y, other = (x, own) if right is None else (right["simhash"].to_numpy().view(np.uint64), right["component"].to_numpy())
-    apart = x[:, None] ^ y[None, :]
-    i, j = np.nonzero(np.bitwise_count(apart) <= MOST_BITS)
-    apart, met = apart[i, j], own[i] != other[j]
-    for mask in KEY_MASKS[:left["band"][0].as_py()]:
-        met &= (apart & mask) != 0
-    return i[met], j[met]
-
-
-def _with_near(left, right):
-    """The lines, with their key's number, that have a near one in the bucket."""
-    i, j = _near_pairs(left, right)
-    found = left["id"].to_numpy()[np.unique(i)].tolist() + (left if right is None else right)["id"].to_numpy()[np.unique(j)].tolist()
-    return found, [left["band"][0].as_py()] * len(found)
+    return np.nonzero(_within(x[:, None], y[None, :]) & (own[:, None] != other[None, :]))
 
 
 def _alike(least):
@@ -239,55 +294,45 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
     kind = plain.schema["id"].dataType.simpleString()
     lines = materialise(plain.mapInArrow(
-        _lines, f"id {kind}, key long, line int, h1 long, h2 long, simhash long, n int"), "lines")
+        _lines, f"id {kind}, key long, line int, h1 long, h2 long, simhash long"), "lines")
     # Distinct lines with their first occurrence; copies are combined before the shuffle.
     place = F.struct("id", "key", "line")
     distinct = materialise(lines.groupBy("h1", "h2").agg(
-        F.count("*").alias("times"), F.min(place).alias("first"), F.first("simhash").alias("simhash"),
-        F.first("n").alias("n")), "distinct")
-    # n is the length of the normalised line, the same for all copies; a pair at `least` cannot differ more in it.
-    near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= MOST_BITS
-    pairs, large = bucketed(
-        distinct.select(F.col("h1").alias("id"), "n", "simhash", block_keys(F.col("simhash")).alias("bands")),
-        least=least - 1e-9, within=near)
-    # Pairs with the first line of a large bucket are still to be tried.
-    bits = distinct.select("h1", "simhash")
-    pairs = pairs.join(bits.select(F.col("h1").alias("a"), F.col("simhash").alias("sa")), "a") \
-        .join(bits.select(F.col("h1").alias("b"), F.col("simhash").alias("sb")), "b") \
-        .filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS).select("a", "b")
-    pairs, large = materialise(pairs, "pairs"), materialise(large, "large")
-
-    def texts_of(wanted):
-        chosen = distinct.join(wanted, "h1", "left_semi").groupBy("first.id", "first.key") \
-            .agg(F.collect_list(F.struct("h1", F.col("first.line").alias("line"))).alias("chosen"))
-        chosen = broadcast_if_small(materialise(chosen, "chosen"), 256).alias("c")
-        found = plain.alias("d").join(chosen, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.key") == F.col("c.key"))) \
-            .select("text", "chosen").mapInArrow(_texts, "h1 long, t string").dropDuplicates(["h1"])
-        return materialise(found, "texts")
-
-    texts = texts_of(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct())
-
-    def verified(some):
-        return some.join(texts.select(F.col("h1").alias("a"), F.col("t").alias("ta")), "a") \
-            .join(texts.select(F.col("h1").alias("b"), F.col("t").alias("tb")), "b") \
-            .select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long")
-
-    reached = linked(pairs, verified)
-    if not large.isEmpty():
-        # By their bits first, which are short; the texts of those that are near each other follow.
-        bits = distinct.select(F.col("h1").alias("id"), "simhash")
-        near = materialise(crossed(large, reached, bits, _with_near).distinct(), "near") \
-            .select(F.col("a").alias("id"), F.col("b").cast("int").alias("band"))
-        large = materialise(large.join(near, ["id", "band"], "left_semi"), "large")
-        texts = texts_of(large.select(F.col("id").alias("h1")).distinct())
-        reached = joined(reached, large, bits.join(texts.withColumnRenamed("h1", "id"), "id"), _alike(least))
-
-    # The group of every line that has a copy or a link, and the occurrence that stays.
-    groups = distinct.join(reached.withColumnRenamed("id", "h1"), "h1", "left") \
+        F.count("*").alias("times"), F.min(place).alias("first"), F.first("simhash").alias("simhash")), "distinct")
+    near = materialise(families(materialise(distinct.select("simhash").distinct(), "hashes")), "families")
+    grouped = distinct.select("h1", "simhash", "first").join(broadcast_if_small(near, 32), "simhash", "left") \
+        .select(F.col("h1").alias("id"), "simhash", "first", F.coalesce("family", "simhash").alias("value"))
+    least_of = grouped.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct("id", "simhash")).alias("least")) \
+        .filter("size > 1").select("value", "least")
+    members = materialise(grouped.join(broadcast_if_small(materialise(least_of, "least"), 64), "value"), "members")
+
+    # The texts of families with more than one line.
+    chosen = members.groupBy("first.id", "first.key") \
+        .agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("chosen"))
+    chosen = broadcast_if_small(materialise(chosen, "chosen"), 256).alias("c")
+    texts = materialise(plain.alias("d").join(chosen, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.key") == F.col("c.key")))
+                        .select("text", "chosen").mapInArrow(_texts, "id long, t string").dropDuplicates(["id"]), "texts")
+
+    # Each line is compared with the first of its family, so that a group of copies is soon known; then all with all.
+    star = members.filter((F.col("id") > F.col("least.id"))
+                          & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("least.simhash"))) <= MOST_BITS)) \
+        .select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    links = star.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a") \
+        .join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b") \
+        .select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long")
+    known = materialise(components(materialise(links, "verified")), "component")
+    reached = joined(known, members.select("id", F.lit(0).alias("band"), "value", F.col("least.id").alias("first")),
+                     members.select("id", "simhash").join(texts, "id"), _alike(least))
+
+    # The group of every line that has a copy or a link, and the occurrence that stays. Tables that grow with the
+    # input are left to Spark, which broadcasts only small ones.
+    groups = distinct.join(broadcast_if_small(reached, 32).withColumnRenamed("id", "h1"), "h1", "left") \
+        .filter("times > 1 OR component IS NOT NULL") \
         .select("h1", "h2", "times", "first", F.coalesce("component", "h1").alias("group"))
+    groups = materialise(groups, "repeated")
     stays = groups.groupBy("group").agg(F.sum("times").alias("all"), F.min("first").alias("stays")).filter("all > 1")
     groups = materialise(groups.join(stays, "group").select("h1", "h2", "stays"), "groups")
-    dropped = lines.select("id", "key", "line", "h1", "h2").join(broadcast_if_small(groups, 128), ["h1", "h2"]) \
+    dropped = lines.select("id", "key", "line", "h1", "h2").join(groups, ["h1", "h2"]) \
         .filter(~F.struct("id", "key", "line").eqNullSafe(F.col("stays")))
     return materialise(dropped.groupBy("id", "key").agg(F.collect_set("line").alias("lines")), "dropped")
 
@@ -312,28 +357,30 @@ def drop_duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str
     columns = docs.columns
     keyed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
     rows = keyed.alias("d").join(
-        broadcast_if_small(dropped, 256).alias("x"),
+        dropped.alias("x"),
         F.col(f"d.{id_col}").eqNullSafe(F.col("x.id")) & (F.col(f"d.{own}") == F.col("x.key")), "left") \
         .select(*(F.col(f"d.`{c}`") for c in columns), F.col("x.lines").alias(lost))
     text_at = columns.index(text_col)
     size_at = columns.index(size_col) if size_col in columns else None
 
     def cut(batches):
-        for batch in batches:
-            lost_lines = batch.column(len(columns))
-            arrays = [batch.column(i) for i in range(len(columns))]
-            if lost_lines.null_count < len(lost_lines):
-                texts = arrays[text_at].to_pylist()
-                sizes = arrays[size_at].to_pylist() if size_at is not None else None
-                for i, lines in enumerate(lost_lines.to_pylist()):
-                    if lines:
-                        gone = set(lines)
-                        texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in gone)
-                        if sizes:
-                            sizes[i] = len(texts[i])
-                arrays[text_at] = pa.array(texts, arrays[text_at].type)
-                if sizes:
-                    arrays[size_at] = pa.array(sizes, arrays[size_at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+        for whole in batches:
+            for at in range(0, len(whole), PART):
+                batch = whole.slice(at, PART)
+                lost_lines = batch.column(len(columns))
+                arrays = [batch.column(i) for i in range(len(columns))]
+                if lost_lines.null_count < len(lost_lines):
+                    texts = arrays[text_at].to_pylist()
+                    sizes = arrays[size_at].to_pylist() if size_at is not None else None
+                    for i, lines in enumerate(lost_lines.to_pylist()):
+                        if lines:
+                            gone = set(lines)
+                            texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in gone)
+                            if sizes:
+                                sizes[i] = len(texts[i])
+                    arrays[text_at] = pa.array(texts, arrays[text_at].type)
+                    if sizes:
+                        arrays[size_at] = pa.array(sizes, arrays[size_at].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return rows.mapInArrow(cut, docs.schema)

@@ -351,6 +351,30 @@ def test_lines_that_differ_in_short_words(spark):
     assert got == {i: line if find(root, i) == i else "" for i, line in enumerate(lines)}
 
 
+def test_families_of_hashes():
+    # Keys that a few hashes share and one that many do; near hashes are joined, and no pair is returned twice.
+    rng = np.random.default_rng(15)
+    flip = lambda h, n: h ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, n, replace=False)))
+    alone = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    chain = [alone[0]]
+    for _ in range(400):
+        chain.append(flip(chain[-1], int(rng.integers(1, 4))))
+    crowd = [flip(alone[1], int(rng.integers(0, 2))) for _ in range(300)]
+    hashes = np.unique(np.concatenate([alone, chain, crowd, [flip(h, 3) for h in alone[2:40]]]))
+    root = {i: i for i in range(len(hashes))}
+    for i in range(len(hashes)):
+        for j in (np.flatnonzero(np.bitwise_count(hashes[i + 1:] ^ hashes[i]) <= linededup.MOST_BITS) + i + 1).tolist():
+            union(root, i, j)
+    blocks = range(len(linededup.BLOCKS) - 1)
+    links = linededup._near_links(pa.table({"simhash": np.tile(hashes.view(np.int64), len(blocks)), "block": np.repeat(blocks, len(hashes))}))
+    place = {h: i for i, h in enumerate(hashes.view(np.int64).tolist())}
+    got = {i: i for i in range(len(hashes))}
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist()):
+        union(got, place[a], place[b])
+    assert [find(got, i) for i in got] == [find(root, i) for i in root]
+    assert len(links) == len(hashes) - len({find(root, i) for i in root})
+
+
 def test_lines_with_leaders(spark):
     # Punctuation and indentation have no part in the length that is compared.
     lines = ["Chapter one about the long winding river 12 " + "." * 60, "Chapter one about the long winding river 13",
