@@ -25,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GRAM = 4
 # So many signatures without required text are tried as one regular expression.
 SIGNATURES_JOINED = 100
+# A row that holds a signature is about so many times as wide as the keys that bounds of broadcasts are made for.
+SIGNATURE_WIDTH = 8
 
 # Pairs of brackets, and the quantifiers after which a character may be missing.
 _CLOSING = {"(": ")", "[": "]", "{": "}"}
@@ -162,7 +164,8 @@ def signature_matches(df: DataFrame, index: DataFrame, mode: str = "full", paylo
     texts = df.withColumn("_text", payload_text(payload)).filter("_text IS NOT NULL")
     # A row per signature, so that a gram which many share is neither one wide row nor counted as one.
     anchors = index.filter("gram IS NOT NULL").select(F.col("gram").alias("key"), F.struct("value", "required").alias("_candidate"))
-    anchored = look_up(texts.withColumn("_gram", F.explode(_grams("_text"))), [Lookup(F.col("_gram"), anchors)], broadcast_rows)
+    anchored = look_up(texts.withColumn("_gram", F.explode(_grams("_text"))), [Lookup(F.col("_gram"), anchors)],
+                       broadcast_rows // SIGNATURE_WIDTH)
     candidates = anchored.filter("_candidate IS NOT NULL").select(*texts.columns, "_candidate") \
         .filter(F.contains("_text", "_candidate.required"))
     # The pattern is a column: it is compiled for each candidate, of which few are left.

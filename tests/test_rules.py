@@ -354,6 +354,21 @@ def test_signature_index(spark, mode):
     assert got == want and len(want) > 100
 
 
+def test_wide_signature_tables_are_not_broadcast(spark, monkeypatch):
+    # Rows of signatures are wide: what is bounded as keys are would come to the driver as hundreds of MB.
+    bounds = []
+    seen = lambda df, lookups, rows=None: bounds.append(rows) or look_up(df, lookups, rows)
+    monkeypatch.setattr(rules_module, "look_up", seen)
+    monkeypatch.setattr(signatures, "look_up", seen)
+    table = spark.range(40).selectExpr("'all' AS scope", "'pattern' AS kind", "CAST(NULL AS STRING) AS direction",
+                                       "concat('signature ', 1000 + id) AS value")
+    df = spark.createDataFrame([(i, 0, f"signature {1000 + i}", "TCP") for i in range(60)], "packet_id long, node_id int, payload string, proto string")
+    book = RuleBook.load(table, inline_signatures=0, broadcast_rows=80)
+    got = book.add(df, ok=lambda b: checks.payload_ok(b)).filter("ok").select("packet_id").collect()
+    assert sorted(r[0] for r in got) == list(range(40, 60))
+    assert bounds.count(80 // signatures.SIGNATURE_WIDTH) == 2
+
+
 def test_a_hundred_thousand_signatures(spark):
     made = spark.range(100_000).select(F.lit("all").alias("scope"), F.lit("pattern").alias("kind"), F.lit(None).cast("string").alias("direction"),
                                        F.concat(F.lit("attack [a-z]+ "), F.col("id"), F.lit(" .*")).alias("value"))
