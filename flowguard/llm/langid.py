@@ -18,6 +18,7 @@ from .common import per_worker
 
 ORDERS = 3
 PROFILE = 300
+PART = 1024
 BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 
@@ -193,10 +194,13 @@ def predictor(profiles: dict[str, list[int]], text_at: int):
     def run(batches):
         is_letter = per_worker("letters", letters)
         known = Profiles(profiles)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
-            found = [known.best(ranked(*own)) for own in per_text(texts, is_letter)]
-            yield batch, [f[0] for f in found], [f[1] for f in found]
+        for whole in batches:
+            # Few texts are held as Python values at a time.
+            for at in range(0, len(whole), PART):
+                batch = whole.slice(at, PART)
+                texts = ["" if t is None else t for t in batch.column(text_at).to_pylist()]
+                found = [known.best(ranked(*own)) for own in per_text(texts, is_letter)]
+                yield batch, [f[0] for f in found], [f[1] for f in found]
     return run
 
 
