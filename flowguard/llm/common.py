@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,15 +168,61 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 # Components of a graph
 
+# Links that one task joins at a time, and ids of these types, whose order Arrow shares with Spark.
+TASK_LINKS = 1 << 17
+ARROW_ORDER = ("tinyint", "smallint", "int", "bigint", "string")
+
+
+def smallest_joined(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of the numbers below ``n`` the smallest that links x[i] - y[i] lead to."""
+    root = np.arange(n)
+    while True:
+        a, b = root[x], root[y]
+        if (a == b).all():
+            return root
+        # Each root goes below its smallest neighbour; paths are then flat again.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(roots: bool):
+    """The links of a task as stars around the smallest id of each component, a block of links at a time.
+
+    With ``roots`` the centres have a row too.
+    """
+    def star(block):
+        ids = pa.chunked_array([x.column(i) for x in block for i in (0, 1)]).unique()
+        ids = ids.take(pc.sort_indices(ids))
+        x, y = (pc.index_in(pa.chunked_array([one.column(i) for one in block]), ids).to_numpy() for i in (0, 1))
+        root = smallest_joined(x, y, len(ids))
+        rows = np.arange(len(ids)) if roots else np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), ids.take(pa.array(root[rows]))], names=["a", "b"])
+
+    def run(batches):
+        block, size = [], 0
+        for batch in batches:
+            if size and size + len(batch) > TASK_LINKS:
+                yield star(block)
+                block, size = [], 0
+            block.append(batch)
+            size += len(batch)
+        if size:
+            yield star(block)
+    return run
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """The component of every end of links between different ids: (id, component).
 
     ``links`` has two columns a and b of one orderable type; ``component`` is
-    the smallest id that a path of links reaches. Large and small stars take
-    turns: each id points its larger neighbours, then its smaller ones, to the
-    smallest it knows. Both keep the components and flatten them, with at most
-    one row per link and a logarithmic number of rounds. Every round is
-    written to the shared folder, which cuts its lineage.
+    the smallest id that a path of links reaches. Every task first makes stars
+    of its own links, without a shuffle. If no more than TASK_LINKS are left,
+    one task joins them. Otherwise large and small stars take turns: each id
+    points its larger neighbours, then its smaller ones, to the smallest it
+    knows. Both keep the components and flatten them, with at most one row per
+    link and a logarithmic number of rounds. Every round is written to the
+    shared folder, which cuts its lineage.
     """
     def by_end(edges):
         # Written first: both sides of the join are then plain scans, of which
@@ -183,8 +230,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
         return edges.join(broadcast_if_small(least, 64), "a")
 
-    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "links")
+    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    kind = pairs.schema["a"].dataType.simpleString()
+    if kind in ARROW_ORDER:
+        schema = f"a {kind}, b {kind}"
+        pairs = materialise(pairs.mapInArrow(_stars(False), schema), "links")
+        if pairs.count() <= TASK_LINKS:
+            whole = materialise(pairs.coalesce(1).mapInArrow(_stars(True), schema), "component")
+            return whole.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    pairs = materialise(pairs.distinct(), "links")
     before = None
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -37,6 +37,36 @@ def test_components(spark):
     assert rows(common.components(spark.createDataFrame([], "a long, b long"))) == []
 
 
+@pytest.mark.parametrize("most", [8, common.TASK_LINKS])
+def test_components_of_many_and_of_few_links(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "TASK_LINKS", most)
+    rnd = random.Random(2)
+    order = rnd.sample(range(300), 300)
+    edges = list(zip(order, order[1:])) + [(rnd.randint(400, 600), rnd.randint(400, 600)) for _ in range(90)] + [(None, 3)]
+    root = {x: x for a, b in edges[:-1] if a != b for x in (a, b)}
+    for a, b in edges[:-1]:
+        if a != b:
+            union(root, a, b)
+    links = spark.createDataFrame(rnd.sample(edges, len(edges)), "a long, b long").repartition(3)
+    assert sorted(rows(common.components(links))) == sorted((x, find(root, x)) for x in root)
+    # Texts are in order of their bytes.
+    texts = [("é", "z"), ("z", "Z"), ("𐀀", "\uffee")]
+    assert sorted(rows(common.components(spark.createDataFrame(texts, "a string, b string")))) == \
+        sorted([("é", "Z"), ("z", "Z"), ("Z", "Z"), ("𐀀", "\uffee"), ("\uffee", "\uffee")])
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    order = random.Random(3).sample(range(2000), 2000)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert set(dict(rows(common.components(links))).values()) == {0}
+        # Rounds of stars took six or more jobs each.
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
 # Documents
 
 def words_of(text):
