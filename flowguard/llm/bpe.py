@@ -12,7 +12,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from .common import PowerSums, per_worker, ragged
 CUT_CHARS = 1 << 20
 MERGE_CHARS = 16 << 20
 KEPT_PIECES = 600_000
+# Texts that are held as Python values at a time.
+PART = 256
 
 # The white space of Unicode.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -337,10 +339,11 @@ class Encoder:
             found[i] = self.others[piece]
         return found, np.searchsorted(start, first)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        at = 0
-        while at < len(texts):
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Texts are taken one by one as they are numbered, and not kept."""
+        texts = iter(texts)
+        text = next(texts, None)
+        while text is not None:
             if self.numbers.count > self.kept:
                 self._forget()
             # Number the pieces of some texts, then merge all that are new at once.
@@ -357,16 +360,16 @@ class Encoder:
                     segments, size = [], 0
 
             count = 0
-            while at < len(texts) and (not count or chars + len(texts[at]) <= MERGE_CHARS):
-                for segment in self._segments(texts[at]):
+            while text is not None and (not count or chars + len(text) <= MERGE_CHARS):
+                for segment in self._segments(text):
                     if size + len(segment[0]) > CUT_CHARS:
                         flush()
                     segments.append(segment)
                     size += len(segment[0])
                     count += 1
                 begun.append(count)
-                chars += len(texts[at])
-                at += 1
+                chars += len(text)
+                text = next(texts, None)
             flush()
             if self.waiting:
                 waiting, self.waiting = self.waiting, []
@@ -382,6 +385,13 @@ class Encoder:
         return b"".join(self.vocabulary.bytes[ids].tolist()).decode("utf-8", "replace")
 
 
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """The texts of a column, few at a time as Python values; NULL counts as empty."""
+    for at in range(0, len(column), PART):
+        for text in column.slice(at, PART).to_pylist():
+            yield "" if text is None else text
+
+
 def cut(codes: np.ndarray, kind: np.ndarray, first: np.ndarray, spaces: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces of some segments; one begins at each of ``first``.
 
@@ -444,9 +454,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         encoder = per_worker(("bpe", path), lambda: Encoder(path))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             sizes, ids_sha, text_sha = [], [], []
-            for ids in encoder.encode(texts):
+            for ids in encoder.encode(texts_of(batch.column(1))):
                 sizes.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").data).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
@@ -471,8 +480,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
     def run(batches):
         encoder = per_worker(("bpe", path), lambda: Encoder(path))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            ids = [pa.array(x, pa.int32()) for x in encoder.encode(texts)]
+            ids = [pa.array(x, pa.int32()) for x in encoder.encode(texts_of(batch.column(at)))]
             bounds = np.cumsum([0, *map(len, ids)])
             flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)

@@ -7,6 +7,7 @@ none fits and the bins are used up, the fullest is closed first.
 """
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .bpe import Encoder
+from .bpe import Encoder, texts_of
 from .common import per_worker
 
 CAPACITY = 4096
@@ -122,15 +123,20 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
 
     def encode(batches):
         encoder = per_worker(("bpe", path), lambda: Encoder(path))
-        seen = []
+        seen, names = [], deque()
 
-        def placed():
+        def texts():
             for batch in batches:
                 seen[:] = [batch.column(0).type]
-                texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-                for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
-                    for piece in pieces_of(np.append(ids, np.int32(end_id)), capacity):
-                        yield piece[2], (name, *piece)
+                names.extend(batch.column(0).to_pylist())
+                yield from texts_of(batch.column(1))
+
+        def placed():
+            # The encoder reads ahead, across batches, what it merges at once.
+            for ids in encoder.encode(texts()):
+                name = names.popleft()
+                for piece in pieces_of(np.append(ids, np.int32(end_id)), capacity):
+                    yield piece[2], (name, *piece)
 
         yield from packed(placed(), Bins(capacity, open_bins), lambda: seen[0], 0)
 

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def pin_utc(spark: SparkSession) -> SparkSession:
     """Event-time slots are cut on UTC; pin the session to it."""
@@ -14,6 +16,16 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> SparkSession:
+    """Have Spark hand batches of at most so many bytes to Python; one row always goes whole.
+
+    Spark counts rows, 10,000 to a batch, so that whole texts make batches of
+    any size, several copies of which exist outside the heap at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 

@@ -52,6 +52,16 @@ def test_words_of_one_hash_keep_their_own_ids(path):
         assert next(encoder.encode([text])).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_taken_as_they_are_numbered(monkeypatch):
+    monkeypatch.setattr(bpe, "MERGE_CHARS", 1000)
+    taken = []
+    texts = (taken.append(i) or f"some words and the number {i}" for i in range(100_000))
+    ids = bpe.Encoder(WORD).encode(texts)
+    first = next(ids)
+    assert len(taken) < 60
+    assert first.tolist() == Tokenizer.from_file(WORD).encode("some words and the number 0", add_special_tokens=False).ids
+
+
 def test_pieces_forgotten_between_blocks_change_nothing(monkeypatch):
     texts = [r[1] for r in documents()]
     want = [ids.tolist() for ids in bpe.Encoder(BYTE).encode(texts)]

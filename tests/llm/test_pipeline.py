@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from edge import FOLDER, empty, odd, rows, with_clashes
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from test_near_duplicates import classes, without_copies
 from test_text_operators import base_spans
 
 from flowguard.llm import langid, queries
-from flowguard.session import materialise
+from flowguard.session import BATCH_BYTES, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +28,18 @@ def stages(spark):
     return made
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), 2000).alias("text"))
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(0).withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(0).cast("long")), FOLDER)
+        assert docs.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] < 2 * BATCH_BYTES
+
+
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
