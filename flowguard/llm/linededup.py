@@ -331,7 +331,9 @@ def duplicate_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         .select("h1", "h2", "times", "first", F.coalesce("component", "h1").alias("group"))
     groups = materialise(groups, "repeated")
     stays = groups.groupBy("group").agg(F.sum("times").alias("all"), F.min("first").alias("stays")).filter("all > 1")
-    groups = materialise(groups.join(stays, "group").select("h1", "h2", "stays"), "groups")
+    # Written first: the join is then one of plain scans, in which Spark can split a large group.
+    stays = materialise(stays.select("group", "stays"), "stays")
+    groups = materialise(groups.join(broadcast_if_small(stays, 64), "group").select("h1", "h2", "stays"), "groups")
     dropped = lines.select("id", "key", "line", "h1", "h2").join(groups, ["h1", "h2"]) \
         .filter(~F.struct("id", "key", "line").eqNullSafe(F.col("stays")))
     return materialise(dropped.groupBy("id", "key").agg(F.collect_set("line").alias("lines")), "dropped")
