@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-Texts are cut into pieces, and the distinct pieces of a block of rows are
-merged all at once: an index maps each mergeable pair to all its positions in
-the block, the active ranks are applied in ascending order, and each merge
+Texts are cut into pieces, and many distinct pieces of a block of rows are
+merged at once: an index maps each mergeable pair to all its positions in
+them, the active ranks are applied in ascending order, and each merge
 updates the lists of the pairs that it creates.
 """
 
@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import PowerSums, per_worker, ragged
 
-# Characters cut into pieces at once, characters merged at once, and distinct
-# pieces kept for later blocks.
-CUT_CHARS = 1 << 20
+# Characters cut into pieces at once, characters of a block, characters of its
+# new pieces merged at once, and distinct pieces kept for later blocks.
+CUT_CHARS = 1 << 18
 MERGE_CHARS = 16 << 20
-KEPT_PIECES = 600_000
+NEW_CHARS = 1 << 20
+KEPT_PIECES = 500_000
+# Pairs ranked at once.
+PAIRS = 1 << 16
 # Texts that are held as Python values at a time.
 PART = 256
 
@@ -97,9 +100,12 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, or -1."""
-        key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], -1)
+        ranks = np.empty(len(a), np.int32)
+        for i in range(0, len(a), PAIRS):
+            key = a[i:i + PAIRS].astype(np.int64) * self.size + b[i:i + PAIRS]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ranks[i:i + PAIRS] = np.where(self.keys[at] == key, self.order[at], -1)
+        return ranks
 
 
 def merge(vocabulary: Vocabulary, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +203,7 @@ class PieceNumbers:
     A hash only finds a piece; whether it is the same is asked of the pieces themselves.
     """
 
-    def __init__(self, slots: int = 1 << 21):
+    def __init__(self, slots: int = 1 << 20):
         self.hash = np.zeros(slots, np.uint64)
         self.number = np.zeros(slots, np.int32)
         self.count = 0
@@ -217,10 +223,10 @@ class PieceNumbers:
 
     def add(self, h: np.ndarray):
         """Number distinct hashes that are not there yet, in their order."""
-        if 2 * (self.count + len(h)) > len(self.hash):
+        if 4 * (self.count + len(h)) > 3 * len(self.hash):
             old, numbers = self.hash, self.number
             size = len(old)
-            while 2 * (self.count + len(h)) > size:
+            while 4 * (self.count + len(h)) > 3 * size:
                 size *= 2
             self.hash, self.number = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             kept = old != 0
@@ -239,6 +245,25 @@ class PieceNumbers:
             h, numbers, slot = h[~own], numbers[~own], (slot[~own] + 1) & mask
 
 
+class Grown:
+    """An array that rows are added to; at most a quarter of it is spare."""
+
+    def __init__(self, dtype):
+        self.rows, self.count = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray):
+        count = self.count + len(values)
+        if count > len(self.rows):
+            rows = np.zeros(count + count // 4, self.rows.dtype)
+            rows[:self.count] = self.rows[:self.count]
+            self.rows = rows
+        self.rows[self.count:count] = values
+        self.count = count
+
+    def __getitem__(self, at) -> np.ndarray:
+        return self.rows[at]
+
+
 class Encoder:
     """Encodes texts block by block; knows the pieces it has met before."""
 
@@ -256,9 +281,9 @@ class Encoder:
     def _forget(self):
         self.numbers = PieceNumbers()
         # The characters of all numbered pieces, and pieces whose hash another one has.
-        self.codes, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes, self.begins, self.lengths = Grown(np.uint32), Grown(np.int64), Grown(np.int32)
         self.others: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.sizes = Grown(np.int32), Grown(np.int64), Grown(np.int32)
         self.waiting: list[str] = []
         for token, i in self.vocabulary.special.items():
             # Special tokens are pieces that are known from the start.
@@ -268,16 +293,28 @@ class Encoder:
             self._learn(np.array([i], np.int32), np.array([0, 1]))
 
     def _learn(self, ids, bounds):
-        self.starts = np.append(self.starts, bounds[:-1] + len(self.ids))
-        self.sizes = np.append(self.sizes, np.diff(bounds))
-        self.ids = np.append(self.ids, ids)
+        self.starts.add(bounds[:-1] + self.ids.count)
+        self.sizes.add(np.diff(bounds))
+        self.ids.add(ids)
+
+    def _merge_waiting(self):
+        """Merge the pieces that wait, some of them at once: what that needs is a multiple of their size."""
+        waiting, self.waiting = self.waiting, []
+        at = 0
+        while at < len(waiting):
+            end, chars = at, 0
+            while end < len(waiting) and (end == at or chars + len(waiting[end]) <= NEW_CHARS):
+                chars += len(waiting[end])
+                end += 1
+            self._learn(*merge(self.vocabulary, waiting[at:end]))
+            at = end
 
     def _keep(self, codes, start, end):
         """Store the characters of newly numbered pieces."""
         sizes = end - start
-        self.begins = np.append(self.begins, len(self.codes) + np.cumsum(sizes) - sizes)
-        self.lengths = np.append(self.lengths, sizes)
-        self.codes = np.append(self.codes, codes[ragged(start, sizes)])
+        self.begins.add(self.codes.count + np.cumsum(sizes) - sizes)
+        self.lengths.add(sizes)
+        self.codes.add(codes[ragged(start, sizes)])
 
     def _unlike(self, numbers, codes, start, end) -> np.ndarray:
         """Which pieces codes[start:end] are not those that their numbers stand for."""
@@ -371,13 +408,15 @@ class Encoder:
                 chars += len(text)
                 text = next(texts, None)
             flush()
-            if self.waiting:
-                waiting, self.waiting = self.waiting, []
-                self._learn(*merge(self.vocabulary, waiting))
-            pieces = np.concatenate(numbered) if numbered else np.zeros(0, np.int32)
+            self._merge_waiting()
             of_text = np.concatenate(bounds)[np.array(begun)]
+            # What was cut at once goes as soon as its texts are done.
+            numbered.reverse()
+            pieces, at = np.zeros(0, np.int32), 0
             for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist()):
-                own = pieces[a:b]
+                while at + len(pieces) < b:
+                    pieces, at = np.concatenate([pieces[a - at:], numbered.pop()]), a
+                own = pieces[a - at:b - at]
                 yield self.ids[ragged(self.starts[own], self.sizes[own])]
 
     def decode(self, ids: np.ndarray) -> str:

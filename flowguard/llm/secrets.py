@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..session import materialise, scratch_path
+from ..session import materialise, no_rows, scratch_path
 from .common import broadcast_if_small
 
 RULE_VERSION = "2"
@@ -90,7 +90,7 @@ class Ledger:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            table = self.spark.createDataFrame([], _BLOB)
+            table = no_rows(self.spark, _BLOB)
         return table.filter(F.col("version") == self.version).select("blob", "spans")
 
     def scan(self, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:

@@ -5,8 +5,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -42,6 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/flowguard-{name}-{uuid.uuid4().hex}"
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table that Spark makes by itself.
+
+    One that is made of an empty Python list is read by Python workers with a
+    daemon of their own, which every executor then keeps in memory.
+    """
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the scratch folder and read it back, cutting its lineage."""
     path = scratch_path(df.sparkSession, name)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -70,6 +71,19 @@ def test_pieces_forgotten_between_blocks_change_nothing(monkeypatch):
     assert [ids.tolist() for ids in bpe.Encoder(BYTE, kept=50).encode(texts)] == want
 
 
+def test_new_words_are_merged_in_bounded_memory():
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=8)) for _ in range(1000)) for _ in range(250)]
+    encoder = bpe.Encoder(WORD)
+    tracemalloc.start()
+    got = sum(len(ids) for ids in encoder.encode(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    library = Tokenizer.from_file(WORD)
+    assert got == sum(len(library.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert peak < 100e6, peak
+
+
 def test_round_trip(spark):
     got = rows(bpe.round_trip(with_clashes(odd(spark)), BYTE))
     library = Tokenizer.from_file(BYTE)

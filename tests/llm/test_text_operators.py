@@ -88,6 +88,12 @@ def expected_findings(source):
                hashlib.sha256(joined.encode()).hexdigest(), joined)
 
 
+def test_an_empty_ledger_needs_no_python_workers(spark, tmp_path):
+    known = secrets.Ledger(spark, str(tmp_path / "ledger")).scanned()
+    assert known.collect() == [] and known.dtypes == [("blob", "binary"), ("spans", "array<struct<start:int,rule:int,end:int>>")]
+    assert "ExistingRDD" not in known._jdf.queryExecution().executedPlan().toString()
+
+
 def test_secrets(spark):
     extra = ["secret=secret=token = abcdefghij", "api-key: x, API_KEY='0123456789' apikey = \"abcdefgh", "AKIA" * 8,
              "f" * 31 + "g" + "f" * 33, "é" * 5 + "password=" + "a" * 64, "passwd:\x20\x20=abcdefgh token token=1234567"]
