@@ -9,7 +9,7 @@ _HALF = 1 << 15
 _WORD = (1 << 64) - 1
 
 # A Bloom filter has so many bits per key and sets four of them, all in one word: some 0.5 % of other keys pass.
-# Beyond the largest size (16 MB) more of them pass, and nothing else changes.
+# Beyond the largest size (16 MB, which filters that are tested together share) more of them pass, and nothing else changes.
 BLOOM_BITS = 16
 BLOOM_WORDS = 1 << 21
 
@@ -41,10 +41,10 @@ def is_member(column: str, bits: int) -> Column:
     return F.expr(f"(shiftright(get(CAST(split('{text}', ',') AS ARRAY<BIGINT>), shiftright({column}, 6) - {first}), {column} & 63) & 1L) = 1L")
 
 
-def bloom_words(keys: int) -> int:
-    """The size of a Bloom filter for so many keys: a power of two of 64-bit words."""
+def bloom_words(keys: int, most: int = BLOOM_WORDS) -> int:
+    """The size of a Bloom filter for so many keys: a power of two of 64-bit words, ``most`` of them at most."""
     words = 1
-    while words * 64 < keys * BLOOM_BITS and words < BLOOM_WORDS:
+    while words * 64 < keys * BLOOM_BITS and words * 2 <= most:
         words *= 2
     return words
 

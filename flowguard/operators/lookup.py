@@ -1,15 +1,16 @@
 """Left joins of packets with rule-side tables, safe for large and hot keys."""
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import bloom_filter, bloom_words, might_be_in
+from ..functions.bits import BLOOM_WORDS, bloom_filter, bloom_words, might_be_in
 from ..session import materialise
 
-# A rule-side table is broadcast only when a count shows it has no more rows.
+# A rule-side table is broadcast only when a count shows it has no more rows. Tables that
+# are looked up together share this number, since the driver holds all of them at once.
 BROADCAST_ROWS = 1_000_000
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
@@ -52,38 +53,44 @@ class Lookup:
     within: Column | None = None
     rows: int | None = None
 
-    def is_small(self, broadcast_rows: int) -> bool:
-        if self.rows is None:
-            return fits_broadcast(self.table, broadcast_rows)
-        return self.rows <= broadcast_rows
+    def counted(self) -> "Lookup":
+        return self if self.rows is not None else replace(self, rows=self.table.count())
 
 
 def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the value columns of every table, NULL where a key is not found.
 
-    Small tables are broadcast into the scan stage. For a larger one a Bloom
+    Small tables are broadcast into the scan stage, the smallest ones first and
+    no more than ``broadcast_rows`` of all tables. For a larger one a Bloom
     filter of its keys is tested in the scan first, and only packets that may
     have a match count from there on: the table is cut to their keys and
-    broadcast if it is small enough now. Beyond that those packets alone are
-    shuffled, rows with a hot key spread over salts, and the few table rows of
-    the hot keys repeated for each salt; all other packets go by.
+    broadcast if what is left of the bound allows it now. Beyond that those
+    packets alone are shuffled, rows with a hot key spread over salts, and the
+    few table rows of the hot keys repeated for each salt; all other packets go by.
     """
-    lookups = list(lookups)
-    large = [i for i, look in enumerate(lookups) if not look.is_small(broadcast_rows)]
-    tables = {i: F.broadcast(look.table) for i, look in enumerate(lookups) if i not in large}
+    lookups = [look.counted() for look in lookups]
+    left, small = broadcast_rows, []
+    for i in sorted(range(len(lookups)), key=lambda i: lookups[i].rows):
+        if lookups[i].rows <= left:
+            small.append(i)
+            left -= lookups[i].rows
+    large = [i for i in range(len(lookups)) if i not in small]
+    tables = {i: F.broadcast(lookups[i].table) for i in small}
     if df.isStreaming:
         # A stream's future keys are unknown: every key is spread, over fewer salts.
         return _joined(df, lookups, tables, dict.fromkeys(large))
     shuffled, may = {}, {}
     if large:
-        may = {i: _may_match(lookups[i]) for i in large}
+        may = {i: _may_match(lookups[i], BLOOM_WORDS // len(large)) for i in large}
         # One pass over the packets, combined per key before its shuffle.
         counts = materialise(key_counts(df, {i: F.when(may[i], lookups[i].key) for i in large}), "keys")
         for i in large:
             occurring = counts.filter(F.col("i") == i).select("key")
             seen = lookups[i].table.join(occurring, "key", "left_semi")
-            if fits_broadcast(seen, broadcast_rows):
+            rows = seen.count() if left > 0 else None
+            if rows is not None and rows <= left:
                 tables[i] = F.broadcast(seen)
+                left -= rows
             else:
                 shuffled[i] = None
         if shuffled:
@@ -99,9 +106,9 @@ def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROA
     return _joined(df.filter(possible), lookups, tables, shuffled).unionByName(passing)
 
 
-def _may_match(look: Lookup) -> Column:
-    """Whether a packet's key passes a Bloom filter of the table's keys."""
-    words = bloom_words(look.rows if look.rows is not None else look.table.count())
+def _may_match(look: Lookup, most: int) -> Column:
+    """Whether a packet's key passes a Bloom filter of the table's keys, which has ``most`` words at most."""
+    words = bloom_words(look.rows, most)
     stored = materialise(bloom_filter(look.table.filter("key IS NOT NULL"), "key", words), "bloom")
     return might_be_in(look.key, stored.scalar(), words)
 

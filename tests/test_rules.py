@@ -269,6 +269,21 @@ def test_lookup_paths_agree_on_hot_and_missing_keys(spark, monkeypatch):
     assert small.filter("v is not null").count() == 1000 + len(range(2, 1500, 3))
 
 
+def test_tables_looked_up_together_share_the_bound_of_broadcasts(spark):
+    # The driver holds all of them at once: tables that are small one by one were too much together.
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("k"))
+    table = lambda i, n: spark.range(n).select(F.col("id").cast("string").alias("key"), (F.col("id") * i).alias(f"v{i}"))
+    looks = lambda: [Lookup(F.col("k"), table(i, n)) for i, n in enumerate((900, 400, 500, 950, 30))]
+    plan = lambda got: got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    broadcast = lambda got: [x for x in plan(got) if "_table_key" in x and "(strategy=broadcast)" in x]
+    together, apart = look_up(df, looks(), 1000), look_up(df, looks(), 10_000)
+    assert len(broadcast(apart)) == 5
+    # 30, 400 and 500 rows, on both sides of a union; what is left of the bound does for neither of the others.
+    assert len(broadcast(together)) == 6 and not any("_salt" in x for x in broadcast(together))
+    assert sorted(map(tuple, together.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+    assert together.filter("v3 IS NOT NULL").count() == 950 and together.count() == 3000
+
+
 def test_large_address_sets_stay_out_of_the_plan_text(spark):
     table = spark.range(3000).select(F.lit("all").alias("scope"), F.lit("ip").alias("kind"), F.lit("src").alias("direction"),
                                      F.concat(F.lit("10.1."), (F.col("id") / 256).cast("int"), F.lit("."), F.col("id") % 256).alias("value"))
@@ -381,6 +396,19 @@ def test_a_hundred_thousand_signatures(spark):
     assert {r["value"] for r in rejected_rules(made.unionByName(odd)).collect()} == {"(", "a)|(b"}
 
 
+def test_payloads_are_read_once_for_the_signatures_of_all_levels(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(rules_module, "signature_matches", lambda *args: read.append(args) or signatures.signature_matches(*args))
+    log = rule_log(spark, (1, 0, "all", "add", "pattern", None, "bad.*"), (2, 0, "level:1", "add", "pattern", None, ".*worse"),
+                   (3, 0, "node:2", "add", "pattern", None, "odd"), (4, 10, "level:0", "remove", "pattern", None, "bad.*"),
+                   (5, 20, "all", "reset", None, None, None))
+    rows = [packet(i, s, node_id=n, payload=p) for i, (s, n, p) in enumerate([
+        (1, 1, "bad one"), (1, 1, "worse"), (1, 1, "odd"), (1, 2, "odd"), (11, 1, "bad one"), (11, 2, "bad and worse"), (21, 1, "bad one")])]
+    got = cascade_as_of(packets(spark, rows), log, nodes(spark, (1, 0), (2, 0)), {0: "dpi", 1: "dpi", 2: "dpi"}).collect()
+    assert {r["packet_id"]: r["dropped_at"] for r in got} == {0: 0, 1: 1, 2: None, 3: 0, 4: 1, 5: 1, 6: None}
+    assert len(read) == 1
+
+
 def test_cascade_under_changing_profiles(spark):
     log = rule_log(spark, (1, -5, "all", "add", "port", "src", "5"), (2, -4, "level:1", "add", "pattern", None, "bad"),
                    (3, 10, "level:1", "profile", None, None, "basic"), (4, 20, "node:2", "profile", None, None, "3"),
