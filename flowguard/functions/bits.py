@@ -9,9 +9,11 @@ _HALF = 1 << 15
 _WORD = (1 << 64) - 1
 
 # A Bloom filter has so many bits per key and sets four of them, all in one word: some 0.5 % of other keys pass.
-# Beyond the largest size (16 MB, which filters that are tested together share) more of them pass, and nothing else changes.
+# Beyond the largest size (16 MB; 2 MB in all for filters that are tested together, each of which the driver
+# sends with several stages) more of them pass, and nothing else changes.
 BLOOM_BITS = 16
 BLOOM_WORDS = 1 << 21
+BLOOM_SHARED = 1 << 18
 
 
 def bitmaps(table: DataFrame, by: list[str], number: str) -> DataFrame:

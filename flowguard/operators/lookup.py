@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import BLOOM_WORDS, bloom_filter, bloom_words, might_be_in
+from ..functions.bits import BLOOM_SHARED, BLOOM_WORDS, bloom_filter, bloom_words, might_be_in
 from ..session import materialise
 
 # A rule-side table is broadcast only when a count shows it has no more rows. Tables that
@@ -18,6 +18,8 @@ BROADCAST_ROWS = 1_000_000
 HOT_SHARE = 1000
 SALTS = 256
 STREAM_SALTS = 32
+# A table keyed by ids of rows is broadcast only up to this share of the bound.
+SPREAD_SHARE = 8
 
 
 def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -46,12 +48,14 @@ class Lookup:
     ``table`` has a column ``key`` and value columns. It holds at most one row
     per key (or, with the condition ``within``, at most one that satisfies it),
     so no packet multiplies; with more, a packet comes with each of them.
-    ``rows`` is its size where it is already counted.
+    ``rows`` is its size where it is already counted. With ``spread`` the keys
+    are ids of rows, so that none is hot and the table grows as the rows do.
     """
     key: Column
     table: DataFrame
     within: Column | None = None
     rows: int | None = None
+    spread: bool = False
 
     def counted(self) -> "Lookup":
         return self if self.rows is not None else replace(self, rows=self.table.count())
@@ -67,13 +71,25 @@ def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROA
     broadcast if what is left of the bound allows it now. Beyond that those
     packets alone are shuffled, rows with a hot key spread over salts, and the
     few table rows of the hot keys repeated for each salt; all other packets go by.
+    A table keyed by ids of rows is joined last and plainly: nothing of it comes
+    to the driver, neither a filter of its keys nor hot ones.
     """
     lookups = [look.counted() for look in lookups]
     left, small = broadcast_rows, []
     for i in sorted(range(len(lookups)), key=lambda i: lookups[i].rows):
-        if lookups[i].rows <= left:
+        if lookups[i].rows <= min(left, broadcast_rows // SPREAD_SHARE if lookups[i].spread else left):
             small.append(i)
             left -= lookups[i].rows
+    by_id = [look for i, look in enumerate(lookups) if look.spread and i not in small]
+    if by_id and not df.isStreaming:
+        out = look_up(df, [look for i, look in enumerate(lookups) if i in small or not look.spread], broadcast_rows)
+        for look in by_id:
+            keyed = out.withColumn("_key", look.key)
+            # Rows without a key would meet in one task.
+            salt = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(0)
+            out = _left_join(keyed.withColumn("_salt", salt.cast("int")), look.table.withColumn("_table_salt", F.lit(0)),
+                             F.col("_salt") == F.col("_table_salt"), look.within)
+        return out
     large = [i for i in range(len(lookups)) if i not in small]
     tables = {i: F.broadcast(lookups[i].table) for i in small}
     if df.isStreaming:
@@ -81,7 +97,7 @@ def look_up(df: DataFrame, lookups: Iterable[Lookup], broadcast_rows: int = BROA
         return _joined(df, lookups, tables, dict.fromkeys(large))
     shuffled, may = {}, {}
     if large:
-        may = {i: _may_match(lookups[i], BLOOM_WORDS // len(large)) for i in large}
+        may = {i: _may_match(lookups[i], BLOOM_WORDS if len(large) == 1 else BLOOM_SHARED // len(large)) for i in large}
         # One pass over the packets, combined per key before its shuffle.
         counts = materialise(key_counts(df, {i: F.when(may[i], lookups[i].key) for i in large}), "keys")
         for i in large:

@@ -396,6 +396,20 @@ def test_a_hundred_thousand_signatures(spark):
     assert {r["value"] for r in rejected_rules(made.unionByName(odd)).collect()} == {"(", "a)|(b"}
 
 
+def test_tables_keyed_by_ids_of_rows_do_not_come_to_the_driver(spark, monkeypatch):
+    filters = []
+    monkeypatch.setattr(lookup, "bloom_filter", lambda *args: filters.append(args) or bits.bloom_filter(*args))
+    df = spark.range(2000).select("id", F.when(F.col("id") % 4 > 0, F.col("id").cast("string")).alias("k")).union(spark.range(5).select("id", F.lit("7")))
+    table = spark.range(0, 2000, 3).select(F.col("id").cast("string").alias("key"), F.lit(True).alias("found"))
+    small = spark.range(4).select(F.col("id").cast("string").alias("key"), F.col("id").alias("v"))
+    looks = lambda: [Lookup(F.col("k"), table, spread=True), Lookup((F.col("id") % 5).cast("string"), small)]
+    got, want = look_up(df, looks(), 1000), look_up(df, looks())
+    hints = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "(strategy=broadcast)" in x]
+    assert len(hints) == 1 and not filters
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.count() == 2005 and got.filter("found").count() == 500
+
+
 def test_payloads_are_read_once_for_the_signatures_of_all_levels(spark, monkeypatch):
     read = []
     monkeypatch.setattr(rules_module, "signature_matches", lambda *args: read.append(args) or signatures.signature_matches(*args))
